@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, line_dedup, quality, secret_scan, simhash, toxicity, url_filter
+from . import bpe_codec, decontaminate, line_dedup, quality, secret_scan, simhash, substring_dedup, toxicity, url_filter
 from .common import held_out, table
 
 
@@ -43,6 +43,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = quality.classify(docs, labels, "quality", ~held_out("doc_id", 4, 2))
@@ -61,7 +65,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_decontaminate, op4_simhash, op6_line_dedup, op7_bpe, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_decontaminate, op4_simhash, op6_line_dedup, op7_bpe, op8_substring_dedup, op9_quality, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
