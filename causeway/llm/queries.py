@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, line_dedup, quality, secret_scan, simhash, substring_dedup, toxicity, url_filter
+from . import bpe_codec, decontaminate, embedding_dedup, line_dedup, quality, secret_scan, simhash, substring_dedup, toxicity, url_filter
 from .common import held_out, table
 
 
@@ -32,6 +32,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -65,7 +69,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_decontaminate, op4_simhash, op6_line_dedup, op7_bpe, op8_substring_dedup, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_decontaminate, op4_simhash, op5_embeddings, op6_line_dedup, op7_bpe, op8_substring_dedup, op9_quality, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:

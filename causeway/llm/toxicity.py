@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 from .quality import bounded_labels
 
 #: Labelled documents to learn from, about; candidates and terms of the lexicon.
-MAX_TRAIN, MAX_CANDIDATES, MAX_TERMS = 30_000, 20_000, 4_000
-#: Beginnings of words that may be terms, in characters; edits are allowed in words of FUZZY or more.
-STEMS, FUZZY = (4, 5, 6, 7, 8), 5
+MAX_TRAIN, MAX_CANDIDATES, MAX_TERMS = 16_000, 20_000, 4_000
+#: Beginnings of words that may be terms, in characters. Misspellings are sought of whole words of FUZZY characters or more
+#: with at least these log odds.
+STEMS, FUZZY, FUZZY_LOG_ODDS = (4, 5, 6, 7, 8), 5, 3.5
 #: Share of a hit's weight that stays after one edit, and in a quotation.
 MISSPELLED, QUOTED = 0.6, 0.3
 CACHE_WORDS = 300_000
@@ -49,20 +51,27 @@ class Lexicon:
         """terms: (=word or ^beginning, toxic documents, clean documents)."""
         self.counts = [(t, c) for _, t, c in terms]
         self.sizes = n_toxic, n_clean
+        self.weights = [log_odds(t, c, n_toxic, n_clean) for t, c in self.counts]
         self.trie: dict = {}
+        self.whole: dict = {}
+        fuzzy = [t[1:] for (t, _, _), w in zip(terms, self.weights) if t[0] == "=" and len(t) > FUZZY and w >= FUZZY_LOG_ODDS]
+        #: One edit leaves the first two characters or the last three.
+        self.heads, self.tails = {t[:2] for t in fuzzy}, {t[-3:] for t in fuzzy}
         for k, (term, _, _) in enumerate(terms):
-            node = self.trie
-            for c in term[1:]:
-                node = node.setdefault(c, {})
-            node["" if term[0] == "=" else "*"] = k
+            for top in (self.trie, self.whole) if term[0] == "=" and term[1:] in fuzzy else (self.trie,):
+                node = top
+                for c in term[1:]:
+                    node = node.setdefault(c, {})
+                node["" if term[0] == "=" else "*"] = k
+        self.longest = max(map(len, fuzzy), default=0)
         self.known: dict[str, tuple[tuple[int, bool], ...]] = {}
 
     def weight(self, k: int, toxic: float | None = None) -> float:
         """Log odds of a term; toxic: the label of the one document to leave out."""
+        if toxic is None:
+            return self.weights[k]
         (t, c), (n, m) = self.counts[k], self.sizes
-        if toxic is not None:
-            t, c, n, m = (t - 1, c, n - 1, m) if toxic else (t, c - 1, n, m - 1)
-        return log_odds(t, c, n, m)
+        return log_odds(t - 1, c, n - 1, m) if toxic else log_odds(t, c - 1, n, m - 1)
 
     def lookup(self, word: str) -> tuple[tuple[int, bool], ...]:
         """(term, misspelled) of each term that the word holds: itself, beginnings, else whole terms one edit away."""
@@ -81,7 +90,7 @@ class Lexicon:
             plain = re.sub(r"[^\w]", "", word.translate(SIGNS))
             if plain != word and (found := self._exact(plain)):
                 return tuple((k, True) for k, _ in found)
-        if len(plain) >= FUZZY and (k := self._near(plain)) is not None:
+        if FUZZY - 1 <= len(plain) <= self.longest + 1 and (plain[:2] in self.heads or plain[-3:] in self.tails) and (k := self._near(plain)) is not None:
             return ((k, True),)
         return ()
 
@@ -105,19 +114,19 @@ class Lexicon:
         at: dict[str, int] = {}
         for i, c in enumerate(word):
             at[c] = at.get(c, 0) | 1 << i
-        n, heap = len(word), [(self.trie, 1, 2, 0)]
+        n, heap = len(word), [(self.whole, 1, 2)]
         while heap:
-            node, same, one, depth = heap.pop()
-            if "" in node and (same | one) >> n & 1 and depth >= FUZZY:
+            node, same, one = heap.pop()
+            if "" in node and (same | one) >> n & 1:
                 return node[""]
             for c, child in node.items():
-                if len(c) != 1 or c == "*":
+                if not c:
                     continue
                 here = at.get(c, 0)
                 on = (same & here) << 1
                 off = (one & here) << 1 | same | same << 1 | on << 1
                 if on or off & (1 << n + 1) - 1:
-                    heap.append((child, on, off, depth + 1))
+                    heap.append((child, on, off))
         return None
 
     def summary(self, text: str, toxic: float | None = None) -> list[float]:
@@ -130,20 +139,17 @@ class Lexicon:
         strong = 0
         seen: dict[int, float] = {}
         if hit_words:
-            before: list[str] = []
-            spans = WORD.finditer(low)
-            for m in spans:
-                w = m.group()
+            for i, m in enumerate(WORD.finditer(low)):
+                w = words[i]
                 if w in hit_words:
                     k, wrong = max(hit_words[w], key=lambda x: self.weight(x[0], toxic))
                     weight = self.weight(k, toxic) * (MISSPELLED if wrong else 1)
                     if weight > 0:
-                        if self._quotes(low, m, before):
+                        if self._quotes(low, m, words[max(0, i - 5) : i]):
                             weight *= QUOTED
                             quoted += 1
                         hits += 1
                         seen[k] = max(seen.get(k, 0), weight)
-                before = [*before[-4:], w]
             total, best, strong = sum(seen.values()), max(seen.values(), default=0), sum(x > 3 for x in seen.values())
         n = max(len(words), 1)
         return [np.log1p(max(total, 0)), best, np.log1p(hits), np.log1p(1000 * hits / n), np.log1p(strong), quoted / max(hits, 1), np.log1p(n), np.log1p(max(total, 0)) / np.log(n + 2), 1.0]
@@ -158,12 +164,22 @@ class Lexicon:
 def log_odds(t: float, c: float, n: float, m: float) -> float:
     """Of t in n against c in m, with two documents of the overall mix added."""
     n, m = max(n, 1), max(m, 1)
-    return float(np.log((max(t, 0) + 2 * n / (n + m)) / n) - np.log((max(c, 0) + 2 * m / (n + m)) / m))
+    return log((max(t, 0) + 2 * n / (n + m)) / n) - log((max(c, 0) + 2 * m / (n + m)) / m)
 
 
-def _features(text: str) -> set[str]:
-    words = set(WORD.findall(text.lower()))
-    return {f"={w}" for w in words if len(w) >= 3} | {f"^{w[:k]}" for w in words for k in STEMS if len(w) > k}
+class _Features(dict):
+    """Word to the features it holds, of those asked for; fills itself."""
+
+    def __init__(self, only: frozenset[str] | None):
+        self.only = only
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        every = ([f"={word}"] if len(word) >= 3 else []) + [f"^{word[:k]}" for k in STEMS if len(word) > k]
+        found = tuple(every if self.only is None else filter(self.only.__contains__, every))
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = found
+        return found
 
 
 def _counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
@@ -171,10 +187,10 @@ def _counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
 
     def run(batches):
         total: Counter = Counter()
+        features = _Features(only)
         for batch in batches:
             for x in batch.column(0):
-                found = _features(x.as_py() or "")
-                total.update(found if only is None else found & only)
+                total.update({f for w in set(WORD.findall((x.as_py() or "").lower())) for f in features[w]})
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["feature", "n"])
 
