@@ -21,10 +21,11 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_bytes
 
 #: Labelled rows to learn from, about.
 MAX_TRAIN = 60_000
@@ -67,15 +68,17 @@ def statistics(raw: bytes) -> list[float]:
 
 
 def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the array of statistics of every row's whole text."""
+    """doc_id, t (XXH64 of the text, as Spark's xxhash64) and the array of statistics of every row's whole text."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            values = pa.array([statistics((x.as_py() or "").encode()) for x in batch.column(1)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "x"])
+            texts = text_bytes(batch.column(1))
+            hashes = [int.from_bytes(xxhash.xxh64_digest(x, 42), "big", signed=True) for x in texts]
+            values = pa.array([statistics(x) for x in texts], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), values], ["doc_id", "t", "x"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, x array<double>")
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, t bigint, x array<double>")
 
 
 def bounded_labels(labels: DataFrame, doc_id: str, label: str, train, bound: int) -> DataFrame:
@@ -182,7 +185,7 @@ def scored(statistics_table: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str, train, doc_id: str = "doc_id", text: str = "text", bound: int = MAX_TRAIN) -> DataFrame:
-    """doc_id and score of every row. train: a condition on `label_id`'s source column of labels that picks training rows."""
+    """doc_id, t (hash of the text) and score of every row. train: a condition on labels that picks training rows."""
     found = stored(document_statistics(docs, doc_id, text))
     taken = bounded_labels(labels, doc_id, label, train, bound)
     rows = found.join(F.broadcast(taken), found["doc_id"] == taken["label_id"]).select("doc_id", "x", "y")  # at most about `bound` rows

@@ -18,8 +18,9 @@ from causeway.llm.common import held_out, stored, table
 def quality_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. Rows equal in id and text get one decision."""
     scores = quality.classify(docs, table(spark, sf_dir, "labels"), "quality", ~held_out("doc_id", 4, 2))
-    rejected = scores.where(F.col("score") < quality.KEEP).select(F.col("doc_id").alias("__rejected")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("__rejected")), "left_anti")
+    rejected = scores.where(F.col("score") < quality.KEEP).select(F.col("doc_id").alias("__rejected"), F.col("t").alias("__t")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("__rejected")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__t"))
+    return docs.join(rejected, same, "left_anti")
 
 
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
