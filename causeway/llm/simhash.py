@@ -49,14 +49,16 @@ def fingerprint(raw: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and fp (bigint) of every row."""
+    """doc_id, t (XXH64 of the text, as Spark's xxhash64) and fp (bigint) of every row."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x) for x in text_bytes(batch.column(1))], pa.int64())], ["doc_id", "fp"])
+            texts = text_bytes(batch.column(1))
+            hashes = [int.from_bytes(xxhash.xxh64_digest(x, SEED), "big", signed=True) for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array(map(fingerprint, texts), pa.int64())], ["doc_id", "t", "fp"])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, t bigint, fp bigint")
 
 
 def _variants(part: Column, bits: int, tag: int) -> Column:
@@ -98,21 +100,23 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (least doc_id reachable by links) of every row."""
+    """doc_id, t, fp, root (a fingerprint that names the component) and component_id (least doc_id reachable by links) of every row."""
     found = stored(fingerprints(docs, doc_id, text))
     nodes = stored(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = components(links(nodes)).select(F.col("node").alias("fp"), "component")
     roots = nodes.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     groups = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = roots.join(groups, "root").select("fp", "component_id")
-    return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = roots.join(groups, "root").select("fp", "root", "component_id")
+    return found.join(by_fp, "fp").select("doc_id", "t", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose id is the least of their component; of repeated rows one stays. Rows without an id stay."""
-    kept = near_duplicates(docs.where(F.col(doc_id).isNotNull()), doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    mine = docs.join(kept, docs[doc_id] == F.col("__kept_id"), "left_semi").dropDuplicates([doc_id])
-    return mine.unionByName(docs.where(F.col(doc_id).isNull()))
+    """One row of docs, all columns, of each component: that of the least id, rows without an id last; of repeated rows one stays."""
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
+    kept = near_duplicates(docs, doc_id, text).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__kept_id"), F.col("k.t").alias("__kept_t"))
+    mine = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    chosen = mine.join(kept, mine[doc_id].eqNullSafe(F.col("__kept_id")) & (F.col("__t") == F.col("__kept_t")), "left_semi")
+    return chosen.dropDuplicates([doc_id, "__t"]).drop("__t")
 
 
 def brute_force(documents: list[tuple]) -> list[tuple]:
