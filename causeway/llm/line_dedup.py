@@ -51,7 +51,7 @@ def _windows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, t, lines): per document, by id and text hash, the numbers of the lines to delete."""
+    """(d, t, lines): per document, by id and text hash, the numbers of the lines of repeated runs, blank ones within them too."""
     windows = stored(_windows(docs, doc_id, text).distinct())
     place = F.struct("d", "t", "from")
     fingerprints = windows.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fingerprint")
@@ -69,10 +69,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     same = (F.coalesce(docs[doc_id], F.lit(_LAST_ID)) == F.col("__d")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__t"))
     joined = docs.join(gone, same, "left")
     lines, out = _lines(docs[text]), F.col("__gone")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(out, i)), "\n")
+    stay = F.filter(lines, lambda x, i: _blank(x) | ~F.array_contains(out, i))  # blank lines within a run stay
+    kept = F.array_join(stay, "\n")
     columns = [F.when(out.isNull(), docs[c]).otherwise(kept).alias(c) if c == text else docs[c] for c in docs.columns]
     n_lines = F.when(F.coalesce(docs[text], F.lit("")) == "", 0).otherwise(F.size(lines))
-    return joined.select(*columns, n_lines.cast("bigint").alias("__n_lines"), F.coalesce(F.size(F.expr("coalesce(__gone, array())")), F.lit(0)).cast("bigint").alias("__n_removed"))
+    return joined.select(*columns, n_lines.cast("bigint").alias("__n_lines"), F.when(out.isNull(), 0).otherwise(F.size(lines) - F.size(stay)).cast("bigint").alias("__n_removed"))
 
 
 #: DuckDB SQL of the query: every window against the first equal one, without fingerprints.

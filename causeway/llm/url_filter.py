@@ -33,7 +33,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame, last_day: int) -> DataFrame:
     """Per capture (id, url, day; ids are unique): id, host, n_active, blocked. last_day: of all captures; later days count as that day."""
-    day = F.least("day", F.lit(last_day))
+    day = F.when(F.col("day").isNotNull(), F.least("day", F.lit(last_day)))
     mine = captures.select("id", host(F.col("url")).alias("host"), day.alias("day"))
     labels = F.split("host", r"\.")
     keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, 64), "."))
