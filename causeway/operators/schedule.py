@@ -45,12 +45,9 @@ def eligible(rows: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def uniform(*keys: Column) -> Column:
-    """A draw in [0, 1) that depends only on the keys, by integer arithmetic that any engine can replay."""
-    x = F.lit(12345).cast("bigint")
-    for k in keys:
-        x = (x * 69069 + k.cast("bigint") * 30269 + 171) % 2147483647
-        x = (x * 48271) % 2147483647
-    return x / 2147483647.0
+    """A draw in [0, 1) that depends only on the keys, by a digest that any engine can replay."""
+    text = F.concat_ws(":", *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") / float(1 << 48)
 
 
 def quota_sample(rows: DataFrame, group: str, row_id: str, quota: int, seed: int) -> DataFrame:

@@ -37,14 +37,10 @@ PHASES = [
     {"phase_id": "novel", "step_min": 45, "step_max": 49, "illicit_keep_probability": 0.0, "novel_profile_ids": ["wash_round_trip"]},
 ]
 _PHASE_CASE = "CASE WHEN time_step <= 39 THEN 'stable' WHEN time_step <= 44 THEN 'shutdown' ELSE 'novel' END"
-_DRAW = lambda *keys: _nest(keys)
-
 
 def _nest(keys) -> str:
-    x = "12345::BIGINT"
-    for k in keys:
-        x = f"(((({x}) * 69069 + ({k})::BIGINT * 30269 + 171) % 2147483647) * 48271 % 2147483647)"
-    return f"({x} / 2147483647.0::DOUBLE)"
+    text = " || ':' || ".join(f"({k})::VARCHAR" for k in keys)
+    return f"(('0x' || substr(md5({text}), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
 
 
 def query(sql: str | None = None, recursive: bool = False):
