@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-WINDOW, SEED_WORDS = 13, 6
+WINDOW, SEED_WORDS = 13, 5
 #: Bits of the table for each bucket of seeds, and of all.
 BUCKET_BITS, MAX_BITS = 21, 29
 _GROUP = 1 << 20
@@ -195,57 +195,106 @@ def repeated_seeds(docs: DataFrame) -> tuple[np.ndarray, int]:
     return table, bits
 
 
+def _passing(table: bytes, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have their bit, that of their top bits, in the table."""
+    bit = (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return (np.frombuffer(table, np.uint8)[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _paths(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
     """A row per document (pos null) with its words and the digest of them all, and a row per compacted path that may repeat."""
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def run(batches):
-        marks = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             if not len(batch):
                 continue
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for k, end, group, data, bounds in _groups(batch.column(1)):
-                bit = (group.seed >> np.uint64(64 - bits)).astype(np.int64)
-                passed = (marks[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool) & known[k + group.text[group.at]]
-                text, pos, n, seed, content, second, first, last = group.paths(passed)
+                text, pos, n, seed, content, second, _, _ = group.paths(_passing(shared.value, bits, group.seed) & known[k + group.text[group.at]])
                 raw = data.tobytes()
                 texts = [raw[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
                 hashes = np.frombuffer(b"".join(xxhash.xxh64_digest(x, 42) for x in texts), ">i8").astype(np.int64)
                 digests = [hashlib.sha256(b" ".join(x.split())).hexdigest() for x in texts]
-                edges = group.edges(np.concatenate([np.arange(a, b) for a, b in zip(first.tolist(), last.tolist())]) if len(first) else np.zeros(0, np.int64)).astype(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 m, none = end - k, len(text)
-                signed = lambda x: x.astype(np.uint64).view(np.int64)
                 rows = pa.array(np.concatenate([np.arange(k, end), k + text]))
                 both = lambda a, b, kind: pa.concat_arrays([a if a is not None else pa.nulls(m, kind), b if b is not None else pa.nulls(none, kind)])
                 columns = [
                     batch.column(0).take(rows), pa.array(hashes[np.concatenate([np.arange(m), text])]), both(pa.array(group.n_words, pa.int64()), None, pa.int64()), both(pa.array(digests, pa.string()), None, pa.string()),
-                    both(None, pa.array(pos, pa.int64()), pa.int64()), *(both(None, pa.array(signed(x)), pa.int64()) for x in (seed, content, second)),
-                    both(None, pa.ListArray.from_arrays(pa.array(offsets), pa.array(edges)), pa.list_(pa.int64())),
+                    both(None, pa.array(pos.astype(np.int32)), pa.int32()), both(None, pa.array(n.astype(np.int32)), pa.int32()), *(both(None, pa.array(x.astype(np.uint64).view(np.int64)), pa.int64()) for x in (seed, content, second)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "n_words", "whole", "pos", "seed", "content", "second", "edges"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "n_words", "whole", "pos", "n", "seed", "content", "second"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, t bigint, n_words bigint, whole string, pos int, n int, seed bigint, content bigint, second bigint")
+
+
+def _edges(docs: DataFrame, seeds: tuple[np.ndarray, int], contents: tuple[np.ndarray, int]) -> DataFrame:
+    """(doc_id, seed, content, second, edges) of the paths whose contents may be among those to open, each content once per batch group."""
+    shared = docs.sparkSession.sparkContext.broadcast((seeds[0].tobytes(), contents[0].tobytes()))
+
+    def run(batches):
+        for batch in batches:
+            for k, _, group, _, _ in _groups(batch.column(1)):
+                text, _, n, seed, content, second, first, last = group.paths(_passing(shared.value[0], seeds[1], group.seed))
+                keep = np.flatnonzero(_passing(shared.value[1], contents[1], content)) if len(content) else np.zeros(0, np.int64)
+                if not len(keep):
+                    continue
+                text, n, seed, content, second, first, last = (x[keep] for x in (text, n, seed, content, second, first, last))
+                edges = group.edges(np.concatenate([np.arange(a, b) for a, b in zip(first.tolist(), last.tolist())])).view(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                columns = [batch.column(0).take(pa.array(k + text)), *(pa.array(x.view(np.int64)) for x in (seed, content, second)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(edges))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "seed", "content", "second", "edges"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, t bigint, n_words bigint, whole string, pos bigint, seed bigint, content bigint, second bigint, edges array<bigint>")
+    return docs.where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, seed bigint, content bigint, second bigint, edges array<bigint>")
+
+
+def bit_table(hashes: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit table of the one bigint column, by top bits: 16 bits for each row, within fixed bounds."""
+    bits = min(27, max(16, (16 * hashes.count()).bit_length()))
+
+    def mark(batches):
+        table = np.zeros(1 << bits, bool)
+        for batch in batches:
+            table[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], ["table"])
+
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    for row in hashes.repartition(8).mapInArrow(mark, "table binary").toLocalIterator():
+        table |= np.frombuffer(row["table"], np.uint8)
+    return table, bits
+
+
+def among(rows: DataFrame, key: str, table: tuple[np.ndarray, int]) -> DataFrame:
+    """The rows whose key may be in the table; the others are not shuffled."""
+    shared, bits, at = rows.sparkSession.sparkContext.broadcast(table[0].tobytes()), table[1], rows.columns.index(key)
+
+    def test(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_passing(shared.value, bits, batch.column(at).to_numpy())))
+
+    return rows.mapInArrow(test, rows.schema)
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, t, n_words, whole) of all documents, and (doc_id, t, spans) of those with words to remove; spans of (from, to) may overlap."""
     mine = _with_id(docs, doc_id, text)
-    found = stored(_paths(mine, *repeated_seeds(mine)))
+    seeds = repeated_seeds(mine)
+    found = stored(_paths(mine, *seeds))
     paths = found.where("pos is not null")
     key = ["content", "second"]
-    contents = stored(paths.groupBy(*key).agg(F.min("doc_id").alias("first"), F.min("seed").alias("seed")))
+    contents = stored(paths.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most"), F.min("seed").alias("seed")))
     branching = contents.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    opened = contents.join(branching, "seed", "left_semi").select(*key, "first")
-    mine_first = F.col("doc_id") == F.col("first")
-    sources = paths.select("doc_id", *key, "seed", "edges").join(opened, key).where(mine_first).dropDuplicates(key)
+    opened = stored(contents.select(*key, "first", "seed").join(branching, "seed", "left_semi").select(*key, "first"))
+    sources = _edges(mine, seeds, bit_table(opened.select("content"))).join(opened, key).where(F.col("doc_id") == F.col("first")).dropDuplicates(key)
     edges = stored(sources.select(*key, "first", "seed", F.posexplode("edges").alias("k", "edge")))
     earlier = edges.groupBy("seed", "edge").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
     parts = edges.join(earlier, ["seed", "edge"]).where("least < first").groupBy(*key).agg(F.collect_list("k").alias("parts"))  # of one path
-    decided = contents.select(*key, "first").join(parts, key, "left")
-    met = paths.select("doc_id", "t", "pos", F.size("edges").alias("n"), *key).join(decided, key).where((F.col("doc_id") > F.col("first")) | mine_first & F.col("parts").isNotNull())
+    decided = stored(contents.select(*key, "first", "most").join(parts, key, "left").where("first < most or parts is not null").select(*key, "first", "parts"))
+    mine_first = F.col("doc_id") == F.col("first")
+    marked = among(paths.select("doc_id", "t", "pos", "n", *key), "content", bit_table(decided.select("content")))
+    met = marked.join(decided, key).where((F.col("doc_id") > F.col("first")) | mine_first & F.col("parts").isNotNull())
     whole = F.array(F.struct(F.col("pos").alias("from"), (F.col("pos") + F.col("n") + (WINDOW - 1)).alias("to")))
     some = F.transform("parts", lambda k: F.struct((F.col("pos") + k).alias("from"), (F.col("pos") + k + WINDOW).alias("to")))
     spans = met.select("doc_id", "t", F.when(mine_first, some).otherwise(whole).alias("s")).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("s")).alias("spans"))  # of one document
@@ -256,8 +305,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     """doc_id, n_words, n_removed and kept_sha256 of every row; with `texts` also kept, the words that stay, joined by spaces (null where all stay)."""
     every, spans = repeated_spans(docs, doc_id, text)
     spans = stored(spans)
+    own = F.xxhash64("doc_id", "t").alias("own")
     mine = _with_id(docs, doc_id, text).where("doc_id is not null").withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    marked = _marked(mine, spans).join(spans, ["doc_id", "t"])
+    marked = among(mine.select("doc_id", "text", "t", own), "own", bit_table(spans.select(own))).join(spans, ["doc_id", "t"])
 
     def cut(batches):
         for batch in batches:
@@ -283,32 +333,6 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     return out.select(*columns, *["kept"] * texts)
 
 
-def _marked(mine: DataFrame, spans: DataFrame, bits: int = 24) -> DataFrame:
-    """The documents that may be among those of spans, by a bit table of fixed size, so that other texts are not shuffled."""
-
-    def mark(batches):
-        table = np.zeros(1 << bits, bool)
-        for batch in batches:
-            table[batch.column(0).to_numpy() & ((1 << bits) - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], ["table"])
-
-    key = F.xxhash64("doc_id", "t")
-    table = np.zeros((1 << bits) // 8, np.uint8)
-    for row in spans.select(key.alias("h")).repartition(8).mapInArrow(mark, "table binary").toLocalIterator():
-        table |= np.frombuffer(row["table"], np.uint8)
-    shared = mine.sparkSession.sparkContext.broadcast(table.tobytes())
-
-    def test(batches):
-        marks = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            h = batch.column(3).to_numpy() & ((1 << bits) - 1)
-            keep = (marks[h >> 3] >> (7 - (h & 7)).astype(np.uint8) & 1).astype(bool)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:3]], ["doc_id", "text", "t"])
-
-    kind = mine.schema["doc_id"].dataType.simpleString()
-    return mine.select("doc_id", "text", "t", key.alias("h")).mapInArrow(test, f"doc_id {kind}, text string, t bigint")
-
-
 def brute_force(documents: list[tuple]) -> list[tuple]:
     """(doc_id, n_words, n_removed, kept_sha256) by listing every window; for tests."""
     least: dict[tuple, int] = {}
