@@ -423,3 +423,47 @@ def sgc_propagate(spark, d):
     nodes, edges = _graph(spark, d)
     x = nodes.select("tx_id", F.col("amount_minor").cast("double").alias("a"), F.col("score").cast("double").alias("s"))
     return _rounded(features.propagated(x, stored(edges), ["a", "s"]))
+
+
+# Models, sequential methods and generated tables: no SQL can express them.
+def _model_scores(spark, d, kind: str):
+    from . import protocol
+
+    nodes, edges = _graph(spark, d)
+    rows, parted = protocol.views(nodes.select("tx_id", "time_step", "class"), stored(edges))
+    rows = evaluation.scaled(rows, evaluation.scaler(rows.where("part = 'train'"), protocol.FEATURES), protocol.FEATURES)
+    columns = protocol.FEATURES
+    if kind == "sgc":
+        rows, columns = protocol._propagated(rows, parted)
+    model = protocol.fit(kind, rows.where("part = 'train'"), columns, 0)
+    return protocol.scores(model, rows, columns)
+
+
+@query()
+def rf_scores(spark, d):
+    return _model_scores(spark, d, "rf")
+
+
+@query()
+def sgc_scores(spark, d):
+    return _model_scores(spark, d, "sgc")
+
+
+@query()
+def edge_shuffle(spark, d):
+    from ..operators import shuffle
+
+    nodes, edges = _graph(spark, d)
+    return shuffle.shuffled(evaluation.partition_edges(edges, nodes), {"train": 0, "validation": 1, "test": 3})
+
+
+@query()
+def generated_events(spark, d):
+    """A ledger of 1,000 transactions over the event table's volume by step."""
+    from ..simulation.config import Config
+    from ..simulation.generate import generate
+
+    volume = _nodes(spark, d).groupBy(F.col("time_step").alias("step")).agg(F.count(F.lit(1)).alias("weight"))
+    every = spark.range(1, 50).select(F.col("id").cast("int").alias("step")).join(volume, "step", "left").fillna(0)
+    quotas = {"ordinary_wallet": (12, 400), "exchange_hub": (3, 120), "miner_payout": (4, 80), "wallet_provider": (4, 100), "individual": (18, 180), "mixer": (3, 60), "wash_round_trip": (3, 60)}
+    return generate(spark, Config(n_txs=1000, quotas=quotas), every).events
