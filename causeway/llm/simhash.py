@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_AZ, components, stored, text_bytes
 
-SHINGLE, SEED, MAX_BITS, CROWD = 3, 42, 3, 16
+SHINGLE, SEED, MAX_BITS, CROWD = 3, 42, 3, 64
 _PIECE = 1 << 18
 
 
