@@ -40,6 +40,11 @@ _QUICK = {"access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 _CHUNK = 128
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _running(values: Column) -> Column:
     """Sums of the array up to and including each element."""
     start = F.struct(F.lit(0).cast("bigint").alias("s"), F.expr("cast(array() as array<bigint>)").alias("a"))
@@ -47,21 +52,33 @@ def _running(values: Column) -> Column:
 
 
 def _running_long(values: Column) -> Column:
-    """The same in chunks, since growing an array copies it."""
+    """The same for arrays of any length, in chunks, since growing an array copies it. values: a bound variable."""
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int")), lambda c: _running(F.slice(values, c * _CHUNK + 1, _CHUNK)))
-    before = _running(F.concat(F.array(F.lit(0).cast("bigint")), F.transform(chunks, lambda c: F.element_at(c, -1))))
-    return F.when(F.size(values) <= _CHUNK, _running(values)).otherwise(F.flatten(F.transform(chunks, lambda c, i: F.transform(c, lambda x: x + F.element_at(before, i + 1)))))
+
+    def joined(parts: Column) -> Column:
+        before = _running(F.concat(F.array(F.lit(0).cast("bigint")), F.transform(parts, lambda c: F.element_at(c, -1))))
+        return _let(before, lambda sums: F.flatten(F.transform(parts, lambda c, i: F.transform(c, lambda x: x + F.element_at(sums, i + 1)))))
+
+    return _let(chunks, joined)
 
 
 def found_spans(text: Column, number: int, pattern: str, group: int, least: int, quick: str | None = None) -> Column:
-    """Array of (start, kind number, end) of the matches, leftmost and non-overlapping, that are long enough."""
+    """Array of (start, kind number, end) of the matches, leftmost and non-overlapping, that are long enough.
+
+    The gaps between matches and the matches themselves have lengths whose running sums are the places.
+    """
     none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.char_length(x).cast("bigint"))
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.char_length(x).cast("bigint"))
-    kept = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.char_length(x) >= least)
-    ends = _running_long(F.zip_with(F.slice(gaps, 1, F.size(sizes)), sizes, lambda g, s: g + s))
-    spans = F.zip_with(F.zip_with(ends, sizes, lambda e, s: F.struct((e - s).alias("start"), F.lit(number).alias("kind"), e.alias("end"))), kept, lambda x, k: F.when(k, x))
-    return F.when(text.rlike(quick or pattern), F.filter(spans, lambda x: x.isNotNull())).otherwise(none)
+    size = lambda x: F.char_length(x).cast("bigint")
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), size)
+    values = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), size)
+    found = F.struct(F.transform(F.split(text, pattern, -1), size).alias("gaps"), sizes.alias("sizes"), values.alias("values"))
+
+    def spans(f: Column) -> Column:
+        ends = _let(F.zip_with(F.slice(f["gaps"], 1, F.size(f["sizes"])), f["sizes"], lambda g, s: g + s), _running_long)
+        listed = F.zip_with(F.zip_with(ends, f["sizes"], lambda e, s: F.struct((e - s).alias("start"), F.lit(number).alias("kind"), e.alias("end"))), f["values"], lambda x, v: F.when(v >= least, x))
+        return F.filter(listed, lambda x: x.isNotNull())
+
+    return F.when(text.rlike(quick or pattern), _let(found, spans)).otherwise(none)
 
 
 def _listed(spans: Column) -> Column:
