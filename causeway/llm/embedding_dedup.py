@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import components, stored
 
-COSINE, SHARD, NEIGHBOURS, BEAM, WIDEST, RECALL, AUDIT = 0.93, 1536, 16, 48, 384, 0.98, 48
+COSINE, SHARD, NEIGHBOURS, BEAM, WIDEST, RECALL, AUDIT = 0.93, 8192, 16, 48, 384, 0.98, 48
 #: Single-precision cosines this far under the bar are still verified.
 _SLACK = 1e-4
 _STEP = 4
