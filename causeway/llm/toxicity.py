@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .quality import bounded_labels
 
 #: Labelled documents to learn from, about; candidates and terms of the lexicon.
 MAX_TRAIN, MAX_CANDIDATES, MAX_TERMS = 16_000, 20_000, 4_000
 #: Beginnings of words that may be terms, in characters. Misspellings are sought of whole words of FUZZY characters or more
-#: with at least these log odds.
-STEMS, FUZZY, FUZZY_LOG_ODDS = (4, 5, 6, 7, 8), 5, 3.5
+#: with at least these log odds, found in this share of the toxic documents.
+STEMS, FUZZY, FUZZY_LOG_ODDS, FUZZY_SHARE = (4, 5, 6, 7, 8), 5, 3.5, 0.01
 #: Share of a hit's weight that stays after one edit, and in a quotation.
 MISSPELLED, QUOTED = 0.6, 0.3
 CACHE_WORDS = 300_000
@@ -54,7 +55,8 @@ class Lexicon:
         self.weights = [log_odds(t, c, n_toxic, n_clean) for t, c in self.counts]
         self.trie: dict = {}
         self.whole: dict = {}
-        fuzzy = [t[1:] for (t, _, _), w in zip(terms, self.weights) if t[0] == "=" and len(t) > FUZZY and w >= FUZZY_LOG_ODDS]
+        common = max(FUZZY_SHARE * n_toxic, 5)
+        fuzzy = [t[1:] for (t, n, _), w in zip(terms, self.weights) if t[0] == "=" and len(t) > FUZZY and n >= common and w >= FUZZY_LOG_ODDS]
         #: One edit leaves the first two characters or the last three.
         self.heads, self.tails = {t[:2] for t in fuzzy}, {t[-3:] for t in fuzzy}
         for k, (term, _, _) in enumerate(terms):
@@ -199,6 +201,7 @@ def _counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
 
 def learn(rows: DataFrame) -> tuple[Lexicon | None, np.ndarray | float]:
     """Lexicon and model weights from rows (text, y), whose number is bounded."""
+    rows = stored(rows.groupBy("text").agg(F.max("y").alias("y")))  # copies of a document count once
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1.0, 0), sizes.get(0.0, 0)
     if not n_toxic or not n_clean:
