@@ -1,12 +1,12 @@
 """Benchmark decontamination by a positional inverted index of the training tokens.
 
 A first pass over the documents cuts words and keeps, as postings, the positions that can take part in a match: those
-in a stretch of consecutive words that all occur in the benchmark, if the stretch is as long as the shortest window.
-Random text has hardly any. The corpus frequencies of the terms then say, for every window of the benchmark, which of
-its terms is the rarest; the postings of these anchor terms alone are joined with the anchors, and each hit gives an
-offset-adjusted diagonal of one item in one document. Along each diagonal the lists of all other terms are intersected:
-equal terms at equal offsets. Runs of a whole window are exact phrase matches; windows in which at least NEAR_TERMS but
-not all terms agree are proximity matches.
+in WINDOW consecutive words of which at least NEAR_TERMS occur in the benchmark, and for short items stretches of their
+words alone. The corpus frequencies of the terms then say, for every window of the benchmark, which of its terms are the
+rarest: of any WINDOW - NEAR_TERMS + 1 of them a match holds one at least, so the postings of these anchor terms alone are
+joined with the anchors, and each hit gives an offset-adjusted diagonal of one item in one document. Along each diagonal
+the lists of all other terms are intersected: equal terms at equal offsets. Runs of a whole window are exact phrase
+matches; windows, whole in the document, in which at least NEAR_TERMS but not all terms agree are proximity matches.
 
 A large benchmark is worked off in blocks of BLOCK_WORDS words, which bounds what the tasks and the driver hold of it.
 Postings are stored in the shared folder.
@@ -48,40 +48,45 @@ class Block:
         self.terms: dict[bytes, int] = {}
         self.ids = [i for i, _ in items]
         self.lists = [np.array([self.terms.setdefault(w, len(self.terms)) for w in ws], np.int32) for _, ws in items]
-        long, short = np.zeros(len(self.terms), bool), np.zeros(len(self.terms), bool)
+        self.long, self.short = np.zeros(len(self.terms), bool), np.zeros(len(self.terms), bool)
         for x in self.lists:
-            (long if len(x) >= WINDOW else short)[x] = True
-        #: (terms that count, length of a stretch)
-        self.needs = [(long, WINDOW)] if long.any() else []
-        if short.any():
-            self.needs.append((short, min(len(x) for x in self.lists if len(x) < WINDOW)))
+            (self.long if len(x) >= WINDOW else self.short)[x] = True
+        #: Words of the shortest item under a window.
+        self.least = min((len(x) for x in self.lists if len(x) < WINDOW), default=0)
 
     def stretches(self, found: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-        """(start, terms) of the stretches of a document's words that can hold a match."""
+        """(start, terms) of the stretches of a document's words that can hold a match; -1: a word the block lacks."""
         get = self.terms.get
         at = np.fromiter((get(w, -1) for w in found), np.int32, len(found))
         inside = at >= 0
         if not inside.any():
             return
         viable = np.zeros(len(at), bool)
-        for mask, least in self.needs:
-            for a, b in _runs(inside & mask[at]):
-                if b - a >= least:
+        if len(at) >= WINDOW and self.long.any():
+            sums = np.concatenate([[0], np.cumsum(inside & self.long[at])])
+            starts = np.flatnonzero(sums[WINDOW:] - sums[:-WINDOW] >= NEAR_TERMS)
+            edges = np.zeros(len(at) + 1, np.int32)
+            edges[starts] += 1
+            edges[starts + WINDOW] -= 1
+            viable = np.cumsum(edges)[:-1] > 0
+        if self.least:
+            for a, b in _runs(inside & self.short[at]):
+                if b - a >= self.least:
                     viable[a:b] = True
         for a, b in _runs(viable):
             yield a, at[a:b]
 
     def anchors(self, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(term, item, position) of the rarest term of every window, each once."""
+        """(term, item, position) of the rarest terms of every window, as many as a match cannot lack at once; each once."""
         rows = set()
         for k, x in enumerate(self.lists):
             f = frequency[x]
             width = min(WINDOW, len(x))
+            needed = WINDOW - NEAR_TERMS + 1 if width == WINDOW else 1
             for s in range(len(x) - width + 1):
-                if not f[s : s + width].all():
-                    continue  # a term that no stretch holds: the window occurs nowhere
-                p = s + int(np.argmin(f[s : s + width]))
-                rows.add((int(x[p]), k, p))
+                for p in np.lexsort((x[s : s + width], f[s : s + width]))[:needed].tolist():
+                    if f[s + p]:  # a term that no stretch holds has no postings
+                        rows.add((int(x[s + p]), k, s + p))
         return tuple(np.array(c, np.int32) for c in zip(*sorted(rows))) if rows else (np.zeros(0, np.int32),) * 3
 
     def verify(self, starts: list[int], lists: list[list[int]], diagonals: list[tuple[int, int]]) -> tuple[np.ndarray, list[str], list[str]]:
@@ -184,7 +189,8 @@ def _search(index: DataFrame, block: Block, kind: str) -> DataFrame:
     def frequencies(batches):
         total = np.zeros(n, np.int64)
         for batch in batches:
-            total += np.bincount(batch.column(0).flatten().flatten().to_numpy(), minlength=n)
+            found = batch.column(0).flatten().flatten().to_numpy()
+            total += np.bincount(found[found >= 0], minlength=n)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["term", "n"])
 
@@ -201,7 +207,7 @@ def _search(index: DataFrame, block: Block, kind: str) -> DataFrame:
             for k, (starts, lists) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 for s, t in zip(starts, lists):
                     t = np.array(t, np.int32)
-                    at = np.flatnonzero(wanted[t])
+                    at = np.flatnonzero((t >= 0) & wanted[t])
                     rows.append(np.full(len(at), k))
                     found.append(t[at])
                     places_.append((at + s).astype(np.int32))
@@ -260,3 +266,19 @@ def brute_force(documents: list[tuple], items: list[tuple]) -> list[tuple]:
                     found |= of
         out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return out
+
+
+def brute_force_near(documents: list[tuple], items: list[tuple]) -> list[tuple]:
+    """(doc_id, items with proximity matches only) by comparing every window with every window; for tests."""
+    cut, out = [(str(i), words((t or "").encode())) for i, t in items], []
+    for d, t in documents:
+        w, near, exact = words((t or "").encode()), set(), set()
+        for i, x in cut:
+            width = min(WINDOW, len(x))
+            same = {sum(a == b for a, b in zip(w[s : s + width], x[p : p + width])) for s in range(len(w) - width + 1) for p in range(len(x) - width + 1)} if x else set()
+            if width in same:
+                exact.add(i)
+            elif width == WINDOW and max(same, default=0) >= NEAR_TERMS:
+                near.add(i)
+        out.append((d, sorted(near - exact)))
+    return out

@@ -90,6 +90,26 @@ def test_decontaminate_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, mine.collect())) == sorted(decontaminate.brute_force(list(enumerate(texts)), items))
 
 
+@pytest.mark.parametrize("block", [2_000_000, 20])
+def test_decontaminate_near_matches(spark, monkeypatch, block):
+    """Words that the benchmark lacks inside a window, and rare terms of it that no document holds."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    items = [(1, words(13, 80, 1000)), (2, words(30, 81, 1000)), (3, "alpha beta gamma"), (4, words(20, 82, 6))]
+
+    def swapped(text, *places):
+        return " ".join("foreign" if k in places else w for k, w in enumerate(text.split()))
+
+    one, two = items[0][1], items[1][1]
+    texts = AWKWARD + [swapped(one, 6), swapped(one, 4, 9), swapped(one, 0, 12), swapped(one, 3, 6, 9), "x y " + swapped(two, *range(5, 30, 5)) + " z", swapped(two, *range(2, 30, 4)), swapped(two, 20), one[: one.rindex(" ")], "alpha foreign gamma", words(60, 83, 6)]
+    texts += [swapped(one, 6) + " " + two, swapped(one, 5, 6), " ".join(one.split()[:6] + ["w999"] + one.split()[7:])]
+    out = decontaminate.matches(frame(spark, rows(texts)), frame(spark, items, "item_id bigint, text string"))
+    found = {r["doc_id"]: (r["items"], r["near_items"]) for r in out.collect()}
+    want = dict(decontaminate.brute_force_near(list(enumerate(texts)), items))
+    assert {d: near for d, (_, near) in found.items()} == want and sum(map(len, want.values())) >= 7
+    mine = out.select("doc_id", "n_words", "n_hit", F.size("items").alias("n"), decontaminate.digest().alias("d"), "contaminated")
+    assert sorted(map(tuple, mine.collect())) == sorted(decontaminate.brute_force(list(enumerate(texts)), items))
+
+
 def test_simhash(spark):
     base = words(300, 11, 3000).split()
     near = []
