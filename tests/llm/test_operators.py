@@ -177,6 +177,21 @@ def test_embedding_shards(spark, monkeypatch):
     assert set(zip(a.tolist(), b.tolist())) <= want and len(set(zip(a.tolist(), b.tolist()))) >= 0.97 * len(want)
 
 
+@pytest.mark.parametrize("crowd", [1, 400])
+def test_embedding_audit_sees_sparse_links(crowd):
+    """A graph that does not reach the vectors outside a crowd: no beam finds them, and the crowd's links must not hide it."""
+    r = np.random.default_rng(4)
+    x = r.standard_normal((1000, 16))
+    x[:crowd] = x[0] + 0.02 * r.standard_normal((crowd, 16))
+    q = x + 0.02 * r.standard_normal(x.shape)
+    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, q))
+    lists = np.full((1000, 32), -1, np.int32)
+    if crowd > 32:
+        lists[:crowd] = (np.arange(crowd)[:, None] + np.arange(1, 33)) % crowd
+    a, b = embedding_dedup.search_audited(embedding_dedup.Graph(x.astype(np.float32), [lists]), q.astype(np.float32), q, x)
+    assert set(zip(a.tolist(), b.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(q @ x.T >= 0.93))))
+
+
 def test_line_dedup(spark):
     run = "first line here\nsecond line here\nthird line here\nfourth line"
     texts = AWKWARD + [run, "intro\n" + run + "\noutro", "intro\n\n" + run.replace("\n", "\n\n"), "first line here\nsecond line here", run + "\n" + run, "\n".join(["same"] * 6), words(50, 1) + "\n" + run]
