@@ -31,9 +31,8 @@ from .quality import bounded_labels
 
 #: Labelled documents to learn from, about; candidates and terms of the lexicon.
 MAX_TRAIN, MAX_CANDIDATES, MAX_TERMS = 16_000, 20_000, 4_000
-#: Beginnings of words that may be terms, in characters. Misspellings are sought of whole words of FUZZY characters or more
-#: with at least these log odds, found in this share of the toxic documents.
-STEMS, FUZZY, FUZZY_LOG_ODDS, FUZZY_SHARE = (4, 5, 6, 7, 8), 5, 3.5, 0.01
+#: Beginnings of words that may be terms, in characters. Misspellings are sought of all whole words of FUZZY characters or more.
+STEMS, FUZZY = (4, 5, 6, 7, 8), 5
 #: Share of a hit's weight that stays after one edit, and in a quotation.
 MISSPELLED, QUOTED = 0.6, 0.3
 CACHE_WORDS = 300_000
@@ -55,17 +54,19 @@ class Lexicon:
         self.weights = [log_odds(t, c, n_toxic, n_clean) for t, c in self.counts]
         self.trie: dict = {}
         self.whole: dict = {}
-        common = max(FUZZY_SHARE * n_toxic, 5)
-        fuzzy = [t[1:] for (t, n, _), w in zip(terms, self.weights) if t[0] == "=" and len(t) > FUZZY and n >= common and w >= FUZZY_LOG_ODDS]
-        #: One edit leaves the first two characters or the last three.
-        self.heads, self.tails = {t[:2] for t in fuzzy}, {t[-3:] for t in fuzzy}
+        fuzzy = {t[1:] for t, _, _ in terms if t[0] == "=" and len(t) > FUZZY}
+        #: By length of term: first halves and second halves. One edit leaves one of them whole.
+        self.halves: dict[int, tuple[set[str], set[str]]] = {}
+        for t in fuzzy:
+            heads, tails = self.halves.setdefault(len(t), (set(), set()))
+            heads.add(t[: len(t) // 2])
+            tails.add(t[len(t) // 2 :])
         for k, (term, _, _) in enumerate(terms):
             for top in (self.trie, self.whole) if term[0] == "=" and term[1:] in fuzzy else (self.trie,):
                 node = top
                 for c in term[1:]:
                     node = node.setdefault(c, {})
                 node["" if term[0] == "=" else "*"] = k
-        self.longest = max(map(len, fuzzy), default=0)
         self.known: dict[str, tuple[tuple[int, bool], ...]] = {}
 
     def weight(self, k: int, toxic: float | None = None) -> float:
@@ -92,9 +93,7 @@ class Lexicon:
             plain = re.sub(r"[^\w]", "", word.translate(SIGNS))
             if plain != word and (found := self._exact(plain)):
                 return tuple((k, True) for k, _ in found)
-        if FUZZY - 1 <= len(plain) <= self.longest + 1 and (plain[:2] in self.heads or plain[-3:] in self.tails) and (k := self._near(plain)) is not None:
-            return ((k, True),)
-        return ()
+        return tuple((k, True) for k in self._near(plain)) if self._may_be_near(plain) else ()
 
     def _exact(self, word: str) -> tuple[tuple[int, bool], ...]:
         node, found = self.trie, []
@@ -108,19 +107,28 @@ class Lexicon:
             found.append((node[""], False))
         return tuple(found)
 
-    def _near(self, word: str) -> int | None:
-        """The first whole-word term within one edit: depth-first over pairs of a trie node and an automaton state.
+    def _may_be_near(self, word: str) -> bool:
+        """Whether the word has a half of a term of about its length in that half's place."""
+        for n in (len(word) - 1, len(word), len(word) + 1):
+            if n in self.halves:
+                heads, tails = self.halves[n]
+                if word[: n // 2] in heads or word[n // 2 - n :] in tails:
+                    return True
+        return False
+
+    def _near(self, word: str) -> list[int]:
+        """All whole-word terms within one edit: depth-first over pairs of a trie node and an automaton state.
 
         A state is two sets of word positions as bits: reached without an edit, and with one.
         """
         at: dict[str, int] = {}
         for i, c in enumerate(word):
             at[c] = at.get(c, 0) | 1 << i
-        n, heap = len(word), [(self.whole, 1, 2)]
+        n, heap, found = len(word), [(self.whole, 1, 2)], []
         while heap:
             node, same, one = heap.pop()
             if "" in node and (same | one) >> n & 1:
-                return node[""]
+                found.append(node[""])
             for c, child in node.items():
                 if not c:
                     continue
@@ -129,7 +137,7 @@ class Lexicon:
                 off = (one & here) << 1 | same | same << 1 | on << 1
                 if on or off & (1 << n + 1) - 1:
                     heap.append((child, on, off))
-        return None
+        return sorted(found)
 
     def summary(self, text: str, toxic: float | None = None) -> list[float]:
         """What the model sees of a text."""

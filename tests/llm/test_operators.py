@@ -302,6 +302,25 @@ def test_misspellings():
     assert lexicon.summary(abuse)[0] > lexicon.summary(quote)[0] > 0
 
 
+def test_misspellings_of_rare_and_weak_terms():
+    """Whole-word terms far under a hundredth of the toxic documents or of low log odds, against all words one edit away."""
+    terms = [("=blockhead", 17, 0), ("=nitwit", 3, 0), ("=moron", 60, 80), ("=numskull", 400, 3), ("=numbskull", 4, 1), ("=oaf", 90, 0)]
+    lexicon = toxicity.Lexicon(terms, 1800, 14_000)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    edits = {}
+    for k, (term, _, _) in enumerate(terms):
+        w = term[1:]
+        if len(w) >= toxicity.FUZZY:
+            near = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[j:] for i in range(len(w) + 1) for c in letters for j in (i, i + 1)}
+            for x in near:
+                edits.setdefault(x, set()).add(k)
+    for word, want in edits.items():
+        if f"={word}" not in {t for t, _, _ in terms}:
+            assert lexicon.lookup(word) == tuple((k, True) for k in sorted(want)), word
+    assert not lexicon.lookup("oat") and lexicon.lookup("nunskull") == ((3, True),)
+    assert lexicon.summary("you blokhead go")[0] > 0 and lexicon.summary("you moronn go")[0] > 0
+
+
 def test_url_filter(spark):
     entries = [("spam.example.com", "block", 10, True), ("spam.example.com", "block", 200, False), ("example.org", "block", 0, True), ("ok.example.org", "allow", 50, True), (None, "block", 1, True), ("x.com", "block", 5, True), ("x.com", "block", 5, False)]
     captures = [
