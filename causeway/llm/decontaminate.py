@@ -15,8 +15,8 @@ Words: A-Z lower-cased, maximal runs of digits, letters and non-ASCII characters
 an item; an item of fewer, but not none, is one window.
 
 Cases: null and empty texts have no words; items without words match nothing. Rows equal in id and text are one document
-and get equal results; rows of one id and different texts are judged apart. A null id is carried along. Very long texts
-are indexed whole. Empty tables give empty or all-clean results. Only the named columns are read.
+and get equal results; rows of one id and different texts are judged apart. A null id is carried along. Words of items
+without an id are hit and contaminate like others; such items are in no list. Very long texts are indexed whole. Empty tables give empty or all-clean results. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def words(raw: bytes) -> list[bytes]:
 class Block:
     """Some items of the benchmark: their words as term numbers, and what a stretch must have."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]]):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]]):
         self.terms: dict[bytes, int] = {}
         self.ids = [i for i, _ in items]
         self.lists = [np.array([self.terms.setdefault(w, len(self.terms)) for w in ws], np.int32) for _, ws in items]
@@ -110,7 +110,7 @@ class Block:
                 exact.add(self.ids[k])
             if width == WINDOW and (sums >= NEAR_TERMS).any():
                 near.add(self.ids[k])
-        return np.flatnonzero(hit).astype(np.int32), sorted(exact), sorted(near - exact)
+        return np.flatnonzero(hit).astype(np.int32), sorted(exact - {None}), sorted(near - exact - {None})
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -121,7 +121,7 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
 def blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Block]:
     """The benchmark as blocks of bounded size, read one row at a time."""
     items, size = [], 0
-    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null").distinct().toLocalIterator():
+    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).distinct().toLocalIterator():
         found = words((row["t"] or "").encode())
         if found:
             items.append((row["i"], found))
@@ -227,7 +227,7 @@ def _search(index: DataFrame, block: Block, kind: str) -> DataFrame:
             out = []
             for k, (starts, lists, found) in enumerate(zip(*(batch.column(j).to_pylist() for j in (2, 3, 4)))):
                 at, exact, near = block.verify(starts, lists, [(x["item"], x["diagonal"]) for x in found])
-                if exact or near:
+                if len(at) or near:
                     out.append((k, at, exact, near))
             rows = pa.array([x[0] for x in out], pa.int64())
             columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array([x[1] for x in out], pa.list_(pa.int32())), *(pa.array([x[j] for x in out], pa.list_(pa.string())) for j in (2, 3))]

@@ -110,6 +110,16 @@ def test_decontaminate_near_matches(spark, monkeypatch, block):
     assert sorted(map(tuple, mine.collect())) == sorted(decontaminate.brute_force(list(enumerate(texts)), items))
 
 
+def test_decontaminate_items_without_id(spark):
+    lost, item = words(20, 90, 1000), words(20, 91, 1000)
+    texts = AWKWARD + [lost, item + " " + lost, item]
+    bench = frame(spark, [(None, lost), (1, item)], "item_id bigint, text string")
+    out = {r["doc_id"]: (r["n_hit"], r["items"], r["near_items"], r["contaminated"]) for r in decontaminate.matches(frame(spark, rows(texts)), bench).collect()}
+    n = len(AWKWARD)
+    assert [out[n + k] for k in range(3)] == [(20, [], [], True), (40, ["1"], [], True), (20, ["1"], [], True)]
+    assert {r["doc_id"] for r in decontaminate.contaminated_removed(frame(spark, rows(texts)), bench).collect()} == set(range(n))
+
+
 def test_simhash(spark):
     base = words(300, 11, 3000).split()
     near = []
