@@ -36,7 +36,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, last_day: int) -> DataFram
     day = F.when(F.col("day").isNotNull(), F.least("day", F.lit(last_day)))
     mine = captures.select("id", host(F.col("url")).alias("host"), day.alias("day"))
     labels = F.split("host", r"\.")
-    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, 64), "."))
+    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     probes = mine.where("host <> '' and day is not null").select("id", "day", F.posexplode(keys).alias("above", "key")).withColumn("period", F.floor(F.col("day") / PERIOD))
     first, last = F.floor(F.col("from_day") / PERIOD), F.floor(F.least(F.col("to_day") - 1, F.lit(last_day)) / PERIOD)
     active = intervals(entries).where((F.col("to_day") > F.col("from_day")) & (F.col("from_day") <= last_day)).select("key", "list", "from_day", "to_day", F.explode(F.sequence(first, last)).alias("period"))

@@ -343,6 +343,13 @@ def test_url_filter(spark):
     assert url_filter.evaluate(frame(spark, captures, "id bigint, url string, day bigint"), none, 400).where("blocked").count() == 0
 
 
+def test_url_filter_hosts_of_many_labels(spark):
+    host = ".".join(f"l{k}" for k in range(70))
+    entries = [(host, "block", 0, True), (host.split(".", 3)[3], "block", 0, True), ("l69", "block", 0, True), (".".join(host.split(".")[:64]), "block", 0, True)]
+    out = url_filter.evaluate(frame(spark, [(1, f"http://{host}/", 5)], "id bigint, url string, day bigint"), frame(spark, entries, "key string, list string, day bigint, added boolean"), 400)
+    assert [(r["n_active"], r["blocked"]) for r in out.collect()] == [(2, True)]
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs, labels = labelled(300)
