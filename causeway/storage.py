@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir. A session whose tasks all run in the driver's process gets one where it is unset; a cluster must set it."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
         current = context._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
     if not found:
+        if not context._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="causeway-")
         context.setCheckpointDir(found)
     return found
