@@ -10,7 +10,7 @@ Text is cut into words by the normalizer and pre-tokenizer of the vocabulary fil
 emptied when full, makes repeated words cheap; the file's rules never join pieces across a space. Decoding reads the bytes of all tokens, each with its separator, through a table of offsets.
 
 Cases: a null or empty text has no tokens and decodes to the empty text. Very long texts and words are encoded whole.
-Repeated rows give repeated results; an empty table gives an empty one. Only the id and text columns are read, so
+Special marks are tokens however often they occur. A null id is carried along; repeated rows give repeated results; an empty table gives an empty one. Only the id and text columns are read, so
 further columns of any name are ignored.
 """
 
@@ -50,6 +50,8 @@ class BpeTables:
         self.pre_tokenize = (library.pre_tokenizer or pre_tokenizers.Sequence([])).pre_tokenize_str
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.cut_marks = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if self.special else lambda piece: [piece]
         self.rank: dict[tuple[int, int], int] = {}
         self.split: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(merges):
@@ -156,14 +158,13 @@ class BpeTables:
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of a piece of text that holds no space or newline."""
-        for mark, i in self.special.items():
-            if mark in piece:
-                before, _, after = piece.partition(mark)
-                return [*self.encode_piece(before), i, *self.encode_piece(after)]
         ids: list[int] = []
-        if piece:
-            for word, _ in self.pre_tokenize(self.normalize(piece)):
-                ids += self.encode_word(word)
+        for part in self.cut_marks(piece):
+            if (mark := self.special.get(part)) is not None:
+                ids.append(mark)
+            elif part:
+                for word, _ in self.pre_tokenize(self.normalize(part)):
+                    ids += self.encode_word(word)
         return ids
 
     def decode(self, ids: np.ndarray) -> bytes:

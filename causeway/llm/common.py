@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir, stored  # noqa: F401
+
+#: Keys that hold at least this part of all rows are hot: there are at most as many of them.
+HOT = 1024
 #: Byte map of A-Z to a-z; every other byte stays.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -18,25 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = context._jsc.sc().getCheckpointDir()
-        found = found.get() if found.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="causeway-")
-        context.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write df to a table in the shared folder and read it back: short lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/causeway/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def column(df: DataFrame, name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Rows as one struct `row` beside the given columns, so that no column of docs can clash with them."""
+    return docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
+
+
+def joined_by_key(rows: DataFrame, keyed: DataFrame, key: list[str], n: str = "n") -> DataFrame:
+    """rows joined with keyed, which has each key once and in `n` how many rows have it; both are stored tables.
+
+    A key with at least 1/HOT of the rows, of which there are at most HOT, is broadcast, so its rows stay where they are.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT >= total
+    top = keyed.where(hot)  # at most HOT rows
+    rest = rows.join(F.broadcast(top.select(*key)), key, "left_anti")
+    return rows.join(F.broadcast(top), key).unionByName(rest.join(keyed.where(~hot), key))
 
 
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

@@ -16,7 +16,8 @@ an item; an item of fewer, but not none, is one window.
 
 Cases: null and empty texts have no words; items without words match nothing. Rows equal in id and text are one document
 and get equal results; rows of one id and different texts are judged apart. A null id is carried along. Words of items
-without an id are hit and contaminate like others; such items are in no list. Very long texts are indexed whole. Empty tables give empty or all-clean results. Only the named columns are read.
+without an id are hit and contaminate like others; such items are in no list. Very long texts are indexed whole. Empty tables give empty or all-clean
+results. `contaminated_removed` carries columns of any name along; `matches` reads the named ones only.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, stored, text_bytes
+from .common import LOWER_AZ, column, packed, stored, text_bytes
 
 WINDOW, NEAR_TERMS, BLOCK_WORDS = 13, 11, 2_000_000
 #: Lower-cases A-Z and makes every byte that is not of a word a space.
@@ -77,13 +78,17 @@ class Block:
             yield a, at[a:b]
 
     def anchors(self, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(term, item, position) of the rarest terms of every window, as many as a match cannot lack at once; each once."""
+        """(term, item, position) of the rarest terms of every different window of an item, as many as a match cannot lack at once; each once."""
         rows = set()
         for k, x in enumerate(self.lists):
             f = frequency[x]
             width = min(WINDOW, len(x))
             needed = WINDOW - NEAR_TERMS + 1 if width == WINDOW else 1
+            seen = set()
             for s in range(len(x) - width + 1):
+                if (window := x[s : s + width].tobytes()) in seen:  # equal windows of an item match at the same places
+                    continue
+                seen.add(window)
                 for p in np.lexsort((x[s : s + width], f[s : s + width]))[:needed].tolist():
                     if f[s + p]:  # a term that no stretch holds has no postings
                         rows.add((int(x[s + p]), k, s + p))
@@ -243,9 +248,9 @@ def digest(items: str = "items"):
 
 def contaminated_removed(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that are not contaminated."""
-    bad = matches(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("text_hash").alias("__bad_hash")).distinct()
-    same = docs[doc_id].eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__bad_hash"))
-    return docs.join(bad, same, "left_anti")
+    bad = matches(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("t")).distinct().alias("b")
+    mine = packed(docs, id=column(docs, doc_id), t=F.xxhash64(F.coalesce(column(docs, text), F.lit("")))).alias("d")
+    return mine.join(bad, F.col("d.id").eqNullSafe(F.col("b.id")) & (F.col("d.t") == F.col("b.t")), "left_anti").select("row.*")
 
 
 def brute_force(documents: list[tuple], items: list[tuple]) -> list[tuple]:

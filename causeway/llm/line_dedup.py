@@ -1,18 +1,23 @@
 """Line dedup by winnowing, in DataFrame expressions only.
 
-A text is a sequence of lines; blank lines take no part and always stay. Of every WINDOW consecutive lines the one with
-the least hash is the window's fingerprint, so a repeated run of WINDOW lines or more is sure to hold the same fingerprint
-wherever it occurs. Fingerprints that occur once are dropped. Around the others the matches are extended to both sides:
-each window that chose the fingerprint is compared, by its place relative to the fingerprint and a 128-bit digest of its
-lines, with the first such window in order of (doc_id, line). Every later one is a repetition; the union of repeated
-windows is the maximal repeated run, and its lines are deleted. The first occurrence of a run stays. Windows are judged on
-the input, not on what is left.
-
-All occurrences meet their first one through a combined minimum, never each other.
-
-Cases: null and empty texts have no lines and stay as they are. Rows equal in id and text are one document. Rows without
-an id come last in the order. Very long texts are worked whole. An empty table gives an empty result. Columns of any name
-are carried along by `deduplicated`.
+A text is a sequence of lines; blank lines take no part and always stay. A run of lines counts as repeated if the same run
+occurred before and it has WINDOW lines, or holds a line of LONG characters, which is a passage by itself.
+
+Of every WINDOW consecutive lines the one with the least hash is selected; every long line is selected too. A repeated run
+is thus sure to hold selected lines, the same ones wherever it occurs. One row is stored for each selected position, with
+digests of 128 bits of what lies around it: of each window that selected it, and of a long line alone and with either
+neighbour. Positions whose line is selected once are dropped. The others are joined by line and compared outward, to the
+left and to the right, with the first position of the same surroundings in order of (id, text, line). Every later one is a
+repetition. Selected positions overlap in their windows, so the matches of neighbouring positions join up to the maximal
+run; its lines are deleted, and its first occurrence stays. Positions are judged on the input, not on what is left.
+
+All occurrences meet their first one through a combined minimum, never each other. Lines that hold a large part of all
+positions are joined without a shuffle.
+
+Cases: null and empty texts have no lines and stay as they are. Ids may be of any type that has an order. Rows equal in id
+and text are one document; rows of one id and different texts are ordered by a hash of the text. Rows without an id come
+last in the order. Very long texts are worked whole, in time proportional to their lines. An empty table gives an empty
+result. Columns of any name are carried along by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -20,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bound, column, joined_by_key, packed, stored
 
-WINDOW = 3
-_LAST_ID = (1 << 63) - 1
+#: Lines of a repeated run, and characters of a line that is one by itself.
+WINDOW, LONG = 3, 200
 
 
 def _lines(text: Column) -> Column:
@@ -34,57 +39,74 @@ def _blank(line: Column) -> Column:
     return F.translate(line, " \t\r", "") == ""
 
 
-def _windows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """A row for each window of each document: its place, fingerprint, offset from it and digest."""
-    numbered = F.filter(F.transform(_lines(F.col(text)), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit("second"), x).alias("g"), _blank(x).alias("blank"))), lambda x: ~x["blank"])
-    rows = docs.select(F.coalesce(F.col(doc_id), F.lit(_LAST_ID)).alias("d"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"), numbered.alias("x")).where(F.size("x") >= WINDOW)
+def _positions(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, t, h, around): a row for each selected line, with the patterns around it: (kind, a, b, lines)."""
+    numbered = F.transform(_lines(F.col("text")), lambda s, i: F.when(~_blank(s), F.struct(i.alias("line"), F.xxhash64(s).alias("h"), F.xxhash64(F.lit("second"), s).alias("g"), (F.char_length(s) >= LONG).alias("long"))))
+    rows = docs.select(column(docs, doc_id).alias("id"), column(docs, text).alias("text"))
+    rows = rows.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.array_compact(numbered).alias("x"))
+    starts = F.when(F.size("x") >= WINDOW, F.sequence(F.lit(0), F.size("x") - WINDOW)).otherwise(F.expr("cast(array() as array<int>)"))
+    least = lambda i: F.least(*[F.struct(F.get("x", i + k)["h"].alias("h"), (i + k).alias("at")) for k in range(WINDOW)])["at"]
+    rows = rows.withColumn("chosen", F.transform(starts, least))
+    long = F.filter(F.transform("x", lambda s, i: F.when(s["long"], i)), lambda i: i.isNotNull())
+    rows = rows.select("id", "t", "x", "chosen", F.explode(F.array_union("chosen", long)).alias("at"))
 
-    def window(i: Column) -> Column:
-        part = [F.element_at(F.col("x"), i + k) for k in range(WINDOW)]
-        least = F.least(*[F.struct(p["h"].alias("h"), F.lit(k).alias("k")) for k, p in enumerate(part)])
-        return F.struct(
-            part[0]["line"].alias("from"), part[-1]["line"].alias("to"), least["h"].alias("fingerprint"), least["k"].alias("offset"),
-            F.xxhash64(*[p["h"] for p in part]).alias("h"), F.xxhash64(*[p["g"] for p in part]).alias("g"))
+    def pattern(kind: int, first: int, n: int, holds: Column) -> Column:
+        part = [F.get("x", F.col("at") + first + k) for k in range(n)]
+        found = F.struct(F.lit(kind).cast("tinyint").alias("kind"), F.xxhash64(*[p["h"] for p in part]).alias("a"), F.xxhash64(*[p["g"] for p in part]).alias("b"), F.array(*[p["line"] for p in part]).alias("lines"))
+        return F.when(holds & (F.col("at") + first >= 0) & (F.col("at") + first + n <= F.size("x")), found)
 
-    windows = F.transform(F.sequence(F.lit(1), F.size("x") - (WINDOW - 1)), window)
-    return rows.select("d", "t", F.explode(windows).alias("w")).select("d", "t", "w.*")
+    here = F.get("x", F.col("at"))
+    windows = [pattern(k, -k, WINDOW, F.get("chosen", F.col("at") - k) == F.col("at")) for k in range(WINDOW)]
+    alone = [pattern(WINDOW + k, first, n, here["long"]) for k, (first, n) in enumerate([(0, 1), (-1, 2), (0, 2)])]
+    return rows.select("id", "t", here["h"].alias("h"), F.array_compact(F.array(*windows, *alone)).alias("around"))
+
+
+def _place(line: Column) -> Column:
+    return F.struct(F.col("id").isNull().alias("no_id"), "id", "t", line.alias("line"))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, t, lines): per document, by id and text hash, the numbers of the lines of repeated runs, blank ones within them too."""
-    windows = stored(_windows(docs, doc_id, text).distinct())
-    place = F.struct("d", "t", "from")
-    fingerprints = windows.groupBy("fingerprint").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("fingerprint")
-    key = ["fingerprint", "offset", "h", "g"]
-    seeds = windows.join(fingerprints, "fingerprint", "left_semi")
-    first = seeds.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    later = seeds.join(first, key).where(F.struct("d", "t", "from") > F.col("first"))
-    spans = later.groupBy("d", "t").agg(F.collect_list(F.sequence("from", "to")).alias("s"))  # of one document: as many as it has lines
-    return spans.select("d", "t", F.array_distinct(F.flatten("s")).alias("lines"))
+    """(id, t, lines): per document, by id and text hash, the numbers of the lines of repeated runs."""
+    positions = stored(_positions(docs, doc_id, text))
+    place = _place(F.get(F.get("around", F.lit(0))["lines"], F.lit(0)))
+    count = F.count(F.lit(1)).alias("n")
+    several = stored(positions.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), count).where("a <> b").select("h", "n"))
+    around = stored(joined_by_key(positions, several, ["h"]).select("id", "t", "h", F.explode("around").alias("p")).select("id", "t", "h", "p.*"))
+    key, place = ["h", "kind", "a", "b"], _place(F.get("lines", F.lit(0)))
+    first = stored(around.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), count).where("first <> last").drop("last"))
+    later = joined_by_key(around, first, key).where(place > F.col("first"))
+    return later.groupBy("id", "t").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))  # of one document: as many as it has lines
+
+
+def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, kept, n_lines, n_removed): every row of docs as a struct, its text freed of repeated runs, and its lines counted."""
+    gone = repeated_lines(docs, doc_id, text).alias("g")
+    whole = column(docs, text)
+    mine = packed(docs, id=column(docs, doc_id), t=F.xxhash64(F.coalesce(whole, F.lit(""))), text=whole).alias("d")
+    joined = mine.join(gone, F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.t") == F.col("g.t")), "left").select("row", "text", "lines")
+    cut = bound(_lines(F.col("text")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("lines")), lambda i: F.get(x, i)), "\n"))
+    n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(_lines(F.col("text"))))
+    return joined.select("row", F.when(F.col("lines").isNull(), F.col("text")).otherwise(cut).alias("kept"), n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs, all columns and rows, with `text` freed of repeated runs, and the columns __n_lines and __n_removed."""
-    gone = repeated_lines(docs, doc_id, text).select(F.col("d").alias("__d"), F.col("t").alias("__t"), F.col("lines").alias("__gone"))
-    same = (F.coalesce(docs[doc_id], F.lit(_LAST_ID)) == F.col("__d")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("__t"))
-    joined = docs.join(gone, same, "left")
-    lines, out = _lines(docs[text]), F.col("__gone")
-    stay = F.filter(lines, lambda x, i: _blank(x) | ~F.array_contains(out, i))  # blank lines within a run stay
-    kept = F.array_join(stay, "\n")
-    columns = [F.when(out.isNull(), docs[c]).otherwise(kept).alias(c) if c == text else docs[c] for c in docs.columns]
-    n_lines = F.when(F.coalesce(docs[text], F.lit("")) == "", 0).otherwise(F.size(lines))
-    return joined.select(*columns, n_lines.cast("bigint").alias("__n_lines"), F.when(out.isNull(), 0).otherwise(F.size(lines) - F.size(stay)).cast("bigint").alias("__n_removed"))
-
-
-#: DuckDB SQL of the query: every window against the first equal one, without fingerprints.
-SQL = """
+    """docs, all columns and rows, with `text` freed of repeated runs."""
+    fields = [(F.col("kept") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns]
+    return judged(docs, doc_id, text).select(*fields)
+
+
+#: DuckDB SQL of the query: every window, long line and pair with a long line against the first equal one, without fingerprints.
+SQL = f"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 numbered AS (SELECT doc_id, u.i - 1 AS line, ls[u.i] AS s FROM base, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i) u),
 full_lines AS (SELECT doc_id, line, s, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM numbered WHERE replace(replace(replace(s, ' ', ''), chr(9), ''), chr(13), '') <> ''),
-windows AS (SELECT a.doc_id, a.line AS l0, b.line AS l1, c.line AS l2, a.s AS s0, b.s AS s1, c.s AS s2
-  FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.k = a.k + 1 JOIN full_lines c ON a.doc_id = c.doc_id AND c.k = a.k + 2),
+pairs AS (SELECT a.doc_id, a.line AS l0, b.line AS l1, a.s AS s0, b.s AS s1, b.k FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
+windows AS (SELECT p.doc_id, l0, l1, c.line AS l2, s0, s1, c.s AS s2 FROM pairs p JOIN full_lines c ON p.doc_id = c.doc_id AND c.k = p.k + 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY s0, s1, s2 ORDER BY doc_id, l0) AS r FROM windows),
-gone AS (SELECT doc_id, l0 AS line FROM ranked WHERE r > 1 UNION SELECT doc_id, l1 FROM ranked WHERE r > 1 UNION SELECT doc_id, l2 FROM ranked WHERE r > 1),
+ranked_pairs AS (SELECT *, row_number() OVER (PARTITION BY s0, s1 ORDER BY doc_id, l0) AS r FROM pairs WHERE length(s0) >= {LONG} OR length(s1) >= {LONG}),
+ranked_lines AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, line) AS r FROM full_lines WHERE length(s) >= {LONG}),
+gone AS (SELECT doc_id, l0 AS line FROM ranked WHERE r > 1 UNION SELECT doc_id, l1 FROM ranked WHERE r > 1 UNION SELECT doc_id, l2 FROM ranked WHERE r > 1
+  UNION SELECT doc_id, l0 FROM ranked_pairs WHERE r > 1 UNION SELECT doc_id, l1 FROM ranked_pairs WHERE r > 1 UNION SELECT doc_id, line FROM ranked_lines WHERE r > 1),
 flagged AS (SELECT n.doc_id, n.line, n.s, g.line IS NOT NULL AS g FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.line = g.line)
 SELECT b.doc_id, CASE WHEN b.text = '' THEN 0 ELSE count(*) END AS n_lines, count(*) FILTER (WHERE f.g) AS n_removed,
   sha256(coalesce(string_agg(f.s, chr(10) ORDER BY f.line) FILTER (WHERE NOT f.g), '')) AS kept_sha256

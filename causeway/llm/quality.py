@@ -9,9 +9,10 @@ Labels are learned from at most about MAX_TRAIN labelled rows, taken by a hash o
 cover all rows and whole texts.
 
 Cases: null and empty texts have the statistics of an empty text and get a score like any other. Label rows with a null
-id or label are ignored; of repeated label rows the largest label counts. Repeated documents get equal scores. Without
-labels of both kinds all scores are the prior (0.5 with no labels). Empty tables give empty results. Only the named
-columns are read.
+id or label are ignored; of repeated label rows the largest label counts; of an id with several texts one is learned
+from, that of the least hash. Repeated documents get equal scores. Without labels of both kinds all scores are the prior
+(0.5 with no labels). Empty tables give empty results. `accepted` carries columns of any name along; the others read the
+named ones only.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import column, packed, stored, text_bytes
 
 #: Labelled rows to learn from, about.
 MAX_TRAIN = 60_000
@@ -188,5 +189,12 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, train, doc_id: str
     """doc_id, t (hash of the text) and score of every row. train: a condition on labels that picks training rows."""
     found = stored(document_statistics(docs, doc_id, text))
     taken = bounded_labels(labels, doc_id, label, train, bound)
-    rows = found.join(F.broadcast(taken), found["doc_id"] == taken["label_id"]).select("doc_id", "x", "y")  # at most about `bound` rows
+    rows = found.join(F.broadcast(taken), found["doc_id"] == taken["label_id"]).groupBy("doc_id").agg(F.min_by("x", "t").alias("x"), F.first("y").alias("y"))  # at most about `bound` rows
     return scored(found, fit(rows))
+
+
+def accepted(docs: DataFrame, scores: DataFrame, bar: float = KEEP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score by classify() is not under the bar. Rows equal in id and text have one score."""
+    rejected = scores.where(F.col("score") < bar).select(F.col("doc_id").alias("id"), "t").distinct().alias("r")
+    mine = packed(docs, id=column(docs, doc_id), t=F.xxhash64(F.coalesce(column(docs, text), F.lit("")))).alias("d")
+    return mine.join(rejected, F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.t") == F.col("r.t")), "left_anti").select("row.*")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bound, stored
 
 SCOPE = 256
 #: Kind, pattern, group that must be long enough and its least length. The order is the kinds' order.
@@ -40,11 +40,6 @@ _QUICK = {"access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}"}
 _CHUNK = 128
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is worked out once, however often the body names it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _running(values: Column) -> Column:
     """Sums of the array up to and including each element."""
     start = F.struct(F.lit(0).cast("bigint").alias("s"), F.expr("cast(array() as array<bigint>)").alias("a"))
@@ -57,9 +52,9 @@ def _running_long(values: Column) -> Column:
 
     def joined(parts: Column) -> Column:
         before = _running(F.concat(F.array(F.lit(0).cast("bigint")), F.transform(parts, lambda c: F.element_at(c, -1))))
-        return _let(before, lambda sums: F.flatten(F.transform(parts, lambda c, i: F.transform(c, lambda x: x + F.element_at(sums, i + 1)))))
+        return bound(before, lambda sums: F.flatten(F.transform(parts, lambda c, i: F.transform(c, lambda x: x + F.element_at(sums, i + 1)))))
 
-    return _let(chunks, joined)
+    return bound(chunks, joined)
 
 
 def found_spans(text: Column, number: int, pattern: str, group: int, least: int, quick: str | None = None) -> Column:
@@ -74,11 +69,11 @@ def found_spans(text: Column, number: int, pattern: str, group: int, least: int,
     found = F.struct(F.transform(F.split(text, pattern, -1), size).alias("gaps"), sizes.alias("sizes"), values.alias("values"))
 
     def spans(f: Column) -> Column:
-        ends = _let(F.zip_with(F.slice(f["gaps"], 1, F.size(f["sizes"])), f["sizes"], lambda g, s: g + s), _running_long)
+        ends = bound(F.zip_with(F.slice(f["gaps"], 1, F.size(f["sizes"])), f["sizes"], lambda g, s: g + s), _running_long)
         listed = F.zip_with(F.zip_with(ends, f["sizes"], lambda e, s: F.struct((e - s).alias("start"), F.lit(number).alias("kind"), e.alias("end"))), f["values"], lambda x, v: F.when(v >= least, x))
         return F.filter(listed, lambda x: x.isNotNull())
 
-    return F.when(text.rlike(quick or pattern), _let(found, spans)).otherwise(none)
+    return F.when(text.rlike(quick or pattern), bound(found, spans)).otherwise(none)
 
 
 def _listed(spans: Column) -> Column:

@@ -11,7 +11,7 @@ Equal fingerprints are one node; links are found between distinct fingerprints,
 
 Cases: null and empty texts have fingerprint zero and are linked like any other. A null id keeps its row, never becomes a
 component id while its component has an id, and repeated rows get equal results. Very long texts are hashed whole. An
-empty table gives an empty result. Only the named columns are read.
+empty table gives an empty result. `one_of_each` carries columns of any name along; the others read the named ones only.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, components, stored, text_bytes
+from .common import LOWER_AZ, column, components, packed, stored, text_bytes
 
 SHINGLE, SEED, MAX_BITS, CROWD = 3, 42, 3, 64
 _PIECE = 1 << 18
@@ -72,8 +72,8 @@ def _segment(fp: Column, index: int, bits: int) -> Column:
 
 
 def _crowded(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key others share, with the number of them."""
-    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("n > 1")
+    """Rows whose key others share, with the number of them. Counts are combined before they meet, so no task holds all rows of a key."""
+    return rows.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), keys)
 
 
 def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,10 +113,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs, all columns, of each component: that of the least id, rows without an id last; of repeated rows one stays."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
-    kept = near_duplicates(docs, doc_id, text).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__kept_id"), F.col("k.t").alias("__kept_t"))
-    mine = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    chosen = mine.join(kept, mine[doc_id].eqNullSafe(F.col("__kept_id")) & (F.col("__t") == F.col("__kept_t")), "left_semi")
-    return chosen.dropDuplicates([doc_id, "__t"]).drop("__t")
+    kept = near_duplicates(docs, doc_id, text).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.t").alias("t")).alias("k")
+    mine = packed(docs, id=column(docs, doc_id), t=F.xxhash64(F.coalesce(column(docs, text), F.lit("")))).alias("d")
+    chosen = mine.join(kept, F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.t") == F.col("k.t")), "left_semi")
+    return chosen.dropDuplicates(["id", "t"]).select("row.*")
 
 
 def brute_force(documents: list[tuple]) -> list[tuple]:

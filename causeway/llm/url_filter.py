@@ -3,12 +3,14 @@
 A list is a log of dated entries: on a day a key (a host or a domain above it) is added to a list or taken off. Per key
 and list the log becomes validity intervals, which are cut at the borders of PERIOD days. A capture stands for its host
 and every domain above it; an equi-join on (key, period) and a check of the day find, as of the fetch, the entries active
-then. Intervals of one key and list do not overlap, so a capture meets few rows however long the log or hot the host. An
-active allowance beats a block if its key is at least as specific.
+then. Captures are reduced to distinct hosts and days, and these to distinct keys and days, before the as-of join: a host
+or domain of a third of all captures has at most PERIOD rows in a period. Intervals of one key and list do not overlap.
+An active allowance beats a block if its key is at least as specific.
 
 Cases: a null, empty or unreadable url has no host, meets no entry and is not blocked; so has a capture without a day.
-Entries with a null key, list or day are ignored; of entries for one key, list and day a removal wins. Repeated captures
-get equal results. Empty tables give empty or unblocked results. Only the named columns are read.
+Hosts may have any number of labels. Entries with a null key, list or day are ignored; of entries for one key, list and
+day a removal wins. Captures may repeat and ids may be null: each row gets the result of its url and day. Empty tables
+give empty or unblocked results. `evaluate` reads only the named columns; `kept` carries columns of any name along.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed
+
 PERIOD, FOREVER = 64, 1 << 20
 
 
@@ -31,26 +35,42 @@ def intervals(entries: DataFrame) -> DataFrame:
     return dated.select("key", "list", F.col("day").alias("from_day"), until.alias("to_day"), "added").where("added").drop("added")
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, last_day: int) -> DataFrame:
-    """Per capture (id, url, day; ids are unique): id, host, n_active, blocked. last_day: of all captures; later days count as that day."""
-    day = F.when(F.col("day").isNotNull(), F.least("day", F.lit(last_day)))
-    mine = captures.select("id", host(F.col("url")).alias("host"), day.alias("day"))
-    labels = F.split("host", r"\.")
-    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    probes = mine.where("host <> '' and day is not null").select("id", "day", F.posexplode(keys).alias("above", "key")).withColumn("period", F.floor(F.col("day") / PERIOD))
+def _keys(host_name: Column) -> Column:
+    """The host and every domain above it that is not the last label alone, most specific first."""
+    labels = F.split(host_name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def _decided(moments: DataFrame, entries: DataFrame, last_day: int) -> DataFrame:
+    """(host, day, n_active, blocked) of the distinct (host, day) that meet an active entry."""
+    probes = moments.where("host <> '' and day is not null").distinct().select("host", "day", F.posexplode(_keys(F.col("host"))).alias("above", "key"))
     first, last = F.floor(F.col("from_day") / PERIOD), F.floor(F.least(F.col("to_day") - 1, F.lit(last_day)) / PERIOD)
     active = intervals(entries).where((F.col("to_day") > F.col("from_day")) & (F.col("from_day") <= last_day)).select("key", "list", "from_day", "to_day", F.explode(F.sequence(first, last)).alias("period"))
-    met = probes.join(active, ["key", "period"]).where((F.col("from_day") <= F.col("day")) & (F.col("day") < F.col("to_day")))
+    days = probes.select("key", "day", F.floor(F.col("day") / PERIOD).alias("period")).distinct()  # of one key and period at most PERIOD
+    met = days.join(active, ["key", "period"]).where((F.col("from_day") <= F.col("day")) & (F.col("day") < F.col("to_day")))
+    by_key = met.groupBy("key", "day").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("list") == "block").alias("block"), F.bool_or(F.col("list") == "allow").alias("allow"))
     # above: labels cut off the host; the smaller, the more specific
-    found = met.groupBy("id").agg(
-        F.count(F.lit(1)).alias("n_active"), F.min(F.when(F.col("list") == "block", F.col("above"))).alias("block"), F.min(F.when(F.col("list") == "allow", F.col("above"))).alias("allow"))
-    blocked = F.col("block").isNotNull() & (F.col("allow").isNull() | (F.col("allow") > F.col("block")))
-    return mine.select("id", "host").join(found, "id", "left").select("id", "host", F.coalesce("n_active", F.lit(0)).cast("bigint").alias("n_active"), F.coalesce(blocked, F.lit(False)).alias("blocked"))
+    found = probes.join(by_key, ["key", "day"]).groupBy("host", "day").agg(
+        F.sum("n").alias("n_active"), F.min(F.when(F.col("block"), F.col("above"))).alias("block"), F.min(F.when(F.col("allow"), F.col("above"))).alias("allow"))
+    return found.select("host", "day", "n_active", (F.col("block").isNotNull() & (F.col("allow").isNull() | (F.col("allow") > F.col("block")))).alias("blocked"))
+
+
+def _judged(captures: DataFrame, entries: DataFrame, last_day: int) -> DataFrame:
+    """(row, host, n_active, blocked): every capture, whole, with what its host and day meet."""
+    when = F.col("day").cast("bigint")
+    mine = packed(captures, host=host(F.col("url")), day=F.when(when.isNotNull(), F.least(when, F.lit(last_day))))
+    found = _decided(mine.select("host", "day"), entries, last_day)
+    return mine.join(found, ["host", "day"], "left").select("row", "host", F.coalesce("n_active", F.lit(0)).cast("bigint").alias("n_active"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
+
+
+def evaluate(captures: DataFrame, entries: DataFrame, last_day: int) -> DataFrame:
+    """Per capture (id, url, day): id, host, n_active, blocked. last_day: of all captures; later days count as that day."""
+    return _judged(captures.select("id", "url", "day"), entries, last_day).select("row.id", "host", "n_active", "blocked")
 
 
 def kept(captures: DataFrame, entries: DataFrame, last_day: int) -> DataFrame:
-    """The captures that are not blocked."""
-    return captures.join(evaluate(captures, entries, last_day).where("blocked").select("id"), "id", "left_anti")
+    """The captures that are not blocked, with all their columns."""
+    return _judged(captures, entries, last_day).where("not blocked").select("row.*")
 
 
 #: DuckDB SQL of the query: the log is replayed for each capture and key.

@@ -202,27 +202,62 @@ def test_embedding_audit_sees_sparse_links(crowd):
     assert set(zip(a.tolist(), b.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(q @ x.T >= 0.93))))
 
 
-def test_line_dedup(spark):
-    run = "first line here\nsecond line here\nthird line here\nfourth line"
-    texts = AWKWARD + [run, "intro\n" + run + "\noutro", "intro\n\n" + run.replace("\n", "\n\n"), "first line here\nsecond line here", run + "\n" + run, "\n".join(["same"] * 6), words(50, 1) + "\n" + run]
-    out = {r["doc_id"]: r for r in line_dedup.deduplicated(frame(spark, rows(texts))).collect()}
-    seen = set()
-    want = {}
-    for i, text in enumerate(texts):
+def without_repeated_runs(texts):
+    """(text, removed) of each text by listing all runs of three lines, long lines and pairs with one."""
+    seen, out = set(), []
+    for text in texts:
         lines = (text or "").split("\n")
         full = [k for k, x in enumerate(lines) if x.strip(" \t\r")]
+        runs = [full[k : k + 3] for k in range(len(full) - 2)]
+        runs += [full[k : k + n] for n in (1, 2) for k in range(len(full) - n + 1) if any(len(lines[j]) >= line_dedup.LONG for j in full[k : k + n])]
         gone = set()
-        for k in range(len(full) - 2):
-            w = tuple(lines[j] for j in full[k : k + 3])
-            if w in seen:
-                gone |= set(full[k : k + 3])
-            seen.add(w)
-        want[i] = (text if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
-    assert {i: (r["text"], r["__n_removed"]) for i, r in out.items()} == want
-    assert want[len(AWKWARD) + 1][1] == 4
+        for run in sorted(runs):
+            content = tuple(lines[j] for j in run)
+            gone |= set(run) if content in seen else set()
+            seen.add(content)
+        out.append((text if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
+    return out
+
+
+def test_line_dedup(spark):
+    run = "first line here\nsecond line here\nthird line here\nfourth line"
+    paragraph = words(60, 31, 5000)
+    texts = AWKWARD + [run, "intro\n" + run + "\noutro", "intro\n\n" + run.replace("\n", "\n\n"), "first line here\nsecond line here", run + "\n" + run, "\n".join(["same"] * 6), words(50, 1) + "\n" + run]
+    texts += [paragraph, "short\n" + paragraph + "\nother", "new\n\n" + paragraph + "\nother", "short\nother", words(60, 32, 5000) + "\n" + paragraph, paragraph[:199], paragraph[:199], paragraph[:200], "x\n" + paragraph[:200]]
+    r = random.Random(8)
+    texts += ["\n".join(r.choice(["a", "b", "c", "", "long " * 50]) for _ in range(r.randrange(12))) for _ in range(40)]
+    data = [(i, x, "en", "clash", 7, "row", 1) for i, x in enumerate(texts)]
+    odd = frame(spark, data, "doc_id bigint, text string, id string, t string, h int, `row` string, `a.b` int")
+    out = line_dedup.deduplicated(odd)
+    want = without_repeated_runs(texts)
+    assert out.columns == odd.columns
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == {i: t for i, (t, _) in enumerate(want)}
+    counts = {r["doc_id"]: r["n_removed"] for r in line_dedup.judged(odd).select("row.doc_id", "n_removed").collect()}
+    assert counts == {i: n for i, (_, n) in enumerate(want)} and want[len(AWKWARD) + 1][1] == 4
     assert line_dedup.deduplicated(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_null_string_and_repeated_ids(spark):
+    run = "one line\ntwo line\nthree line"
+    data = [("b", run), ("a", run + "\nmore"), (None, run), (None, None), ("b", run), ("c", "x\n" + run), ("c", "y\n" + run)]
+    out = line_dedup.judged(frame(spark, data, "doc_id string, text string")).select("row.doc_id", "row.text", "n_removed").collect()
+    found = sorted((str(r["doc_id"]), r["n_removed"]) for r in out)
+    assert found == [("None", 0), ("None", 3), ("a", 0), ("b", 3), ("b", 3), ("c", 3), ("c", 3)]
+    big = frame(spark, [((1 << 63) - 1, run), (None, run)], "doc_id bigint, text string")
+    assert got(line_dedup.judged(big).select("row.doc_id", "n_removed"), "doc_id", "n_removed") == [((1 << 63) - 1, 0), (None, 3)]
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    """100,000 equal lines, and as many different ones twice, in linear time."""
+    import time
+
+    many = "\n".join(f"line {i}" for i in range(100_000))
+    docs = frame(spark, [(1, "\n".join(["same line"] * 100_000)), (2, many), (3, many)], "doc_id bigint, text string")
+    began = time.time()
+    out = {r["doc_id"]: r["n_removed"] for r in line_dedup.judged(docs).select("row.doc_id", "n_removed").collect()}
+    assert out == {1: 99_999, 2: 0, 3: 100_000} and time.time() - began < 90
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
@@ -233,7 +268,7 @@ def test_bpe(spark, vocabulary):
 
     library = Tokenizer.from_file(vocabulary)
     r = random.Random(1)
-    texts = AWKWARD + ["<|startoftext|>Hi<|endoftext|>", "it's I'LL 'S don't", "ΑΣ İ ẞ é  \u0085\x1c x", "!" * 3000, "ab" * 4000, "".join(chr(r.randrange(1, 0xD7FF)) for _ in range(3000)), "".join(r.choice("aeinorst") for _ in range(4000))]
+    texts = AWKWARD + ["<|startoftext|>Hi<|endoftext|>", "it's I'LL 'S don't", "ΑΣ İ ẞ é  \u0085\x1c x", "!" * 3000, "ab" * 4000, "<|endoftext|>" * 3000, "x<|startoftext|>" * 900 + "é", "".join(chr(r.randrange(1, 0xD7FF)) for _ in range(3000)), "".join(r.choice("aeinorst") for _ in range(4000))]
     for row in bpe_codec.encode(frame(spark, rows(texts)), vocabulary, texts=True).collect():
         text = texts[row["doc_id"]] or ""
         ids = library.encode(text, add_special_tokens=False).ids
@@ -343,6 +378,16 @@ def test_url_filter(spark):
     assert url_filter.evaluate(frame(spark, captures, "id bigint, url string, day bigint"), none, 400).where("blocked").count() == 0
 
 
+def test_url_filter_repeated_and_null_ids(spark):
+    entries = frame(spark, [("bad.com", "block", 0, True), ("bad.com", "block", 3, True)], "key string, list string, day bigint, added boolean")
+    captures = [(1, "http://bad.com/a", 5, "x"), (1, "http://bad.com/a", 5, "x"), (None, "http://bad.com/b", 5, "y"), (1, "http://good.com", 5, "z"), (None, None, None, None)]
+    mine = frame(spark, captures, "id bigint, url string, day bigint, `row` string")
+    out = url_filter.evaluate(mine, entries, 400)
+    assert got(out, "id", "host", "n_active", "blocked") == sorted([(1, "bad.com", 1, True), (1, "bad.com", 1, True), (None, "bad.com", 1, True), (1, "good.com", 0, False), (None, "", 0, False)], key=str)
+    kept = url_filter.kept(mine, entries, 400)
+    assert kept.columns == mine.columns and got(kept, "id", "row") == [(1, "z"), (None, None)]
+
+
 def test_url_filter_hosts_of_many_labels(spark):
     host = ".".join(f"l{k}" for k in range(70))
     entries = [(host, "block", 0, True), (host.split(".", 3)[3], "block", 0, True), ("l69", "block", 0, True), (".".join(host.split(".")[:64]), "block", 0, True)]
