@@ -1,7 +1,14 @@
 """The corpus pipeline: five stages from documents to token statistics.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs. All
-but the last return the columns of documents, and further ones that docs brings along.
+but the last return the columns of documents, and further ones that docs brings along, whatever their names; the last
+reads doc_id and text alone.
+
+Cases, by stage. Null and empty texts: quality scores them like any text; lines leaves them as they are; of all that have
+no words SimHash keeps one; they are never contaminated; they have no tokens. Null ids: kept and judged by their text; of
+near copies a row with an id stays. Rows equal in id and text get one decision, and SimHash keeps one of them. Very long
+texts are worked whole. Ties go to the smallest id, then to the least hash of the text. Empty documents give an empty
+result; without labels quality gives every row the score 0.5 and keeps none; an empty benchmark removes nothing.
 """
 
 from __future__ import annotations
@@ -17,15 +24,12 @@ from causeway.llm.common import held_out, stored, table
 
 def quality_kept(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. Rows equal in id and text get one decision."""
-    scores = quality.classify(docs, table(spark, sf_dir, "labels"), "quality", ~held_out("doc_id", 4, 2))
-    rejected = scores.where(F.col("score") < quality.KEEP).select(F.col("doc_id").alias("__rejected"), F.col("t").alias("__t")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("__rejected")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__t"))
-    return docs.join(rejected, same, "left_anti")
+    return quality.accepted(docs, quality.classify(docs, table(spark, sf_dir, "labels"), "quality", ~held_out("doc_id", 4, 2)))
 
 
 def lines_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later repeated runs of lines; n_chars counts the text that stays."""
-    out = line_dedup.deduplicated(docs).drop("__n_lines", "__n_removed")
+    """Documents without later repeated runs of lines; n_chars, where there is one, counts the text that stays."""
+    out = line_dedup.deduplicated(docs)
     return out.withColumn("n_chars", F.char_length(F.col("text")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
