@@ -1,19 +1,24 @@
 """Substring dedup on a compacted De Bruijn graph of words.
 
-Every run of WINDOW words is an edge (a k-mer) of the graph. A word covered by an edge that also starts in a document of a
-smaller id is removed. Three steps keep the graph far smaller than the text:
+Every run of WINDOW words is an edge (a k-mer) between two nodes, its first and its last WINDOW - 1 words. A word covered by
+an edge that also starts in a document of a smaller id is removed. Five steps keep the graph far smaller than the text:
 
 1. Every edge has a seed, the least hash among its SEED_WORDS-grams, so equal edges have equal seeds. Each batch reduces its
-   seeds to distinct sorted hashes; hash ranges of them are merged, and seeds met in one document only are
-   dropped. What is left is a bit table of fixed size that tells every task which edges may repeat.
-2. Consecutive edges of one seed form a path, compacted where it is read to one row: its place (source coordinates),
-   seed and 128-bit content. Joins on the content find the first document of each path. A seed all of whose paths have one
-   content does not branch, and the paths stay whole: all of a path's edges occur where its first copy does.
-3. Where seeds branch, the paths of each distinct content are opened into single edges, once per content, and edges are
-   joined in the same way.
-
-Removed spans are merged by document. Every join runs on minima that are combined before the shuffle, and the copies of a
-path only meet its first one. The bit table is capped at MAX_BITS bits; beyond that more edges pass
+   seeds to distinct sorted hashes; hash ranges of them are merged, and seeds met in one document only are dropped. What is
+   left is a bit table of fixed size that tells every task which edges may repeat.
+2. Consecutive edges of one seed form a piece of a path, read as one row: its place (source coordinates), its seed and the
+   XXH3 of its words, which are its key, and the piece that follows. Combined by key, these give its first place, how often
+   it occurs, and the out-degree of its last node: one follower or several.
+3. Compaction: a repeated piece is joined with its follower where the node between them does not branch, that is, where all
+   its occurrences have that follower and the follower occurs as often. What hangs together is one path; its first piece
+   stands for it, with the source coordinates of the whole.
+4. A seed with several pieces branches inside. Such pieces are opened into single edges, and edges that occur in several
+   pieces are joined to their first place; runs of them with one source become paths again.
+5. Every path is read again at its source coordinates. Its occurrences are found by a join on its first piece, and words are
+   removed only where the SHA-256 of the occurrence's words is that of the source's words. Hashes only ever propose.
+
+Every join runs on minima that are combined before the shuffle; the copies of a path only meet its first one, and keys of a
+large part of all rows are joined without a shuffle. The bit table is capped at MAX_BITS bits; beyond that more edges pass
 the first step, which costs time but changes no result.
 
 Words are maximal runs without ASCII white space, compared as they are.
@@ -32,14 +37,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import joined_by_key, stored
 
 WINDOW, SEED_WORDS = 13, 5
-#: Bits of the table for each bucket of seeds, and of all.
-BUCKET_BITS, MAX_BITS = 21, 29
+#: Bits of the table for each bucket of seeds, and of all; buckets, as powers of two, of the first exchange and of all.
+BUCKET_BITS, MAX_BITS, FIRST_BUCKETS, MAX_BUCKETS = 21, 29, 12, 24
 _GROUP = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -81,66 +86,62 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES, _WORDS, _SECOND = (_Hasher(b) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xAF251AF3B0F025B5))
+#: For seeds alone, which only choose what is compared: words that differ may have equal hashes here.
+_BYTES, _WORDS = (_Hasher(b) for b in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
 
 
 class Group:
-    """Some consecutive texts of a batch: their words, edges and seeds as arrays."""
+    """Some consecutive texts, words joined by single spaces: their words, edges and seeds as arrays."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
-        """bounds: where each text begins in data, and the end."""
+    def __init__(self, texts: list[bytes]):
+        self.raw = b" ".join(texts)
+        bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
+        data = np.frombuffer(self.raw, np.uint8)
         space = _SPACE[data]
         begins = ~space
         ends = begins.copy()
         begins[1:] &= space[:-1]
         ends[:-1] &= space[1:]
-        cuts = bounds[:-1][bounds[:-1] < bounds[1:]]  # of texts that aren't empty
-        begins[cuts] = ~space[cuts]
-        ends[cuts[cuts > 0] - 1] = ~space[cuts[cuts > 0] - 1]
-        starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        self.text = np.searchsorted(bounds[1:], starts, "right")
-        self.n_words = np.bincount(self.text, minlength=len(bounds) - 1)
+        self.starts, self.stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        self.text = np.searchsorted(bounds[1:], self.starts, "right")
+        self.n_words = np.bincount(self.text, minlength=len(texts))
         self.first = np.concatenate([[0], np.cumsum(self.n_words)])
-        words = _BYTES.slices(_BYTES.prefix(data.astype(np.uint64) + np.uint64(1)), starts, stops)
-        self.words, self.second = _WORDS.prefix(words), None
-        self.raw = words
-        n = max(len(words) - WINDOW + 1, 0)
+        hashed = _WORDS.prefix(_BYTES.slices(_BYTES.prefix(data.astype(np.uint64) + np.uint64(1)), self.starts, self.stops))
+        n = max(len(self.starts) - WINDOW + 1, 0)
         self.at = np.flatnonzero(self.text[:n] == self.text[WINDOW - 1 :]) if n else np.zeros(0, np.int64)
-        i = np.arange(max(len(words) - SEED_WORDS + 1, 0))
-        grams = _WORDS.slices(self.words, i, i + SEED_WORDS)
+        i = np.arange(max(len(self.starts) - SEED_WORDS + 1, 0))
+        grams = _WORDS.slices(hashed, i, i + SEED_WORDS)
         least = grams[:n].copy()
         for k in range(1, WINDOW - SEED_WORDS + 1):
             np.minimum(least, grams[k : k + n], out=least)
         self.seed = least[self.at]
 
-    def paths(self, passed: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, word in text, edges, seed, content, second content, first edge, end of edges) of the maximal runs of passed edges with one seed."""
+    def content(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """XXH3 of the words from each start to its end, as signed numbers."""
+        raw, digest = self.raw, xxhash.xxh3_64_digest
+        return np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(self.starts[starts].tolist(), self.stops[ends - 1].tolist())]), ">i8").astype(np.int64)
+
+    def pieces(self, passed: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, word in text, edges, seed, content, whether the next piece follows at once, first edge) of the maximal runs of passed edges with one seed."""
         at, seed = self.at[passed], self.seed[passed]
         if not len(at):
-            return (np.zeros(0, np.int64),) * 8
-        new = np.ones(len(at), bool)
-        new[1:] = (at[1:] != at[:-1] + 1) | (seed[1:] != seed[:-1]) | (self.text[at[1:]] != self.text[at[:-1]])
-        heads = np.flatnonzero(new)
+            return (np.zeros(0, np.int64),) * 7
+        near = (at[1:] == at[:-1] + 1) & (self.text[at[1:]] == self.text[at[:-1]])
+        heads = np.flatnonzero(np.concatenate([[True], ~near | (seed[1:] != seed[:-1])]))
         tails = np.append(heads[1:], len(at)) - 1
-        a, b = at[heads], at[tails] + WINDOW
-        if self.second is None:
-            self.second = _SECOND.prefix(self.raw)
-        return self.text[a], a - self.first[self.text[a]], tails - heads + 1, seed[heads], _WORDS.slices(self.words, a, b), _SECOND.slices(self.second, a, b), a, at[tails] + 1
-
-    def edges(self, starts: np.ndarray) -> np.ndarray:
-        return _WORDS.slices(self.words, starts, starts + WINDOW)
+        first, last = at[heads], at[tails]
+        follows = np.append(near[tails[:-1]], False)
+        return self.text[first], first - self.first[self.text[first]], tails - heads + 1, seed[heads].view(np.int64), self.content(first, last + WINDOW), follows, first
 
 
-def _groups(column: pa.Array) -> Iterator[tuple[int, int, Group, np.ndarray, np.ndarray]]:
-    """(first row, end row, group, bytes, bounds) of the texts of a batch, about _GROUP bytes each."""
-    column = column.fill_null("").cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    whole = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
+def _groups(column: pa.Array) -> Iterator[tuple[int, int, Group, list[bytes]]]:
+    """(first row, end row, group, raw texts) of the texts of a batch, about _GROUP bytes each."""
+    raw = [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
+    sizes = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
     k = 0
-    while k < len(column):
-        end = max(k + 1, int(np.searchsorted(offsets, offsets[k] + _GROUP, "right")) - 1)
-        data, bounds = whole[offsets[k] : offsets[end]], offsets[k : end + 1] - offsets[k]
-        yield k, end, Group(data, bounds), data, bounds
+    while k < len(raw):
+        end = max(k + 1, int(np.searchsorted(sizes, sizes[k] + _GROUP, "right")) - 1)
+        yield k, end, Group([b" ".join(x.split()) for x in raw[k:end]]), raw[k:end]
         k = end
 
 
@@ -150,13 +151,23 @@ def _with_id(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def repeated_seeds(docs: DataFrame) -> tuple[np.ndarray, int]:
     """A bit table of the seeds that more than one document may hold, by the top bits of their hashes; and its size in bits as a power."""
-    buckets = max(4, min(14, (2 * docs.rdd.getNumPartitions() - 1).bit_length()))
+    buckets = max(4, min(MAX_BUCKETS, (2 * docs.rdd.getNumPartitions() - 1).bit_length()))
+    wide = min(buckets, FIRST_BUCKETS)
     bits = min(MAX_BITS, buckets + BUCKET_BITS)
 
+    def cut(seed: np.ndarray, several: np.ndarray, low: int, high: int, power: int) -> list[tuple]:
+        """Rows (bucket, seeds, several) of sorted seeds by their top bits, for the buckets low to high of 2**power."""
+        edges = np.arange(low, high, dtype=np.uint64) << np.uint64(64 - power)
+        at = np.searchsorted(seed, edges).tolist() + [len(seed)]
+        return [(low + b, seed[x:y].tobytes(), np.packbits(several[x:y]).tobytes()) for b, (x, y) in enumerate(zip(at, at[1:])) if x < y]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "seeds", "several"])
+
     def collect(batches):
         for batch in batches:
             ids, seeds, owners = batch.column(0).to_numpy(zero_copy_only=False), [], []
-            for k, _, group, _, _ in _groups(batch.column(1)):
+            for k, _, group, _ in _groups(batch.column(1)):
                 text = group.text[group.at]
                 new = np.ones(len(text), bool)
                 new[1:] = (group.seed[1:] != group.seed[:-1]) | (text[1:] != text[:-1])
@@ -172,9 +183,14 @@ def repeated_seeds(docs: DataFrame) -> tuple[np.ndarray, int]:
                 continue
             several = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads)
             seed = seed[heads]
-            at = np.searchsorted(seed, np.arange(1 << buckets, dtype=np.uint64) << np.uint64(64 - buckets)).tolist() + [len(seed)]
-            rows = [(b, seed[x:y].tobytes(), np.packbits(several[x:y]).tobytes()) for b, (x, y) in enumerate(zip(at, at[1:])) if x < y]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "seeds", "several"])
+            yield batch_of(cut(seed, several, 0, 1 << wide, wide))
+
+    def finer(batches):  # rows of one wide bucket become rows of its narrow ones, one at a time
+        each = 1 << (buckets - wide)
+        for batch in batches:
+            for bucket, seeds, several in zip(*(c.to_pylist() for c in batch.columns)):
+                seed = np.frombuffer(seeds, np.uint64)
+                yield batch_of(cut(seed, np.unpackbits(np.frombuffer(several, np.uint8), count=len(seed)).astype(bool), bucket * each, (bucket + 1) * each, buckets))
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         seeds = [np.frombuffer(x, np.uint64) for x in frame["seeds"]]
@@ -187,7 +203,10 @@ def repeated_seeds(docs: DataFrame) -> tuple[np.ndarray, int]:
         table[(again >> np.uint64(64 - bits)).astype(np.int64) & (len(table) - 1)] = True
         return pd.DataFrame({"bucket": frame["bucket"][:1], "table": [np.packbits(table).tobytes()]})
 
-    sent = docs.where("doc_id is not null").mapInArrow(collect, "bucket int, seeds binary, several binary")
+    schema = "bucket int, seeds binary, several binary"
+    sent = docs.where("doc_id is not null").mapInArrow(collect, schema)
+    if buckets > wide:
+        sent = sent.repartition("bucket").mapInArrow(finer, schema)
     table = np.zeros((1 << bits) // 8, np.uint8)
     width = len(table) >> buckets
     for row in sent.groupBy("bucket").applyInPandas(merge, "bucket int, table binary").toLocalIterator():  # 2**bits bits in all
@@ -201,53 +220,131 @@ def _passing(table: bytes, bits: int, hashes: np.ndarray) -> np.ndarray:
     return (np.frombuffer(table, np.uint8)[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _paths(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
-    """A row per document (pos null) with its words and the digest of them all, and a row per compacted path that may repeat."""
+def _pieces(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
+    """A row per document (pos null) with its words and the digest of them all, and a row per piece that may repeat."""
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def run(batches):
         for batch in batches:
-            if not len(batch):
-                continue
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for k, end, group, data, bounds in _groups(batch.column(1)):
-                text, pos, n, seed, content, second, _, _ = group.paths(_passing(shared.value, bits, group.seed) & known[k + group.text[group.at]])
-                raw = data.tobytes()
-                texts = [raw[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
-                hashes = np.frombuffer(b"".join(xxhash.xxh64_digest(x, 42) for x in texts), ">i8").astype(np.int64)
-                digests = [hashlib.sha256(b" ".join(x.split())).hexdigest() for x in texts]
+            for k, end, group, raw in _groups(batch.column(1)):
+                text, pos, n, seed, content, follows, _ = group.pieces(_passing(shared.value, bits, group.seed) & known[k + group.text[group.at]])
+                hashes = np.frombuffer(b"".join(xxhash.xxh64_digest(x, 42) for x in raw), ">i8").astype(np.int64)
+                digests = [hashlib.sha256(b" ".join(x.split())).hexdigest() for x in raw]
                 m, none = end - k, len(text)
                 rows = pa.array(np.concatenate([np.arange(k, end), k + text]))
+                following = pa.array(np.append(content[1:], 0)[:none], pa.int64(), mask=~follows.astype(bool))
                 both = lambda a, b, kind: pa.concat_arrays([a if a is not None else pa.nulls(m, kind), b if b is not None else pa.nulls(none, kind)])
                 columns = [
                     batch.column(0).take(rows), pa.array(hashes[np.concatenate([np.arange(m), text])]), both(pa.array(group.n_words, pa.int64()), None, pa.int64()), both(pa.array(digests, pa.string()), None, pa.string()),
-                    both(None, pa.array(pos.astype(np.int32)), pa.int32()), both(None, pa.array(n.astype(np.int32)), pa.int32()), *(both(None, pa.array(x.astype(np.uint64).view(np.int64)), pa.int64()) for x in (seed, content, second)),
+                    both(None, pa.array(pos.astype(np.int32)), pa.int32()), both(None, pa.array(n.astype(np.int32)), pa.int32()), *(both(None, pa.array(x, pa.int64()), pa.int64()) for x in (seed, content)), both(None, following, pa.int64()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "n_words", "whole", "pos", "n", "seed", "content", "second"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "n_words", "whole", "pos", "edges", "seed", "content", "next"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, t bigint, n_words bigint, whole string, pos int, n int, seed bigint, content bigint, second bigint")
+    return docs.mapInArrow(run, f"doc_id {kind}, t bigint, n_words bigint, whole string, pos int, edges int, seed bigint, content bigint, next bigint")
 
 
-def _edges(docs: DataFrame, seeds: tuple[np.ndarray, int], contents: tuple[np.ndarray, int]) -> DataFrame:
-    """(doc_id, seed, content, second, edges) of the paths whose contents may be among those to open, each content once per batch group."""
-    shared = docs.sparkSession.sparkContext.broadcast((seeds[0].tobytes(), contents[0].tobytes()))
+def _opened(docs: DataFrame, seeds: tuple[np.ndarray, int], places: tuple[np.ndarray, int]) -> DataFrame:
+    """(doc_id, t, pos, seed, content, k, edge): the single edges of the pieces whose places may be among those to open."""
+    shared = docs.sparkSession.sparkContext.broadcast((seeds[0].tobytes(), places[0].tobytes()))
 
     def run(batches):
         for batch in batches:
-            for k, _, group, _, _ in _groups(batch.column(1)):
-                text, _, n, seed, content, second, first, last = group.paths(_passing(shared.value[0], seeds[1], group.seed))
-                keep = np.flatnonzero(_passing(shared.value[1], contents[1], content)) if len(content) else np.zeros(0, np.int64)
+            for k, _, group, raw in _groups(batch.column(1)):
+                text, pos, n, seed, content, _, first = group.pieces(_passing(shared.value[0], seeds[1], group.seed))
+                hashes = np.frombuffer(b"".join(xxhash.xxh64_digest(x, 42) for x in raw), ">i8").astype(np.int64)
+                keep = np.flatnonzero(_passing(shared.value[1], places[1], _spread(hashes[text], pos))) if len(content) else np.zeros(0, np.int64)
                 if not len(keep):
                     continue
-                text, n, seed, content, second, first, last = (x[keep] for x in (text, n, seed, content, second, first, last))
-                edges = group.edges(np.concatenate([np.arange(a, b) for a, b in zip(first.tolist(), last.tolist())])).view(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                columns = [batch.column(0).take(pa.array(k + text)), *(pa.array(x.view(np.int64)) for x in (seed, content, second)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(edges))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "seed", "content", "second", "edges"])
+                of = np.repeat(keep, n[keep])
+                offset = np.arange(len(of)) - np.repeat(np.cumsum(n[keep]) - n[keep], n[keep])
+                edge = group.content(first[of] + offset, first[of] + offset + WINDOW)
+                columns = [batch.column(0).take(pa.array(k + text[of])), pa.array(hashes[text[of]]), pa.array(pos[of].astype(np.int32)), pa.array(seed[of]), pa.array(content[of]), pa.array(offset.astype(np.int32)), pa.array(edge)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "pos", "seed", "content", "k", "edge"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, seed bigint, content bigint, second bigint, edges array<bigint>")
+    return docs.where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, t bigint, pos int, seed bigint, content bigint, k int, edge bigint")
+
+
+def _spread(t: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """A hash of places in texts, by their hash and the number of the word."""
+    return _mix(t.astype(np.int64).view(np.uint64) + (pos.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _hashed_places(rows: DataFrame) -> DataFrame:
+    """(place): the hash of each row's (t, pos)."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_spread(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["place"])
+
+    return rows.select("t", "pos").mapInArrow(run, "place bigint")
+
+
+def _compacted(pieces: DataFrame) -> DataFrame:
+    """(seed, content, at, edges, source): the first piece of each maximal path of repeated pieces without a branch, with the edges of the path.
+
+    pieces: (seed, content, first, edges, most, n, least_next, most_next, ends).
+    """
+    some = pieces.where("first.doc_id < most")
+    one = (F.col("least_next") == F.col("most_next")) & ~F.col("ends")
+    before = some.where(one).select(F.col("least_next").alias("content"), F.col("n").alias("times"), F.col("first.doc_id").alias("d"), F.col("first.t").alias("dt"), (F.col("first.pos") + F.col("edges")).alias("behind")).alias("a")
+    b = some.alias("b")
+    same = (F.col("a.content") == F.col("b.content")) & (F.col("times") == F.col("n")) & (F.col("d") == F.col("b.first.doc_id")) & (F.col("dt") == F.col("b.first.t")) & (F.col("behind") == F.col("b.first.pos"))
+    linked = b.join(before, same, "left").select("seed", "b.content", "first", "edges", "n", F.col("behind").isNull().alias("head"))
+    along = Window.partitionBy("first.doc_id", "first.t").orderBy("first.pos")  # of one document
+    path = linked.withColumn("path", F.sum(F.col("head").cast("int")).over(along))
+    return path.groupBy("first.doc_id", "first.t", "path").agg(F.min_by(F.struct("seed", "content", "first", "n"), "first.pos").alias("h"), F.sum("edges").cast("int").alias("edges")).select(
+        "h.seed", "h.content", "h.n", F.lit(0).alias("at"), "edges", F.col("h.first").alias("source"))
+
+
+def _runs(parts: DataFrame, kind: str) -> DataFrame:
+    """(seed, content, n, owner, at, edges, source): runs of consecutive edges with consecutive sources. parts: (seed, content, n, owner, parts)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row, parts_ in enumerate(batch.column(4).to_pylist()):
+                last = None
+                for p in sorted(parts_, key=lambda p: p["k"]):
+                    now = (p["source"]["doc_id"], p["source"]["t"], p["source"]["pos"] - p["k"])
+                    if last is not None and last[0] == now and p["k"] == last[1] + last[2]:
+                        last[2] += 1
+                    else:
+                        last = [now, p["k"], 1]
+                        out.append((row, last))
+            rows = pa.array([r for r, _ in out], pa.int64())
+            source = [{"doc_id": now[0], "t": now[1], "pos": now[2] + at} for _, (now, at, _) in out]
+            columns = [*(batch.column(k).take(rows) for k in range(4)), pa.array([x[1] for _, x in out], pa.int32()), pa.array([x[2] for _, x in out], pa.int32()), pa.array(source, parts_type)]
+            yield pa.RecordBatch.from_arrays(columns, ["seed", "content", "n", "owner", "at", "edges", "source"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    parts_type = to_arrow_type(parts.schema["parts"].dataType.elementType["source"].dataType)
+    return parts.mapInArrow(run, f"seed bigint, content bigint, n bigint, owner {kind}, at int, edges int, source struct<doc_id:{kind},t:bigint,pos:int>")
+
+
+def _read(docs: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
+    """paths with `digest`, that of the words at their source coordinates."""
+    wanted = paths.select("source.doc_id", "source.t", F.struct(F.col("source.pos").alias("pos"), "edges").alias("w")).groupBy("doc_id", "t").agg(F.collect_set("w").alias("wanted"))  # of one document: as many as it has edges
+    wanted = stored(wanted)
+
+    def run(batches):
+        for batch in batches:
+            for k, (text_, wanted_) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist())):
+                words = (text_ or b"").split()
+                digests = [hashlib.sha256(b" ".join(words[w["pos"] : w["pos"] + w["edges"] + WINDOW - 1])).digest()[:16] for w in wanted_]
+                rows = pa.array([k] * len(digests), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([w["pos"] for w in wanted_], pa.int32()), pa.array([w["edges"] for w in wanted_], pa.int32()), pa.array(digests, pa.binary())], ["doc_id", "t", "pos", "edges", "digest"])
+
+    own = F.xxhash64("doc_id", "t").alias("own")
+    mine = docs.where("doc_id is not null").withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    sources = among(mine.select("doc_id", "text", "t", own), "own", bit_table(wanted.select(own))).dropDuplicates(["doc_id", "t"]).join(wanted, ["doc_id", "t"])
+    read = sources.select("doc_id", "t", "text", "wanted").mapInArrow(run, f"doc_id {kind}, t bigint, pos int, edges int, digest binary").alias("r")
+    p = paths.alias("p")
+    same = (F.col("p.source.doc_id") == F.col("r.doc_id")) & (F.col("p.source.t") == F.col("r.t")) & (F.col("p.source.pos") == F.col("r.pos")) & (F.col("p.edges") == F.col("r.edges"))
+    return p.join(read, same).select("p.*", "digest")
 
 
 def bit_table(hashes: DataFrame) -> tuple[np.ndarray, int]:
@@ -278,26 +375,34 @@ def among(rows: DataFrame, key: str, table: tuple[np.ndarray, int]) -> DataFrame
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, t, n_words, whole) of all documents, and (doc_id, t, spans) of those with words to remove; spans of (from, to) may overlap."""
+    """Rows (doc_id, t, n_words, whole) of all documents, and (doc_id, t, spans) of those that may have words to remove; spans of (from, to, digest) may overlap."""
     mine = _with_id(docs, doc_id, text)
+    kind = mine.schema["doc_id"].dataType.simpleString()
     seeds = repeated_seeds(mine)
-    found = stored(_paths(mine, *seeds))
-    paths = found.where("pos is not null")
-    key = ["content", "second"]
-    contents = stored(paths.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("most"), F.min("seed").alias("seed")))
-    branching = contents.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("seed")
-    opened = stored(contents.select(*key, "first", "seed").join(branching, "seed", "left_semi").select(*key, "first"))
-    sources = _edges(mine, seeds, bit_table(opened.select("content"))).join(opened, key).where(F.col("doc_id") == F.col("first")).dropDuplicates(key)
-    edges = stored(sources.select(*key, "first", "seed", F.posexplode("edges").alias("k", "edge")))
-    earlier = edges.groupBy("seed", "edge").agg(F.min("first").alias("least"), F.max("first").alias("most")).where("least < most").drop("most")
-    parts = edges.join(earlier, ["seed", "edge"]).where("least < first").groupBy(*key).agg(F.collect_list("k").alias("parts"))  # of one path
-    decided = stored(contents.select(*key, "first", "most").join(parts, key, "left").where("first < most or parts is not null").select(*key, "first", "parts"))
-    mine_first = F.col("doc_id") == F.col("first")
-    marked = among(paths.select("doc_id", "t", "pos", "n", *key), "content", bit_table(decided.select("content")))
-    met = marked.join(decided, key).where((F.col("doc_id") > F.col("first")) | mine_first & F.col("parts").isNotNull())
-    whole = F.array(F.struct(F.col("pos").alias("from"), (F.col("pos") + F.col("n") + (WINDOW - 1)).alias("to")))
-    some = F.transform("parts", lambda k: F.struct((F.col("pos") + k).alias("from"), (F.col("pos") + k + WINDOW).alias("to")))
-    spans = met.select("doc_id", "t", F.when(mine_first, some).otherwise(whole).alias("s")).groupBy("doc_id", "t").agg(F.flatten(F.collect_list("s")).alias("spans"))  # of one document
+    found = stored(_pieces(mine, *seeds))
+    rows, key = found.where("pos is not null"), ["seed", "content"]
+    pieces = stored(rows.groupBy(*key).agg(
+        F.min(F.struct("doc_id", "t", "pos")).alias("first"), F.first("edges").alias("edges"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"), F.min("next").alias("least_next"), F.max("next").alias("most_next"),
+        F.bool_or(F.col("next").isNull()).alias("ends")))
+    whole = _compacted(pieces)
+    branching = pieces.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("seed")
+    branched = among(pieces.select("seed", F.col("first.t").alias("t"), F.col("first.pos").alias("pos")), "seed", bit_table(branching))  # and a few others, which does no harm
+    edges = stored(_opened(mine, seeds, bit_table(_hashed_places(branched))))
+    here = F.struct("doc_id", "t", (F.col("pos") + F.col("k")).alias("pos"))
+    shared = stored(edges.groupBy("seed", "edge").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("seed", "edge", "n", "least"))
+    several = stored(among(edges, "edge", bit_table(shared.select("edge"))))
+    sources = stored(joined_by_key(several, shared, ["seed", "edge"]).where(F.col("doc_id") == F.col("least")).groupBy("seed", "edge").agg(F.min(here).alias("source")).join(shared, ["seed", "edge"]))
+    parts = joined_by_key(several, sources, ["seed", "edge"]).where(F.col("least") < F.col("doc_id"))
+    parts = parts.groupBy(*key, F.struct("doc_id", "t", "pos").alias("first")).agg(F.collect_list(F.struct("k", "source")).alias("parts"))  # of one piece
+    parts = parts.join(pieces.select(*key, "first", "n"), [*key, "first"]).select(*key, "n", F.col("first.doc_id").alias("owner"), "parts")
+    paths = stored(whole.withColumn("owner", F.lit(None).cast(kind)).unionByName(_runs(parts, kind)))
+    listed = _read(mine, paths, kind).groupBy(*key).agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "edges", "owner", F.col("source.doc_id").alias("least"), "digest")).alias("p"))  # of one piece
+    decided = stored(listed)
+    marked = stored(among(rows.select("doc_id", "t", "pos", *key), "content", bit_table(decided.select("content"))))
+    met = joined_by_key(marked, decided, key).select("doc_id", "t", "pos", F.explode("p").alias("p")).where((F.col("p.owner") == F.col("doc_id")) | F.col("p.owner").isNull() & (F.col("p.least") < F.col("doc_id")))
+    start = F.col("pos") + F.col("p.at")
+    span = F.struct(start.alias("from"), (start + F.col("p.edges") + (WINDOW - 1)).alias("to"), F.col("p.digest").alias("digest"))
+    spans = met.select("doc_id", "t", span.alias("s")).groupBy("doc_id", "t").agg(F.collect_list("s").alias("spans"))  # of one document
     return found.where("pos is null").select("doc_id", "t", "n_words", "whole"), spans
 
 
@@ -312,12 +417,13 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     def cut(batches):
         for batch in batches:
             removed, digests, kept = [], [], []
-            for text_, spans_ in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3)):
+            for text_, spans_ in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
                 words = (text_ or b"").split()
-                a, b = (spans_.values.field(j).to_numpy() for j in (0, 1))
                 change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, a, 1)
-                np.add.at(change, b, -1)
+                for span in spans_:
+                    if hashlib.sha256(b" ".join(words[span["from"] : span["to"]])).digest()[:16] == span["digest"]:
+                        change[span["from"]] += 1
+                        change[span["to"]] -= 1
                 stay = np.flatnonzero(np.cumsum(change)[:-1] == 0)
                 left = b" ".join([words[i] for i in stay.tolist()])
                 removed.append(len(words) - len(stay))

@@ -296,6 +296,32 @@ def test_substring_dedup(spark):
     assert substring_dedup.deduplicated(frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_of_words_that_polynomials_confuse(spark):
+    """Thue-Morse words and their complements, which hash alike modulo a power of two."""
+    w = ["ab"[bin(i).count("1") % 2] for i in range(1024)]
+    one, two = "".join(w), "".join("ba"["ab".index(c)] for c in w)
+    lead = " ".join(f"q{i}" for i in range(12))
+    texts = [f"{lead} {one}", f"{lead} {two}", f"{one} " * 14, f"{two} " * 14, f"{lead} {two} tail"]
+    out = substring_dedup.deduplicated(frame(spark, rows(texts, 1)))
+    assert sorted(map(tuple, out.collect())) == sorted(substring_dedup.brute_force([(i + 1, t) for i, t in enumerate(texts)]))
+
+
+@pytest.mark.parametrize("size", [2, 4, 30, 3000])
+def test_substring_dedup_of_random_tables(spark, size, monkeypatch):
+    """Passages cut and copied at random, from words that repeat much or little, with narrow buckets of seeds."""
+    monkeypatch.setattr(substring_dedup, "FIRST_BUCKETS", 2)
+    r = random.Random(size)
+    texts = [words(r.randrange(120), 1000 + k, size) for k in range(12)]
+    for _ in range(60):
+        a, b = (r.choice(texts).split() for _ in range(2))
+        i, j = r.randrange(len(a) + 1), r.randrange(len(b) + 1)
+        texts.append(" ".join(a[i : i + r.randrange(90)] + b[j : j + r.randrange(90)]))
+    texts += texts[:20]
+    ids = r.sample(range(1000), len(texts))
+    out = substring_dedup.deduplicated(frame(spark, [(i, t, "", "", 0) for i, t in zip(ids, texts)]).repartition(3))
+    assert sorted(map(tuple, out.collect())) == sorted(substring_dedup.brute_force(list(zip(ids, texts))))
+
+
 def test_substring_dedup_null_and_repeated_ids(spark):
     a = words(40, 50, 900)
     data = [(None, a, None, None, None), (7, a, None, None, None), (7, a, None, None, None), (9, a + " x", None, None, None)]
