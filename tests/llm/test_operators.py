@@ -168,7 +168,7 @@ def test_embeddings(spark):
     data = [(i, [float(f) for f in v], i % 2 if i < 440 else 0) for i, v in enumerate(x)]
     data += [(900, data[3][1], data[3][2]), (901, data[3][1], data[3][2]), (902, None, 1), (903, [0.0] * 16, 1), (904, [float("nan")] * 16, 1), (905, data[3][1], None), (906, [1.0, 2.0], 1), (907, [1.0, None], 1), (908, [2.0, 4.0], 1)]
     df = frame(spark, [(*row, "x", 0) for row in data], "vec_id bigint, embedding array<double>, label int, node string, n_links int")
-    mine = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()))
+    mine = sorted(map(tuple, embedding_dedup.near_duplicates(df).drop("recall").collect()))
     want = sorted(embedding_dedup.brute_force(data))
     assert [r[0] for r in mine] == [r[0] for r in want]
     found, true = sum(r[1] for r in mine), sum(r[1] for r in want)
@@ -177,14 +177,38 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_embedding_shards(spark, monkeypatch):
-    """Several shards, and a beam that must be widened."""
+@pytest.mark.parametrize("kind", ["double", "float"])
+def test_embedding_shards(spark, monkeypatch, kind):
+    """Many shards of one label, several bundles of queries, in both precisions."""
+    monkeypatch.setattr(embedding_dedup, "SHARD", 90)
+    monkeypatch.setattr(embedding_dedup, "QUERY_BLOCKS", 3)
+    data = [(i, [float(np.float32(f)) for f in v], 0 if i < 900 else 1) for i, v in enumerate(vectors(1000, 5))]
+    out = embedding_dedup.near_duplicates(frame(spark, data, f"vec_id bigint, embedding array<{kind}>, label int"))
+    mine = sorted(map(tuple, out.collect()))
+    want = sorted(embedding_dedup.brute_force(data))
+    assert [r[:4] for r in mine] == want and sum(r[1] for r in want) > 1000 and all(r[4] >= embedding_dedup.RECALL for r in mine)
+
+
+def test_embedding_graph_finds_neighbours():
+    """The graph alone, without audits: most of the links of sparse vectors, whatever order they were inserted in."""
+    r = np.random.default_rng(6)
+    x = r.standard_normal((3000, 32))
+    x[1::3] = x[::3] + 0.03 * r.standard_normal((1000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x[r.permutation(3000)].astype(np.float32)
+    a, b, full = embedding_dedup.Graph(x).search(x, embedding_dedup.BEAM, 0.93)
+    want = {(i, j) for i, j in zip(*np.nonzero(x @ x.T >= 0.93)) if i != j}
+    got_ = {(i, j) for i, j in zip(a.tolist(), b.tolist()) if i != j}
+    assert not full.any() and got_ <= want and len(got_) >= 0.98 * len(want) == 0.98 * 2000
+
+
+def test_embedding_search_widens():
     x = vectors(900, 2)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     graph = embedding_dedup.Graph(unit[:600].astype(np.float32))
-    a, b = embedding_dedup.search_audited(graph, unit[600:].astype(np.float32), unit[600:], unit[:600])
+    a, b, found, wanted = embedding_dedup.search_audited(graph, unit[600:].astype(np.float32), unit[600:], unit[:600])
     want = {(i, j) for i, j in zip(*np.nonzero(unit[600:] @ unit[:600].T >= 0.93))}
-    assert set(zip(a.tolist(), b.tolist())) <= want and len(set(zip(a.tolist(), b.tolist()))) >= 0.97 * len(want)
+    assert set(zip(a.tolist(), b.tolist())) <= want and len(set(zip(a.tolist(), b.tolist()))) >= 0.97 * len(want) and found <= wanted
 
 
 @pytest.mark.parametrize("crowd", [1, 400])
@@ -198,7 +222,7 @@ def test_embedding_audit_sees_sparse_links(crowd):
     lists = np.full((1000, 32), -1, np.int32)
     if crowd > 32:
         lists[:crowd] = (np.arange(crowd)[:, None] + np.arange(1, 33)) % crowd
-    a, b = embedding_dedup.search_audited(embedding_dedup.Graph(x.astype(np.float32), [lists]), q.astype(np.float32), q, x)
+    a, b, *_ = embedding_dedup.search_audited(embedding_dedup.Graph(x.astype(np.float32), [lists]), q.astype(np.float32), q, x)
     assert set(zip(a.tolist(), b.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(q @ x.T >= 0.93))))
 
 
