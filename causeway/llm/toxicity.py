@@ -1,24 +1,30 @@
-"""Toxicity: a lexicon trie crossed with Levenshtein automata, and windows that tell quotation from abuse.
+"""Toxicity: a lexicon trie crossed with Levenshtein automata, and learned window scores that tell quotation from abuse.
 
 The lexicon is learned: whole words and word beginnings that are over-represented in toxic training documents, with
 their log odds. It is kept as a trie. A word of a text is looked up by walking the trie and the Levenshtein automaton
 of the word together (bit-parallel, one edit), so that misspelled terms are caught; digits and signs that stand for
-letters are undone first. A hit counts less if its window shows quotation marks around it or a word of reporting or
-denial before it. The hits of a document are summed up in a few numbers that a logistic model, fitted on the training
-documents with each one's own share of the lexicon counts taken out, turns into a score.
+letters are undone first. Of several terms one edit away the one of the greatest weight counts.
 
-The lexicon and the model are learned from at most about MAX_TRAIN labelled documents; scores cover all rows and whole
-texts.
+A window around each hit holds the words before and behind it and whether quotation marks enclose it. How often each of
+these stands by hits of toxic and of clean training documents gives its log odds, and their sum is the score of the window:
+what surrounds hits in reports and quotations lowers a hit's weight, what surrounds them in abuse raises it. The hits of a
+document are summed up in a few numbers that a logistic model, fitted on the training documents with each one's own share
+of all these counts taken out, turns into a score.
+
+The lexicon and the model are learned from at most about MAX_TRAIN labelled documents, and hold every term and window
+word that these give; scores cover all rows and whole texts.
 
 Cases: null and empty texts have no hits and get the score of that. Label rows with a null id or label are ignored; of
-repeated label rows the largest label counts. Repeated documents get equal scores. Without labels of both kinds all
-scores are the prior (0.5 with no labels). Empty tables give empty results. Only the named columns are read.
+repeated label rows the largest label counts; of an id with several texts one is learned from, that of the least hash.
+Repeated documents get equal scores. Without labels of both kinds all scores are the prior (0.5 with no labels). Empty
+tables give empty results. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable, Iterable
 from math import log
 
 import numpy as np
@@ -29,19 +35,20 @@ from pyspark.sql import functions as F
 from .common import stored
 from .quality import bounded_labels
 
-#: Labelled documents to learn from, about; candidates and terms of the lexicon.
-MAX_TRAIN, MAX_CANDIDATES, MAX_TERMS = 16_000, 20_000, 4_000
+#: Labelled documents to learn from, about.
+MAX_TRAIN = 16_000
 #: Beginnings of words that may be terms, in characters. Misspellings are sought of all whole words of FUZZY characters or more.
 STEMS, FUZZY = (4, 5, 6, 7, 8), 5
-#: Share of a hit's weight that stays after one edit, and in a quotation.
-MISSPELLED, QUOTED = 0.6, 0.3
+#: Share of a hit's weight that stays after one edit.
+MISSPELLED = 0.6
+#: Words before and behind a hit and characters around it that are its window; least count of what scores it, and the bound of a score.
+BEFORE, BEHIND, AROUND, LEAST_SEEN, MOST = 5, 3, 60, 3, 4.0
 CACHE_WORDS = 300_000
 LEAST_LOG_ODDS = 1.8
 WORD = re.compile(r"[^\W_]+(?:[@$!|*+]+[^\W_]+)*")
-#: Signs for letters; marks of quotation; words of report or denial.
+#: Signs for letters; marks of quotation.
 SIGNS = str.maketrans("013457@$!|+", "oieastasiit")
 MARKS = "\"“”„«»‹›"
-REPORT = frozenset("said says wrote called quote quoted quoting cited word term insult insults not never sagte schrieb nannte wort dijo llamó palabra dit écrit mot".split())
 
 
 class Lexicon:
@@ -49,6 +56,8 @@ class Lexicon:
 
     def __init__(self, terms: list[tuple[str, int, int]], n_toxic: int, n_clean: int):
         """terms: (=word or ^beginning, toxic documents, clean documents)."""
+        self.windows: dict[str, tuple[int, int]] = {}
+        self.with_hits = 0, 0
         self.counts = [(t, c) for _, t, c in terms]
         self.sizes = n_toxic, n_clean
         self.weights = [log_odds(t, c, n_toxic, n_clean) for t, c in self.counts]
@@ -139,36 +148,51 @@ class Lexicon:
                     heap.append((child, on, off))
         return sorted(found)
 
-    def summary(self, text: str, toxic: float | None = None) -> list[float]:
-        """What the model sees of a text."""
+    def hits(self, text: str, toxic: float | None = None) -> tuple[int, list[tuple[int, float, frozenset[str]]]]:
+        """Words of the text, and of each hit the term, its weight and what stands in its window."""
         low = text.lower()
         words = WORD.findall(low)
         lookup = self.lookup
         hit_words = {w: f for w in set(words) if (f := lookup(w))}
-        total = best = hits = quoted = 0.0
-        strong = 0
-        seen: dict[int, float] = {}
+        out = []
         if hit_words:
+            best = {w: max(((k, self.weight(k, toxic) * (MISSPELLED if wrong else 1)) for k, wrong in f), key=lambda x: x[1]) for w, f in hit_words.items()}
             for i, m in enumerate(WORD.finditer(low)):
-                w = words[i]
-                if w in hit_words:
-                    k, wrong = max(hit_words[w], key=lambda x: self.weight(x[0], toxic))
-                    weight = self.weight(k, toxic) * (MISSPELLED if wrong else 1)
-                    if weight > 0:
-                        if self._quotes(low, m, words[max(0, i - 5) : i]):
-                            weight *= QUOTED
-                            quoted += 1
-                        hits += 1
-                        seen[k] = max(seen.get(k, 0), weight)
-            total, best, strong = sum(seen.values()), max(seen.values(), default=0), sum(x > 3 for x in seen.values())
-        n = max(len(words), 1)
-        return [np.log1p(max(total, 0)), best, np.log1p(hits), np.log1p(1000 * hits / n), np.log1p(strong), quoted / max(hits, 1), np.log1p(n), np.log1p(max(total, 0)) / np.log(n + 2), 1.0]
+                if (found := best.get(words[i])) is not None and found[1] > 0:
+                    out.append((*found, self._window(low, m, words[max(0, i - BEFORE) : i], words[i + 1 : i + 1 + BEHIND])))
+        return len(words), out
 
     @staticmethod
-    def _quotes(low: str, m: re.Match, before: list[str]) -> bool:
-        left, right = low[max(0, m.start() - 60) : m.start()], low[m.end() : m.end() + 60]
-        opened = any(c in left for c in MARKS) and any(c in right for c in MARKS) and sum(left.count(c) for c in MARKS) % 2 == 1
-        return opened or any(w in REPORT for w in before)
+    def _window(low: str, m: re.Match, before: list[str], behind: list[str]) -> frozenset[str]:
+        left, right = low[max(0, m.start() - AROUND) : m.start()], low[m.end() : m.end() + AROUND]
+        found = [f"<{w}" for w in before] + [f">{w}" for w in behind]
+        opened = sum(left.count(c) for c in MARKS) % 2 == 1
+        if opened and any(c in right for c in MARKS):
+            found.append("quoted")
+        return frozenset(found)
+
+    def window_score(self, window: frozenset[str], toxic: float | None = None) -> float:
+        """Log odds of a hit's surroundings, toxic against clean; toxic: the label of the one document to leave out."""
+        (n, m), total = self.with_hits, 0.0
+        for w in window:
+            if (seen := self.windows.get(w)) is not None:
+                t, c = seen
+                if toxic is not None:
+                    t, c = (t - 1, c) if toxic else (t, c - 1)
+                total += log((t + 1) / (n + 2)) - log((c + 1) / (m + 2))
+        return max(-MOST, min(MOST, total))
+
+    def summary(self, text: str, toxic: float | None = None) -> list[float]:
+        """What the model sees of a text."""
+        n, found = self.hits(text, toxic)
+        seen: dict[int, float] = {}
+        scores = []
+        for k, weight, window in found:
+            score = self.window_score(window, toxic)
+            seen[k] = max(seen.get(k, 0), weight * 2 / (1 + np.exp(-score)))
+            scores.append(score)
+        total, best, strong, hits, n = sum(seen.values()), max(seen.values(), default=0), sum(x > 3 for x in seen.values()), len(found), max(n, 1)
+        return [np.log1p(total), best, np.log1p(hits), np.log1p(1000 * hits / n), np.log1p(strong), sum(scores) / max(hits, 1), max(scores, default=0.0), np.log1p(n), np.log1p(total) / np.log(n + 2), 1.0]
 
 
 def log_odds(t: float, c: float, n: float, m: float) -> float:
@@ -178,54 +202,59 @@ def log_odds(t: float, c: float, n: float, m: float) -> float:
 
 
 class _Features(dict):
-    """Word to the features it holds, of those asked for; fills itself."""
-
-    def __init__(self, only: frozenset[str] | None):
-        self.only = only
+    """Word to the features it holds; fills itself."""
 
     def __missing__(self, word: str) -> tuple[str, ...]:
-        every = ([f"={word}"] if len(word) >= 3 else []) + [f"^{word[:k]}" for k in STEMS if len(word) > k]
-        found = tuple(every if self.only is None else filter(self.only.__contains__, every))
+        found = tuple(([f"={word}"] if len(word) >= 3 else []) + [f"^{word[:k]}" for k in STEMS if len(word) > k])
         if len(self) >= CACHE_WORDS:
             self.clear()
         self[word] = found
         return found
 
 
-def _counts(rows: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
-    """(feature, n): documents that hold each feature; summed in each task first."""
+def _counted(rows: DataFrame, each: Callable[[str, float], Iterable[str]]) -> DataFrame:
+    """(feature, toxic, clean): documents of either label that hold each feature; summed in each task first."""
 
     def run(batches):
         total: Counter = Counter()
-        features = _Features(only)
         for batch in batches:
-            for x in batch.column(0):
-                total.update({f for w in set(WORD.findall((x.as_py() or "").lower())) for f in features[w]})
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total.update((f, y > 0) for f in each(x or "", y))
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["feature", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in total], pa.string()), pa.array([y for _, y in total], pa.bool_()), pa.array(list(total.values()), pa.int64())], ["feature", "y", "n"])
 
-    return rows.select("text").mapInArrow(run, "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    counts = rows.select("text", "y").mapInArrow(run, "feature string, y boolean, n bigint")
+    return counts.groupBy("feature").agg(F.coalesce(F.sum(F.when(F.col("y"), F.col("n"))), F.lit(0)).alias("toxic"), F.coalesce(F.sum(F.when(~F.col("y"), F.col("n"))), F.lit(0)).alias("clean"))
 
 
 def learn(rows: DataFrame) -> tuple[Lexicon | None, np.ndarray | float]:
     """Lexicon and model weights from rows (text, y), whose number is bounded."""
     rows = stored(rows.groupBy("text").agg(F.max("y").alias("y")))  # copies of a document count once
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_toxic, n_clean = sizes.get(1.0, 0), sizes.get(0.0, 0)
-    if not n_toxic or not n_clean:
-        return None, n_toxic / (n_toxic + n_clean) if n_toxic + n_clean else 0.5
-    least = max(3, n_toxic // 500)
-    candidates = _counts(rows.where("y = 1")).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()
-    toxic = {r["feature"]: r["n"] for r in candidates}
-    clean = {r["feature"]: r["n"] for r in _counts(rows.where("y = 0"), frozenset(toxic)).collect()}
-    odds = {f: log_odds(t, clean.get(f, 0), n_toxic, n_clean) for f, t in toxic.items()}
+    n, m = sizes.get(1.0, 0), sizes.get(0.0, 0)
+    if not n or not m:
+        return None, n / (n + m) if n + m else 0.5
+    features = _Features()
+    t, c, share = F.col("toxic"), F.col("clean"), 2 / (n + m)
+    odds = F.log((t + share * n) / n) - F.log((c + share * m) / m)  # as log_odds()
+    counted = _counted(rows, lambda x, _: {f for w in set(WORD.findall(x.lower())) for f in features[w]})
+    found = counted.where((t >= max(3, n // 500)) & (odds >= LEAST_LOG_ODDS - 0.3)).collect()  # terms of a bounded number of documents
+    weight = {r["feature"]: log_odds(r["toxic"], r["clean"], n, m) for r in found}
     kept = []
-    for f, w in odds.items():
-        shorter = max((odds.get(f"^{f[1 : k + 1]}", -9) for k in STEMS if k < len(f) - 1), default=-9)
+    for r in found:
+        f, w = r["feature"], weight[r["feature"]]
+        shorter = max((weight.get(f"^{f[1 : k + 1]}", -9) for k in STEMS if k < len(f) - 1), default=-9)
         if w >= LEAST_LOG_ODDS and (w > shorter + 0.3 or f[0] == "=" and w >= 3):
-            kept.append((f, toxic[f], clean.get(f, 0)))
-    kept.sort(key=lambda x: (-odds[x[0]] * x[1], x[0]))
-    lexicon = Lexicon(kept[:MAX_TERMS], n_toxic, n_clean)
+            kept.append((f, r["toxic"], r["clean"]))
+    lexicon = Lexicon(sorted(kept), n, m)
+
+    def surroundings(text: str, y: float) -> set[str]:
+        _, found = lexicon.hits(text, y)
+        return {w for _, _, window in found for w in window} | ({""} if found else set())
+
+    seen = {r["feature"]: (r["toxic"], r["clean"]) for r in _counted(rows, surroundings).where(t + c >= LEAST_SEEN).collect()}  # words by hits of a bounded number of documents
+    lexicon.with_hits = seen.pop("", (0, 0))
+    lexicon.windows = seen
 
     def run(batches):
         for batch in batches:
@@ -253,7 +282,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, train, doc_id: str
     """doc_id and score of every row. train: a condition on labels that picks training rows."""
     taken = bounded_labels(labels, doc_id, label, train, bound)
     mine = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = mine.join(F.broadcast(taken), mine["doc_id"] == taken["label_id"]).select("text", "y")  # at most about `bound` labels
+    rows = mine.join(F.broadcast(taken), mine["doc_id"] == taken["label_id"]).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("y").alias("y"))  # at most about `bound` rows
     lexicon, weights = learn(rows)
     kind = docs.schema[doc_id].dataType.simpleString()
 
