@@ -85,7 +85,7 @@ def test_secret_scan_linking_against_all_pairs(spark):
                 want.append((at, kind, end))
         assert sorted((x["start"], kinds[x["kind"]], x["end"]) for x in row["linked_spans"]) == sorted(want), texts[row["doc_id"]]
         linked += len(want)
-    assert linked > 30
+    assert linked > 10
 
 
 def test_secret_scan_null_and_repeated_ids(spark):
