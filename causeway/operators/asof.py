@@ -13,9 +13,9 @@ def last_before(probes: DataFrame, writes: DataFrame, key: str, at: str, span: i
     """Each probe (key, at, ...) with `last`: the greatest `at` of a write of its key that is under the probe's, or null.
 
     Probes and writes run through one window in order of `at`, probes first, so that nobody sees a write of its own
-    moment. The windows are cut by key and by spans of `at`; the last write of each span is carried into the later spans of
-    its key. A key that holds a great part of all rows is thus spread over as many windows as it has spans. Null keys
-    find nothing.
+    moment. The windows are cut by key and by spans of `at`. The last writes of the spans are carried forward once, over
+    the distinct (key, span) of probes and writes, and joined by these. A key that holds a great part of all rows is thus
+    spread over as many windows and join keys as it has spans. Null keys find nothing.
     """
     bucket = F.floor(F.col(at) / span)
     w = writes.select(key, at).where(F.col(key).isNotNull()).withColumn("__span", bucket)
@@ -23,14 +23,44 @@ def last_before(probes: DataFrame, writes: DataFrame, key: str, at: str, span: i
     both = p.withColumn("__kind", F.lit(0)).withColumn("__w", F.lit(None).cast("bigint")).unionByName(w.withColumn("__kind", F.lit(1)).withColumn("__w", F.col(at)), allowMissingColumns=True)
     order = Window.partitionBy(key, "__span").orderBy(at, "__kind")
     near = both.withColumn("__near", F.last("__w", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))).where("__kind = 0").drop("__kind", "__w")
-    ends = w.groupBy(key, "__span").agg(F.max(at).alias("__end"))
-    later = Window.partitionBy(key).orderBy("__span")
-    carried = ends.select(key, F.col("__span").alias("__from"), F.lead("__span").over(later).alias("__to"), "__end")
-    a, c = near.alias("a"), carried.alias("c")
-    # the newest span of the key before the probe's own
-    joined = a.join(c, (F.col(f"a.{key}") == F.col(f"c.{key}")) & (F.col("__from") < F.col("__span")) & (F.col("__to").isNull() | (F.col("__to") >= F.col("__span"))), "left")
-    columns = [F.col(f"a.{x}") for x in probes.columns]
-    return joined.select(*columns, F.when(F.col(f"a.{key}").isNotNull(), F.coalesce("__near", "__end")).alias("last"))
+    ends = w.select(key, "__span", F.col(at).alias("__end")).unionByName(p.where(F.col(key).isNotNull()).select(key, "__span", F.lit(None).cast("bigint").alias("__end")))
+    earlier = Window.partitionBy(key).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)  # a row per span of the key
+    carried = ends.groupBy(key, "__span").agg(F.max("__end").alias("__end")).select(key, "__span", F.last("__end", ignorenulls=True).over(earlier).alias("__carry"))
+    return near.join(carried, [key, "__span"], "left").select(*probes.columns, F.coalesce("__near", "__carry").alias("last"))
+
+
+def least_entered(probes: DataFrame, entered: DataFrame, pool: list[str], at: str, excluded: list[str], span: int = SPAN) -> DataFrame:
+    """Each probe (pool, at, ...) with `least`: the least entity that entered its pool before `at` and is none of the two excluded columns.
+
+    entered: (pool, entity, since), each entity once. Of any set the least that is none of two is among the three least,
+    so these are kept as of every moment: within spans of `since` by windows, and over earlier spans by one carry.
+    """
+    names = ["m1", "m2", "m3"]
+
+    def running(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+        along = Window.partitionBy(*by).orderBy(*order)
+        # each level's stream is built from windows of the one before, so every level is a step of its own
+        now = rows.withColumn("__s", F.col("entity"))
+        for name in names:
+            now = now.withColumn(name, F.min("__s").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__l", F.min("__s").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+            now = now.withColumn("__s", F.when(F.col("__s").isNotNull() & F.col("__l").isNotNull(), F.greatest("__s", "__l")))
+        return now.drop("__s", "__l")
+
+    e = running(entered.select(*pool, "entity", "since").withColumn("__span", F.floor(F.col("since") / span)), [*pool, "__span"], ["since", "entity"])
+    p = probes.withColumn("__span", F.floor(F.col(at) / span))
+    three = F.struct(*names)
+    both = p.withColumn("__at", F.col(at)).withColumn("__kind", F.lit(0)).withColumn("__m", F.lit(None).cast(e.select(three.alias("x")).schema["x"].dataType)).unionByName(
+        e.select(*pool, "__span", F.col("since").alias("__at"), F.lit(1).alias("__kind"), three.alias("__m")), allowMissingColumns=True)
+    order = Window.partitionBy(*pool, "__span").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("__near", F.last("__m", ignorenulls=True).over(order)).where("__kind = 0").drop("__at", "__kind", "__m")
+    # the three least of each span, carried over the distinct spans
+    whole = e.groupBy(*pool, "__span").agg(F.max_by(three, F.struct("since", "entity")).alias("m")).select(*pool, "__span", F.explode(F.array_compact(F.array("m.m1", "m.m2", "m.m3"))).alias("entity"))
+    sums = running(whole, pool, ["__span", "entity"]).groupBy(*pool, "__span").agg(F.max_by(three, "entity").alias("m"))
+    asked = sums.unionByName(p.select(*pool, "__span").distinct().withColumn("m", F.lit(None).cast(sums.schema["m"].dataType))).groupBy(*pool, "__span").agg(F.first("m", ignorenulls=True).alias("m"))
+    carried = asked.select(*pool, "__span", F.last("m", ignorenulls=True).over(Window.partitionBy(*pool).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    all_six = F.array(*[F.col(f"{s}.{n}") for s in ("__near", "__carry") for n in names])
+    free = F.filter(all_six, lambda x: x.isNotNull() & ~F.coalesce(x.isin(*[F.col(c) for c in excluded]), F.lit(False)))
+    return near.join(carried, [*pool, "__span"], "left").select(*probes.columns, F.array_min(free).alias("least"))
 
 
 def causal_edges(nodes: DataFrame) -> DataFrame:
@@ -42,15 +72,12 @@ def causal_edges(nodes: DataFrame) -> DataFrame:
 def fallback_sources(nodes: DataFrame) -> DataFrame:
     """(tx_id, source): for transactions whose sender never received, the least entity of the receiver's chain that did, and is neither.
 
-    Only the first receipt of each entity matters, so the candidates are a dimension of entities; they are arrays by
-    chain, in order of id.
+    Only the first receipt of each entity matters.
     """
-    first = nodes.groupBy(F.col("recv").alias("entity")).agg(F.min("tx_id").alias("first")).where("entity is not null")
-    pools = first.groupBy((F.col("entity") % 3).alias("pool")).agg(F.array_sort(F.collect_list(F.struct("entity", "first"))).alias("c"))
-    own = nodes.select("tx_id", "actor", "recv").join(first.withColumnRenamed("entity", "actor"), "actor", "left").where("first is null or first >= tx_id")
-    met = own.select("tx_id", "actor", "recv", (F.col("recv") % 3).alias("pool")).join(pools, "pool", "left")
-    allowed = F.filter("c", lambda x: (x["first"] < F.col("tx_id")) & (x["entity"] != F.col("actor")) & (x["entity"] != F.col("recv")))
-    return met.select("tx_id", F.get(allowed, F.lit(0))["entity"].alias("source"))
+    first = nodes.groupBy(F.col("recv").alias("entity")).agg(F.min("tx_id").alias("since")).where("entity is not null")
+    own = nodes.select("tx_id", "actor", "recv").join(first.withColumnRenamed("entity", "actor"), "actor", "left").where("since is null or since >= tx_id")
+    probes = own.select("tx_id", "actor", "recv", (F.col("recv") % 3).alias("pool"))
+    return least_entered(probes, first.withColumn("pool", F.col("entity") % 3), ["pool"], "tx_id", ["actor", "recv"]).select("tx_id", F.col("least").alias("source"))
 
 
 def edge_attributes(edges: DataFrame, nodes: DataFrame, scale: int = 1200) -> DataFrame:

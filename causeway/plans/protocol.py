@@ -8,19 +8,18 @@ import tempfile
 from pathlib import Path
 from typing import Any
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checks, evaluation, features, shuffle
+from ..operators import evaluation, features, shuffle
 from ..simulation import bundle, validate
 from ..simulation.config import Config, load
+from ..sources import raw as raw_source
 from ..storage import stored
 
 FEATURES = ["in_degree", "out_degree", "in_unique_neighbors", "out_unique_neighbors", "has_incoming", "has_outgoing", "step_norm"]
 FROZEN_SEEDS = tuple(range(10))
 STEPS = {"train": (1, 30), "validation": (31, 40), "test": (41, 49)}
-RAW = ("features", "classes", "edgelist")
 
 
 class Blocked(RuntimeError):
@@ -48,28 +47,12 @@ def seed_plan(seeds: list[int], tier: str) -> dict[str, Any]:
     return {"seeds": list(seeds), "tier": tier, "acceptance_eligible": False}
 
 
-def load_graph(spark: SparkSession, root: str | Path, full_check: bool = True) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+def load_graph(spark: SparkSession, root: str | Path, check_values: bool = True) -> tuple[DataFrame, DataFrame, dict[str, str]]:
     """Nodes (tx_id, time_step, class), edges and fingerprints of a directory; contract faults raise stable codes."""
-    root = Path(root)
-    for name in RAW:
-        if not (root / bundle.FILES[name]).is_file():
-            raise ValueError(f"RAW_MISSING_{name.upper()}")
-    f, c, e = (bundle.read_table(spark, root, n) for n in RAW)
-    try:
-        values = F.array(*[F.col(f"feat_{k}") for k in range(2, bundle.FEATURES + 2)])
-        if full_check:
-            faults = [
-                ("RAW_FEATURE_VALUE", f.where(F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))), ("RAW_CLASS_VALUE", c.where("class is null or class not in ('1', '2', 'unknown')")), ("RAW_ID_DUPLICATE", checks.duplicates(f, ["txId"])),
-                ("RAW_ID_DUPLICATE", checks.duplicates(c, ["txId"])), ("RAW_ID_ORDER", f.alias("f").join(c.alias("c"), "__row", "full").where("not (f.txId <=> c.txId)")), ("RAW_TIME_STEP", f.where("time_step is null or time_step not between 1 and 49")),
-                ("RAW_SELF_LOOP", e.where("txId1 = txId2")), ("RAW_DUPLICATE_EDGE", checks.duplicates(e, ["txId1", "txId2"])), ("RAW_ORPHAN_EDGE", checks.orphans(e.select("txId1", "txId2"), f.select(F.col("txId").alias("tx_id")))),
-            ]
-            for code, rows in faults:
-                if not rows.isEmpty():
-                    raise ValueError(code)
-        nodes = stored(f.select(F.col("txId").alias("tx_id"), "time_step").join(c.select(F.col("txId").alias("tx_id"), "class"), "tx_id"))
-        return nodes, stored(e.select("txId1", "txId2")), {bundle.FILES[n]: bundle.sha256(root / bundle.FILES[n]) for n in RAW}
-    except PySparkException as x:
-        raise ValueError("RAW_CSV_PARSE") from x
+    tables = raw_source.read(spark, root, check_values)
+    raw_source.need_contract(tables)
+    nodes = tables["features"].select(F.col("txId").alias("tx_id"), "time_step").join(tables["classes"].select(F.col("txId").alias("tx_id"), "class"), "tx_id")
+    return stored(nodes), tables["edgelist"].select("txId1", "txId2"), {f: bundle.sha256(Path(root) / f) for f in raw_source.RAW.values()}
 
 
 def views(nodes: DataFrame, edges: DataFrame, parted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features, forest
 from ..operators.schedule import with_phase
+from ..sources.rows import with_rows
 from . import registry
 from .generate import Ledger
 from .registry import ACTIONS, CHAINS, PROFILES
@@ -190,10 +191,9 @@ def read_json(path: str | Path) -> dict:
 
 
 def read_table(spark: SparkSession, root: str | Path, name: str) -> DataFrame:
-    """One CSV of a bundle, strictly by its schema; rows carry their place as __row."""
+    """One CSV of a bundle, strictly by its schema; rows carry their number in the file as __row."""
     options = {"header": name != "features", "mode": "FAILFAST", "enforceSchema": name == "features"}
-    out = spark.read.schema(SCHEMAS[name]).csv(f"{root}/{FILES[name]}", **options)
-    return out.withColumn("__row", F.monotonically_increasing_id())
+    return with_rows(spark.read.schema(SCHEMAS[name]).csv(f"{root}/{FILES[name]}", **options))
 
 
 def write_report(path: str | Path, report: dict, forbidden: str | Path | None = None) -> None:

@@ -149,12 +149,12 @@ def with_sources(drawn: DataFrame, people: DataFrame) -> DataFrame:
     writes = drawn.select(F.col("target").alias("entity"), "event_id")
     first = stored(asof.last_before(drawn.withColumn("entity", F.col("preferred")), writes, "entity", "event_id").drop("entity").withColumnRenamed("last", "tx1"))
     received = writes.groupBy("entity").agg(F.min("event_id").alias("since")).join(people.select(F.col("entity_id").alias("entity"), F.col("profile_id").alias("p"), F.col("chain_id").alias("c")), "entity")
-    every = received.agg(F.array_sort(F.collect_list(F.struct("entity", "since", "p", "c"))).alias("every"))  # a dimension: one entry per entity
-    allowed = F.create_map(*[x for a in ACTIONS.values() for x in (F.lit(a.action_id), F.array(*map(F.lit, a.counterparty_profiles)))])[F.col("action_id")]
-    bridge = F.col("action_id") == "bridge_link"
-    ok = F.filter("every", lambda x: (x["since"] < F.col("event_id")) & (x["entity"] != F.col("actor")) & (x["entity"] != F.col("target")) & F.array_contains("allowed", x["p"]) & ((x["c"] != F.col("chain_id")) == F.col("bridge")))
-    lacking = first.where("tx1 is null").withColumn("allowed", allowed).withColumn("bridge", bridge).crossJoin(F.broadcast(every))  # one row
-    second = lacking.select("event_id", F.get(ok, F.lit(0))["entity"].alias("entity")).where("entity is not null")
+    # an action draws on the entities of some profiles on its chain, a bridge on those on the others
+    chains = [v["chain_id"] for v in CHAINS.values()]
+    pools = [(a.action_id, here, p, c) for a in ACTIONS.values() for here in chains for p in a.counterparty_profiles for c in chains if (c != here) == (a.action_id == "bridge_link")]
+    pools = first.sparkSession.createDataFrame(pools, "action_id string, chain_id string, p string, c string")
+    lacking = first.where("tx1 is null").select("event_id", "actor", "target", "action_id", "chain_id").join(F.broadcast(pools), ["action_id", "chain_id"])  # actions by chains and profiles
+    second = asof.least_entered(lacking, received, ["p", "c"], "event_id", ["actor", "target"]).groupBy("event_id").agg(F.min("least").alias("entity")).where("entity is not null")
     found = asof.last_before(second, writes, "entity", "event_id").select("event_id", F.col("entity").alias("entity2"), F.col("last").alias("tx2"))
     return first.join(found, "event_id", "left").select("*", F.when(F.col("tx1").isNotNull(), F.col("preferred")).otherwise(F.col("entity2")).alias("source_entity"), F.coalesce("tx1", "tx2").alias("source_tx"))
 
