@@ -12,6 +12,8 @@ from ..storage import shared_dir, stored  # noqa: F401
 
 #: Keys that hold at least this part of all rows are hot: there are at most as many of them.
 HOT = 1024
+#: Bits of the bitmaps that keep rows without a partner out of a shuffle.
+BITMAP_BITS = 25
 #: Byte map of A-Z to a-z; every other byte stays.
 LOWER_AZ = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -35,28 +37,38 @@ def packed(docs: DataFrame, **keys: Column) -> DataFrame:
     return docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
 
 
+def flagged(rows: DataFrame, marks: DataFrame, key: list[str], name: str = "flag") -> DataFrame:
+    """rows with whether their key may be one of marks: false for most that are not, never for one that is.
+
+    The marks are a bitmap of 2**BITMAP_BITS bits by a hash of the key, whatever their number, which is broadcast.
+    """
+    place = F.pmod(F.xxhash64(*key), F.lit(1 << BITMAP_BITS))
+    page, bit = F.shiftright(place, 15).cast("int"), place.bitwiseAND(F.lit((1 << 15) - 1))
+    pages = marks.select(page.alias("__page"), bit.alias("__bit")).repartition("__page").groupBy("__page").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    placed = rows.withColumn("__page", page).withColumn("__bit", bit).join(F.broadcast(pages), "__page", "left")  # 2**(BITMAP_BITS - 15) pages of 4 KB
+    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright("__bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    one = F.call_function("shiftright", byte, F.col("__bit").bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return placed.select(*[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns], F.coalesce(one, F.lit(False)).alias(name))
+
+
 def joined_by_key(rows: DataFrame, keyed: DataFrame, key: list[str], n: str = "n") -> DataFrame:
     """rows joined with keyed, which has each key once and in `n` how many rows have it; both are stored tables.
 
-    A key with at least 1/HOT of the rows, of which there are at most HOT, is broadcast, so its rows stay where they are.
+    A key with at least 1/HOT of the rows, of which there are at most HOT, is broadcast, so its rows stay where they are;
+    so do most rows without a partner.
     """
     total = keyed.agg(F.sum(n)).first()[0] or 0
     hot = F.col(n) * HOT >= total
     top = keyed.where(hot)  # at most HOT rows
-    rest = rows.join(F.broadcast(top.select(*key)), key, "left_anti")
+    rest = flagged(rows, keyed.where(~hot), key, "__may").where("__may").drop("__may")
     return rows.join(F.broadcast(top), key).unionByName(rest.join(keyed.where(~hot), key))
 
 
-def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function of one record batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = each(batch)
-            if out is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that a task holds few texts as objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -12,7 +12,7 @@ repetition. Selected positions overlap in their windows, so the matches of neigh
 run; its lines are deleted, and its first occurrence stays. Positions are judged on the input, not on what is left.
 
 All occurrences meet their first one through a combined minimum, never each other. Lines that hold a large part of all
-positions are joined without a shuffle.
+positions are joined without a shuffle, and texts without a repeated run are not shuffled at all.
 
 Cases: null and empty texts have no lines and stay as they are. Ids may be of any type that has an order. Rows equal in id
 and text are one document; rows of one id and different texts are ordered by a hash of the text. Rows without an id come
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound, column, joined_by_key, packed, stored
+from .common import bound, column, flagged, joined_by_key, packed, stored
 
 #: Lines of a repeated run, and characters of a line that is one by itself.
 WINDOW, LONG = 3, 200
@@ -80,10 +80,13 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(row, kept, n_lines, n_removed): every row of docs as a struct, its text freed of repeated runs, and its lines counted."""
-    gone = repeated_lines(docs, doc_id, text).alias("g")
+    gone = stored(repeated_lines(docs, doc_id, text))
     whole = column(docs, text)
-    mine = packed(docs, id=column(docs, doc_id), t=F.xxhash64(F.coalesce(whole, F.lit(""))), text=whole).alias("d")
-    joined = mine.join(gone, F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.t") == F.col("g.t")), "left").select("row", "text", "lines")
+    mine = packed(docs, id=column(docs, doc_id), t=F.xxhash64(F.coalesce(whole, F.lit(""))), text=whole)
+    mine = flagged(mine, gone, ["id", "t"])
+    same = F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.t") == F.col("g.t"))
+    changed = mine.where("flag").alias("d").join(gone.alias("g"), same, "left").select("row", "text", "lines")
+    joined = changed.unionByName(mine.where("not flag").select("row", "text", F.lit(None).cast("array<int>").alias("lines")))
     cut = bound(_lines(F.col("text")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("lines")), lambda i: F.get(x, i)), "\n"))
     n_lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(_lines(F.col("text"))))
     return joined.select("row", F.when(F.col("lines").isNull(), F.col("text")).otherwise(cut).alias("kept"), n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_removed"))
