@@ -457,13 +457,4 @@ def edge_shuffle(spark, d):
     return shuffle.shuffled(evaluation.partition_edges(edges, nodes), {"train": 0, "validation": 1, "test": 3})
 
 
-@query()
-def generated_events(spark, d):
-    """A ledger of 1,000 transactions over the event table's volume by step."""
-    from ..simulation.config import Config
-    from ..simulation.generate import generate
-
-    volume = _nodes(spark, d).groupBy(F.col("time_step").alias("step")).agg(F.count(F.lit(1)).alias("weight"))
-    every = spark.range(1, 50).select(F.col("id").cast("int").alias("step")).join(volume, "step", "left").fillna(0)
-    quotas = {"ordinary_wallet": (12, 400), "exchange_hub": (3, 120), "miner_payout": (4, 80), "wallet_provider": (4, 100), "individual": (18, 180), "mixer": (3, 60), "wash_round_trip": (3, 60)}
-    return generate(spark, Config(n_txs=1000, quotas=quotas), every).events
+from . import ledger_queries  # noqa: E402, F401  registers its queries

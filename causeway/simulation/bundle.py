@@ -133,18 +133,44 @@ def manifest(ledger: Ledger, attrs: DataFrame, out: Path) -> dict:
     }
 
 
+def node_records(ledger: Ledger) -> DataFrame:
+    """Nodes with chain_key, native_tx_id and native_entity_id, that of the first participant on the node's chain."""
+    keys = F.create_map(*[F.lit(x) for k, v in CHAINS.items() for x in (v["chain_id"], k)])
+    people = ledger.entities.select(F.col("entity_id").alias("e"), F.col("chain_id").alias("ec"), "native_entity_id")
+    native = ledger.nodes.select("tx_id", "chain_id", F.explode("entity_ids").alias("e")).join(people, "e").where("ec = chain_id").groupBy("tx_id").agg(F.min_by("native_entity_id", "e").alias("native_entity_id"))
+    return ledger.nodes.join(native, "tx_id", "left").withColumn("chain_key", keys[F.col("chain_id")]).withColumn("native_tx_id", registry.native_tx_id(ledger.config.seed, F.col("tx_id"), F.col("chain_id")))
+
+
+def edge_records(ledger: Ledger) -> DataFrame:
+    """Edges with the chains of both ends."""
+    ends = ledger.nodes.select(F.col("tx_id").alias("txId1"), F.col("chain_id").alias("source_chain_id"))
+    return ledger.edges.join(ends, "txId1").select(
+        "edge_id", "event_id", "txId1", "txId2", "source_chain_id", F.col("chain_id").alias("target_chain_id"), "kind", "role", (F.col("amount_minor") / 100).alias("csv_amount"), "timestamp", F.lit(None).cast("bigint").alias("native_amount_minor"), "bridge_id")
+
+
+def bridge_records(ledger: Ledger) -> DataFrame:
+    """Bridge events with their edge, if they have one, and the chains of actor and target."""
+    people = ledger.entities.select(F.col("entity_id").alias("actor_entity_id"), F.col("chain_id").alias("source_chain_id"))
+    found = ledger.events.where("bridge_id is not null").join(ledger.edges.select("event_id", "edge_id"), "event_id", "left").join(people, "actor_entity_id")
+    return found.select("bridge_id", "event_id", "edge_id", "source_chain_id", F.col("chain_id").alias("target_chain_id"))
+
+
+def drift_counts(ledger: Ledger) -> DataFrame:
+    """(phase_id, kind, v, n): nodes of each phase by class, profile and chain, zeros too."""
+    c = ledger.config
+    kinds = [("class", "cls", ("illicit", "licit", "unknown")), ("profile", "scheme", sorted(c.quotas)), ("chain", "chain_id", sorted(x["chain_id"] for x in CHAINS.values()))]
+    keys = ledger.nodes.sparkSession.createDataFrame([(p["phase_id"], kind, v) for p in c.phases for kind, _, values in kinds for v in values], "phase_id string, kind string, v string")
+    phased = with_phase(ledger.nodes.withColumnRenamed("time_step", "step"), c.phases)
+    seen = phased.select("phase_id", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(column).alias("v")) for kind, column, _ in kinds])).alias("x")).groupBy("phase_id", "x.kind", "x.v").agg(F.count(F.lit(1)).alias("n"))
+    return keys.join(seen, ["phase_id", "kind", "v"], "left").fillna(0)
+
+
 def behavior(ledger: Ledger) -> dict:
     """The behavior block: profiles, tables, realized drift, chain metadata and the constant sections."""
-    c, nodes = ledger.config, ledger.nodes
-    keys = {v["chain_id"]: k for k, v in CHAINS.items()}
-    people = ledger.entities.select(F.col("entity_id").alias("e"), F.col("chain_id").alias("ec"), "native_entity_id")
-    native = nodes.select("tx_id", "chain_id", F.explode("entity_ids").alias("e")).join(people, "e").where("ec = chain_id").groupBy("tx_id").agg(F.min_by("native_entity_id", "e").alias("native_entity_id"))
-    listed = _rows(nodes.join(native, "tx_id", "left").select("tx_id", "scheme", "role", "entity_ids", "chain_id", "native_entity_id", registry.native_tx_id(c.seed, F.col("tx_id"), F.col("chain_id")).alias("native_tx_id")), "tx_id")
-    ends = nodes.select("tx_id", F.col("chain_id").alias("end_chain"))
-    edges = ledger.edges.join(ends.select(F.col("tx_id").alias("txId1"), F.col("end_chain").alias("source_chain_id")), "txId1")
-    bridges = ledger.events.where("bridge_id is not null").join(ledger.edges.select("event_id", "edge_id"), "event_id", "left").join(people.select(F.col("e").alias("actor_entity_id"), F.col("ec").alias("source_chain_id")), "actor_entity_id")
-    counts = with_phase(nodes.select("cls", "scheme", "chain_id", F.col("time_step").alias("step")), c.phases).groupBy("phase_id", "cls", "scheme", "chain_id").agg(F.count(F.lit(1)).alias("n")).collect()  # phases by classes, profiles and chains
-    total = lambda phase, **by: sum(r["n"] for r in counts if r["phase_id"] == phase and all(r[k] == v for k, v in by.items()))
+    c = ledger.config
+    listed = _rows(node_records(ledger), "tx_id")
+    counts = {(r["phase_id"], r["kind"], r["v"]): r["n"] for r in drift_counts(ledger).collect()}  # phases by classes, profiles and chains
+    histogram = lambda phase, kind: {v: counts[phase, kind, v] for v in sorted(v for p, k, v in counts if (p, k) == (phase, kind))}
     return {
         "contract_version": "behavior.p0.v1",
         "behavioral_profiles": {"registry_version": 1, "registry_sha256": registry.digest(), "nodes": [
@@ -153,12 +179,11 @@ def behavior(ledger: Ledger) -> dict:
              "entity_ids": r["entity_ids"], "chain_id": r["chain_id"]} for r in listed]},
         "entities": _rows(ledger.entities, "entity_id"), "events": _rows(ledger.events, "event_id"), "instances": _rows(ledger.instances, "instance_id"),
         "drift_schedule": {"schema_version": "1.0.0", "configured": {"phases": c.phases}, "realized": [
-            {"phase_id": p["phase_id"], "step_min": p["step_min"], "step_max": p["step_max"], "node_count": total(p["phase_id"]), "class_counts": {x: total(p["phase_id"], cls=x) for x in ("illicit", "licit", "unknown")},
-             "profile_counts": {x: total(p["phase_id"], scheme=x) for x in sorted(c.quotas)}, "chain_counts": {x: total(p["phase_id"], chain_id=x) for x in sorted(keys)}} for p in c.phases]},
+            {"phase_id": p["phase_id"], "step_min": p["step_min"], "step_max": p["step_max"], "node_count": sum(histogram(p["phase_id"], "class").values()),
+             **{f"{kind}_counts": histogram(p["phase_id"], kind) for kind in ("class", "profile", "chain")}} for p in c.phases]},
         "chain_metadata": {"schema_version": "1.0.0", "identity_scope": "synthetic", "chains": [{"chain_key": k, **v} for k, v in CHAINS.items()],
-            "node_records": [{"txId": r["tx_id"], "chain_id": r["chain_id"], "chain_key": keys[r["chain_id"]], "native_tx_id": r["native_tx_id"], "native_entity_id": r["native_entity_id"], "native_id_is_synthetic": True} for r in listed],
-            "edge_records": _rows(edges.select("edge_id", "event_id", "txId1", "txId2", "source_chain_id", F.col("chain_id").alias("target_chain_id"), "kind", "role", (F.col("amount_minor") / 100).alias("csv_amount"), "timestamp", F.lit(None).cast("bigint").alias("native_amount_minor"), "bridge_id"), "edge_id"),
-            "bridge_records": _rows(bridges.select("bridge_id", "event_id", "edge_id", "source_chain_id", F.col("chain_id").alias("target_chain_id")), "event_id")},
+            "node_records": [{"txId": r["tx_id"], "chain_id": r["chain_id"], "chain_key": r["chain_key"], "native_tx_id": r["native_tx_id"], "native_entity_id": r["native_entity_id"], "native_id_is_synthetic": True} for r in listed],
+            "edge_records": _rows(edge_records(ledger), "edge_id"), "bridge_records": _rows(bridge_records(ledger), "event_id")},
         "sanctions_anchor_map": {"schema_version": "1.0.0", "status": "provenance_only", "real_address_payload_loaded": False, "records": []},
         "calibration": {"schema_version": "1.0.0", "status": "not_evaluated", "positive_class": "1", "negative_class": "2", "unknown_policy": "exclude", "score_semantics": "uncalibrated_model_score"},
         "rng_contract": {"generator": "counter-based md5", "namespaces": ["behavior:population", "behavior:schedule", "behavior:transition", "behavior:amount", "behavior:drift"]},

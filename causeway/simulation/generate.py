@@ -85,7 +85,9 @@ def assigned(config: Config, slots: DataFrame) -> DataFrame:
 
 def _pools(spark: SparkSession, people: DataFrame) -> DataFrame:
     """(action_id, profile_id, chain_id, cross, groups): where an actor's counterparties may come from. A few rows per action."""
-    sizes = {(r["profile_id"], r["chain_id"]): r["n"] for r in people.groupBy("profile_id", "chain_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # profiles by chains
+    counted = {(r["profile_id"], r["chain_id"]): r["n"] for r in people.groupBy("profile_id", "chain_id").agg(F.count(F.lit(1)).alias("n")).collect()}  # profiles by chains
+    # the order of the registries, on which draws rely
+    sizes = {(p, c["chain_id"]): counted[p, c["chain_id"]] for p in PROFILES for c in CHAINS.values() if (p, c["chain_id"]) in counted}
     rows = []
     for a in ACTIONS.values():
         for p, chain in sizes:

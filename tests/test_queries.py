@@ -22,7 +22,7 @@ def duck():
 
 
 #: Models, sequential methods and generated tables.
-NO_SQL = {"rf_scores", "sgc_scores", "edge_shuffle", "generated_events"}
+NO_SQL = {"rf_scores", "sgc_scores", "edge_shuffle"}
 
 
 def test_all_have_sql():
