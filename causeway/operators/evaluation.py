@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Partition, first step, last step.
@@ -136,27 +136,78 @@ def scaled(rows: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
     return joined.select(*(((F.col(c) - F.col(f"mean_{c}")) / F.col(f"scale_{c}")).alias(c) if c in columns else F.col(c) for c in rows.columns))
 
 
-def t_two_sided(spark: SparkSession, t: float, df: float) -> float:
-    """Two-sided p-value of Student's t."""
-    if math.isinf(t):
-        return 0.0
-    dist = spark._jvm.org.apache.commons.math3.distribution.TDistribution(float(df))
-    return 2 * dist.cumulativeProbability(-abs(float(t)))
+def two_sided_p(t: Column, df: Column, steps: int = 2000) -> Column:
+    """Two-sided p-value of Student's t: the share of cos(x)**(df - 1) beyond atan(|t| / sqrt(df)), by Simpson's rule.
+
+    Past 12 / sqrt(df) the integrand is nothing in double precision, so the steps are spent before it.
+    """
+    end = F.least(F.lit(math.pi / 2), 12 / F.sqrt(df))
+    start = F.least(F.atan(F.abs(t) / F.sqrt(df)), end)
+
+    def area(low: Column) -> Column:
+        width = (end - low) / steps
+        weight = lambda i: F.when((i == 0) | (i == steps), 1).when(i % 2 == 1, 4).otherwise(2)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda s, i: s + weight(i) * F.pow(F.cos(low + width * i), df - 1)) * width
+
+    return area(start) / area(F.lit(0.0))
 
 
 def paired_effect(rows: DataFrame, delta: str = "delta") -> DataFrame:
-    """n, mean, t and Cohen's dz of paired differences; t and dz are null if there are fewer than two or no spread."""
+    """n, mean, t, Cohen's dz and p of paired differences; t, dz and p are null if there are fewer than two or no spread."""
     s = rows.agg(F.count(delta).alias("n"), F.avg(delta).alias("mean_delta"), F.stddev_samp(delta).alias("sd"))
     ok = (F.col("n") >= 2) & (F.abs("sd") > 1e-8)
-    return s.select("n", "mean_delta", F.when(ok, F.col("mean_delta") / (F.col("sd") / F.sqrt("n"))).alias("t"), F.when(ok, F.col("mean_delta") / F.col("sd")).alias("cohen_dz"))
+    return s.select("n", "mean_delta", F.when(ok, F.col("mean_delta") / (F.col("sd") / F.sqrt("n"))).alias("t"), F.when(ok, F.col("mean_delta") / F.col("sd")).alias("cohen_dz")).withColumn("p", two_sided_p(F.col("t"), F.col("n") - 1))
 
 
 def welch(rows: DataFrame, arm: str, value: str, a: str, b: str) -> DataFrame:
-    """Welch's t, its degrees of freedom and the pooled Cohen's d of two arms."""
+    """Welch's t, its degrees of freedom, the pooled Cohen's d and p of two arms."""
     agg = lambda x, s: [F.count(F.when(F.col(arm) == x, F.col(value))).alias(f"n{s}"), F.avg(F.when(F.col(arm) == x, F.col(value))).alias(f"m{s}"), F.var_samp(F.when(F.col(arm) == x, F.col(value))).alias(f"v{s}")]
     s = rows.agg(*agg(a, "a"), *agg(b, "b"))
     qa, qb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
     ok = (F.col("na") >= 2) & (F.col("nb") >= 2) & (qa + qb > 0)
     df = (qa + qb) ** 2 / (qa**2 / (F.col("na") - 1) + qb**2 / (F.col("nb") - 1))
     pooled = F.sqrt(((F.col("na") - 1) * F.col("va") + (F.col("nb") - 1) * F.col("vb")) / (F.col("na") + F.col("nb") - 2))
-    return s.select("na", "nb", F.when(ok, (F.col("ma") - F.col("mb")) / F.sqrt(qa + qb)).alias("t"), F.when(ok, df).alias("df"), F.when(ok, (F.col("ma") - F.col("mb")) / pooled).alias("cohen_d"))
+    return s.select("na", "nb", F.when(ok, (F.col("ma") - F.col("mb")) / F.sqrt(qa + qb)).alias("t"), F.when(ok, df).alias("df"), F.when(ok, (F.col("ma") - F.col("mb")) / pooled).alias("cohen_d")).withColumn("p", two_sided_p(F.col("t"), F.col("df")))
+
+
+def binary_f1(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """f1 of rows (y, score) at a threshold, 0 where it is undefined, as training compares it."""
+    yes, pred = F.col("y") == 1, F.col("score") >= threshold
+    n = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0))
+    return rows.agg(F.coalesce(2.0 * n(yes & pred) / F.nullif(2 * n(yes & pred) + n(~yes & pred) + n(yes & ~pred), F.lit(0)), F.lit(0.0)).alias("f1"))
+
+
+def clamped_scaler(rows: DataFrame, columns: list[str], least: float = 1e-6) -> DataFrame:
+    """One row of mean_c and scale_c: sample deviation, never under `least`."""
+    sd = lambda c: F.greatest(F.coalesce(F.stddev_samp(c), F.lit(0.0)), F.lit(least))
+    return rows.agg(*(F.avg(c).alias(f"mean_{c}") for c in columns), *(sd(c).alias(f"scale_{c}") for c in columns))
+
+
+def balanced(rows: DataFrame) -> DataFrame:
+    """Labeled rows (y 0 or 1) with `weight`, which makes both classes count alike: all over twice the class."""
+    labeled = rows.where("y is not null")
+    sums = labeled.agg(F.count(F.lit(1)).alias("__all"), F.sum("y").alias("__ones"))
+    of_class = F.when(F.col("y") == 1, F.col("__ones")).otherwise(F.col("__all") - F.col("__ones"))
+    return labeled.crossJoin(F.broadcast(sums)).withColumn("weight", F.col("__all") / (2 * of_class)).drop("__all", "__ones")  # one row
+
+
+def stacked(train: DataFrame, validation: DataFrame) -> DataFrame:
+    """Both views' nodes as one graph's, with the masks of the labeled rows to fit on and to stop by."""
+    labeled = F.col("y").isNotNull()
+    mark = lambda rows, fit: rows.withColumn("fit", labeled & F.lit(fit)).withColumn("judge", labeled & F.lit(not fit))
+    return mark(train, True).unionByName(mark(validation, False))
+
+
+def view_metrics(rows: DataFrame, threshold: float, k: int) -> DataFrame:
+    """per_step() over the steps of the part that the rows' steps lie in; over the steps seen if they lie in several."""
+    bounds = rows.agg(F.min("time_step").alias("a"), F.max("time_step").alias("b")).first()
+    for _, low, high in PARTS:
+        if bounds["a"] is not None and low <= bounds["a"] and bounds["b"] <= high:
+            return per_step(rows, threshold, k, low, high)
+    return confusion(rows, threshold, ["time_step"], k)
+
+
+def over_seeds(rows: DataFrame, by: str, values: list[str], coverage: str) -> DataFrame:
+    """Mean of each value over the seeds of an arm, null if any is, and the least coverage."""
+    mean = lambda c: F.when(F.count(c) == F.count(F.lit(1)), F.avg(c)).alias(f"{c}_mean")
+    return rows.groupBy(by).agg(*map(mean, values), F.min(coverage).alias(f"{coverage}_min"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .graph import spaced
 
 
 class Forest:
@@ -87,8 +88,14 @@ def numbered(rows: DataFrame, by: str, name: str, span: int = 1 << 20) -> DataFr
     return spanned.withColumn("__r", inside).join(before, "__span").select(*rows.columns, (F.col("__before") + F.col("__r")).cast("bigint").alias(name))
 
 
-def selected_anchors(anchors: DataFrame, n_nodes: int, per_thousand: int) -> DataFrame:
-    """The first instances whose anchors are kept: per_thousand of the nodes, one at least."""
+def selected_anchors(anchors: DataFrame, n_nodes: int, per_thousand: int, edges: DataFrame | None = None, min_distance: int = 0) -> DataFrame:
+    """The first instances whose anchors are kept: per_thousand of the nodes, one at least.
+
+    With edges, an anchor less than min_distance steps from one kept before is passed over. Without, anchors stand in
+    trees of their own and are never close. anchors: (instance_id, anchor, ...).
+    """
+    if edges is not None and min_distance > 1:
+        anchors = spaced(anchors.withColumnRenamed("instance_id", "ordinal"), edges, min_distance).withColumnRenamed("ordinal", "instance_id")
     return anchors.orderBy("instance_id").limit(max(per_thousand * n_nodes // 1000, 1))
 
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def swapped(edges: list[tuple[int, int]], seed: int, per_edge: int = 20) -> tuple[list[tuple[int, int]], int, int]:
     """(edges, attempts, swaps): random pairs of edges trade targets unless that makes a loop or a pair that exists.
@@ -44,8 +46,14 @@ def swapped(edges: list[tuple[int, int]], seed: int, per_edge: int = 20) -> tupl
     return now, attempts, swaps
 
 
-def shuffled(edges: DataFrame, seeds: dict[str, int]) -> DataFrame:
-    """(part, txId1, txId2) with targets shuffled within each part by its seed.
+def report(before: list[tuple[int, int]], now: list[tuple[int, int]], seed: int, attempts: int, swaps: int) -> dict:
+    """What a shuffle did; one that could change nothing tests nothing."""
+    changed = sum(a != b for a, b in zip(before, now))
+    return {"seed": seed, "attempts": attempts, "swaps": swaps, "changed_fraction": changed / len(now) if now else 0.0, "status": "ok" if changed else "not_testable"}
+
+
+def shuffled(edges: DataFrame, seeds: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """(part, txId1, txId2) with targets shuffled within each part by its seed, and a report of each part.
 
     Every swap depends on the ones before it, so one part is one task by the method's nature: this is meant for the
     graphs of an ablation, not for a whole ledger.
@@ -53,7 +61,17 @@ def shuffled(edges: DataFrame, seeds: dict[str, int]) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         part = frame["part"].iloc[0]
         ordered = sorted(zip(frame["txId1"].tolist(), frame["txId2"].tolist()))
-        now, _, _ = swapped(ordered, seeds[part])
-        return pd.DataFrame({"part": part, "txId1": [a for a, _ in now], "txId2": [b for _, b in now]})
+        now, attempts, swaps = swapped(ordered, seeds[part])
+        said = report(ordered, now, seeds[part], attempts, swaps)
+        return pd.DataFrame({"part": part, "txId1": [a for a, _ in now], "txId2": [b for _, b in now], **{k: [v] * len(now) for k, v in said.items()}})
+
+    told = "seed bigint, attempts bigint, swaps bigint, changed_fraction double, status string"
+    out = stored(edges.where(F.col("part").isin(*seeds)).groupBy("part").applyInPandas(run, f"part string, txId1 bigint, txId2 bigint, {told}"))
+    return out.select("part", "txId1", "txId2"), out.select("part", *(x.split()[0] for x in told.split(", "))).distinct()
+
 
-    return edges.where(F.col("part").isin(*seeds)).groupBy("part").applyInPandas(run, "part string, txId1 bigint, txId2 bigint")
+def edge_digest(edges: DataFrame) -> DataFrame:
+    """(part, sha256): the digest of each part's edges as CSV text in order of their ends. A part's text must fit in one task's memory."""
+    line = F.concat_ws(",", F.col("txId1").cast("string"), F.col("txId2").cast("string"))
+    lines = edges.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("txId1", "txId2", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    return lines.select("part", F.sha2(F.concat(F.lit("txId1,txId2\n"), F.array_join("lines", "\n"), F.lit("\n")), 256).alias("sha256"))

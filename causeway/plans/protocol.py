@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib.metadata
 import importlib.util
-import tempfile
+import shutil
 from pathlib import Path
 from typing import Any
 
@@ -15,7 +15,7 @@ from ..operators import evaluation, features, shuffle
 from ..simulation import bundle, validate
 from ..simulation.config import Config, load
 from ..sources import raw as raw_source
-from ..storage import stored
+from ..storage import shared_folder, stored
 
 FEATURES = ["in_degree", "out_degree", "in_unique_neighbors", "out_unique_neighbors", "has_incoming", "has_outgoing", "step_norm"]
 FROZEN_SEEDS = tuple(range(10))
@@ -69,21 +69,15 @@ def _vector(rows: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="__x").transform(rows)
 
 
-def _balanced(rows: DataFrame) -> DataFrame:
-    """Labeled rows with weights that make both classes count alike."""
-    n = {r["y"]: r["n"] for r in rows.where("y is not null").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if set(n) != {0, 1}:
-        raise ValueError("TRAIN_CLASSES")
-    total = sum(n.values())
-    return rows.where("y is not null").withColumn("__w", F.when(F.col("y") == 1, total / (2 * n[1])).otherwise(total / (2 * n[0]))).withColumn("__y", F.col("y").cast("double"))
-
-
 def fit(kind: str, rows: DataFrame, columns: list[str], seed: int):
     """A random forest, or the linear model of the propagated features (ridge of strength one over all rows)."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 
-    train = _vector(_balanced(rows), columns)
-    common = {"featuresCol": "__x", "labelCol": "__y", "weightCol": "__w"}
+    weighted = evaluation.balanced(rows).withColumn("__y", F.col("y").cast("double"))
+    if weighted.agg(F.count_distinct("y")).first()[0] != 2:
+        raise ValueError("TRAIN_CLASSES")
+    train = _vector(weighted, columns)
+    common = {"featuresCol": "__x", "labelCol": "__y", "weightCol": "weight"}
     if kind == "rf":
         return RandomForestClassifier(numTrees=100, maxDepth=15, seed=seed, **common).fit(train)
     return LogisticRegression(regParam=1.0 / train.count(), standardization=False, maxIter=300, **common).fit(train)
@@ -111,15 +105,13 @@ def judged(rows: DataFrame, part: str, threshold: float, k: int) -> dict[str, An
 def effect(spark: SparkSession, deltas: list[float]) -> dict[str, Any]:
     """Paired effect of a few numbers, one per seed."""
     r = evaluation.paired_effect(spark.createDataFrame([(float(x),) for x in deltas], "delta double")).first()
-    ok = r["t"] is not None
-    return {"n": r["n"], "mean_delta": r["mean_delta"], "p": evaluation.t_two_sided(spark, r["t"], r["n"] - 1) if ok else None, "cohens_dz": r["cohen_dz"], "status": "ok" if ok else "not_testable"}
+    return {"n": r["n"], "mean_delta": r["mean_delta"], "p": r["p"], "cohens_dz": r["cohen_dz"], "status": "ok" if r["t"] is not None else "not_testable"}
 
 
 def sensitivity(spark: SparkSession, a: list[float], b: list[float]) -> dict[str, Any]:
     rows = spark.createDataFrame([("a", float(x)) for x in a] + [("b", float(x)) for x in b], "arm string, value double")
     r = evaluation.welch(rows, "arm", "value", "a", "b").first()
-    p = evaluation.t_two_sided(spark, r["t"], r["df"]) if r["t"] is not None else None
-    return {"n_a": len(a), "n_b": len(b), "p": p, "cohens_d": r["cohen_d"], "significant": p is not None and p < 0.05}
+    return {"n_a": len(a), "n_b": len(b), "p": r["p"], "cohens_d": r["cohen_d"], "significant": r["p"] is not None and r["p"] < 0.05}
 
 
 def _propagated(rows: DataFrame, parted: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -193,7 +185,7 @@ def _arm(kind: str, source: DataFrame, source_edges: DataFrame, target: DataFram
 
 
 def _shuffled(nodes: DataFrame, parted: DataFrame, seeds: dict[str, int], fitted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    moved = shuffle.shuffled(parted, seeds).unionByName(parted.where(~F.col("part").isin(*seeds)))
+    moved = shuffle.shuffled(parted, seeds)[0].unionByName(parted.where(~F.col("part").isin(*seeds)))
     rows, edges = views(nodes, moved.select("txId1", "txId2"), moved)
     return stored(evaluation.scaled(rows, fitted, FEATURES)), edges
 
@@ -212,13 +204,16 @@ def validate_real(spark: SparkSession, config_path: str | Path, raw: str | Path,
             raise ValueError("RAW_ACCEPTANCE_CONTRACT")  # the pinned target is not shipped
         status = backend(requested or config.backend)
         weights = bundle.volume(spark, config.stats_dir)
-        with tempfile.TemporaryDirectory() as temp:
+        temp = shared_folder(spark)  # tasks read the bundles
+        try:
             roots = []
             for seed in seeds:
-                roots.append(Path(temp) / str(seed))
+                roots.append(temp / str(seed))
                 bundle.write(_ledger(spark, config, seed, weights), roots[-1])
                 validate.validate_behavior(spark, roots[-1])
             report = run(spark, roots, raw, seeds, k or config.k, tier, status) | {"raw_fingerprints": prints}
+        finally:
+            shutil.rmtree(temp, ignore_errors=True)
     except Blocked as x:
         report |= {"status": "blocked", "error": {"code": "BACKEND_UNAVAILABLE", "message": str(x)}}
     except Exception as x:  # any fault is part of the report

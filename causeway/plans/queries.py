@@ -348,14 +348,21 @@ def scaled_features(spark, d):
     return _rounded(evaluation.scaled(nodes, evaluation.scaler(_nodes(spark, d).where("time_step <= 30"), _SCALED), _SCALED))
 
 
-@query(f"{_NODES}, deltas AS (SELECT time_step, avg(score) - 0.5 AS delta FROM tx_nodes GROUP BY 1) SELECT count(*) AS n, round(avg(delta), 6) AS mean_delta, round(avg(delta) / (stddev_samp(delta) / sqrt(count(*))), 6) AS t, round(avg(delta) / stddev_samp(delta), 6) AS cohen_dz FROM deltas")
+def _p_sql(t: str, df: str) -> str:
+    """One minus twice the area of Student's density from 0 to |t|, by Simpson's rule."""
+    return f"""(SELECT 1 - 2 * sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + pow(t * i / 4000, 2) / df, -(df + 1) / 2)) * any_value(t) / 12000
+FROM (SELECT abs({t}) AS t, ({df})::DOUBLE AS df, i FROM range(0, 4001) r(i)))"""
+
+
+@query(f"{_NODES}, deltas AS (SELECT time_step, avg(score) - 0.5 AS delta FROM tx_nodes GROUP BY 1) SELECT count(*) AS n, round(avg(delta), 6) AS mean_delta, round(avg(delta) / (stddev_samp(delta) / sqrt(count(*))), 6) AS t, round(avg(delta) / stddev_samp(delta), 6) AS cohen_dz, round({_p_sql('(SELECT avg(delta) / (stddev_samp(delta) / sqrt(count(*))) FROM deltas)', '(SELECT count(*) - 1 FROM deltas)')}, 6) AS p FROM deltas")
 def paired_effect(spark, d):
     return _rounded(evaluation.paired_effect(_nodes(spark, d).groupBy("time_step").agg((F.avg("score") - 0.5).alias("delta"))))
 
 
 @query(f"""{_NODES}, s AS (SELECT count(*) FILTER (WHERE class = '1') AS na, count(*) FILTER (WHERE class = '2') AS nb, avg(amount_minor) FILTER (WHERE class = '1') AS ma, avg(amount_minor) FILTER (WHERE class = '2') AS mb,
 var_samp(amount_minor) FILTER (WHERE class = '1') AS va, var_samp(amount_minor) FILTER (WHERE class = '2') AS vb FROM tx_nodes)
-SELECT na, nb, round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 4) AS df, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS cohen_d FROM s""")
+SELECT na, nb, round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 4) AS df, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS cohen_d,
+round({_p_sql('(SELECT (ma - mb) / sqrt(va / na + vb / nb) FROM s)', '(SELECT pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) FROM s)')}, 6) AS p FROM s""")
 def welch(spark, d):
     out = evaluation.welch(_nodes(spark, d), "class", "amount_minor", "1", "2")
     return _rounded(out).withColumn("df", F.round("df", 4))
@@ -426,7 +433,8 @@ def sgc_propagate(spark, d):
 
 
 # Models, sequential methods and generated tables: no SQL can express them.
-def _model_scores(spark, d, kind: str):
+def _fitted(spark, d, kind: str):
+    """(rows, columns, model): an arm fitted on the train part of the event graph."""
     from . import protocol
 
     nodes, edges = _graph(spark, d)
@@ -435,7 +443,13 @@ def _model_scores(spark, d, kind: str):
     columns = protocol.FEATURES
     if kind == "sgc":
         rows, columns = protocol._propagated(rows, parted)
-    model = protocol.fit(kind, rows.where("part = 'train'"), columns, 0)
+    return rows, columns, protocol.fit(kind, rows.where("part = 'train'"), columns, 0)
+
+
+def _model_scores(spark, d, kind: str):
+    from . import protocol
+
+    rows, columns, model = _fitted(spark, d, kind)
     return protocol.scores(model, rows, columns)
 
 
@@ -454,7 +468,7 @@ def edge_shuffle(spark, d):
     from ..operators import shuffle
 
     nodes, edges = _graph(spark, d)
-    return shuffle.shuffled(evaluation.partition_edges(edges, nodes), {"train": 0, "validation": 1, "test": 3})
+    return shuffle.shuffled(evaluation.partition_edges(edges, nodes), {"train": 0, "validation": 1, "test": 3})[0]
 
 
-from . import ledger_queries  # noqa: E402, F401  registers its queries
+from . import contract_queries, ledger_queries  # noqa: E402, F401  register their queries

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/causeway/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> Path:
+    """A new folder of the shared folder for files that the driver writes and tasks read, which needs a mounted file system."""
+    scheme, _, rest = shared_dir(spark).rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"single files need a mounted shared folder, not {scheme}:")
+    out = Path("/" + rest.lstrip("/")) / "causeway" / f"files-{uuid.uuid4().hex}"
+    out.mkdir(parents=True)
+    return out
