@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components  # noqa: F401
 from ..storage import shared_dir, stored  # noqa: F401
 
 #: Keys that hold at least this part of all rows are hot: there are at most as many of them.
@@ -37,20 +39,45 @@ def packed(docs: DataFrame, **keys: Column) -> DataFrame:
     return docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
 
 
+def _pages(marks: DataFrame, place: Column) -> DataFrame:
+    """(page, bits): a bitmap of places as pages of 4 KB."""
+    page, bit = F.shiftright(place, 15).cast("int"), place.bitwiseAND(F.lit((1 << 15) - 1))
+    return marks.select(page.alias("page"), bit.alias("bit")).repartition("page").groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def bitmap(marks: DataFrame, hashed: str, bits: int = 27) -> tuple[np.ndarray, int]:
+    """A bitmap of the low bits of the hashes in a column, whatever their number, as bytes on the driver; and its bits as a power."""
+    table = np.zeros((1 << bits) // 8, np.uint8)
+    for row in _pages(marks, F.col(hashed).bitwiseAND(F.lit((1 << bits) - 1))).toLocalIterator():  # 2**bits bits in all
+        table[row["page"] * 4096 : (row["page"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return table, bits
+
+
+def in_bitmap(table: bytes, bits: int, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among those of bitmap()."""
+    bit = hashes.view(np.int64) & ((1 << bits) - 1)
+    return (np.frombuffer(table, np.uint8)[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def flagged(rows: DataFrame, marks: DataFrame, key: list[str], name: str = "flag") -> DataFrame:
     """rows with whether their key may be one of marks: false for most that are not, never for one that is.
 
     The marks are a bitmap of 2**BITMAP_BITS bits by a hash of the key, whatever their number, which is broadcast.
     """
     place = F.pmod(F.xxhash64(*key), F.lit(1 << BITMAP_BITS))
-    page, bit = F.shiftright(place, 15).cast("int"), place.bitwiseAND(F.lit((1 << 15) - 1))
-    pages = marks.select(page.alias("__page"), bit.alias("__bit")).repartition("__page").groupBy("__page").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
-    placed = rows.withColumn("__page", page).withColumn("__bit", bit).join(F.broadcast(pages), "__page", "left")  # 2**(BITMAP_BITS - 15) pages of 4 KB
+    pages = _pages(marks, place).select(F.col("page").alias("__page"), F.col("bits").alias("__bits"))
+    bit = place.bitwiseAND(F.lit((1 << 15) - 1))
+    placed = rows.withColumn("__page", F.shiftright(place, 15).cast("int")).withColumn("__bit", bit).join(F.broadcast(pages), "__page", "left")  # 2**(BITMAP_BITS - 15) pages of 4 KB
     byte = F.conv(F.hex(F.substring("__bits", (F.shiftright("__bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     one = F.call_function("shiftright", byte, F.col("__bit").bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
     return placed.select(*[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns], F.coalesce(one, F.lit(False)).alias(name))
 
 
+def among(rows: DataFrame, marks: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key may be one of marks."""
+    return flagged(rows, marks, key, "__may").where("__may").drop("__may")
+
+
 def joined_by_key(rows: DataFrame, keyed: DataFrame, key: list[str], n: str = "n") -> DataFrame:
     """rows joined with keyed, which has each key once and in `n` how many rows have it; both are stored tables.
 
@@ -60,8 +87,7 @@ def joined_by_key(rows: DataFrame, keyed: DataFrame, key: list[str], n: str = "n
     total = keyed.agg(F.sum(n)).first()[0] or 0
     hot = F.col(n) * HOT >= total
     top = keyed.where(hot)  # at most HOT rows
-    rest = flagged(rows, keyed.where(~hot), key, "__may").where("__may").drop("__may")
-    return rows.join(F.broadcast(top), key).unionByName(rest.join(keyed.where(~hot), key))
+    return rows.join(F.broadcast(top), key).unionByName(among(rows, keyed.where(~hot), key).join(keyed.where(~hot), key))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -80,38 +106,3 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def held_out(doc_id: str, parts: int, part: int):
     """crc32 of the id as text, modulo parts, is part. A null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
-
-
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of the undirected links; component is the least node reachable.
-
-    Alternates the two star contractions of Kiveris et al. (2014): each round links every node's larger
-    neighbours, then its smaller ones, to the least node seen. Minima are combined before the shuffle, and a
-    node with very many links is an ordinary join key that adaptive execution may split. Rounds are logarithmic
-    in practice; each is written to the shared folder. Loops and nulls are ignored; no links give no rows.
-    """
-    u, v = F.col("u"), F.col("v")
-    edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where(u.isNotNull() & v.isNotNull() & (u != v))
-    edges = stored(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
-    if edges.isEmpty():
-        return edges.select(u.alias("node"), v.alias("component"))
-    while True:
-        before = _signature(edges)
-        both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # large star: larger neighbours go to the least of the neighbourhood
-        large = both.join(least, "u").where((v > u) & (v != F.col("m"))).select(v.alias("u"), F.col("m").alias("v"))
-        large = stored(large.distinct())
-        # small star: smaller neighbours and the node itself go to the least neighbour
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(v != F.col("m")).select(v.alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        if _signature(edges) == before:
-            break
-    top = edges.select(v.alias("node"), v.alias("component")).distinct()
-    return edges.select(u.alias("node"), v.alias("component")).unionByName(top)
-
-
-def _signature(edges: DataFrame) -> tuple:
-    hashed = F.xxhash64("u", "v").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(hashed), F.sum(F.col("v").cast("decimal(38,0)"))).first())
