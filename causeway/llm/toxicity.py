@@ -62,22 +62,21 @@ class Lexicon:
         self.sizes = n_toxic, n_clean
         self.weights = [log_odds(t, c, n_toxic, n_clean) for t, c in self.counts]
         self.trie: dict = {}
-        self.whole: dict = {}
-        fuzzy = {t[1:] for t, _, _ in terms if t[0] == "=" and len(t) > FUZZY}
-        #: By length of term: first halves and second halves. One edit leaves one of them whole.
-        self.halves: dict[int, tuple[set[str], set[str]]] = {}
-        for t in fuzzy:
-            heads, tails = self.halves.setdefault(len(t), (set(), set()))
-            heads.add(t[: len(t) // 2])
-            tails.add(t[len(t) // 2 :])
+        #: Whole-word terms to seek misspelled, read forwards and backwards.
+        self.sought: tuple[dict, dict] = ({}, {})
         for k, (term, _, _) in enumerate(terms):
-            for top in (self.trie, self.whole) if term[0] == "=" and term[1:] in fuzzy else (self.trie,):
-                node = top
-                for c in term[1:]:
-                    node = node.setdefault(c, {})
-                node["" if term[0] == "=" else "*"] = k
+            self._grow(self.trie, term[1:], "" if term[0] == "=" else "*", k)
+            if term[0] == "=" and len(term) > FUZZY:
+                for top, spelled in zip(self.sought, (term[1:], term[:0:-1])):
+                    self._grow(top, spelled, "", k)
         self.known: dict[str, tuple[tuple[int, bool], ...]] = {}
 
+    @staticmethod
+    def _grow(node: dict, spelled: str, end: str, k: int) -> None:
+        for c in spelled:
+            node = node.setdefault(c, {})
+        node[end] = k
+
     def weight(self, k: int, toxic: float | None = None) -> float:
         """Log odds of a term; toxic: the label of the one document to leave out."""
         if toxic is None:
@@ -102,7 +101,7 @@ class Lexicon:
             plain = re.sub(r"[^\w]", "", word.translate(SIGNS))
             if plain != word and (found := self._exact(plain)):
                 return tuple((k, True) for k, _ in found)
-        return tuple((k, True) for k in self._near(plain)) if self._may_be_near(plain) else ()
+        return tuple((k, True) for k in self._near(plain))
 
     def _exact(self, word: str) -> tuple[tuple[int, bool], ...]:
         node, found = self.trie, []
@@ -116,28 +115,32 @@ class Lexicon:
             found.append((node[""], False))
         return tuple(found)
 
-    def _may_be_near(self, word: str) -> bool:
-        """Whether the word has a half of a term of about its length in that half's place."""
-        for n in (len(word) - 1, len(word), len(word) + 1):
-            if n in self.halves:
-                heads, tails = self.halves[n]
-                if word[: n // 2] in heads or word[n // 2 - n :] in tails:
-                    return True
-        return False
-
     def _near(self, word: str) -> list[int]:
-        """All whole-word terms within one edit: depth-first over pairs of a trie node and an automaton state.
+        """All whole-word terms within one edit, which leaves either the word's first half as it is or the rest.
 
-        A state is two sets of word positions as bits: reached without an edit, and with one.
+        The half that stays is walked as it is, forwards or backwards; below it pairs of a trie node and an automaton state
+        are visited depth-first. A state is two sets of word positions as bits: reached without an edit, and with one.
         """
+        half, found = len(word) // 2, set()
+        for node, spelled, whole in ((self.sought[0], word, half), (self.sought[1], word[::-1], len(word) - half)):
+            for c in spelled[:whole]:
+                node = node.get(c)
+                if node is None:
+                    break
+            else:
+                self._automaton(node, spelled[whole:], found)
+        return sorted(found)
+
+    @staticmethod
+    def _automaton(node: dict, rest: str, found: set[int]) -> None:
         at: dict[str, int] = {}
-        for i, c in enumerate(word):
+        for i, c in enumerate(rest):
             at[c] = at.get(c, 0) | 1 << i
-        n, heap, found = len(word), [(self.whole, 1, 2)], []
+        n, heap = len(rest), [(node, 1, 2)]
         while heap:
             node, same, one = heap.pop()
             if "" in node and (same | one) >> n & 1:
-                found.append(node[""])
+                found.add(node[""])
             for c, child in node.items():
                 if not c:
                     continue
@@ -146,7 +149,6 @@ class Lexicon:
                 off = (one & here) << 1 | same | same << 1 | on << 1
                 if on or off & (1 << n + 1) - 1:
                     heap.append((child, on, off))
-        return sorted(found)
 
     def hits(self, text: str, toxic: float | None = None) -> tuple[int, list[tuple[int, float, frozenset[str]]]]:
         """Words of the text, and of each hit the term, its weight and what stands in its window."""
