@@ -17,16 +17,17 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="causeway")
     commands = parser.add_subparsers(dest="command", required=True)
     one = commands.add_parser("generate", help="generate a ledger and write its bundle")
-    one.add_argument("--config", required=True)
+    one.add_argument("--config", default="configs/generator_behavior.yaml")
     two = commands.add_parser("validate", help="check a bundle against every rule")
-    two.add_argument("--dir", required=True)
+    two.add_argument("--dir", default="data/synthetic/behavior_run")
     three = commands.add_parser("validate-real", help="run the strict protocol against a raw directory")
-    for name in ("--config", "--raw-dir", "--out"):
-        three.add_argument(name, required=True)
+    for name, where in (("--config", "configs/generator_behavior.yaml"), ("--raw-dir", "data/raw"), ("--out", "data/synthetic/behavior_run/strict_report.json")):
+        three.add_argument(name, default=where)
     three.add_argument("--tier", choices=["smoke", "real"], default="smoke")
     three.add_argument("--backend", choices=["auto", "full", "sgc"])
     three.add_argument("--seeds")
     three.add_argument("--k", type=int)
+    three.add_argument("--sage-only", action="store_true", help="only the first of the graph networks")
     args = parser.parse_args(argv)
     if args.command == "generate":
         from .simulation import bundle, config, generate
@@ -58,7 +59,7 @@ def main(argv: list[str] | None = None) -> int:
     except ValueError as x:
         print(f"status=error: invalid seeds: {x}", file=sys.stderr)
         return 4
-    report = protocol.validate_real(session(), args.config, args.raw_dir, args.out, args.tier, args.backend, seeds, args.k)
+    report = protocol.validate_real(session(), args.config, args.raw_dir, args.out, args.tier, args.backend, seeds, args.k, args.sage_only)
     print(f"status={report['status']} -> {args.out}")
     if report["status"] != "completed":
         print(report.get("error"), file=sys.stderr)

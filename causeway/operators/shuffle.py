@@ -46,10 +46,10 @@ def swapped(edges: list[tuple[int, int]], seed: int, per_edge: int = 20) -> tupl
     return now, attempts, swaps
 
 
-def report(before: list[tuple[int, int]], now: list[tuple[int, int]], seed: int, attempts: int, swaps: int) -> dict:
+def report(before: list[tuple[int, int]], now: list[tuple[int, int]], attempts: int, swaps: int) -> dict:
     """What a shuffle did; one that could change nothing tests nothing."""
     changed = sum(a != b for a, b in zip(before, now))
-    return {"seed": seed, "attempts": attempts, "swaps": swaps, "changed_fraction": changed / len(now) if now else 0.0, "status": "ok" if changed else "not_testable"}
+    return {"attempts": attempts, "swaps": swaps, "changed_fraction": changed / len(now) if now else 0.0, "status": "ok" if changed else "not_testable"}
 
 
 def shuffled(edges: DataFrame, seeds: dict[str, int]) -> tuple[DataFrame, DataFrame]:
@@ -62,10 +62,10 @@ def shuffled(edges: DataFrame, seeds: dict[str, int]) -> tuple[DataFrame, DataFr
         part = frame["part"].iloc[0]
         ordered = sorted(zip(frame["txId1"].tolist(), frame["txId2"].tolist()))
         now, attempts, swaps = swapped(ordered, seeds[part])
-        said = report(ordered, now, seeds[part], attempts, swaps)
+        said = report(ordered, now, attempts, swaps)
         return pd.DataFrame({"part": part, "txId1": [a for a, _ in now], "txId2": [b for _, b in now], **{k: [v] * len(now) for k, v in said.items()}})
 
-    told = "seed bigint, attempts bigint, swaps bigint, changed_fraction double, status string"
+    told = "attempts bigint, swaps bigint, changed_fraction double, status string"
     out = stored(edges.where(F.col("part").isin(*seeds)).groupBy("part").applyInPandas(run, f"part string, txId1 bigint, txId2 bigint, {told}"))
     return out.select("part", "txId1", "txId2"), out.select("part", *(x.split()[0] for x in told.split(", "))).distinct()
 

@@ -136,15 +136,15 @@ def edge_shuffle_degrees(spark, d):
     return moved.select("part", F.explode(F.array(F.struct(F.col("txId1").alias("tx_id"), F.lit(1).alias("o")), F.struct(F.col("txId2").alias("tx_id"), F.lit(0).alias("o")))).alias("x")).groupBy("part", "x.tx_id").agg(F.sum("x.o").alias("n_out"), (F.count(F.lit(1)) - F.sum("x.o")).alias("n_in"))
 
 
-@query(f"""{_PARTED}, n AS (SELECT part, count(*) AS n FROM parted GROUP BY 1) SELECT part, CASE part WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 3 END::BIGINT AS seed, true AS within_budget, true AS simple, 'ok' AS status FROM n WHERE n > 1""")
+@query(f"""{_PARTED}, n AS (SELECT part, count(*) AS n FROM parted GROUP BY 1) SELECT part, true AS within_budget, true AS simple, 'ok' AS status FROM n WHERE n > 1""")
 def edge_shuffle_report(spark, d):
-    """Seed and status of each part's shuffle, whether attempts and swaps kept to their budget, and whether no loop or new double edge came of it."""
+    """The status of each part's shuffle, whether attempts and swaps kept to their budget, and whether no loop or new double edge came of it."""
     before = base.partition_edges(spark, d)
     n = before.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("txId1", "txId2").alias("different"))
     moved, told = shuffle.shuffled(before, _SEEDS)
     after = moved.groupBy("part").agg(F.count_distinct("txId1", "txId2").alias("now"), F.sum((F.col("txId1") == F.col("txId2")).cast("int")).alias("loops"))
     kept = (F.col("attempts") <= 20 * F.col("n")) & (F.col("swaps") <= F.col("n")) & (F.col("changed_fraction") <= 1)
-    return told.join(n, "part").join(after, "part").where("n > 1").select("part", "seed", kept.alias("within_budget"), ((F.col("loops") == 0) & (F.col("now") >= F.col("different"))).alias("simple"), "status")
+    return told.join(n, "part").join(after, "part").where("n > 1").select("part", kept.alias("within_budget"), ((F.col("loops") == 0) & (F.col("now") >= F.col("different"))).alias("simple"), "status")
 
 
 # graphs with cycles: siblings are linked too

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from pathlib import Path
 from typing import Any
 
+from ..models.training import Settings
 from .registry import CHAINS, PROFILES, check_registry
 
 STEPS = 49
@@ -53,17 +54,17 @@ def fields(value: Any, name: str, allowed: set[str], exact: bool = False) -> dic
 
 def check_phases(phases: Any, known: set[str] | None = None) -> list[dict]:
     """Phases that are unique, contiguous and cover every step."""
-    _need(isinstance(phases, list) and bool(phases), "drift phases must be a non-empty list", DriftError)
+    _need(isinstance(phases, list) and bool(phases), "there is no drift phase", DriftError)
     start, seen = 1, set()
     for p in phases:
         _need(isinstance(p, dict) and set(p) == set(PHASES[0]), "drift phase fields do not match the contract", DriftError)
         low, high, keep, novel = p["step_min"], p["step_max"], p["illicit_keep_probability"], p["novel_profile_ids"]
-        _need(isinstance(p["phase_id"], str) and p["phase_id"] and p["phase_id"] not in seen, "drift phase ids must be unique strings", DriftError)
-        _need(all(isinstance(x, int) and not isinstance(x, bool) for x in (low, high)), "drift phase bounds must be integers", DriftError)
+        _need(isinstance(p["phase_id"], str) and p["phase_id"] and p["phase_id"] not in seen, "names of drift phases must be different strings", DriftError)
+        _need(all(isinstance(x, int) and not isinstance(x, bool) for x in (low, high)), "bounds of a drift phase are no integers", DriftError)
         _need(low == start and low <= high <= STEPS, "drift phases must be contiguous and bounded", DriftError)
-        _need(isinstance(keep, (int, float)) and not isinstance(keep, bool) and 0 <= keep <= 1, "drift probability must be in 0..1", DriftError)
-        _need(isinstance(novel, list) and all(isinstance(x, str) for x in novel) and len(novel) == len(set(novel)), "novel profile ids must be unique strings", DriftError)
-        _need(known is None or set(novel) <= known, "novel profile is not registered", DriftError)
+        _need(isinstance(keep, (int, float)) and not isinstance(keep, bool) and 0 <= keep <= 1, "a drift probability is outside of 0..1", DriftError)
+        _need(isinstance(novel, list) and all(isinstance(x, str) for x in novel) and len(novel) == len(set(novel)), "novel profiles must be different strings", DriftError)
+        _need(known is None or set(novel) <= known, "a novel profile has no quota", DriftError)
         seen.add(p["phase_id"])
         start = high + 1
     _need(start == STEPS + 1, "drift phases must be contiguous up to the last step", DriftError)
@@ -88,20 +89,22 @@ class Config:
     k: int = 100
     seeds: tuple[int, ...] = tuple(range(10))
     backend: str = "auto"
+    training: Settings = field(default_factory=Settings)
+    threads: int = 1
 
     def check(self) -> Config:
         """What must hold before any draw."""
         check_registry()
         self.phases = check_phases(self.phases, set(self.quotas))
-        _need(sum(t for _, t in self.quotas.values()) == self.n_txs, "behavior profile quotas must sum to n_txs", DriftError)
+        _need(sum(t for _, t in self.quotas.values()) == self.n_txs, "profile quotas must add up: they sum to n_txs", DriftError)
         for p, (entities, txs) in self.quotas.items():
             _need(p in PROFILES, f"unknown behavior profile: {p}")
-            _need(entities >= 0 and txs >= 0, f"negative behavior quota: {p}")
-            _need((entities == 0) == (txs == 0), f"entity_count and tx_quota must be paired: {p}")
+            _need(entities >= 0 and txs >= 0, f"a quota is under zero: {p}")
+            _need((entities == 0) == (txs == 0), f"a profile has entities and transactions or neither: {p}")
         for p in self.phases:
             for x in p["novel_profile_ids"]:
-                _need(PROFILES[x].negative_kind == "novel_illicit", f"non-novel profile marked novel: {x}")
-        _need(sum(self.chains.values()) >= 2, "bridge_link requires at least two enabled behavior chains")
+                _need(PROFILES[x].negative_kind == "novel_illicit", f"only novel profiles may be listed as novel: {x}")
+        _need(sum(self.chains.values()) >= 2, "bridges need two enabled chains")
         return self
 
     def as_dict(self) -> dict:
@@ -110,11 +113,11 @@ class Config:
         return {
             "seed": self.seed, "n_txs": self.n_txs, "stats_dir": shown(self.stats_dir), "out_dir": shown(self.out_dir), "graph": {"mode": "behavior"}, "features": {"mode": "semantic"},
             "behavior": {
-                "contract_version": "behavior.p0.v1", "profile_quotas": {p: {"entity_count": e, "tx_quota": t} for p, (e, t) in sorted(self.quotas.items())}, "chains": {c: {"enabled": on} for c, on in sorted(self.chains.items())}, "drift": {"phases": self.phases},
+                "contract_version": "behavior.p0.v1", "profile_quotas": {p: {"entity_count": e, "tx_quota": t} for p, (e, t) in sorted(self.quotas.items())}, "chains": {c: {"enabled": on} for c, on in sorted(self.chains.items())}, "drift": {"phases": [dict(p) for p in self.phases]},
             },
             "edge_attributes": {"timestamp_scale": self.timestamp_scale},
             "anchors": {"per_1000_nodes": self.per_1000_nodes, "min_anchor_distance": self.min_anchor_distance, "k_hop_range": list(self.k_hop_range), "prefer_central_anchors": self.prefer_central_anchors},
-            "holdout": {"entries": self.holdout}, "gnn": {"backend": self.backend, "k": self.k, "seeds": list(self.seeds)},
+            "holdout": {"entries": self.holdout}, "gnn": {"backend": self.backend, **asdict(self.training), "threads": self.threads, "k": self.k, "seeds": list(self.seeds)},
         }
 
 
@@ -136,10 +139,10 @@ def parse(raw: Any) -> Config:
         out.quotas = {p: (integer(q["entity_count"], f"{p}.entity_count", 1), integer(q["tx_quota"], f"{p}.tx_quota", 1)) for p, q in rows.items()}
     if behavior.get("chains") is not None:
         out.chains = {c: flag(fields(x, f"behavior.chains.{c}", {"enabled"}, True)["enabled"], c) for c, x in fields(behavior["chains"], "behavior.chains", set(CHAINS), True).items()}
-        _need(any(out.chains.values()), "at least one behavior chain must be enabled")
+        _need(any(out.chains.values()), "no chain is enabled")
     if behavior.get("drift") is not None:
         out.phases = check_phases(fields(behavior["drift"], "behavior.drift", {"phases"}, True)["phases"], set(PROFILES))
-    _need(sum(t for _, t in out.quotas.values()) == out.n_txs, "behavior profile quotas must sum to n_txs")
+    _need(sum(t for _, t in out.quotas.values()) == out.n_txs, "profile quotas must add up: they sum to n_txs")
     out.timestamp_scale = integer(fields(raw.get("edge_attributes", {}), "edge_attributes", {"timestamp_scale"}).get("timestamp_scale", 1200), "edge_attributes.timestamp_scale", 0)
     anchors = fields(raw.get("anchors", {}), "anchors", {"per_1000_nodes", "min_anchor_distance", "k_hop_range", "prefer_central_anchors"})
     out.per_1000_nodes = integer(anchors.get("per_1000_nodes", 2), "anchors.per_1000_nodes", 0)
@@ -148,19 +151,24 @@ def parse(raw: Any) -> Config:
     out.prefer_central_anchors = flag(anchors.get("prefer_central_anchors", True), "anchors.prefer_central_anchors")
     for e in fields(raw.get("holdout", {}), "holdout", {"entries"}).get("entries") or []:
         e = fields(e, "holdout entry", {"pattern", "step_min", "step_max", "train_excluded"}, True)
-        _need(e["pattern"] in PROFILES, "holdout pattern is unknown")
-        _need(1 <= integer(e["step_min"], "step_min") <= integer(e["step_max"], "step_max") <= STEPS, "holdout bounds are invalid")
+        _need(e["pattern"] in PROFILES, "holdout names no profile")
+        _need(1 <= integer(e["step_min"], "step_min") <= integer(e["step_max"], "step_max") <= STEPS, "holdout steps are out of order or range")
         flag(e["train_excluded"], "train_excluded")
         out.holdout.append(dict(e))
     gnn = fields(raw.get("gnn", {}), "gnn", {"backend", "hidden", "layers", "dropout", "learning_rate", "weight_decay", "epochs", "patience", "threads", "k", "seeds"})
     for name in ("hidden", "epochs", "patience", "threads", "k"):
         integer(gnn.get(name, 2), f"gnn.{name}", 1)
-    _need(integer(gnn.get("layers", 2), "gnn.layers") in (2, 3) and gnn.get("hidden", 64) % 2 == 0, "gnn.layers must be 2 or 3 and hidden must be even")
-    _need(0 <= number(gnn.get("dropout", 0.25), "gnn.dropout") < 1 and number(gnn.get("learning_rate", 0.001), "gnn.learning_rate") > 0 and number(gnn.get("weight_decay", 0), "gnn.weight_decay") >= 0, "invalid gnn optimization parameters")
+    rates = {name: number(gnn.get(name, getattr(out.training, name)), f"gnn.{name}") for name in ("dropout", "learning_rate", "weight_decay")}
+    out.training = Settings(**{name: gnn.get(name, getattr(out.training, name)) for name in ("hidden", "layers", "epochs", "patience")}, **rates)
+    out.threads = gnn.get("threads", 1)
+    t = out.training
+    _need(integer(t.layers, "gnn.layers") in (2, 3), "gnn.layers takes two or three")
+    _need(t.hidden % 2 == 0, "gnn.hidden is split between two heads and must be even")
+    _need(0 <= t.dropout < 1 and t.learning_rate > 0 and t.weight_decay >= 0, "gnn rates are out of their range")
     out.k, out.backend = gnn.get("k", 100), gnn.get("backend", "auto")
     _need(out.backend in ("auto", "full", "sgc"), "gnn.backend must be auto, full or sgc")
     seeds = gnn.get("seeds", list(range(10)))
-    _need(isinstance(seeds, list) and bool(seeds) and len(set(map(str, seeds))) == len(seeds), "gnn.seeds must be non-empty and unique")
+    _need(isinstance(seeds, list) and bool(seeds) and len(set(map(str, seeds))) == len(seeds), "gnn.seeds must hold different numbers")
     out.seeds = tuple(integer(s, "gnn.seeds") for s in seeds)
     return out
 

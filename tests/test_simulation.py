@@ -66,7 +66,7 @@ def test_bundle_is_valid_and_tampering_is_found(spark, root, tmp_path):
 def test_config_refuses():
     assert config.parse({"seed": 72, "n_txs": 10000}).quotas == config.QUOTAS
     for raw, message in [
-        ({"features": {"mode": "cdf"}}, "semantic only"), ({"graph": {"mode": "legacy"}}, "behavior only"), ({"schemes": {}}, "unknown top-level"), ({"n_txs": 5}, "sum to n_txs"), ({"n_txs": True}, "integer"), ({"gnn": {"backend": "x"}}, "backend"),
+        ({"features": {"mode": "cdf"}}, "semantic only"), ({"graph": {"mode": "legacy"}}, "behavior only"), ({"schemes": {}}, "unknown top-level"), ({"n_txs": 5}, "sum to n_txs"), ({"gnn": {"hidden": 3}}, "even"), ({"gnn": {"layers": 4}}, "layers"), ({"gnn": {"dropout": 1.0}}, "rates"), ({"n_txs": True}, "integer"), ({"gnn": {"backend": "x"}}, "backend"),
         ({"behavior": {"drift": {"phases": [dict(p) if k != 1 else p | {"step_min": 39} for k, p in enumerate(config.PHASES)]}}}, "contiguous"), ({"behavior": {"profile_quotas": {"mixer": {"entity_count": 0, "tx_quota": 1}}}}, "at least"),
     ]:
         with pytest.raises(ValueError, match=message):
@@ -96,11 +96,58 @@ def test_json_and_report(tmp_path):
         bundle.write_report(tmp_path / "raw" / "x.json", {}, tmp_path / "raw")
 
 
-def test_protocol(spark, root):
+def test_protocol(spark, root, monkeypatch):
+    from causeway.models import training
     from causeway.plans import protocol
 
-    report = protocol.run(spark, [root], root, [0], k=10)
-    arm = report["per_seed"][0]["transfer_to_real"]["sgc_proxy"]["test"]
-    assert report["status"] == "completed" and [s["time_step"] for s in arm["steps"]] == list(range(41, 50))
-    with pytest.raises(protocol.Blocked):
+    settings = training.Settings(hidden=4, epochs=2, patience=2)
+    report = protocol.run(spark, [root], root, [0], k=10, settings=settings)
+    assert report["status"] == "completed" and report["model_roster"] == ["rf", "sgc_proxy", "pyg_sage", "pyg_gat", "pyg_gin"] and report["unavailable_models"] == []
+    for arm in report["per_seed"][0]["transfer_to_real"].values():
+        assert [s["time_step"] for s in arm["test"]["per_timestep"]] == list(range(41, 50)) and [s["time_step"] for s in arm["validation"]["per_timestep"]] == list(range(31, 41))
+    assert set(report["per_seed"][0]["edge_shuffle"]["full_models"]) == {"pyg_sage", "pyg_gat", "pyg_gin"} and report["per_seed"][0]["edge_shuffle"]["train"]["seed"] == protocol.shuffle_seed(0)
+    assert report["protocol_gates"]["full_roster_executed"] and not report["protocol_gates"]["frozen_hyperparameters"] and report["acceptance"] == {"status": "diagnostic", "target": "primary_macro_test_f1 > 0.5", "target_met": None}
+    assert report["split_contract"]["cross_partition_message_edges"] == 0 and report["aggregate"]["pyg_sage"]["n"] == 1
+
+    def broken():
+        raise RuntimeError("no")
+
+    monkeypatch.setattr(protocol, "probe", broken)
+    assert protocol.backend("auto")["resolved"] == "sgc_proxy" and not protocol.backend("sgc")["is_full_gnn"]
+    with pytest.raises(protocol.Blocked, match="RuntimeError"):
         protocol.backend("full")
+
+
+@pytest.mark.parametrize(("seeds", "tier", "code"), [([], "smoke", "EMPTY_SEED_ROSTER"), ([1, 1], "smoke", "DUPLICATE_SEED"), ([True], "smoke", "SEED_VALUE"), ([-1], "smoke", "SEED_VALUE"), ([0], "real", "N_GATE"), ([0], "x", "TIER_VALUE")])
+def test_seed_plan(seeds, tier, code):
+    from causeway.plans import protocol
+
+    with pytest.raises(ValueError, match=code):
+        protocol.seed_plan(seeds, tier)
+
+
+def test_default_configuration_has_the_pinned_fingerprint():
+    from causeway.plans import protocol
+
+    assert protocol._digest(config.Config().as_dict()) == protocol.CONFIG_SHA256
+
+
+def test_validate_real(spark, root, tmp_path):
+    """The whole command on a small configuration, and the statuses of its faults."""
+    import numpy as np
+
+    from causeway import cli
+
+    stats = tmp_path / "volume"
+    stats.mkdir()
+    np.save(stats / "volume.npy", np.full(49, 100))
+    quotas = "".join(f"    {p}: {{entity_count: {e}, tx_quota: {t}}}\n" for p, (e, t) in QUOTAS.items())
+    (tmp_path / "c.yaml").write_text(f"seed: 72\nn_txs: 1000\nstats_dir: {stats}\nbehavior:\n  profile_quotas:\n{quotas}gnn: {{hidden: 4, epochs: 1, patience: 1, k: 10}}\n")
+    base = ["validate-real", "--config", str(tmp_path / "c.yaml"), "--raw-dir", str(root)]
+    out = tmp_path / "r.json"
+    assert cli.main([*base, "--out", str(out), "--seeds", "3", "--sage-only", "--backend", "full"]) == 0
+    report = json.loads(out.read_text())
+    assert report["status"] == "completed" and report["report_written"] and report["model_roster"] == ["rf", "sgc_proxy", "pyg_sage"] and set(report["synthetic_fingerprints"]) == {"3"} and report["config_sources"]["seeds"] == "cli"
+    assert cli.main([*base, "--out", str(root / "r.json"), "--seeds", "3"]) == 4 and not (root / "r.json").exists()
+    assert cli.main([*base, "--out", str(out), "--tier", "real"]) == 4 and json.loads(out.read_text())["error"]["code"] == "RAW_ACCEPTANCE_CONTRACT"
+    assert cli.main([*base, "--out", str(out), "--seeds", "x"]) == 4
