@@ -16,6 +16,7 @@ from ..operators import features, forest
 from ..operators.schedule import with_phase
 from ..sources.rows import with_rows
 from . import registry
+from .config import Config
 from .generate import Ledger
 from .registry import ACTIONS, CHAINS, PROFILES
 
@@ -27,6 +28,20 @@ SCHEMAS = {
 }
 
 
+# Fixed values of the contract: the constant sections of a manifest. The draws are this engine's own.
+SANCTIONS = {"schema_version": "1.0.0", "status": "provenance_only", "real_address_payload_loaded": False, "records": []}
+CALIBRATION = {"schema_version": "1.0.0", "status": "not_evaluated", "positive_class": "1", "negative_class": "2", "unknown_policy": "exclude", "score_semantics": "uncalibrated_model_score"}
+RNG_CONTRACT = {"generator": "counter-based md5", "namespaces": ["behavior:population", "behavior:schedule", "behavior:transition", "behavior:amount", "behavior:drift"]}
+FEATURE_SEMANTICS = {"mode": "semantic", "column_layout": {str(k): n for k, n in enumerate(features.BASE)}, "chain_column_layout": {str(k + 24): n for k, n in enumerate(features.CHAIN)}}
+
+
+def retrieval_specs(config: Config) -> dict:
+    """How vectors and neighbourhoods are found; its keys are of the contract."""
+    return {
+        "node_vector_dim": 2 + FEATURES, "vectors_file": FILES["features"], "node_id_column": "txId", "node_vector_lookup": "row = first headerless column value, txId == node id", "anchor_key": "anchor_node_id", "entity_type_key": "entity_type",
+        "neighborhood_field": "k_hop_neighborhoods", "default_k": min(max(config.k_hop_range or (0,)), 1 << 20), "feature_mode": "semantic"}
+
+
 def sha256(path: str | Path) -> str:
     with open(path, "rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()
@@ -127,8 +142,7 @@ def manifest(ledger: Ledger, attrs: DataFrame, out: Path) -> dict:
         "anchor_registry": {"per_1000_nodes": c.per_1000_nodes, "min_anchor_distance": c.min_anchor_distance, "anchors": [
             {k: entry(r)[k] for k in ("instance_id", "anchor_node_id", "anchor_role", "entity_type", "pattern_type", "max_anchor_distance")} | {"k_hop_neighborhoods": {str(h): shells.get(r["instance_id"], {}).get(str(h), []) for h in range(1, min(r["max_anchor_distance"], hops) + 1)}}
             for r in anchored if r["anchored"]]},
-        "retrieval_specs": {"node_vector_dim": 2 + FEATURES, "vectors_file": FILES["features"], "node_id_column": "txId", "node_vector_lookup": "row = first headerless column value, txId == node id", "anchor_key": "anchor_node_id", "entity_type_key": "entity_type", "neighborhood_field": "k_hop_neighborhoods", "default_k": hops, "feature_mode": "semantic"},
-        "feature_semantics": {"mode": "semantic", "column_layout": {str(k): n for k, n in enumerate(features.BASE)}, "chain_column_layout": {str(k + 24): n for k, n in enumerate(features.CHAIN)}},
+        "retrieval_specs": retrieval_specs(c), "feature_semantics": FEATURE_SEMANTICS,
         "decoys": [], "holdout": {"windows_active": bool(c.holdout), "entries": c.holdout}, "behavior": behavior(ledger),
     }
 
@@ -184,9 +198,7 @@ def behavior(ledger: Ledger) -> dict:
         "chain_metadata": {"schema_version": "1.0.0", "identity_scope": "synthetic", "chains": [{"chain_key": k, **v} for k, v in CHAINS.items()],
             "node_records": [{"txId": r["tx_id"], "chain_id": r["chain_id"], "chain_key": r["chain_key"], "native_tx_id": r["native_tx_id"], "native_entity_id": r["native_entity_id"], "native_id_is_synthetic": True} for r in listed],
             "edge_records": _rows(edge_records(ledger), "edge_id"), "bridge_records": _rows(bridge_records(ledger), "event_id")},
-        "sanctions_anchor_map": {"schema_version": "1.0.0", "status": "provenance_only", "real_address_payload_loaded": False, "records": []},
-        "calibration": {"schema_version": "1.0.0", "status": "not_evaluated", "positive_class": "1", "negative_class": "2", "unknown_policy": "exclude", "score_semantics": "uncalibrated_model_score"},
-        "rng_contract": {"generator": "counter-based md5", "namespaces": ["behavior:population", "behavior:schedule", "behavior:transition", "behavior:amount", "behavior:drift"]},
+        "sanctions_anchor_map": SANCTIONS, "calibration": CALIBRATION, "rng_contract": RNG_CONTRACT,
     }
 
 

@@ -63,6 +63,61 @@ def test_bundle_is_valid_and_tampering_is_found(spark, root, tmp_path):
     assert "hash mismatch" in tampered(classes)
 
 
+#: A change of a manifest and what must be said of it. Each takes records of its own, so that one run finds all.
+TAMPERS = {
+    "event source entity did not receive the source transaction last": lambda m: next(e for e in m["behavior"]["events"] if e["source_tx_ids"])["source_entity_ids"].__setitem__(0, 17),
+    "bridge event ID does not match its chains": lambda m: next(e for e in m["behavior"]["events"] if e["bridge_id"]).update(bridge_id="x"),
+    "event amount is outside its policy": lambda m: m["behavior"]["events"][900].update(amount_minor=-5), "event step does not match its transaction": lambda m: m["behavior"]["events"][901].update(step=49), "event action is unknown": lambda m: m["behavior"]["events"][902].update(action_id="steal"),
+    "event actor is unknown": lambda m: m["behavior"]["events"][903].update(actor_entity_id=99), "event has no counterparty": lambda m: m["behavior"]["events"][904].update(counterparty_entity_ids=[]),
+    "event counterparty occurs twice": lambda m: m["behavior"]["events"][905].update(counterparty_entity_ids=m["behavior"]["events"][905]["counterparty_entity_ids"] * 2), "event counterparty is unknown": lambda m: m["behavior"]["events"][906].update(counterparty_entity_ids=[55]),
+    "event target entity is unknown": lambda m: m["behavior"]["events"][907].update(target_entity_id=77), "event source transaction is not before it": lambda m: m["behavior"]["events"][908].update(source_tx_ids=[908], source_entity_ids=[1]),
+    "event source entity and source transaction are not paired": lambda m: m["behavior"]["events"][909].update(source_entity_ids=[]), "event profile does not match its actor": lambda m: m["behavior"]["events"][910].update(profile_id="nobody"),
+    "event instance is not its component": lambda m: m["behavior"]["events"][911].update(instance_id=4_000), "event target transaction occurs twice": lambda m: m["behavior"]["events"][912].update(target_tx_id=913),
+    "entity type does not match its profile": lambda m: m["behavior"]["entities"][0].update(entity_type="x"), "native entity ID does not match": lambda m: m["behavior"]["entities"][1].update(native_entity_id="synthetic-0"), "entity chain is unknown": lambda m: m["behavior"]["entities"][2].update(chain_id="x"),
+    "entity steps do not match its events": lambda m: m["behavior"]["entities"][3].update(first_step=48), "entity profile version does not match": lambda m: m["behavior"]["entities"][4].update(profile_version=2),
+    "profile nodes: channel does not match": lambda m: m["behavior"]["behavioral_profiles"]["nodes"][5]["behavior_params"].update(channel="x"), "profile nodes: class_policy does not match": lambda m: m["behavior"]["behavioral_profiles"]["nodes"][6].update(class_policy="x"),
+    "profile nodes occur twice": lambda m: m["behavior"]["behavioral_profiles"]["nodes"].append(m["behavior"]["behavioral_profiles"]["nodes"][7]),
+    "instances: chain_path does not match": lambda m: m["behavior"]["instances"][0].update(chain_path=[]), "instances: temporal_window does not match": lambda m: m["behavior"]["instances"][0].update(temporal_window=[2, 2]),
+    "instance ground truth: anchor_node_id does not match": lambda m: m["instance_ground_truth"][0].update(anchor_node_id=1), "instance ground truth: holdout does not match": lambda m: m["instance_ground_truth"][0].update(holdout=True),
+    "instance ground truth: articulation_points does not match": lambda m: m["instance_ground_truth"][0].update(articulation_points=[0]), "anchors: shells does not match": lambda m: m["anchor_registry"]["anchors"][0]["k_hop_neighborhoods"].update({"1": [5]}),
+    "anchors do not cover their source": lambda m: m["anchor_registry"]["anchors"].pop(), "ground truth: class does not match": lambda m: m["ground_truth"][20].update({"class": "unknown"}), "ground truth: entity_ids does not match": lambda m: m["ground_truth"][21].update(entity_ids=[]),
+    "ground truth do not cover their source": lambda m: m["ground_truth"].pop(), "edge ground truth: amount does not match": lambda m: m["edge_attribute_ground_truth"][0].update(amount=1e9), "edge ground truth: role does not match": lambda m: m["edge_attribute_ground_truth"][1].update(role="x"),
+    "chain node records: native_tx_id does not match": lambda m: m["behavior"]["chain_metadata"]["node_records"][0].update(native_tx_id="ab"), "native transaction ID is no digest": lambda m: None,
+    "chain node records: native_id_is_synthetic does not match": lambda m: m["behavior"]["chain_metadata"]["node_records"][1].update(native_id_is_synthetic=False), "chain edge records: native_amount_minor does not match": lambda m: m["behavior"]["chain_metadata"]["edge_records"][0].update(native_amount_minor=4),
+    "chain edge records: target_chain_id does not match": lambda m: m["behavior"]["chain_metadata"]["edge_records"][1].update(target_chain_id="x"), "bridge records do not cover their source": lambda m: m["behavior"]["chain_metadata"]["bridge_records"].pop(),
+    "bridge records occur twice": lambda m: m["behavior"]["chain_metadata"]["bridge_records"].append(m["behavior"]["chain_metadata"]["bridge_records"][0]), "realized drift does not match": lambda m: m["behavior"]["drift_schedule"]["realized"][0]["class_counts"].update(licit=1),
+}
+
+
+def test_every_kind_of_tampering_is_found(spark, root):
+    m = json.loads((root / "manifest.json").read_text())
+    for change in TAMPERS.values():
+        change(m)
+    files = {n: bundle.read_table(spark, root, n) for n in ("features", "edgelist")}
+    t = {name: validate._table(spark, validate._at(m, path), schema) for name, (path, schema) in validate._SECTIONS.items()}
+    t |= {"nodes": files["features"].select(F.col("txId").alias("tx_id"), "time_step"), "edges": files["edgelist"].select(F.col("__row").alias("edge_id"), "txId1", "txId2")}
+    faults = validate.table_rules(spark, config.parse(m["config"]), t, m["behavior"]["drift_schedule"]["realized"]).faults()
+    found = {r["message"] for r in faults.select("message").distinct().collect()}
+    assert set(TAMPERS) <= found, sorted(set(TAMPERS) - found)
+
+
+@pytest.mark.parametrize(
+    ("message", "change"),
+    [
+        ("registry digest", lambda m: m["behavior"]["behavioral_profiles"].update(registry_sha256="0")), ("seed", lambda m: m.update(seed=1)), ("drift schedule", lambda m: m["behavior"]["drift_schedule"]["configured"]["phases"].pop()),
+        ("phase bounds", lambda m: m["behavior"]["drift_schedule"]["realized"][0].update(step_max=3)), ("chain registry", lambda m: m["behavior"]["chain_metadata"]["chains"].pop()), ("sanctions", lambda m: m["behavior"]["sanctions_anchor_map"].update(records=[1])),
+        ("calibration", lambda m: m["behavior"]["calibration"].update(status="x")), ("contract version", lambda m: m["behavior"].update(contract_version="x")), ("not whole", lambda m: m["config"].pop("holdout")), ("invalid", lambda m: m["config"].update(n_txs=True)),
+        ("section is missing", lambda m: m.pop("decoys")), ("decoys", lambda m: m.update(decoys=[1])), ("feature layout", lambda m: m["feature_semantics"].update(mode="x")), ("retrieval", lambda m: m["retrieval_specs"].update(default_k=9)), ("draws", lambda m: m["behavior"]["rng_contract"].update(generator="x")),
+    ],
+)
+def test_manifest_sections(root, message, change):
+    m = json.loads((root / "manifest.json").read_text())
+    validate.manifest_rules(m)
+    change(m)
+    with pytest.raises(validate.Invalid, match=message):
+        validate.manifest_rules(m)
+
+
 def test_config_refuses():
     assert config.parse({"seed": 72, "n_txs": 10000}).quotas == config.QUOTAS
     for raw, message in [
