@@ -59,26 +59,36 @@ def in_bitmap(table: bytes, bits: int, hashes: np.ndarray) -> np.ndarray:
     return (np.frombuffer(table, np.uint8)[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def flagged(rows: DataFrame, marks: DataFrame, key: list[str], name: str = "flag") -> DataFrame:
+def flagged(rows: DataFrame, marks: DataFrame, key: list[str], tag: str, name: str = "flag") -> DataFrame:
     """rows with whether their key may be one of marks: false for most that are not, never for one that is.
 
-    The marks are a bitmap of 2**BITMAP_BITS bits by a hash of the key, whatever their number, which is broadcast.
+    The marks are a bitmap of 2**BITMAP_BITS bits by a hash of the key, whatever their number, which is broadcast. tag: names
+    the join in plans.
     """
+    page_, bits_, bit_ = (f"__{x}_{tag}" for x in ("page", "bits", "bit"))
     place = F.pmod(F.xxhash64(*key), F.lit(1 << BITMAP_BITS))
-    pages = _pages(marks, place).select(F.col("page").alias("__page"), F.col("bits").alias("__bits"))
+    pages = _pages(marks, place).select(F.col("page").alias(page_), F.col("bits").alias(bits_))
     bit = place.bitwiseAND(F.lit((1 << 15) - 1))
-    placed = rows.withColumn("__page", F.shiftright(place, 15).cast("int")).withColumn("__bit", bit).join(F.broadcast(pages), "__page", "left")  # 2**(BITMAP_BITS - 15) pages of 4 KB
-    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright("__bit", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    one = F.call_function("shiftright", byte, F.col("__bit").bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    placed = rows.withColumn(page_, F.shiftright(place, 15).cast("int")).withColumn(bit_, bit).join(F.broadcast(pages), page_, "left")  # 2**(BITMAP_BITS - 15) pages of 4 KB
+    byte = F.conv(F.hex(F.substring(bits_, (F.shiftright(bit_, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    one = F.call_function("shiftright", byte, F.col(bit_).bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
     return placed.select(*[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns], F.coalesce(one, F.lit(False)).alias(name))
 
 
-def among(rows: DataFrame, marks: DataFrame, key: list[str]) -> DataFrame:
+def among(rows: DataFrame, marks: DataFrame, key: list[str], tag: str) -> DataFrame:
     """The rows whose key may be one of marks."""
-    return flagged(rows, marks, key, "__may").where("__may").drop("__may")
+    return flagged(rows, marks, key, tag, "__may").where("__may").drop("__may")
 
 
-def joined_by_key(rows: DataFrame, keyed: DataFrame, key: list[str], n: str = "n") -> DataFrame:
+def without(docs: DataFrame, doc_id: str, text: str, out: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, whose id and hash of the text are not among (id, t). Most that stay are not shuffled."""
+    mine = flagged(packed(docs, id=column(docs, doc_id), t=F.xxhash64(F.coalesce(column(docs, text), F.lit("")))), out, ["id", "t"], "out")
+    same = F.col("d.id").eqNullSafe(F.col("o.id")) & (F.col("d.t") == F.col("o.t"))
+    judged = mine.where("flag").alias("d").join(out.alias("o"), same, "left_anti")
+    return mine.where("not flag").select("row").unionByName(judged.select("row")).select("row.*")
+
+
+def joined_by_key(rows: DataFrame, keyed: DataFrame, key: list[str], tag: str, n: str = "n") -> DataFrame:
     """rows joined with keyed, which has each key once and in `n` how many rows have it; both are stored tables.
 
     A key with at least 1/HOT of the rows, of which there are at most HOT, is broadcast, so its rows stay where they are;
@@ -87,7 +97,7 @@ def joined_by_key(rows: DataFrame, keyed: DataFrame, key: list[str], n: str = "n
     total = keyed.agg(F.sum(n)).first()[0] or 0
     hot = F.col(n) * HOT >= total
     top = keyed.where(hot)  # at most HOT rows
-    return rows.join(F.broadcast(top), key).unionByName(among(rows, keyed.where(~hot), key).join(keyed.where(~hot), key))
+    return rows.join(F.broadcast(top), key).unionByName(among(rows, keyed.where(~hot), key, tag).join(keyed.where(~hot), key))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, column, packed, stored, text_bytes
+from .common import LOWER_AZ, slices, stored, text_bytes, without
 
 WINDOW, NEAR_TERMS, BLOCK_WORDS = 13, 11, 2_000_000
 #: Lower-cases A-Z and makes every byte that is not of a word a space.
@@ -171,7 +171,7 @@ def _index(mine: DataFrame, block: Block, kind: str) -> DataFrame:
     """A row per document with its viable stretches: the positional postings in document order."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             counts, hashes, starts, lists = [], [], [], []
             for raw in text_bytes(batch.column(1)):
                 found = words(raw)
@@ -207,7 +207,7 @@ def _search(index: DataFrame, block: Block, kind: str) -> DataFrame:
     wanted[terms] = True
 
     def postings(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows, found, places_ = [], [], []
             for k, (starts, lists) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 for s, t in zip(starts, lists):
@@ -228,7 +228,7 @@ def _search(index: DataFrame, block: Block, kind: str) -> DataFrame:
     both = i.join(c, F.col("i.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("i.text_hash") == F.col("c.text_hash")))
 
     def verify(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for k, (starts, lists, found) in enumerate(zip(*(batch.column(j).to_pylist() for j in (2, 3, 4)))):
                 at, exact, near = block.verify(starts, lists, [(x["item"], x["diagonal"]) for x in found])
@@ -248,9 +248,7 @@ def digest(items: str = "items"):
 
 def contaminated_removed(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that are not contaminated."""
-    bad = matches(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("t")).distinct().alias("b")
-    mine = packed(docs, id=column(docs, doc_id), t=F.xxhash64(F.coalesce(column(docs, text), F.lit("")))).alias("d")
-    return mine.join(bad, F.col("d.id").eqNullSafe(F.col("b.id")) & (F.col("d.t") == F.col("b.t")), "left_anti").select("row.*")
+    return without(docs, doc_id, text, stored(matches(docs, benchmark, doc_id, text).where("contaminated").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("t")).distinct()))
 
 
 def brute_force(documents: list[tuple], items: list[tuple]) -> list[tuple]:

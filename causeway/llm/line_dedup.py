@@ -71,10 +71,10 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     place = _place(F.get(F.get("around", F.lit(0))["lines"], F.lit(0)))
     count = F.count(F.lit(1)).alias("n")
     several = stored(positions.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), count).where("a <> b").select("h", "n"))
-    around = stored(joined_by_key(positions, several, ["h"]).select("id", "t", "h", F.explode("around").alias("p")).select("id", "t", "h", "p.*"))
+    around = stored(joined_by_key(positions, several, ["h"], "line").select("id", "t", "h", F.explode("around").alias("p")).select("id", "t", "h", "p.*"))
     key, place = ["h", "kind", "a", "b"], _place(F.get("lines", F.lit(0)))
     first = stored(around.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), count).where("first <> last").drop("last"))
-    later = joined_by_key(around, first, key).where(place > F.col("first"))
+    later = joined_by_key(around, first, key, "around").where(place > F.col("first"))
     return later.groupBy("id", "t").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("lines"))  # of one document: as many as it has lines
 
 
@@ -83,7 +83,7 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     gone = stored(repeated_lines(docs, doc_id, text))
     whole = column(docs, text)
     mine = packed(docs, id=column(docs, doc_id), t=F.xxhash64(F.coalesce(whole, F.lit(""))), text=whole)
-    mine = flagged(mine, gone, ["id", "t"])
+    mine = flagged(mine, gone, ["id", "t"], "gone")
     same = F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.t") == F.col("g.t"))
     changed = mine.where("flag").alias("d").join(gone.alias("g"), same, "left").select("row", "text", "lines")
     joined = changed.unionByName(mine.where("not flag").select("row", "text", F.lit(None).cast("array<int>").alias("lines")))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, packed, stored, text_bytes
+from .common import slices, stored, text_bytes, without
 
 #: Labelled rows to learn from, about.
 MAX_TRAIN = 60_000
@@ -73,7 +73,7 @@ def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = text_bytes(batch.column(1))
             hashes = [int.from_bytes(xxhash.xxh64_digest(x, 42), "big", signed=True) for x in texts]
             values = pa.array([statistics(x) for x in texts], pa.list_(pa.float64()))
@@ -195,6 +195,4 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, train, doc_id: str
 
 def accepted(docs: DataFrame, scores: DataFrame, bar: float = KEEP, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose score by classify() is not under the bar. Rows equal in id and text have one score."""
-    rejected = scores.where(F.col("score") < bar).select(F.col("doc_id").alias("id"), "t").distinct().alias("r")
-    mine = packed(docs, id=column(docs, doc_id), t=F.xxhash64(F.coalesce(column(docs, text), F.lit("")))).alias("d")
-    return mine.join(rejected, F.col("d.id").eqNullSafe(F.col("r.id")) & (F.col("d.t") == F.col("r.t")), "left_anti").select("row.*")
+    return without(docs, doc_id, text, stored(scores.where(F.col("score") < bar).select(F.col("doc_id").alias("id"), "t").distinct()))

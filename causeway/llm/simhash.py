@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, column, components, packed, stored, text_bytes
+from .common import LOWER_AZ, column, components, flagged, joined_by_key, packed, slices, stored, text_bytes
 
 SHINGLE, SEED, MAX_BITS, CROWD = 3, 42, 3, 64
 _PIECE = 1 << 18
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = text_bytes(batch.column(1))
             hashes = [int.from_bytes(xxhash.xxh64_digest(x, SEED), "big", signed=True) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.int64()), pa.array(map(fingerprint, texts), pa.int64())], ["doc_id", "t", "fp"])
@@ -72,8 +72,8 @@ def _segment(fp: Column, index: int, bits: int) -> Column:
 
 
 def _crowded(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose key others share, with the number of them. Counts are combined before they meet, so no task holds all rows of a key."""
-    return rows.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), keys)
+    """Rows whose key others share, with the number of them. Only counts of keys are shuffled, and then rows of shared keys."""
+    return joined_by_key(rows, stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")), keys, keys[-1])
 
 
 def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,7 +88,8 @@ def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints `fp` with at most MAX_BITS different bits, each once."""
     fp = F.col("fp")
-    rows = distinct.select("fp", F.explode(F.concat(*(_variants(_segment(fp, s, 32), 32, s) for s in (0, 1)))).alias("key"))
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # a row becomes 64
+    rows = spread.select("fp", F.explode(F.concat(*(_variants(_segment(fp, s, 32), 32, s) for s in (0, 1)))).alias("key"))
     shared = stored(_crowded(rows, ["key"]))
     few = _pairs(shared.where(F.col("n") <= CROWD).select("key", "fp"), ["key"])
     # the segment that the key does not cover, in halves; three different bits leave one half with at most one
@@ -113,10 +114,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs, all columns, of each component: that of the least id, rows without an id last; of repeated rows one stays."""
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "t")
-    kept = near_duplicates(docs, doc_id, text).groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.t").alias("t")).alias("k")
-    mine = packed(docs, id=column(docs, doc_id), t=F.xxhash64(F.coalesce(column(docs, text), F.lit("")))).alias("d")
-    chosen = mine.join(kept, F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.t") == F.col("k.t")), "left_semi")
-    return chosen.dropDuplicates(["id", "t"]).select("row.*")
+    found = stored(near_duplicates(docs, doc_id, text).groupBy("root", "doc_id", "t").agg(F.count(F.lit(1)).alias("times")))
+    kept = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("id"), F.col("k.t").alias("t"))
+    f, k = found.alias("f"), kept.alias("k")
+    chosen = f.join(k, F.col("f.doc_id").eqNullSafe(F.col("k.id")) & (F.col("f.t") == F.col("k.t")), "left")
+    out = stored(chosen.where(F.col("k.t").isNull() | (F.col("times") > 1)).select(F.col("doc_id").alias("id"), "f.t", F.col("k.t").isNotNull().alias("again")))
+    # rows that are dropped, and those that occur several times; the others stay where they are
+    mine = flagged(packed(docs, id=column(docs, doc_id), t=F.xxhash64(F.coalesce(column(docs, text), F.lit("")))), out, ["id", "t"], "out")
+    same = F.col("d.id").eqNullSafe(F.col("o.id")) & (F.col("d.t") == F.col("o.t"))
+    some = mine.where("flag").alias("d").join(out.alias("o"), same, "left").where("again is null or again").select("row", "d.id", "d.t", "again")
+    single, repeated = some.where("again is null").select("row"), some.where("again").dropDuplicates(["id", "t"]).select("row")
+    return mine.where("not flag").select("row").unionByName(single).unionByName(repeated).select("row.*")
 
 
 def brute_force(documents: list[tuple]) -> list[tuple]:

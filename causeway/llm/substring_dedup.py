@@ -37,15 +37,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import joined_by_key, stored
+from .common import among, bitmap, in_bitmap, joined_by_key, slices, stored
 
 WINDOW, SEED_WORDS = 13, 5
-#: Bits of the table for each bucket of seeds, and of all; buckets, as powers of two, of the first exchange and of all.
-BUCKET_BITS, MAX_BITS, FIRST_BUCKETS, MAX_BUCKETS = 21, 29, 12, 24
-_GROUP = 1 << 20
+#: Bits of the table for each repeated seed, and of all as a power; buckets, as powers of two, of the first exchange and of all.
+SEED_BITS, MAX_BITS, FIRST_BUCKETS, MAX_BUCKETS = 16, 29, 12, 24
+_GROUP = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -106,7 +107,7 @@ class Group:
         self.text = np.searchsorted(bounds[1:], self.starts, "right")
         self.n_words = np.bincount(self.text, minlength=len(texts))
         self.first = np.concatenate([[0], np.cumsum(self.n_words)])
-        hashed = _WORDS.prefix(_BYTES.slices(_BYTES.prefix(data.astype(np.uint64) + np.uint64(1)), self.starts, self.stops))
+        self.hashed = hashed = _WORDS.prefix(_BYTES.slices(_BYTES.prefix(data.astype(np.uint64) + np.uint64(1)), self.starts, self.stops))
         n = max(len(self.starts) - WINDOW + 1, 0)
         self.at = np.flatnonzero(self.text[:n] == self.text[WINDOW - 1 :]) if n else np.zeros(0, np.int64)
         i = np.arange(max(len(self.starts) - SEED_WORDS + 1, 0))
@@ -121,28 +122,42 @@ class Group:
         raw, digest = self.raw, xxhash.xxh3_64_digest
         return np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(self.starts[starts].tolist(), self.stops[ends - 1].tolist())]), ">i8").astype(np.int64)
 
-    def pieces(self, passed: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(text, word in text, edges, seed, content, whether the next piece follows at once, first edge) of the maximal runs of passed edges with one seed."""
+    def cheap(self, starts: np.ndarray) -> np.ndarray:
+        """Hashes of edges that may be equal where the words are not."""
+        return _WORDS.slices(self.hashed, starts, starts + WINDOW)
+
+    def cuts(self, passed: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text, word in text, edges, seed, first edge) of the maximal runs of passed edges with one seed."""
         at, seed = self.at[passed], self.seed[passed]
         if not len(at):
-            return (np.zeros(0, np.int64),) * 7
+            return (np.zeros(0, np.int64),) * 5
         near = (at[1:] == at[:-1] + 1) & (self.text[at[1:]] == self.text[at[:-1]])
         heads = np.flatnonzero(np.concatenate([[True], ~near | (seed[1:] != seed[:-1])]))
-        tails = np.append(heads[1:], len(at)) - 1
-        first, last = at[heads], at[tails]
-        follows = np.append(near[tails[:-1]], False)
-        return self.text[first], first - self.first[self.text[first]], tails - heads + 1, seed[heads].view(np.int64), self.content(first, last + WINDOW), follows, first
+        first = at[heads]
+        return self.text[first], first - self.first[self.text[first]], np.diff(np.append(heads, len(at))), seed[heads].view(np.int64), first
+
+    def pieces(self, passed: np.ndarray) -> tuple[np.ndarray, ...]:
+        """cuts() with the content of each, and whether the next one follows at once: (text, word in text, edges, seed, content, follows)."""
+        text, pos, n, seed, first = self.cuts(passed)
+        if not len(text):
+            return (text,) * 6
+        follows = np.append((first[1:] == first[:-1] + n[:-1]) & (text[1:] == text[:-1]), False)
+        return text, pos, n, seed, self.content(first, first + n - 1 + WINDOW), follows
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[int, int, Group, list[bytes]]]:
     """(first row, end row, group, raw texts) of the texts of a batch, about _GROUP bytes each."""
-    raw = [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
-    sizes = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-    k = 0
-    while k < len(raw):
-        end = max(k + 1, int(np.searchsorted(sizes, sizes[k] + _GROUP, "right")) - 1)
-        yield k, end, Group([b" ".join(x.split()) for x in raw[k:end]]), raw[k:end]
-        k = end
+    k, raw = 0, []
+    size, binary = 0, pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    for at in range(0, len(column), 64):  # a part of the batch at a time
+        for x in column.slice(at, 64).cast(binary).to_pylist():
+            raw.append(x or b"")
+            size += len(raw[-1])
+            if size >= _GROUP:
+                yield k, k + len(raw), Group([b" ".join(x.split()) for x in raw]), raw
+                k, raw, size = k + len(raw), [], 0
+    if raw:
+        yield k, k + len(raw), Group([b" ".join(x.split()) for x in raw]), raw
 
 
 def _with_id(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -153,7 +168,6 @@ def repeated_seeds(docs: DataFrame) -> tuple[np.ndarray, int]:
     """A bit table of the seeds that more than one document may hold, by the top bits of their hashes; and its size in bits as a power."""
     buckets = max(4, min(MAX_BUCKETS, (2 * docs.rdd.getNumPartitions() - 1).bit_length()))
     wide = min(buckets, FIRST_BUCKETS)
-    bits = min(MAX_BITS, buckets + BUCKET_BITS)
 
     def cut(seed: np.ndarray, several: np.ndarray, low: int, high: int, power: int) -> list[tuple]:
         """Rows (bucket, seeds, several) of sorted seeds by their top bits, for the buckets low to high of 2**power."""
@@ -198,19 +212,28 @@ def repeated_seeds(docs: DataFrame) -> tuple[np.ndarray, int]:
         seed = np.concatenate(seeds)
         again = seed[several]
         seed.sort()
-        again = np.concatenate([again, seed[1:][seed[1:] == seed[:-1]]])
-        table = np.zeros(1 << (bits - buckets), bool)
-        table[(again >> np.uint64(64 - bits)).astype(np.int64) & (len(table) - 1)] = True
-        return pd.DataFrame({"bucket": frame["bucket"][:1], "table": [np.packbits(table).tobytes()]})
+        again = np.unique(np.concatenate([again, seed[1:][seed[1:] == seed[:-1]]]))
+        return pd.DataFrame({"bucket": frame["bucket"][:1], "n": [len(again)], "seeds": [again.tobytes()]})
 
     schema = "bucket int, seeds binary, several binary"
     sent = docs.where("doc_id is not null").mapInArrow(collect, schema)
     if buckets > wide:
         sent = sent.repartition("bucket").mapInArrow(finer, schema)
+    repeated = stored(sent.groupBy("bucket").applyInPandas(merge, "bucket int, n bigint, seeds binary"))
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    bits = max(buckets + 3, min(MAX_BITS, (SEED_BITS * total).bit_length()))
+
+    def mark(batches):
+        for batch in batches:
+            for bucket, seeds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                part = np.zeros(1 << (bits - buckets), bool)
+                part[(np.frombuffer(seeds, np.uint64) >> np.uint64(64 - bits)).astype(np.int64) & (len(part) - 1)] = True
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(part).tobytes()], pa.binary())], ["bucket", "part"])
+
     table = np.zeros((1 << bits) // 8, np.uint8)
     width = len(table) >> buckets
-    for row in sent.groupBy("bucket").applyInPandas(merge, "bucket int, table binary").toLocalIterator():  # 2**bits bits in all
-        table[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["table"], np.uint8)
+    for row in repeated.select("bucket", "seeds").mapInArrow(mark, "bucket int, part binary").toLocalIterator():  # 2**bits bits in all
+        table[row["bucket"] * width : (row["bucket"] + 1) * width] = np.frombuffer(row["part"], np.uint8)
     return table, bits
 
 
@@ -220,15 +243,14 @@ def _passing(table: bytes, bits: int, hashes: np.ndarray) -> np.ndarray:
     return (np.frombuffer(table, np.uint8)[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _pieces(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
-    """A row per document (pos null) with its words and the digest of them all, and a row per piece that may repeat."""
-    shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+def _pieces(docs: DataFrame, shared: Broadcast, bits: int) -> DataFrame:
+    """A row per document (pos null) with its words and the digest of them all, and a row per piece that may repeat. shared: the bit table of seeds."""
 
     def run(batches):
         for batch in batches:
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for k, end, group, raw in _groups(batch.column(1)):
-                text, pos, n, seed, content, follows, _ = group.pieces(_passing(shared.value, bits, group.seed) & known[k + group.text[group.at]])
+                text, pos, n, seed, content, follows = group.pieces(_passing(shared.value, bits, group.seed) & known[k + group.text[group.at]])
                 hashes = np.frombuffer(b"".join(xxhash.xxh64_digest(x, 42) for x in raw), ">i8").astype(np.int64)
                 digests = [hashlib.sha256(b" ".join(x.split())).hexdigest() for x in raw]
                 m, none = end - k, len(text)
@@ -245,41 +267,47 @@ def _pieces(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, t bigint, n_words bigint, whole string, pos int, edges int, seed bigint, content bigint, next bigint")
 
 
-def _opened(docs: DataFrame, seeds: tuple[np.ndarray, int], places: tuple[np.ndarray, int]) -> DataFrame:
-    """(doc_id, t, pos, seed, content, k, edge): the single edges of the pieces whose places may be among those to open."""
-    shared = docs.sparkSession.sparkContext.broadcast((seeds[0].tobytes(), places[0].tobytes()))
+def _opened(docs: DataFrame, seeds: tuple[Broadcast, int], places: tuple[Broadcast, int], again: tuple[Broadcast, int] | None) -> DataFrame:
+    """The single edges of the pieces whose places may be among those to open: (doc_id, t, pos, seed, content, k, edge).
 
+    again: which of them may occur several times, by a cheap hash; without it, only (hash, times) of each group's different edges.
+    """
     def run(batches):
         for batch in batches:
+            owners = batch.column(2).to_numpy()
             for k, _, group, raw in _groups(batch.column(1)):
-                text, pos, n, seed, content, _, first = group.pieces(_passing(shared.value[0], seeds[1], group.seed))
+                text, pos, n, seed, first = group.cuts(_passing(seeds[0].value, seeds[1], group.seed))
                 hashes = np.frombuffer(b"".join(xxhash.xxh64_digest(x, 42) for x in raw), ">i8").astype(np.int64)
-                keep = np.flatnonzero(_passing(shared.value[1], places[1], _spread(hashes[text], pos))) if len(content) else np.zeros(0, np.int64)
+                keep = np.flatnonzero(in_bitmap(places[0].value, places[1], _place(owners[k + text], hashes[text], pos))) if len(text) else np.zeros(0, np.int64)
                 if not len(keep):
                     continue
                 of = np.repeat(keep, n[keep])
                 offset = np.arange(len(of)) - np.repeat(np.cumsum(n[keep]) - n[keep], n[keep])
+                cheap = group.cheap(first[of] + offset)
+                if again is None:
+                    different, times = np.unique(cheap, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(different.view(np.int64)), pa.array(np.minimum(times, 2))], ["hash", "times"])
+                    continue
+                some = np.flatnonzero(in_bitmap(again[0].value, again[1], cheap))
+                if not len(some):
+                    continue
+                of, offset = of[some], offset[some]
                 edge = group.content(first[of] + offset, first[of] + offset + WINDOW)
-                columns = [batch.column(0).take(pa.array(k + text[of])), pa.array(hashes[text[of]]), pa.array(pos[of].astype(np.int32)), pa.array(seed[of]), pa.array(content[of]), pa.array(offset.astype(np.int32)), pa.array(edge)]
+                pieces, at = np.unique(of, return_inverse=True)
+                content = group.content(first[pieces], first[pieces] + n[pieces] - 1 + WINDOW)[at]
+                columns = [batch.column(0).take(pa.array(k + text[of])), pa.array(hashes[text[of]]), pa.array(pos[of].astype(np.int32)), pa.array(seed[of]), pa.array(content), pa.array(offset.astype(np.int32)), pa.array(edge)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "pos", "seed", "content", "k", "edge"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, t bigint, pos int, seed bigint, content bigint, k int, edge bigint")
-
-
-def _spread(t: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """A hash of places in texts, by their hash and the number of the word."""
-    return _mix(t.astype(np.int64).view(np.uint64) + (pos.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    schema = "hash bigint, times bigint" if again is None else f"doc_id {kind}, t bigint, pos int, seed bigint, content bigint, k int, edge bigint"
+    return docs.where("doc_id is not null").withColumn("owner", F.xxhash64("doc_id")).mapInArrow(run, schema)
 
 
-def _hashed_places(rows: DataFrame) -> DataFrame:
-    """(place): the hash of each row's (t, pos)."""
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_spread(batch.column(0).to_numpy(), batch.column(1).to_numpy()))], ["place"])
-
-    return rows.select("t", "pos").mapInArrow(run, "place bigint")
+def _place(owner, t, pos):
+    """A hash of a place, from hashes of the row's id and text and the number of the word, as columns or arrays."""
+    if isinstance(t, np.ndarray):
+        return owner.astype(np.int64) ^ t.astype(np.int64) ^ pos.astype(np.int64) * 40503
+    return owner.bitwiseXOR(t).bitwiseXOR(pos.cast("bigint") * 40503)
 
 
 def _compacted(pieces: DataFrame) -> DataFrame:
@@ -304,24 +332,20 @@ def _runs(parts: DataFrame, kind: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for row, parts_ in enumerate(batch.column(4).to_pylist()):
-                last = None
-                for p in sorted(parts_, key=lambda p: p["k"]):
-                    now = (p["source"]["doc_id"], p["source"]["t"], p["source"]["pos"] - p["k"])
-                    if last is not None and last[0] == now and p["k"] == last[1] + last[2]:
-                        last[2] += 1
-                    else:
-                        last = [now, p["k"], 1]
-                        out.append((row, last))
-            rows = pa.array([r for r, _ in out], pa.int64())
-            source = [{"doc_id": now[0], "t": now[1], "pos": now[2] + at} for _, (now, at, _) in out]
-            columns = [*(batch.column(k).take(rows) for k in range(4)), pa.array([x[1] for _, x in out], pa.int32()), pa.array([x[2] for _, x in out], pa.int32()), pa.array(source, parts_type)]
+            counts = batch.column(4).value_lengths().to_numpy()
+            listed = batch.column(4).flatten()
+            k, source = listed.field("k").to_numpy(), listed.field("source")
+            doc, t, pos = source.field("doc_id"), source.field("t").to_numpy(), source.field("pos").to_numpy()
+            row, same_doc = np.repeat(np.arange(len(counts)), counts), doc.dictionary_encode().indices.to_numpy()
+            order = np.lexsort((k, row))
+            row, k, t, pos, same_doc = (x[order] for x in (row, k, t, pos, same_doc))
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (k[1:] != k[:-1] + 1) | (same_doc[1:] != same_doc[:-1]) | (t[1:] != t[:-1]) | (pos[1:] != pos[:-1] + 1)
+            heads = np.flatnonzero(new)
+            sources = pa.StructArray.from_arrays([doc.take(pa.array(order[heads])), pa.array(t[heads]), pa.array(pos[heads])], ["doc_id", "t", "pos"])
+            columns = [*(batch.column(c).take(pa.array(row[heads])) for c in range(4)), pa.array(k[heads]), pa.array(np.diff(np.append(heads, len(row))).astype(np.int32)), sources]
             yield pa.RecordBatch.from_arrays(columns, ["seed", "content", "n", "owner", "at", "edges", "source"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    parts_type = to_arrow_type(parts.schema["parts"].dataType.elementType["source"].dataType)
     return parts.mapInArrow(run, f"seed bigint, content bigint, n bigint, owner {kind}, at int, edges int, source struct<doc_id:{kind},t:bigint,pos:int>")
 
 
@@ -331,54 +355,27 @@ def _read(docs: DataFrame, paths: DataFrame, kind: str) -> DataFrame:
     wanted = stored(wanted)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for k, (text_, wanted_) in enumerate(zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist())):
                 words = (text_ or b"").split()
                 digests = [hashlib.sha256(b" ".join(words[w["pos"] : w["pos"] + w["edges"] + WINDOW - 1])).digest()[:16] for w in wanted_]
                 rows = pa.array([k] * len(digests), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([w["pos"] for w in wanted_], pa.int32()), pa.array([w["edges"] for w in wanted_], pa.int32()), pa.array(digests, pa.binary())], ["doc_id", "t", "pos", "edges", "digest"])
 
-    own = F.xxhash64("doc_id", "t").alias("own")
     mine = docs.where("doc_id is not null").withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    sources = among(mine.select("doc_id", "text", "t", own), "own", bit_table(wanted.select(own))).dropDuplicates(["doc_id", "t"]).join(wanted, ["doc_id", "t"])
+    sources = among(mine, wanted, ["doc_id", "t"], "wanted").dropDuplicates(["doc_id", "t"]).join(wanted, ["doc_id", "t"])
     read = sources.select("doc_id", "t", "text", "wanted").mapInArrow(run, f"doc_id {kind}, t bigint, pos int, edges int, digest binary").alias("r")
     p = paths.alias("p")
     same = (F.col("p.source.doc_id") == F.col("r.doc_id")) & (F.col("p.source.t") == F.col("r.t")) & (F.col("p.source.pos") == F.col("r.pos")) & (F.col("p.edges") == F.col("r.edges"))
     return p.join(read, same).select("p.*", "digest")
 
 
-def bit_table(hashes: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit table of the one bigint column, by top bits: 16 bits for each row, within fixed bounds."""
-    bits = min(27, max(16, (16 * hashes.count()).bit_length()))
-
-    def mark(batches):
-        table = np.zeros(1 << bits, bool)
-        for batch in batches:
-            table[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(table).tobytes()], pa.binary())], ["table"])
-
-    table = np.zeros((1 << bits) // 8, np.uint8)
-    for row in hashes.repartition(8).mapInArrow(mark, "table binary").toLocalIterator():
-        table |= np.frombuffer(row["table"], np.uint8)
-    return table, bits
-
-
-def among(rows: DataFrame, key: str, table: tuple[np.ndarray, int]) -> DataFrame:
-    """The rows whose key may be in the table; the others are not shuffled."""
-    shared, bits, at = rows.sparkSession.sparkContext.broadcast(table[0].tobytes()), table[1], rows.columns.index(key)
-
-    def test(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_passing(shared.value, bits, batch.column(at).to_numpy())))
-
-    return rows.mapInArrow(test, rows.schema)
-
-
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, t, n_words, whole) of all documents, and (doc_id, t, spans) of those that may have words to remove; spans of (from, to, digest) may overlap."""
     mine = _with_id(docs, doc_id, text)
     kind = mine.schema["doc_id"].dataType.simpleString()
-    seeds = repeated_seeds(mine)
+    send = lambda table: (mine.sparkSession.sparkContext.broadcast(table[0].tobytes()), table[1])  # noqa: E731  each table once
+    seeds = send(repeated_seeds(mine))
     found = stored(_pieces(mine, *seeds))
     rows, key = found.where("pos is not null"), ["seed", "content"]
     pieces = stored(rows.groupBy(*key).agg(
@@ -386,20 +383,22 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.bool_or(F.col("next").isNull()).alias("ends")))
     whole = _compacted(pieces)
     branching = pieces.groupBy("seed").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("seed")
-    branched = among(pieces.select("seed", F.col("first.t").alias("t"), F.col("first.pos").alias("pos")), "seed", bit_table(branching))  # and a few others, which does no harm
-    edges = stored(_opened(mine, seeds, bit_table(_hashed_places(branched))))
+    branched = among(pieces.select("seed", _place(F.xxhash64("first.doc_id"), F.col("first.t"), F.col("first.pos")).alias("place")), branching, ["seed"], "branching")  # and a few others, which does no harm
+    places = send(bitmap(branched, "place"))
+    again = stored(_opened(mine, seeds, places, None).groupBy("hash").agg(F.sum("times").alias("c")).where("c > 1"))
+    edges = stored(_opened(mine, seeds, places, send(bitmap(again, "hash"))))
     here = F.struct("doc_id", "t", (F.col("pos") + F.col("k")).alias("pos"))
     shared = stored(edges.groupBy("seed", "edge").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("seed", "edge", "n", "least"))
-    several = stored(among(edges, "edge", bit_table(shared.select("edge"))))
-    sources = stored(joined_by_key(several, shared, ["seed", "edge"]).where(F.col("doc_id") == F.col("least")).groupBy("seed", "edge").agg(F.min(here).alias("source")).join(shared, ["seed", "edge"]))
-    parts = joined_by_key(several, sources, ["seed", "edge"]).where(F.col("least") < F.col("doc_id"))
+    several = stored(among(edges, shared, ["seed", "edge"], "shared"))
+    sources = stored(joined_by_key(several, shared, ["seed", "edge"], "first").where(F.col("doc_id") == F.col("least")).groupBy("seed", "edge").agg(F.min(here).alias("source")).join(shared, ["seed", "edge"]))
+    parts = joined_by_key(several, sources, ["seed", "edge"], "later").where(F.col("least") < F.col("doc_id"))
     parts = parts.groupBy(*key, F.struct("doc_id", "t", "pos").alias("first")).agg(F.collect_list(F.struct("k", "source")).alias("parts"))  # of one piece
     parts = parts.join(pieces.select(*key, "first", "n"), [*key, "first"]).select(*key, "n", F.col("first.doc_id").alias("owner"), "parts")
     paths = stored(whole.withColumn("owner", F.lit(None).cast(kind)).unionByName(_runs(parts, kind)))
     listed = _read(mine, paths, kind).groupBy(*key).agg(F.first("n").alias("n"), F.collect_list(F.struct("at", "edges", "owner", F.col("source.doc_id").alias("least"), "digest")).alias("p"))  # of one piece
     decided = stored(listed)
-    marked = stored(among(rows.select("doc_id", "t", "pos", *key), "content", bit_table(decided.select("content"))))
-    met = joined_by_key(marked, decided, key).select("doc_id", "t", "pos", F.explode("p").alias("p")).where((F.col("p.owner") == F.col("doc_id")) | F.col("p.owner").isNull() & (F.col("p.least") < F.col("doc_id")))
+    marked = stored(among(rows.select("doc_id", "t", "pos", *key), decided, key, "decided"))
+    met = joined_by_key(marked, decided, key, "met").select("doc_id", "t", "pos", F.explode("p").alias("p")).where((F.col("p.owner") == F.col("doc_id")) | F.col("p.owner").isNull() & (F.col("p.least") < F.col("doc_id")))
     start = F.col("pos") + F.col("p.at")
     span = F.struct(start.alias("from"), (start + F.col("p.edges") + (WINDOW - 1)).alias("to"), F.col("p.digest").alias("digest"))
     spans = met.select("doc_id", "t", span.alias("s")).groupBy("doc_id", "t").agg(F.collect_list("s").alias("spans"))  # of one document
@@ -410,12 +409,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", te
     """doc_id, n_words, n_removed and kept_sha256 of every row; with `texts` also kept, the words that stay, joined by spaces (null where all stay)."""
     every, spans = repeated_spans(docs, doc_id, text)
     spans = stored(spans)
-    own = F.xxhash64("doc_id", "t").alias("own")
     mine = _with_id(docs, doc_id, text).where("doc_id is not null").withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    marked = among(mine.select("doc_id", "text", "t", own), "own", bit_table(spans.select(own))).join(spans, ["doc_id", "t"])
+    marked = among(mine, spans, ["doc_id", "t"], "spans").join(spans, ["doc_id", "t"])
 
     def cut(batches):
-        for batch in batches:
+        for batch in slices(batches):
             removed, digests, kept = [], [], []
             for text_, spans_ in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist()):
                 words = (text_ or b"").split()
