@@ -7,7 +7,10 @@ import hashlib
 import json
 import os
 import tempfile
+from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
+from typing import Any, TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators import features, forest
 from ..operators.schedule import with_phase
 from ..sources.rows import with_rows
+from ..storage import stored
 from . import registry
 from .config import Config
 from .generate import Ledger
@@ -98,12 +102,39 @@ def retrieval(ledger: Ledger) -> DataFrame:
     return out.select("*", kinds[F.col("profile_id")].alias("entity_type"), F.coalesce("articulation_points", none).alias("cuts"), hold.isNotNull().alias("holdout"), F.coalesce(hold, F.lit(False)).alias("train_excluded"), (F.col("instance_id") < limit).alias("anchored"))
 
 
-def _rows(df: DataFrame, order: str) -> list[dict]:
-    return [r.asDict(True) for r in df.orderBy(order).toLocalIterator(prefetchPartitions=True)]
+@dataclass
+class Rows:
+    """A list of a JSON file whose records are the rows of a table in order of a column, which is left out if it begins with an underscore."""
+
+    table: DataFrame
+    order: str
+
+    def records(self) -> Iterator[str]:
+        """One record at a time as JSON text, nulls included; the driver holds one partition of them."""
+        columns = [c for c in self.table.columns if not c.startswith("_")]
+        lines = self.table.orderBy(self.order).select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("r"))
+        return (r["r"] for r in lines.toLocalIterator(prefetchPartitions=True))
+
+
+def write_json(out: TextIO, value: Any) -> None:
+    """JSON of nested mappings whose leaves may be Rows, written as it comes; what is not finite is refused."""
+    if isinstance(value, dict):
+        for k, (name, x) in enumerate(value.items()):
+            out.write(("," if k else "{") + json.dumps(name, ensure_ascii=False) + ":")
+            write_json(out, x)
+        out.write("}" if value else "{}")
+    elif isinstance(value, Rows):
+        first = "["
+        for record in value.records():
+            out.write(first + "\n" + record)
+            first = ","
+        out.write("[]" if first == "[" else "]")
+    else:
+        json.dump(value, out, ensure_ascii=False, allow_nan=False)
 
 
 def write(ledger: Ledger, out_dir: str | Path) -> None:
-    """The bundle. Its files are single by contract; a manifest lists every node, so it is built where the files are written."""
+    """The bundle. Its files are single by contract, so the driver writes them; rows and records pass through one partition at a time."""
     out, c = Path(out_dir), ledger.config
     if "data/raw" in out.resolve().as_posix():
         raise ValueError("refusing to generate inside data/raw")
@@ -115,35 +146,29 @@ def write(ledger: Ledger, out_dir: str | Path) -> None:
     write_csv(nodes.select(F.col("tx_id").alias("txId"), labels.alias("class")), out / FILES["classes"], "txId")
     write_csv(attrs.select("edge_id", "txId1", "txId2"), out / FILES["edgelist"], "edge_id", drop=True)
     write_csv(attrs, out / FILES["edge_attributes"], "edge_id", drop=True)
-    (out / "manifest.json").write_text(json.dumps(manifest(ledger, attrs, out), indent=2, ensure_ascii=False, allow_nan=False), encoding="utf-8")
+    with open(out / "manifest.json", "w", encoding="utf-8") as f:
+        write_json(f, manifest(ledger, attrs, out))
 
 
 def manifest(ledger: Ledger, attrs: DataFrame, out: Path) -> dict:
+    """The sections of the manifest; those of records are tables."""
     c, nodes, edges = ledger.config, ledger.nodes, ledger.edges
-    shown = retrieval(ledger)
+    shown = stored(retrieval(ledger))
     hops = min(max(c.k_hop_range or (0,)), 1 << 20)
-    anchored = [r for r in _rows(shown, "instance_id")]
-    by_root = {r["root"]: r["instance_id"] for r in anchored if r["anchored"]}
-    shells: dict[int, dict[str, list[int]]] = {}
-    if hops and by_root:
-        picked = ledger.forest.instances().sparkSession.createDataFrame([(r["root"], r["anchor_node_id"], r["max_anchor_distance"]) for r in anchored if r["anchored"]], "root bigint, anchor bigint, max_distance bigint")
-        for r in ledger.forest.shells(picked, hops).collect():  # of the anchored instances
-            shells.setdefault(by_root[r["root"]], {})[str(r["hop"])] = r["nodes"]
-    entry = lambda r: {
-        "instance_id": r["instance_id"], "pattern_type": r["profile_id"], "anchor_node_id": r["anchor_node_id"], "anchor_role": r["anchor_role"], "entity_type": r["entity_type"], "max_anchor_distance": r["max_anchor_distance"],
-        "temporal_window": r["temporal_window"], "node_ids": r["node_ids"], "edge_ids": r["edge_ids"], "articulation_points": r["cuts"], "anchored": r["anchored"], "holdout": r["holdout"], "train_excluded": r["train_excluded"],
-        "profile_id": r["profile_id"], "profile_ids": r["profile_ids"], "entity_ids": r["entity_ids"], "event_ids": r["event_ids"], "chain_path": r["chain_path"]}
+    named = shown.withColumn("pattern_type", F.col("profile_id")).withColumn("articulation_points", F.col("cuts"))
+    anchored = named.where("anchored")
+    shells = ledger.forest.shells(anchored.select("root", F.col("anchor_node_id").alias("anchor"), F.col("max_anchor_distance").alias("max_distance")), max(hops, 1)).where(F.col("hop") <= hops)
+    near = shells.groupBy("root").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("hop").cast("string").alias("k"), F.col("nodes").alias("v"))))).alias("k_hop_neighborhoods"))
+    anchors = anchored.join(near, "root", "left").withColumn("k_hop_neighborhoods", F.coalesce("k_hop_neighborhoods", F.expr("cast(map() as map<string,array<bigint>>)")))
     truth = edges.join(nodes.select(F.col("tx_id").alias("txId2"), "instance_id"), "txId2").join(attrs.select("edge_id", "amount"), "edge_id").join(ledger.instances.select("instance_id", F.col("profile_id").alias("pattern_type")), "instance_id")
-    truth = truth.select("edge_id", "txId1", "txId2", "pattern_type", "instance_id", "role", "amount", "event_id", "chain_id", F.col("kind").alias("edge_kind"), F.struct("instance_id", "edge_id").alias("__o"))
+    truth = truth.select("edge_id", "txId1", "txId2", "pattern_type", "instance_id", "role", "amount", "event_id", "chain_id", F.col("kind").alias("edge_kind"), F.struct("instance_id", "edge_id").alias("_order"))
+    entry = ["instance_id", "pattern_type", "anchor_node_id", "anchor_role", "entity_type", "max_anchor_distance", "temporal_window", "node_ids", "edge_ids", "articulation_points", "anchored", "holdout", "train_excluded", "profile_id", "profile_ids", "entity_ids", "event_ids", "chain_path"]
     return {
         "seed": c.seed, "config": c.as_dict(), "sha256": {k: sha256(out / f) for k, f in FILES.items()},
-        "ground_truth": _rows(nodes.select(F.col("tx_id").alias("txId"), "scheme", "role", F.col("cls").alias("class"), "instance_id", "event_id", "entity_ids", "chain_id"), "txId"), "instance_ground_truth": [entry(r) for r in anchored],
-        "edge_attribute_ground_truth": [{k: v for k, v in r.items() if k != "__o"} for r in _rows(truth, "__o")],
-        "anchor_registry": {"per_1000_nodes": c.per_1000_nodes, "min_anchor_distance": c.min_anchor_distance, "anchors": [
-            {k: entry(r)[k] for k in ("instance_id", "anchor_node_id", "anchor_role", "entity_type", "pattern_type", "max_anchor_distance")} | {"k_hop_neighborhoods": {str(h): shells.get(r["instance_id"], {}).get(str(h), []) for h in range(1, min(r["max_anchor_distance"], hops) + 1)}}
-            for r in anchored if r["anchored"]]},
-        "retrieval_specs": retrieval_specs(c), "feature_semantics": FEATURE_SEMANTICS,
-        "decoys": [], "holdout": {"windows_active": bool(c.holdout), "entries": c.holdout}, "behavior": behavior(ledger),
+        "ground_truth": Rows(nodes.select(F.col("tx_id").alias("txId"), "scheme", "role", F.col("cls").alias("class"), "instance_id", "event_id", "entity_ids", "chain_id"), "txId"), "instance_ground_truth": Rows(named.select(*entry), "instance_id"),
+        "edge_attribute_ground_truth": Rows(truth, "_order"),
+        "anchor_registry": {"per_1000_nodes": c.per_1000_nodes, "min_anchor_distance": c.min_anchor_distance, "anchors": Rows(anchors.select("instance_id", "anchor_node_id", "anchor_role", "entity_type", "pattern_type", "max_anchor_distance", "k_hop_neighborhoods"), "instance_id")},
+        "retrieval_specs": retrieval_specs(c), "feature_semantics": FEATURE_SEMANTICS, "decoys": [], "holdout": {"windows_active": bool(c.holdout), "entries": c.holdout}, "behavior": behavior(ledger),
     }
 
 
@@ -182,22 +207,18 @@ def drift_counts(ledger: Ledger) -> DataFrame:
 def behavior(ledger: Ledger) -> dict:
     """The behavior block: profiles, tables, realized drift, chain metadata and the constant sections."""
     c = ledger.config
-    listed = _rows(node_records(ledger), "tx_id")
     counts = {(r["phase_id"], r["kind"], r["v"]): r["n"] for r in drift_counts(ledger).collect()}  # phases by classes, profiles and chains
     histogram = lambda phase, kind: {v: counts[phase, kind, v] for v in sorted(v for p, k, v in counts if (p, k) == (phase, kind))}
+    realized = [{"phase_id": p["phase_id"], "step_min": p["step_min"], "step_max": p["step_max"], "node_count": sum(histogram(p["phase_id"], "class").values()), **{f"{kind}_counts": histogram(p["phase_id"], kind) for kind in ("class", "profile", "chain")}} for p in c.phases]
+    pick = lambda table, key, field: F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, getattr(v, field))])[F.col(key)]
+    params = F.struct(F.col("role").alias("action_id"), pick(ACTIONS, "role", "amount_policy").alias("amount_policy_id"), pick(PROFILES, "scheme", "amount_policy").alias("profile_amount_policy_id"), pick(ACTIONS, "role", "channel").alias("channel"), F.lit("scheduler").alias("temporal_pattern"))
+    profiles = ledger.nodes.select(F.col("tx_id").alias("txId"), F.col("scheme").alias("profile_id"), pick(PROFILES, "scheme", "entity_type").alias("entity_type"), pick(PROFILES, "scheme", "class_policy").alias("class_policy"), params.alias("behavior_params"), "entity_ids", "chain_id")
+    records = node_records(ledger).select(F.col("tx_id").alias("txId"), "chain_id", "chain_key", "native_tx_id", "native_entity_id", F.lit(True).alias("native_id_is_synthetic"))
     return {
-        "contract_version": "behavior.p0.v1",
-        "behavioral_profiles": {"registry_version": 1, "registry_sha256": registry.digest(), "nodes": [
-            {"txId": r["tx_id"], "profile_id": r["scheme"], "entity_type": PROFILES[r["scheme"]].entity_type, "class_policy": PROFILES[r["scheme"]].class_policy,
-             "behavior_params": {"action_id": r["role"], "amount_policy_id": ACTIONS[r["role"]].amount_policy, "profile_amount_policy_id": PROFILES[r["scheme"]].amount_policy, "channel": ACTIONS[r["role"]].channel, "temporal_pattern": "scheduler"},
-             "entity_ids": r["entity_ids"], "chain_id": r["chain_id"]} for r in listed]},
-        "entities": _rows(ledger.entities, "entity_id"), "events": _rows(ledger.events, "event_id"), "instances": _rows(ledger.instances, "instance_id"),
-        "drift_schedule": {"schema_version": "1.0.0", "configured": {"phases": c.phases}, "realized": [
-            {"phase_id": p["phase_id"], "step_min": p["step_min"], "step_max": p["step_max"], "node_count": sum(histogram(p["phase_id"], "class").values()),
-             **{f"{kind}_counts": histogram(p["phase_id"], kind) for kind in ("class", "profile", "chain")}} for p in c.phases]},
-        "chain_metadata": {"schema_version": "1.0.0", "identity_scope": "synthetic", "chains": [{"chain_key": k, **v} for k, v in CHAINS.items()],
-            "node_records": [{"txId": r["tx_id"], "chain_id": r["chain_id"], "chain_key": r["chain_key"], "native_tx_id": r["native_tx_id"], "native_entity_id": r["native_entity_id"], "native_id_is_synthetic": True} for r in listed],
-            "edge_records": _rows(edge_records(ledger), "edge_id"), "bridge_records": _rows(bridge_records(ledger), "event_id")},
+        "contract_version": "behavior.p0.v1", "behavioral_profiles": {"registry_version": 1, "registry_sha256": registry.digest(), "nodes": Rows(profiles, "txId")},
+        "entities": Rows(ledger.entities, "entity_id"), "events": Rows(ledger.events, "event_id"), "instances": Rows(ledger.instances, "instance_id"),
+        "drift_schedule": {"schema_version": "1.0.0", "configured": {"phases": c.phases}, "realized": realized},
+        "chain_metadata": {"schema_version": "1.0.0", "identity_scope": "synthetic", "chains": [{"chain_key": k, **v} for k, v in CHAINS.items()], "node_records": Rows(records, "txId"), "edge_records": Rows(edge_records(ledger), "edge_id"), "bridge_records": Rows(bridge_records(ledger), "event_id")},
         "sanctions_anchor_map": SANCTIONS, "calibration": CALIBRATION, "rng_contract": RNG_CONTRACT,
     }
 
