@@ -24,22 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-#: Rows that tasks hand to Python at a time while a table is written; texts are long, and few of them fill a task's memory.
+#: Rows that tasks of this session hand to Python at a time; texts are long, and few of them fill a task's memory.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands at most BATCH_ROWS rows to Python at a time, which changes no result."""
+    rows = int(spark.conf.get(_BATCH))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/causeway/{uuid.uuid4().hex}"
-    rows = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS))
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_BATCH, rows)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(df.sparkSession)
+    path = f"{shared_dir(df.sparkSession)}/causeway/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession) -> Path:
