@@ -41,11 +41,7 @@ def test_scores(spark, name):
     assert out.count() == 1000 and out.where("score between 0 and 1").count() == 1000
 
 
-#: Queries that walk trees are slow to plan; one of a kind is enough here, the driver compares all.
-SLOW = {"anchor_eccentricity", "anchor_selection", "holdout_overlap", "chain_path", "semantic_derived"}
-
-
-@pytest.mark.parametrize("name", [n for n in SQL if n not in SLOW])
+@pytest.mark.parametrize("name", list(SQL))
 def test_query(spark, duck, name):
     want = duck.sql(SQL[name])
     out = QUERIES[name](spark, SF)
