@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, features, graph, shuffle
+from ..models import networks, training
+from ..operators import evaluation, graph, shuffle
 from ..simulation import bundle
 from ..sources import raw
 from ..sources.rows import with_rows
@@ -305,3 +306,122 @@ def sgc_optimality(spark, d):
     slopes = labeled.agg(*(F.sum(miss * F.col(c)).alias(c) for c in columns), F.sum(miss).alias("__b"), F.sum("weight").alias("__n")).first()
     steepest = max(abs((slopes[c] + float(x)) / slopes["__n"]) for c, x in zip([*columns, "__b"], [*w, 0.0]))
     return spark.createDataFrame([(round(steepest, 3) + 0.0,)], "steepest double")
+
+
+_TAMPERED = [
+    ("ground truth: class does not match", "SELECT event_id FROM events_made WHERE event_id % 1009 = 3"), ("ground truth do not cover their source", "SELECT event_id FROM events_made WHERE event_id % 1511 = 7"),
+    ("edge ground truth: amount does not match", "SELECT edge_id FROM edges_made WHERE edge_id % 1201 = 2"), ("chain node records: native_id_is_synthetic does not match", "SELECT event_id FROM events_made WHERE event_id % 1301 = 1"),
+    ("bridge records occur twice", "SELECT event_id FROM events_made WHERE bridge_id IS NOT NULL AND event_id % 101 = 6"), ("instances: chain_path does not match", "SELECT 0"), ("native entity ID does not match", "SELECT entity_id FROM people WHERE entity_id % 90 = 4"),
+]
+
+
+@query(f"{ledger_queries._EVENTS} " + " UNION ALL ".join(f"SELECT '{m}' AS message, x.* FROM ({q}) x(row)" for m, q in _TAMPERED))
+def validator_faults(spark, d):
+    """Every fault that the validator finds in sections with some records changed, dropped or repeated: those and no others."""
+    from ..simulation import validate
+
+    made = ledger_queries.made(spark, d)
+    m = bundle.manifest(made, stored(bundle.attributes(made)), {})
+    t = {name: validate._at(m, path).table for name, (path, _) in validate._SECTIONS.items()}
+    t["truth"] = t["truth"].where("txId % 1511 <> 7").withColumn("class", F.when(F.col("txId") % 1009 == 3, "unknown").otherwise(F.col("class")))
+    t["edge_truth"] = t["edge_truth"].withColumn("amount", F.col("amount") + (F.col("edge_id") % 1201 == 2).cast("int"))
+    t["node_records"] = t["node_records"].withColumn("native_id_is_synthetic", F.col("txId") % 1301 != 1)
+    t["bridge_records"] = t["bridge_records"].union(t["bridge_records"].where("event_id % 101 = 6"))
+    t["instances"] = t["instances"].withColumn("chain_path", F.when(F.col("instance_id") != 0, F.col("chain_path")).otherwise(F.expr("cast(array() as array<string>)")))
+    t["entities"] = t["entities"].withColumn("native_entity_id", F.when(F.col("entity_id") % 90 == 4, F.concat(F.lit("synthetic-"), F.col("entity_id").cast("string"))).otherwise(F.col("native_entity_id")))
+    t |= {name: stored(t[name]) for name in validate._SECTIONS}
+    t |= {"nodes": made.nodes.select("tx_id", "time_step"), "edges": made.edges.select("edge_id", "txId1", "txId2")}
+    wanted = {m_ for m_, _ in _TAMPERED}
+    found = validate.table_rules(spark, made.config, t, m["behavior"]["drift_schedule"]["realized"]).faults().select("message", "row")
+    # the records of nodes repeat the native ids of changed entities, which is no fault of theirs
+    return found.where(F.col("message").isin(*wanted) | ~F.col("message").startswith("chain node records: native_entity_id"))
+
+
+# networks with fixed weights, written out as sums
+def _sum(columns: list[str], weights, column: int) -> str:
+    return " + ".join(f"{c} * ({float(w)!r}::DOUBLE)" for c, w in zip(columns, weights[:, column]))
+
+
+_NET = ["x0", "x1"]
+_HIDDEN = 4
+
+
+def _weights(kind: str) -> dict:
+    return networks.parameters(kind, len(_NET), _HIDDEN, 1, 11)
+
+
+_GRAPH = f"{_PARTED}, x AS (SELECT tx_id, score::DOUBLE AS x0, time_step / 49.0::DOUBLE AS x1 FROM tx_nodes)"
+
+
+def _head(w: dict, hidden: list[str]) -> str:
+    return f"round(1 / (1 + exp(-({_sum(hidden, w['head.w'], 0)} + ({float(w['head.b'][0, 0])!r}::DOUBLE)))), 6) AS score"
+
+
+def _sage_sql() -> str:
+    w, parts = _weights("sage"), []
+    for side in ("out", "in"):
+        near = [f"coalesce({side}_{c}, 0)" for c in _NET]
+        parts += [f"greatest({_sum(near, w[f'0.{side}.near.w'], h)} + ({float(w[f'0.{side}.near.b'][0, h])!r}::DOUBLE) + {_sum(_NET, w[f'0.{side}.self.w'], h)}, 0) AS h{side}{h}" for h in range(_HIDDEN)]
+    means = lambda side, at, of: f"{side}_m AS (SELECT e.{at} AS tx_id, avg(x0) AS {side}_x0, avg(x1) AS {side}_x1 FROM parted e JOIN x ON x.tx_id = e.{of} GROUP BY 1)"
+    hidden = [f"h{side}{h}" for side in ("out", "in") for h in range(_HIDDEN)]
+    return f"{_GRAPH}, {means('out', 'txId2', 'txId1')}, {means('in', 'txId1', 'txId2')}, h AS (SELECT tx_id, {', '.join(parts)} FROM x LEFT JOIN out_m USING (tx_id) LEFT JOIN in_m USING (tx_id)) SELECT tx_id, {_head(w, hidden)} FROM h"
+
+
+def _gin_sql() -> str:
+    w = _weights("gin")
+    own = [f"({c} + coalesce(s_{c}, 0))" for c in _NET]
+    first = [f"greatest({_sum(own, w['0.first.w'], h)} + ({float(w['0.first.b'][0, h])!r}::DOUBLE), 0) AS f{h}" for h in range(_HIDDEN)]
+    second = [f"greatest({_sum([f'f{k}' for k in range(_HIDDEN)], w['0.second.w'], h)} + ({float(w['0.second.b'][0, h])!r}::DOUBLE), 0) AS h{h}" for h in range(_HIDDEN)]
+    sums = "s AS (SELECT e.txId2 AS tx_id, sum(x0) AS s_x0, sum(x1) AS s_x1 FROM parted e JOIN x ON x.tx_id = e.txId1 GROUP BY 1)"
+    return f"{_GRAPH}, {sums}, f AS (SELECT tx_id, {', '.join(first)} FROM x LEFT JOIN s USING (tx_id)), h AS (SELECT tx_id, {', '.join(second)} FROM f) SELECT tx_id, {_head(w, [f'h{h}' for h in range(_HIDDEN)])} FROM h"
+
+
+def _gat_sql() -> str:
+    w, each = _weights("gat"), _HIDDEN // networks.HEADS
+    mapped = ", ".join(f"{_sum(_NET, w['0.map.w'], h)} AS m{h}" for h in range(_HIDDEN))
+    ends = "reached AS (SELECT txId1 AS s, txId2 AS t FROM parted UNION ALL SELECT tx_id, tx_id FROM x)"
+    scores, shares, seen, hidden = [], [], [], []
+    for head in range(networks.HEADS):
+        own = range(head * each, (head + 1) * each)
+        raw_ = " + ".join(f"a.m{h} * ({float(w['0.from'][0, head, k])!r}::DOUBLE) + b.m{h} * ({float(w['0.to'][0, head, k])!r}::DOUBLE)" for k, h in enumerate(own))
+        scores.append(f"exp(CASE WHEN {raw_} > 0 THEN {raw_} ELSE 0.2 * ({raw_}) END) AS e{head}")
+        seen += [f"sum(e{head} * m{h}) / sum(e{head}) AS g{h}" for h in own]
+        hidden += [f"greatest(g{h} + ({float(w['0.offset'][0, h])!r}::DOUBLE), 0) AS h{h}" for h in own]
+    return (
+        f"{_GRAPH}, m AS (SELECT tx_id, {mapped} FROM x), {ends}, e AS (SELECT b.tx_id, {', '.join(f'a.m{h}' for h in range(_HIDDEN))}, {', '.join(scores)} FROM reached JOIN m a ON a.tx_id = s JOIN m b ON b.tx_id = t),"
+        f" g AS (SELECT tx_id, {', '.join(seen)} FROM e GROUP BY 1), h AS (SELECT tx_id, {', '.join(hidden)} FROM g) SELECT tx_id, {_head(w, [f'h{h}' for h in range(_HIDDEN)])} FROM h"
+    )
+
+
+def _forward(spark, d, kind: str) -> DataFrame:
+    x = base._nodes(spark, d).select("tx_id", F.col("score").cast("double").alias("x0"), (F.col("time_step") / 49).alias("x1"))
+    model = training.GraphModel(kind, _NET, _weights(kind), np.zeros(2), np.ones(2))
+    return base._rounded(model.scores(x, stored(base.partition_edges(spark, d).select("txId1", "txId2"))))
+
+
+@query(_sage_sql())
+def sage_forward(spark, d):
+    """Scores of a layer of means in both directions, with fixed weights."""
+    return _forward(spark, d, "sage")
+
+
+@query(_gat_sql())
+def gat_forward(spark, d):
+    """Scores of a layer of two heads of attention, with fixed weights."""
+    return _forward(spark, d, "gat")
+
+
+@query(_gin_sql())
+def gin_forward(spark, d):
+    """Scores of a layer of sums through a small network, with fixed weights."""
+    return _forward(spark, d, "gin")
+
+
+@query()
+def network_scores(spark, d):
+    """A sage network trained on train and stopped by validation, over all parts; few steps, as the protocol is run elsewhere."""
+    nodes, edges = base._graph(spark, d)
+    rows, parted = protocol.views(nodes.select("tx_id", "time_step", "class"), stored(edges))
+    both = evaluation.stacked(rows.where("part = 'train'"), rows.where("part = 'validation'"))
+    model = training.fit(both, parted.where("part <> 'test'").select("txId1", "txId2"), protocol.FEATURES, "sage", 0, training.Settings(hidden=8, epochs=5))
+    return model.scores(rows.select("tx_id", *protocol.FEATURES), parted.select("txId1", "txId2"))

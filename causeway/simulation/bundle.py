@@ -147,10 +147,10 @@ def write(ledger: Ledger, out_dir: str | Path) -> None:
     write_csv(attrs.select("edge_id", "txId1", "txId2"), out / FILES["edgelist"], "edge_id", drop=True)
     write_csv(attrs, out / FILES["edge_attributes"], "edge_id", drop=True)
     with open(out / "manifest.json", "w", encoding="utf-8") as f:
-        write_json(f, manifest(ledger, attrs, out))
+        write_json(f, manifest(ledger, attrs, {k: sha256(out / f) for k, f in FILES.items()}))
 
 
-def manifest(ledger: Ledger, attrs: DataFrame, out: Path) -> dict:
+def manifest(ledger: Ledger, attrs: DataFrame, digests: dict[str, str]) -> dict:
     """The sections of the manifest; those of records are tables."""
     c, nodes, edges = ledger.config, ledger.nodes, ledger.edges
     shown = stored(retrieval(ledger))
@@ -164,7 +164,7 @@ def manifest(ledger: Ledger, attrs: DataFrame, out: Path) -> dict:
     truth = truth.select("edge_id", "txId1", "txId2", "pattern_type", "instance_id", "role", "amount", "event_id", "chain_id", F.col("kind").alias("edge_kind"), F.struct("instance_id", "edge_id").alias("_order"))
     entry = ["instance_id", "pattern_type", "anchor_node_id", "anchor_role", "entity_type", "max_anchor_distance", "temporal_window", "node_ids", "edge_ids", "articulation_points", "anchored", "holdout", "train_excluded", "profile_id", "profile_ids", "entity_ids", "event_ids", "chain_path"]
     return {
-        "seed": c.seed, "config": c.as_dict(), "sha256": {k: sha256(out / f) for k, f in FILES.items()},
+        "seed": c.seed, "config": c.as_dict(), "sha256": digests,
         "ground_truth": Rows(nodes.select(F.col("tx_id").alias("txId"), "scheme", "role", F.col("cls").alias("class"), "instance_id", "event_id", "entity_ids", "chain_id"), "txId"), "instance_ground_truth": Rows(named.select(*entry), "instance_id"),
         "edge_attribute_ground_truth": Rows(truth, "_order"),
         "anchor_registry": {"per_1000_nodes": c.per_1000_nodes, "min_anchor_distance": c.min_anchor_distance, "anchors": Rows(anchors.select("instance_id", "anchor_node_id", "anchor_role", "entity_type", "pattern_type", "max_anchor_distance", "k_hop_neighborhoods"), "instance_id")},

@@ -22,7 +22,7 @@ def duck():
 
 
 #: Models, sequential methods and generated tables.
-NO_SQL = {"rf_scores", "sgc_scores", "edge_shuffle"}
+NO_SQL = {"rf_scores", "sgc_scores", "edge_shuffle", "network_scores"}
 
 
 def test_all_have_sql():
@@ -35,7 +35,7 @@ def test_shuffle_keeps_degrees(spark):
         assert sorted((r["part"], r[k]) for r in before) == sorted((r["part"], r[k]) for r in after)
 
 
-@pytest.mark.parametrize("name", ["rf_scores", "sgc_scores"])
+@pytest.mark.parametrize("name", ["rf_scores", "sgc_scores", "network_scores"])
 def test_scores(spark, name):
     out = QUERIES[name](spark, SF)
     assert out.count() == 1000 and out.where("score between 0 and 1").count() == 1000
