@@ -26,8 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..storage import small_batches
+
 #: Words kept by a worker's cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+#: Decisions on pairs of tokens that it keeps.
+PAIRS = 250_000
 #: Code points under this are Latin letters and marks, whose lower case and classes no Unicode version changes.
 LATIN = 0x180
 BEYOND = re.compile(r"[\u0130\u0180-\U0010ffff]")
@@ -118,7 +122,7 @@ class BpeTables:
     def compatible(self, left: int, right: int) -> bool:
         key = (left, right)
         if (known := self._compatible.get(key)) is None:
-            if len(self._compatible) > 1_000_000:
+            if len(self._compatible) > PAIRS:
                 self._compatible.clear()
             known = self._compatible[key] = self._apart(left, right, 1 << 60)
         return known
@@ -272,6 +276,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
     return docs.select(doc_id, text).mapInArrow(run, schema)
