@@ -215,6 +215,13 @@ def test_embedding_shards(spark, monkeypatch, kind):
     assert [r[:4] for r in mine] == want and sum(r[1] for r in want) > 1000 and all(r[4] >= embedding_dedup.RECALL for r in mine)
 
 
+def test_embeddings_null_and_repeated_ids(spark):
+    v, w = [1.0, 0.0, 0.5], [-1.0, 2.0, 0.0]
+    data = [(None, v, 1), (5, v, 1), (5, v, 1), (6, w, 1), (None, None, None), (7, v, 2)]
+    out = embedding_dedup.near_duplicates(frame(spark, data, "vec_id bigint, embedding array<float>, label int"))
+    assert got(out, "vec_id", "n_links", "component_id", "kept") == sorted([(None, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (6, 0, 6, True), (None, 0, None, False), (7, 0, 7, True)], key=str)
+
+
 def test_embedding_graph_finds_neighbours():
     """The graph alone, without audits: most of the links of sparse vectors, whatever order they were inserted in."""
     r = np.random.default_rng(6)
@@ -328,6 +335,12 @@ def test_bpe(spark, vocabulary):
     assert bpe_codec.encode(frame(spark, []), vocabulary).count() == 0
 
 
+def test_bpe_null_and_repeated_ids(spark, vocabulary):
+    data = [(None, "some words", None, None, None), (None, None, "en", "t", 1), (4, "some words", None, None, None), (4, "some words", None, None, None), (4, "", None, None, None)]
+    out = got(bpe_codec.encode(frame(spark, data), vocabulary), "doc_id", "n_tokens")
+    assert out == sorted([(None, 2), (None, 0), (4, 2), (4, 2), (4, 0)], key=str)
+
+
 def test_bpe_words(vocabulary):
     from tokenizers import Tokenizer
 
