@@ -137,7 +137,7 @@ def scaled(rows: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def two_sided_p(t: Column, df: Column, steps: int = 2000) -> Column:
-    """Two-sided p-value of Student's t: the share of cos(x)**(df - 1) beyond atan(|t| / sqrt(df)), by Simpson's rule.
+    """Two-sided p-value of Student's t, null for none: the share of cos(x)**(df - 1) beyond atan(|t| / sqrt(df)), by Simpson's rule.
 
     Past 12 / sqrt(df) the integrand is nothing in double precision, so the steps are spent before it.
     """
@@ -149,7 +149,7 @@ def two_sided_p(t: Column, df: Column, steps: int = 2000) -> Column:
         weight = lambda i: F.when((i == 0) | (i == steps), 1).when(i % 2 == 1, 4).otherwise(2)
         return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda s, i: s + weight(i) * F.pow(F.cos(low + width * i), df - 1)) * width
 
-    return area(start) / area(F.lit(0.0))
+    return F.when(t.isNotNull(), area(start) / area(F.lit(0.0)))
 
 
 def paired_effect(rows: DataFrame, delta: str = "delta") -> DataFrame:

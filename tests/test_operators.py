@@ -1,5 +1,6 @@
 """Operators on hand-made graphs and vectors."""
 
+import math
 import random
 
 import pytest
@@ -121,8 +122,17 @@ def test_threshold_takes_the_lowest_of_ties(spark):
 def test_effects(spark):
     r = evaluation.paired_effect(spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "delta double")).first()
     assert r["cohen_dz"] == pytest.approx(2.0) and r["t"] == pytest.approx(2 * 3**0.5)
-    assert evaluation.t_two_sided(spark, r["t"], 2) == pytest.approx(0.0742, abs=1e-4)
-    assert evaluation.paired_effect(spark.createDataFrame([(1.0,), (1.0,)], "delta double")).first()["t"] is None
+    assert r["p"] == pytest.approx(0.0742, abs=1e-4)
+    assert evaluation.paired_effect(spark.createDataFrame([(1.0,), (1.0,)], "delta double")).first()["p"] is None
+    # against the closed form of even degrees of freedom
+    for t, df in ((0.0, 2), (1.5, 4), (-2.5, 10), (6.0, 48), (40.0, 6), (1.0, 20_000)):
+        x = math.atan(abs(t) / math.sqrt(df))
+        term = total = 1.0
+        for j in range(1, df // 2):
+            term *= (2 * j - 1) / (2 * j) * math.cos(x) ** 2
+            total += term
+        got = spark.range(1).select(evaluation.two_sided_p(F.lit(t), F.lit(float(df)))).first()[0]
+        assert got == pytest.approx(1 - math.sin(x) * total, abs=1e-9)
 
 
 def test_shuffle_preserves_degrees():
