@@ -67,11 +67,12 @@ def flagged(rows: DataFrame, marks: DataFrame, key: list[str], tag: str, name: s
     """
     page_, bits_, bit_ = (f"__{x}_{tag}" for x in ("page", "bits", "bit"))
     place = F.pmod(F.xxhash64(*key), F.lit(1 << BITMAP_BITS))
-    pages = _pages(marks, place).select(F.col("page").alias(page_), F.col("bits").alias(bits_))
-    bit = place.bitwiseAND(F.lit((1 << 15) - 1))
-    placed = rows.withColumn(page_, F.shiftright(place, 15).cast("int")).withColumn(bit_, bit).join(F.broadcast(pages), page_, "left")  # 2**(BITMAP_BITS - 15) pages of 4 KB
-    byte = F.conv(F.hex(F.substring(bits_, (F.shiftright(bit_, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    one = F.call_function("shiftright", byte, F.col(bit_).bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    # cut into lines of 64 bytes, which is what a row is handed; lines without a mark are left out
+    lines = _pages(marks, place).select("page", "bits", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k"))
+    lines = lines.select((F.col("page") * 64 + F.col("k")).alias(page_), F.substring("bits", F.col("k") * 64 + 1, F.lit(64)).alias(bits_)).where(F.col(bits_) != F.unhex(F.lit("00" * 64)))
+    placed = rows.withColumn(page_, F.shiftright(place, 9).cast("int")).withColumn(bit_, place.bitwiseAND(F.lit(511)).cast("int")).join(F.broadcast(lines), page_, "left")  # 2**(BITMAP_BITS - 9) lines at most
+    byte = F.conv(F.hex(F.substring(bits_, F.shiftright(bit_, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    one = F.call_function("shiftright", byte, F.col(bit_).bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
     return placed.select(*[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns], F.coalesce(one, F.lit(False)).alias(name))
 
 

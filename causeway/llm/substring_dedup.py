@@ -219,7 +219,7 @@ def repeated_seeds(docs: DataFrame) -> tuple[np.ndarray, int]:
     sent = docs.where("doc_id is not null").mapInArrow(collect, schema)
     if buckets > wide:
         sent = sent.repartition("bucket").mapInArrow(finer, schema)
-    repeated = stored(sent.groupBy("bucket").applyInPandas(merge, "bucket int, n bigint, seeds binary"))
+    repeated = stored(sent.repartition(1 << min(buckets, FIRST_BUCKETS), "bucket").groupBy("bucket").applyInPandas(merge, "bucket int, n bigint, seeds binary"))
     total = repeated.agg(F.sum("n")).first()[0] or 0
     bits = max(buckets + 3, min(MAX_BITS, (SEED_BITS * total).bit_length()))
 
