@@ -15,7 +15,7 @@ from typing import Any, TextIO
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import features, forest
+from ..operators import features
 from ..operators.schedule import with_phase
 from ..sources.rows import with_rows
 from ..storage import stored
