@@ -117,3 +117,10 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 def held_out(doc_id: str, parts: int, part: int):
     """crc32 of the id as text, modulo parts, is part. A null id is never held out."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of a text's UTF-8: per byte an exclusive or, then eight shifts by the polynomial."""
+    digits = f"hex(encode({text}))"
+    steps = f"flatten([[('0x' || {digits}[2 * i - 1 : 2 * i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for i in range(1, length({digits}) // 2 + 1)])"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"

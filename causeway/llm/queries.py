@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontaminate, embedding_dedup, line_dedup, quality, secret_scan, simhash, substring_dedup, toxicity, url_filter
+from . import bpe_codec, decontaminate, embedding_dedup, line_dedup, merkle, piece_codec, quality, secret_scan, simhash, spelling, substring_dedup, toxicity, url_filter
 from .common import held_out, table
 
 
@@ -68,9 +68,23 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.evaluate(captures, entries, 1459).withColumnRenamed("id", "page_id")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_decontaminate, op4_simhash, op5_embeddings, op6_line_dedup, op7_bpe, op8_substring_dedup, op9_quality, op10_url_filter)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_decontaminate, op4_simhash, op5_embeddings, op6_line_dedup, op7_bpe, op8_substring_dedup, op9_quality, op10_url_filter, op11_spelling_variants, op12_merkle_manifest, op13_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.SQL, "op10_url_filter": url_filter.SQL}
+    return {"op6_line_dedup": line_dedup.SQL, "op10_url_filter": url_filter.SQL, "op11_spelling_variants": spelling.SQL, "op12_merkle_manifest": merkle.SQL}
