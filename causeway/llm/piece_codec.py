@@ -22,6 +22,9 @@ import hashlib
 import heapq
 import re
 import struct
+from bisect import bisect
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +39,12 @@ CACHE_PARTS = 400_000
 LONG_PART = 48
 #: Parts of up to so many characters are not searched for cuts.
 UNCUT = 24
+#: Widths of the matrices in which such parts are encoded together.
+WIDTHS = (6, 9, 12, 16, UNCUT)
 SPACE = "▁"
-NEVER = float("inf")
+NEVER, NO_RANK = float("inf"), (1 << 31) - 1
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 20
 # Fixed values of the model format: kinds of pieces, and the kind of a BPE model.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE_MODEL = 2
@@ -123,7 +130,9 @@ class PieceTables:
         self.bytes = np.frombuffer(b"".join(spelled), np.uint8)
         self.sizes = np.array([len(s) for s in spelled], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.piece_bytes = np.array([len(p.piece.encode()) for p in spec.pieces], np.int64)
         self.pairs = {p: struct.pack("<2I", i, len(p.encode())) for p, i in self.ids.items()}
+        self._merges()
         self.decimal = [str(i) for i in range(len(spec.pieces))]
         # pairs of characters that some piece holds side by side; everywhere else a text may be cut
         self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
@@ -134,6 +143,61 @@ class PieceTables:
         else:
             self.parts = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
+    def _merges(self) -> None:
+        """All pairs of pieces that make a piece, by key, with the rank of its score; and the piece of each character."""
+        self.of_character = np.full(0x110000, -1, np.int64)
+        made = []
+        n, ids = len(self.sizes), self.ids
+        rank = {c: r for r, c in enumerate(sorted(set(self.cost.values())))}
+        for piece, i in ids.items():
+            if len(piece) == 1:
+                self.of_character[ord(piece)] = i
+            for k in range(1, len(piece)):
+                if piece[:k] in ids and piece[k:] in ids:
+                    made.append((ids[piece[:k]] * n + ids[piece[k:]], rank[self.cost[piece]], i))
+        made.sort()
+        self.pair_keys, self.pair_ranks, self.pair_pieces = (np.array(x, np.int64) for x in zip(*made)) if made else (np.zeros(1, np.int64) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, piece) of pairs of pieces, NO_RANK where they make none."""
+        key = left.astype(np.int64) * len(self.sizes) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        known = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(known, self.pair_ranks[at], NO_RANK), self.pair_pieces[at]
+
+    def pieces_of_many(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of parts whose characters are all pieces: the merges of `pieces`, one of every part at a time."""
+        size = np.array([len(p) for p in parts], np.int64)
+        widest = int(size.max())
+        inside = np.arange(widest) < size[:, None]
+        symbols = np.full((len(parts), widest), -1, np.int32)
+        symbols[inside] = self.of_character[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+        ranks = np.full((len(parts), widest), NO_RANK, np.int32)
+        if widest > 1:
+            ranks[:, :-1] = self.ranked(symbols[:, :-1], symbols[:, 1:])[0]
+        done, row = np.full((len(parts), widest), -1, np.int32), np.arange(len(parts))
+        while len(row):
+            at = ranks.argmin(axis=1)  # of equal ranks the leftmost
+            line = np.arange(len(row))
+            ready = ranks[line, at] == NO_RANK
+            if ready.any():
+                done[row[ready], : symbols.shape[1]] = symbols[ready]
+                symbols, ranks, row, at = symbols[~ready], ranks[~ready], row[~ready], at[~ready]
+                line = np.arange(len(row))
+                if not len(row):
+                    break
+            merged = self.ranked(symbols[line, at], symbols[line, at + 1])[1]
+            columns = np.arange(symbols.shape[1] - 1)
+            behind = columns[None, :] + (columns[None, :] > at[:, None])  # the symbol behind the merged one is gone
+            symbols, ranks = np.take_along_axis(symbols, behind, 1), np.take_along_axis(ranks, behind + (columns[None, :] == at[:, None]), 1)
+            symbols[line, at] = merged
+            for left in (at - 1, at):
+                some = np.flatnonzero((left >= 0) & (left + 1 < symbols.shape[1]))
+                ranks[some, left[some]] = self.ranked(symbols[some, left[some]], symbols[some, left[some] + 1])[0]
+            ranks[:, -1] = NO_RANK
+        kept = done >= 0
+        return done[kept], kept.sum(axis=1)
+
     def normalised(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for every byte of its UTF-8, and its end, the byte of the text that it stands for."""
         if not text:
@@ -296,10 +360,54 @@ class PieceEncoder(dict):
             self[part] = found
         return found
 
+    def prepare(self, parts: set[str]) -> None:
+        """Encode all parts that are not known yet at once, but for long ones and those with characters that are no pieces."""
+        new = parts.difference(self)
+        if len(self) + len(new) > CACHE_PARTS:
+            self.clear()
+            new = parts
+        known = self.tables.of_character
+        new = [p for p in new if len(p) <= UNCUT]
+        if not new:
+            return
+        size = np.array([len(p) for p in new])
+        bad = known[np.frombuffer("".join(new).encode("utf-32-le"), np.uint32)] < 0
+        whole = np.add.reduceat(bad, np.cumsum(size) - size) == 0
+        new = [p for p, w in zip(new, whole.tolist()) if w]
+        if not new:
+            return
+        new.sort(key=len)  # parts of like length fill a matrix
+        begin = 0
+        for width in WIDTHS:
+            end = bisect(new, width, key=len)
+            if end > begin:
+                ids, counts = self.tables.pieces_of_many(new[begin:end])
+                raw = np.stack([ids, self.tables.piece_bytes[ids]], axis=1).astype("<u4").tobytes()
+                ends = (np.cumsum(counts) * 8).tolist()
+                self.update(zip(new[begin:end], [raw[a:b] for a, b in zip([0, *ends], ends)]))
+                begin = end
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What `encode` gives for each text, TOGETHER characters of them at a time."""
+        held, size = [], 0
+        for text in chain(texts, [None]):
+            if text is not None:
+                norm, origin = self.tables.normalised(text)
+                held.append((self.tables.parts.findall(norm), origin))
+                size += len(text)
+            if size > TOGETHER or text is None:
+                self.prepare({p for parts, _ in held for p in parts})
+                for parts, origin in held:
+                    yield self._placed(parts, origin)
+                held, size = [], 0
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and (begin, end) of each in the bytes of the text."""
         norm, origin = self.tables.normalised(text)
-        pairs = np.frombuffer(b"".join(map(self.__getitem__, self.tables.parts.findall(norm))), "<u4").reshape(-1, 2).astype(np.int64)
+        return self._placed(self.tables.parts.findall(norm), origin)
+
+    def _placed(self, parts: list[str], origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.frombuffer(b"".join(map(self.__getitem__, parts)), "<u4").reshape(-1, 2).astype(np.int64)
         ids, ends = pairs[:, 0], np.cumsum(pairs[:, 1])
         begins = ends - pairs[:, 1]
         if not self.tables.byte_fallback and len(ids):
@@ -333,8 +441,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
         decimal = code.tables.decimal
         for batch in batches:
             counts, digests, decoded_digests, span_digests, lists = [], [], [], [], ([], [], [], [])
-            for x in batch.column(1):
-                ids, spans = code.encode(x.as_py() or "")
+            for ids, spans in code.encode_all(x.as_py() or "" for x in batch.column(1)):
                 decoded = code.tables.decode(ids)
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(",".join([decimal[i] for i in ids.tolist()]).encode()).hexdigest())
