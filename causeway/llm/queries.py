@@ -60,8 +60,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold neither fetch days nor lists, so both follow from ids and hosts by a rule; see url_filter.SQL."""
     captures = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url", (F.col("page_id") * 7919 % 1460).alias("day"))
-    labels = F.split("host", r"\.")
-    keys = captures.select(url_filter.host(F.col("url")).alias("host")).where("host <> ''").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).alias("key")).distinct()
+    keys = captures.select(url_filter.host(F.col("url")).alias("host")).where("host <> ''").distinct().select(F.explode(url_filter.keys(F.col("host"))).alias("key")).distinct()
     r = F.conv(F.substring(F.md5("key"), 1, 7), 16, 10).cast("bigint")
     log = keys.select("key", r.alias("r")).where("r % 3 = 0").select("key", F.expr("if((r div 7) % 5 = 0, 'allow', 'block')").alias("list"), "r", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("n"))
     entries = log.select("key", "list", F.expr("r % 300 + n * (40 + r % 100)").alias("day"), F.expr("n % 2 = 0").alias("added"))

@@ -8,7 +8,9 @@ or domain of a third of all captures has at most PERIOD rows in a period. Interv
 An active allowance beats a block if its key is at least as specific.
 
 Cases: a null, empty or unreadable url has no host, meets no entry and is not blocked; so has a capture without a day.
-Hosts may have any number of labels. Entries with a null key, list or day are ignored; of entries for one key, list and
+White space around a url is ignored, a scheme may be missing before two slashes, backslashes are slashes, the host is what
+stands behind the last @ of the authority, and one dot at its end is dropped. IPv4 and bracketed IPv6 addresses (names whose
+last label is a number) match only themselves. Hosts may have any number of labels. Entries with a null key, list or day are ignored; of entries for one key, list and
 day a removal wins. Captures may repeat and ids may be null: each row gets the result of its url and day. Empty tables
 give empty or unblocked results. `evaluate` reads only the named columns; `kept` carries columns of any name along.
 """
@@ -23,9 +25,19 @@ from .common import packed
 PERIOD, FOREVER = 64, 1 << 20
 
 
+#: The authority of a url: behind an optional scheme and two slashes, up to the path, query or fragment; browsers read a
+#: backslash as a slash. Then what is behind the last @, without port and one trailing dot. An address has no domain above it.
+AUTHORITY = r"^(?:[a-z][a-z0-9+.-]*:)?[/\\][/\\]([^/?#\\]*)"
+NAME = r"^(\[[^\]]*\]|[^:]*)"
+ADDRESS = r"(^\[|(^|\.)([0-9]+|0x[0-9a-f]*)$)"
+
+
 def host(url: Column) -> Column:
     """Lower-case host of a url, empty without one."""
-    return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit(""))
+    plain = F.regexp_replace(F.translate(F.lower(url), "\t\n\r", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    authority = F.regexp_extract(plain, AUTHORITY, 1)
+    name = F.regexp_extract(F.regexp_extract(authority, "([^@]*)$", 1), NAME, 1)
+    return F.coalesce(F.regexp_replace(name, r"\.$", ""), F.lit(""))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -35,15 +47,16 @@ def intervals(entries: DataFrame) -> DataFrame:
     return dated.select("key", "list", F.col("day").alias("from_day"), until.alias("to_day"), "added").where("added").drop("added")
 
 
-def _keys(host_name: Column) -> Column:
-    """The host and every domain above it that is not the last label alone, most specific first."""
+def keys(host_name: Column) -> Column:
+    """The host and every domain above it that is not the last label alone, most specific first; of an address itself alone."""
     labels = F.split(host_name, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(F.regexp_like(host_name, F.lit(ADDRESS)), F.array(host_name)).otherwise(above)
 
 
 def _decided(moments: DataFrame, entries: DataFrame, last_day: int) -> DataFrame:
     """(host, day, n_active, blocked) of the distinct (host, day) that meet an active entry."""
-    probes = moments.where("host <> '' and day is not null").distinct().select("host", "day", F.posexplode(_keys(F.col("host"))).alias("above", "key"))
+    probes = moments.where("host <> '' and day is not null").distinct().select("host", "day", F.posexplode(keys(F.col("host"))).alias("above", "key"))
     first, last = F.floor(F.col("from_day") / PERIOD), F.floor(F.least(F.col("to_day") - 1, F.lit(last_day)) / PERIOD)
     active = intervals(entries).where((F.col("to_day") > F.col("from_day")) & (F.col("from_day") <= last_day)).select("key", "list", "from_day", "to_day", F.explode(F.sequence(first, last)).alias("period"))
     days = probes.select("key", "day", F.floor(F.col("day") / PERIOD).alias("period")).distinct()  # of one key and period at most PERIOD
@@ -74,11 +87,12 @@ def kept(captures: DataFrame, entries: DataFrame, last_day: int) -> DataFrame:
 
 
 #: DuckDB SQL of the query: the log is replayed for each capture and key.
-SQL = r"""
-WITH caps AS (SELECT page_id, regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1) AS host, CAST(page_id * 7919 % 1460 AS BIGINT) AS day FROM pages),
+SQL = rf"""
+WITH plain AS (SELECT page_id, regexp_replace(translate(lower(url), chr(9) || chr(10) || chr(13), ''), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS u FROM pages),
+caps AS (SELECT page_id, coalesce(regexp_replace(regexp_extract(regexp_extract(regexp_extract(u, '{AUTHORITY}', 1), '([^@]*)$', 1), '{NAME}', 1), '\.$', ''), '') AS host, CAST(page_id * 7919 % 1460 AS BIGINT) AS day FROM plain),
 hosts AS (SELECT DISTINCT host FROM caps WHERE host <> ''),
 split_hosts AS (SELECT host, string_split(host, '.') AS ls FROM hosts),
-keys AS (SELECT host, u.i - 1 AS above, array_to_string(ls[u.i:], '.') AS key FROM split_hosts, LATERAL (SELECT unnest(range(1, greatest(len(ls), 2))) AS i) u),
+keys AS (SELECT host, u.i - 1 AS above, array_to_string(ls[u.i:], '.') AS key FROM split_hosts, LATERAL (SELECT unnest(range(1, CASE WHEN regexp_matches(host, '{ADDRESS}') THEN 2 ELSE greatest(len(ls), 2) END)) AS i) u),
 seeds AS (SELECT key, CAST('0x' || substr(md5(key), 1, 7) AS BIGINT) AS r FROM (SELECT DISTINCT key FROM keys)),
 log AS (SELECT key, CASE WHEN r // 7 % 5 = 0 THEN 'allow' ELSE 'block' END AS list, r % 300 + n * (40 + r % 100) AS day, n % 2 = 0 AS added
   FROM seeds, range(0, 12) t(n) WHERE r % 3 = 0),

@@ -550,6 +550,30 @@ def test_url_filter_repeated_and_null_ids(spark):
     assert kept.columns == mine.columns and got(kept, "id", "row") == [(1, "z"), (None, None)]
 
 
+#: Awkward urls and their hosts.
+HOSTS = {
+    "http://example.com./a": "example.com", "http://10.20.0.1/a": "10.20.0.1", "http://[2001:db8::1]:80/x": "[2001:db8::1]", "HTTP://User:p@ss@Evil.com/x": "evil.com", " \thttp://evil.com/ \n": "evil.com", "//evil.com/x": "evil.com",
+    "http://evil.com\\@good.com/": "evil.com", "http:\\\\evil.com/x": "evil.com", "http://evil.com:80": "evil.com", "http://evil.com?x=@good.com": "evil.com", "http://evil.com#@good.com": "evil.com", "ht\ntp://ev\til.com/": "evil.com",
+    "mailto:a@evil.com": "", "evil.com/x": "", "http://": "", "http:///x": "", "http://@/": "", "http://0x7f.1/": "0x7f.1", "http://..": ".", "http://EVIL.com../": "evil.com.", "http://x@[::1]/": "[::1]",
+}
+
+
+def test_url_hosts(spark):
+    """Hosts, keys and decisions of awkward urls, in Spark and in SQL."""
+    import duckdb
+
+    urls = list(HOSTS)
+    captures = frame(spark, [(i, u, 5) for i, u in enumerate(urls)], "id bigint, url string, day bigint")
+    entries = frame(spark, [(k, "block", 0, True) for k in ("example.com", "0.1", "evil.com", "1", "20.0.1")], "key string, list string, day bigint, added boolean")
+    out = {urls[r["id"]]: r for r in url_filter.evaluate(captures, entries, 400).collect()}
+    assert {u: r["host"] for u, r in out.items()} == HOSTS
+    assert {u for u, r in out.items() if r["blocked"]} == {u for u, h in HOSTS.items() if h in ("example.com", "evil.com")}
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", list(enumerate(urls)))
+    assert {urls[i]: h for i, h in con.sql(f"select page_id, host from ({url_filter.SQL})").fetchall()} == HOSTS
+
+
 def test_url_filter_hosts_of_many_labels(spark):
     host = ".".join(f"l{k}" for k in range(70))
     entries = [(host, "block", 0, True), (host.split(".", 3)[3], "block", 0, True), ("l69", "block", 0, True), (".".join(host.split(".")[:64]), "block", 0, True)]
