@@ -1,12 +1,12 @@
 """Line dedup by winnowing, in DataFrame expressions only.
 
 A text is a sequence of lines; blank lines take no part and always stay. A run of lines counts as repeated if the same run
-occurred before and it has WINDOW lines, or holds a line of LONG characters, which is a passage by itself.
+occurred before and it has LEAST characters over all its lines together, or WINDOW lines of any length.
 
-Of every WINDOW consecutive lines the one with the least hash is selected; every long line is selected too. A repeated run
-is thus sure to hold selected lines, the same ones wherever it occurs. One row is stored for each selected position, with
-digests of 128 bits of what lies around it: of each window that selected it, and of a long line alone and with either
-neighbour. Positions whose line is selected once are dropped. The others are joined by line and compared outward, to the
+Of every WINDOW consecutive lines the one with the least hash is selected; so is the lesser of two lines that have LEAST
+characters together, and every line that has as many. A repeated run is thus sure to hold selected lines, the same ones
+wherever it occurs. One row is stored for each selected position, with digests of 128 bits of what lies around it: of each
+window or pair that selected it, and of a long line alone. Positions whose line is selected once are dropped. The others are joined by line and compared outward, to the
 left and to the right, with the first position of the same surroundings in order of (id, text, line). Every later one is a
 repetition. Selected positions overlap in their windows, so the matches of neighbouring positions join up to the maximal
 run; its lines are deleted, and its first occurrence stays. Positions are judged on the input, not on what is left.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import bound, column, flagged, joined_by_key, packed, stored
 
-#: Lines of a repeated run, and characters of a line that is one by itself.
-WINDOW, LONG = 3, 200
+#: Lines of a repeated run of any length, and characters of a run of fewer lines.
+WINDOW, LEAST = 3, 100
 
 
 def _lines(text: Column) -> Column:
@@ -41,14 +41,16 @@ def _blank(line: Column) -> Column:
 
 def _positions(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(id, t, h, around): a row for each selected line, with the patterns around it: (kind, a, b, lines)."""
-    numbered = F.transform(_lines(F.col("text")), lambda s, i: F.when(~_blank(s), F.struct(i.alias("line"), F.xxhash64(s).alias("h"), F.xxhash64(F.lit("second"), s).alias("g"), (F.char_length(s) >= LONG).alias("long"))))
+    numbered = F.transform(_lines(F.col("text")), lambda s, i: F.when(~_blank(s), F.struct(i.alias("line"), F.xxhash64(s).alias("h"), F.xxhash64(F.lit("second"), s).alias("g"), F.char_length(s).alias("n"))))
     rows = docs.select(column(docs, doc_id).alias("id"), column(docs, text).alias("text"))
     rows = rows.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.array_compact(numbered).alias("x"))
     starts = F.when(F.size("x") >= WINDOW, F.sequence(F.lit(0), F.size("x") - WINDOW)).otherwise(F.expr("cast(array() as array<int>)"))
     least = lambda i: F.least(*[F.struct(F.get("x", i + k)["h"].alias("h"), (i + k).alias("at")) for k in range(WINDOW)])["at"]
     rows = rows.withColumn("chosen", F.transform(starts, least))
-    long = F.filter(F.transform("x", lambda s, i: F.when(s["long"], i)), lambda i: i.isNotNull())
-    rows = rows.select("id", "t", "x", "chosen", F.explode(F.array_union("chosen", long)).alias("at"))
+    pairs = F.when(F.size("x") > 1, F.transform(F.sequence(F.lit(0), F.size("x") - 2), lambda i: F.when(F.get("x", i)["n"] + F.get("x", i + 1)["n"] >= LEAST, F.when(F.get("x", i + 1)["h"] < F.get("x", i)["h"], i + 1).otherwise(i))))
+    rows = rows.withColumn("paired", F.coalesce(pairs, F.expr("cast(array() as array<int>)")))
+    long = F.filter(F.transform("x", lambda s, i: F.when(s["n"] >= LEAST, i)), lambda i: i.isNotNull())
+    rows = rows.select("id", "t", "x", "chosen", "paired", F.explode(F.array_union(F.array_union("chosen", long), F.array_compact("paired"))).alias("at"))
 
     def pattern(kind: int, first: int, n: int, holds: Column) -> Column:
         part = [F.get("x", F.col("at") + first + k) for k in range(n)]
@@ -57,8 +59,9 @@ def _positions(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
     here = F.get("x", F.col("at"))
     windows = [pattern(k, -k, WINDOW, F.get("chosen", F.col("at") - k) == F.col("at")) for k in range(WINDOW)]
-    alone = [pattern(WINDOW + k, first, n, here["long"]) for k, (first, n) in enumerate([(0, 1), (-1, 2), (0, 2)])]
-    return rows.select("id", "t", here["h"].alias("h"), F.array_compact(F.array(*windows, *alone)).alias("around"))
+    two = [pattern(WINDOW + k, -k, 2, F.get("paired", F.col("at") - k) == F.col("at")) for k in range(2)]
+    alone = pattern(WINDOW + 2, 0, 1, here["n"] >= LEAST)
+    return rows.select("id", "t", here["h"].alias("h"), F.array_compact(F.array(*windows, *two, alone)).alias("around"))
 
 
 def _place(line: Column) -> Column:
@@ -98,7 +101,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return judged(docs, doc_id, text).select(*fields)
 
 
-#: DuckDB SQL of the query: every window, long line and pair with a long line against the first equal one, without fingerprints.
+#: DuckDB SQL of the query: every window, long line and long pair against the first equal one, without fingerprints.
 SQL = f"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 numbered AS (SELECT doc_id, u.i - 1 AS line, ls[u.i] AS s FROM base, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i) u),
@@ -106,8 +109,8 @@ full_lines AS (SELECT doc_id, line, s, row_number() OVER (PARTITION BY doc_id OR
 pairs AS (SELECT a.doc_id, a.line AS l0, b.line AS l1, a.s AS s0, b.s AS s1, b.k FROM full_lines a JOIN full_lines b ON a.doc_id = b.doc_id AND b.k = a.k + 1),
 windows AS (SELECT p.doc_id, l0, l1, c.line AS l2, s0, s1, c.s AS s2 FROM pairs p JOIN full_lines c ON p.doc_id = c.doc_id AND c.k = p.k + 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY s0, s1, s2 ORDER BY doc_id, l0) AS r FROM windows),
-ranked_pairs AS (SELECT *, row_number() OVER (PARTITION BY s0, s1 ORDER BY doc_id, l0) AS r FROM pairs WHERE length(s0) >= {LONG} OR length(s1) >= {LONG}),
-ranked_lines AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, line) AS r FROM full_lines WHERE length(s) >= {LONG}),
+ranked_pairs AS (SELECT *, row_number() OVER (PARTITION BY s0, s1 ORDER BY doc_id, l0) AS r FROM pairs WHERE length(s0) + length(s1) >= {LEAST}),
+ranked_lines AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, line) AS r FROM full_lines WHERE length(s) >= {LEAST}),
 gone AS (SELECT doc_id, l0 AS line FROM ranked WHERE r > 1 UNION SELECT doc_id, l1 FROM ranked WHERE r > 1 UNION SELECT doc_id, l2 FROM ranked WHERE r > 1
   UNION SELECT doc_id, l0 FROM ranked_pairs WHERE r > 1 UNION SELECT doc_id, l1 FROM ranked_pairs WHERE r > 1 UNION SELECT doc_id, line FROM ranked_lines WHERE r > 1),
 flagged AS (SELECT n.doc_id, n.line, n.s, g.line IS NOT NULL AS g FROM numbered n LEFT JOIN gone g ON n.doc_id = g.doc_id AND n.line = g.line)

@@ -260,13 +260,13 @@ def test_embedding_audit_sees_sparse_links(crowd):
 
 
 def without_repeated_runs(texts):
-    """(text, removed) of each text by listing all runs of three lines, long lines and pairs with one."""
+    """(text, removed) of each text by listing all runs of three lines, and those of one or two that are long enough together."""
     seen, out = set(), []
     for text in texts:
         lines = (text or "").split("\n")
         full = [k for k, x in enumerate(lines) if x.strip(" \t\r")]
         runs = [full[k : k + 3] for k in range(len(full) - 2)]
-        runs += [full[k : k + n] for n in (1, 2) for k in range(len(full) - n + 1) if any(len(lines[j]) >= line_dedup.LONG for j in full[k : k + n])]
+        runs += [full[k : k + n] for n in (1, 2) for k in range(len(full) - n + 1) if sum(len(lines[j]) for j in full[k : k + n]) >= line_dedup.LEAST]
         gone = set()
         for run in sorted(runs):
             content = tuple(lines[j] for j in run)
@@ -280,9 +280,10 @@ def test_line_dedup(spark):
     run = "first line here\nsecond line here\nthird line here\nfourth line"
     paragraph = words(60, 31, 5000)
     texts = AWKWARD + [run, "intro\n" + run + "\noutro", "intro\n\n" + run.replace("\n", "\n\n"), "first line here\nsecond line here", run + "\n" + run, "\n".join(["same"] * 6), words(50, 1) + "\n" + run]
-    texts += [paragraph, "short\n" + paragraph + "\nother", "new\n\n" + paragraph + "\nother", "short\nother", words(60, 32, 5000) + "\n" + paragraph, paragraph[:199], paragraph[:199], paragraph[:200], "x\n" + paragraph[:200]]
+    texts += [paragraph, "short\n" + paragraph + "\nother", "new\n\n" + paragraph + "\nother", "short\nother", words(60, 32, 5000) + "\n" + paragraph, paragraph[:99], paragraph[:99], paragraph[:100], "x\n" + paragraph[:100]]
+    texts += ["\n".join(["p" * 60, "q" * 40]), "x\n" + "p" * 60 + "\n\n" + "q" * 40 + "\ny", "q" * 40 + "\n" + "p" * 60, "p" * 60 + "\n" + "q" * 39, "p" * 60 + "\n" + "q" * 39]
     r = random.Random(8)
-    texts += ["\n".join(r.choice(["a", "b", "c", "", "long " * 50]) for _ in range(r.randrange(12))) for _ in range(40)]
+    texts += ["\n".join(r.choice(["a", "b", "c", "", "long " * 25, "half " * 10, "other " * 9]) for _ in range(r.randrange(12))) for _ in range(40)]
     data = [(i, x, "en", "clash", 7, "row", 1) for i, x in enumerate(texts)]
     odd = frame(spark, data, "doc_id bigint, text string, id string, t string, h int, `row` string, `a.b` int")
     out = line_dedup.deduplicated(odd)
