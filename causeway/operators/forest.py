@@ -6,11 +6,13 @@ stride with each join instead of taking one step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import stored, stored_told
 from .graph import spaced
+from .intervals import overlapping
+from .numbering import numbered
 
 
 class Forest:
@@ -19,21 +21,23 @@ class Forest:
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         """Pointer jumping: `jumps[k]` leads from a node to its ancestor 2**k above, or its root."""
         up = edges.select(F.col("txId2").alias("node"), F.col("txId1").alias("up"))
-        now = stored(nodes.select(F.col("tx_id").alias("node")).join(up, "node", "left").select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNotNull().cast("bigint").alias("depth")))
-        self.edges, self.jumps = edges, []
+        going = stored(nodes.select(F.col("tx_id").alias("node")).join(up, "node", "left").select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNotNull().cast("bigint").alias("depth")))
+        self.edges, self.jumps, there = edges, [], going.limit(0)
         while True:
+            now = going.unionByName(there)
             self.jumps.append(now.select("node", "up"))
-            nxt = now.alias("a").join(now.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.up") != F.col("b.up")).alias("moved"))
-            nxt = stored(nxt)
-            if nxt.where("moved").isEmpty():
+            step = going.alias("a").join(now.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.up") != F.col("b.up")).alias("moved"))
+            step, told = stored_told(step, n=F.count_if("moved"))
+            # nodes that point to a root already are there, and take no part in further rounds
+            there, going = there.unionByName(step.where("not moved").drop("moved")), step.where("moved").drop("moved")
+            if not told["n"]:
                 break
-            now = nxt.drop("moved")
-        self.nodes = now.select("node", F.col("up").alias("root"), "depth")
+        self.nodes = there.select("node", F.col("up").alias("root"), "depth")
 
     def instances(self) -> DataFrame:
         """(node, root, depth, instance_id): trees numbered by their roots."""
         roots = self.nodes.where("node = root").select("root")
-        return self.nodes.join(numbered(roots, "root", "instance_id"), "root").select("node", "root", "depth", "instance_id")
+        return self.nodes.join(numbered(roots, ["root"], "instance_id"), "root").select("node", "root", "depth", "instance_id")
 
     def distances(self, targets: DataFrame) -> DataFrame:
         """(node, root, d): distance of every node to its tree's target; targets: (root, target)."""
@@ -75,19 +79,6 @@ class Forest:
         return ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("node")
 
 
-def numbered(rows: DataFrame, by: str, name: str, span: int = 1 << 20) -> DataFrame:
-    """rows with a dense number from 0 in order of the unique `by`.
-
-    Rows are numbered within spans of `by`, and spans start after what the earlier ones hold; only the counts of the
-    spans go through one task.
-    """
-    spanned = rows.withColumn("__span", F.floor(F.col(by) / span))
-    sizes = spanned.groupBy("__span").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__span", (F.coalesce(F.sum("__n").over(Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__span").orderBy(by)) - 1
-    return spanned.withColumn("__r", inside).join(before, "__span").select(*rows.columns, (F.col("__before") + F.col("__r")).cast("bigint").alias(name))
-
-
 def selected_anchors(anchors: DataFrame, n_nodes: int, per_thousand: int, edges: DataFrame | None = None, min_distance: int = 0) -> DataFrame:
     """The first instances whose anchors are kept: per_thousand of the nodes, one at least.
 
@@ -100,7 +91,13 @@ def selected_anchors(anchors: DataFrame, n_nodes: int, per_thousand: int, edges:
 
 
 def held_out_instances(instances: DataFrame, windows: DataFrame) -> DataFrame:
-    """Instances with the first holdout window of their pattern that overlaps their steps; windows: (ordinal, pattern, low, high), a short list."""
-    i, w = instances.alias("i"), F.broadcast(windows).alias("w")  # a list from the configuration
-    met = i.join(w, (F.col("i.pattern") == F.col("w.pattern")) & (F.col("i.step_min") <= F.col("w.high")) & (F.col("i.step_max") >= F.col("w.low")), "left")
-    return met.groupBy("i.instance_id").agg(F.min("w.ordinal").alias("window"))
+    """(instance_id, window): of every instance the first holdout window of its pattern that overlaps its steps, or null.
+
+    instances: (instance_id, pattern, step_min, step_max); windows: (ordinal, pattern, low, high), of any number. Instances of
+    one pattern and range of steps are judged together, and of equal windows the first one, so that what overlaps is pairs of
+    different ranges.
+    """
+    ranges = instances.select("pattern", F.col("step_min").alias("low"), F.col("step_max").alias("high")).distinct()
+    first = windows.groupBy("pattern", "low", "high").agg(F.min("ordinal").alias("ordinal"))
+    met = overlapping(ranges, first, ["pattern"]).groupBy("l.pattern", F.col("l.low").alias("step_min"), F.col("l.high").alias("step_max")).agg(F.min("r.ordinal").alias("window"))
+    return instances.select("instance_id", "pattern", "step_min", "step_max").join(met, ["pattern", "step_min", "step_max"], "left").select("instance_id", "window")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +44,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_told(df: DataFrame, **told: Column) -> tuple[DataFrame, dict]:
+    """stored(df), and aggregates of its rows by name that are worked out while they are written."""
+    seen = Observation()
+    return stored(df.observe(seen, *[c.alias(n) for n, c in told.items()])), seen.get
+
+
 def shared_folder(spark: SparkSession) -> Path:
     """A new folder of the shared folder for files that the driver writes and tasks read, which needs a mounted file system."""
     scheme, _, rest = shared_dir(spark).rpartition(":")
