@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import csv
 import hashlib
 import json
 import os
 import tempfile
-from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
-from typing import Any, TextIO
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features
 from ..operators.schedule import with_phase
+from ..sources import single_file
 from ..sources.rows import with_rows
+from ..sources.single_file import write_csv
 from ..storage import stored
 from . import registry
 from .config import Config
@@ -51,18 +51,6 @@ def sha256(path: str | Path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def write_csv(df: DataFrame, path: Path, order: str, drop: bool = False, header: bool = True) -> None:
-    """One CSV file in order of a column, streamed partition by partition; drop: leave that column out."""
-    rows = df.orderBy(order)
-    rows = rows.drop(order) if drop else rows
-    with open(path, "w", newline="", encoding="utf-8") as f:
-        out = csv.writer(f, lineterminator="\n")
-        if header:
-            out.writerow(rows.columns)
-        for row in rows.toLocalIterator(prefetchPartitions=True):
-            out.writerow([repr(x) if isinstance(x, float) else x for x in row])
-
-
 def attributes(ledger: Ledger) -> DataFrame:
     """edge_id, txId1, txId2, amount, timestamp."""
     step = ledger.nodes.select("tx_id", "time_step")
@@ -109,32 +97,22 @@ class Rows:
     table: DataFrame
     order: str
 
-    def records(self) -> Iterator[str]:
-        """One record at a time as JSON text, nulls included; the driver holds one partition of them."""
-        columns = [c for c in self.table.columns if not c.startswith("_")]
-        lines = self.table.orderBy(self.order).select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("r"))
-        return (r["r"] for r in lines.toLocalIterator(prefetchPartitions=True))
-
 
-def write_json(out: TextIO, value: Any) -> None:
-    """JSON of nested mappings whose leaves may be Rows, written as it comes; what is not finite is refused."""
+def pieces(value: Any) -> list[str | single_file.Body]:
+    """JSON of nested mappings whose leaves may be Rows, as texts and bodies in turn; what is not finite is refused."""
     if isinstance(value, dict):
+        out: list = []
         for k, (name, x) in enumerate(value.items()):
-            out.write(("," if k else "{") + json.dumps(name, ensure_ascii=False) + ":")
-            write_json(out, x)
-        out.write("}" if value else "{}")
-    elif isinstance(value, Rows):
-        first = "["
-        for record in value.records():
-            out.write(first + "\n" + record)
-            first = ","
-        out.write("[]" if first == "[" else "]")
-    else:
-        json.dump(value, out, ensure_ascii=False, allow_nan=False)
+            out += [("," if k else "{") + json.dumps(name, ensure_ascii=False) + ":", *pieces(x)]
+        return [*out, "}" if value else "{}"]
+    if isinstance(value, Rows):
+        body = single_file.json_rows(value.table, [value.order])
+        return [body, "]"] if body.size else ["[]"]
+    return [json.dumps(value, ensure_ascii=False, allow_nan=False)]
 
 
 def write(ledger: Ledger, out_dir: str | Path) -> None:
-    """The bundle. Its files are single by contract, so the driver writes them; rows and records pass through one partition at a time."""
+    """The bundle. Its files are single by contract; tasks write the rows of each, every one its own range of bytes."""
     out, c = Path(out_dir), ledger.config
     if "data/raw" in out.resolve().as_posix():
         raise ValueError("refusing to generate inside data/raw")
@@ -142,12 +120,12 @@ def write(ledger: Ledger, out_dir: str | Path) -> None:
     nodes, attrs = ledger.nodes, attributes(ledger)
     labels = F.when(F.col("cls") == "illicit", "1").when(F.col("cls") == "licit", "2").otherwise("unknown")
     numbered = nodes.select("tx_id", "time_step", chain_number(F.col("chain_id")).alias("chain"))
-    write_csv(matrix(numbered, attrs), out / FILES["features"], "txId", header=False)
-    write_csv(nodes.select(F.col("tx_id").alias("txId"), labels.alias("class")), out / FILES["classes"], "txId")
-    write_csv(attrs.select("edge_id", "txId1", "txId2"), out / FILES["edgelist"], "edge_id", drop=True)
-    write_csv(attrs, out / FILES["edge_attributes"], "edge_id", drop=True)
-    with open(out / "manifest.json", "w", encoding="utf-8") as f:
-        write_json(f, manifest(ledger, attrs, {k: sha256(out / f) for k, f in FILES.items()}))
+    write_csv(matrix(numbered, attrs), out / FILES["features"], ["txId"], header=False)
+    write_csv(nodes.select(F.col("tx_id").alias("txId"), labels.alias("class")), out / FILES["classes"], ["txId"])
+    by_id = attrs.withColumnRenamed("edge_id", "_edge_id")
+    write_csv(by_id.select("_edge_id", "txId1", "txId2"), out / FILES["edgelist"], ["_edge_id"])
+    write_csv(by_id, out / FILES["edge_attributes"], ["_edge_id"])
+    single_file.write_pieces(out / "manifest.json", pieces(manifest(ledger, attrs, {k: sha256(out / f) for k, f in FILES.items()})))
 
 
 def manifest(ledger: Ledger, attrs: DataFrame, digests: dict[str, str]) -> dict:
