@@ -45,21 +45,30 @@ def filter_report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def confusion(rows: DataFrame, threshold: float, by: list[str], k: int | None = None) -> DataFrame:
-    """Per group of rows (y, score, tx_id): tp, fp, tn, fn, n, precision, recall, f1; with k also the hits among the k top scores.
+    """Per group of rows (y, score, tx_id): tp, fp, tn, fn, n, n_positive, n_negative, positive_rate, threshold, precision, recall, f1; with k also k and the hits among the k top scores.
 
-    What is undefined is null: f1 and recall without positives. Top-k ranks by score, then by id.
+    What is undefined is null: f1 and recall without positives. Top-k ranks by score, then by id. Rows without a label are
+    left out. A threshold outside 0..1, a k that is no positive whole number, and scores that are null or not finite are
+    refused, the scores as rows are read.
     """
+    if not (isinstance(threshold, (int, float)) and 0 <= threshold <= 1):  # NaN is not between
+        raise ValueError("threshold must be finite and in 0..1")
+    if k is not None and (not isinstance(k, int) or isinstance(k, bool) or k <= 0):
+        raise ValueError("k must be a positive whole number")
+    finite = F.col("score").isNotNull() & ~F.isnan(F.col("score").cast("double")) & (F.abs(F.col("score").cast("double")) < float("inf"))
+    rows = rows.where("y is not null").withColumn("score", F.when(finite, F.col("score")).otherwise(F.raise_error(F.lit("scores must be finite")).cast(rows.schema["score"].dataType)))
     yes, pred = F.col("y") == 1, F.col("score") >= threshold
     n = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).cast("bigint")
     aggs = [n(yes & pred).alias("tp"), n(~yes & pred).alias("fp"), n(~yes & ~pred).alias("tn"), n(yes & ~pred).alias("fn"), F.count(F.lit(1)).alias("n")]
     out = rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    out = out.select("*", (tp + fn).alias("n_positive"), (fp + F.col("tn")).alias("n_negative"), ((tp + fn) / F.nullif("n", F.lit(0))).alias("positive_rate"), F.lit(float(threshold)).alias("threshold"))
     out = out.select("*", F.when(tp + fn > 0, F.when(tp + fp > 0, tp / F.nullif(tp + fp, F.lit(0))).otherwise(0.0)).alias("precision"), (tp / F.nullif(tp + fn, F.lit(0))).alias("recall"), F.when(tp + fn > 0, 2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0))).alias("f1"))
     if k is None:
         return out
     top = top_k(rows, k, by).groupBy(*by).agg(F.sum("y").cast("bigint").alias("hits"), F.count(F.lit(1)).alias("k_effective"))
     out = out.join(top, by, "left") if by else out.crossJoin(F.broadcast(top))
-    return out.select("*", (F.col("hits") / F.col("k_effective")).alias("precision_at_k"), (F.col("hits") / F.nullif(tp + fn, F.lit(0))).alias("recall_at_k"))
+    return out.select("*", F.lit(k).alias("k"), (F.col("hits") / F.col("k_effective")).alias("precision_at_k"), (F.col("hits") / F.nullif(tp + fn, F.lit(0))).alias("recall_at_k"))
 
 
 def top_k(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
@@ -81,7 +90,7 @@ def top_k(rows: DataFrame, k: int, by: list[str]) -> DataFrame:
 def per_step(rows: DataFrame, threshold: float, k: int, low: int = 41, high: int = 49) -> DataFrame:
     """confusion() of each step, also of steps without rows."""
     steps = rows.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias("time_step"))
-    counts = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "tn", "fn", "n")}
+    counts = {c: F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "tn", "fn", "n", "n_positive", "n_negative")}
     out = steps.join(confusion(rows, threshold, ["time_step"], k), "time_step", "left")
     return out.select(*(counts.get(c, F.col(c)) for c in out.columns))
 

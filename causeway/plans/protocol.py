@@ -116,7 +116,7 @@ def _vector(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit(kind: str, rows: DataFrame, columns: list[str], seed: int):
-    """A random forest, or the linear model of the propagated features (ridge of strength one over all rows)."""
+    """A random forest of trees as deep as pyspark.ml grows them, or the linear model of the propagated features (ridge of strength one over all rows)."""
     from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 
     weighted = evaluation.balanced(rows).withColumn("__y", F.col("y").cast("double"))
@@ -125,7 +125,7 @@ def fit(kind: str, rows: DataFrame, columns: list[str], seed: int):
     train = _vector(weighted, columns)
     common = {"featuresCol": "__x", "labelCol": "__y", "weightCol": "weight"}
     if kind == "rf":
-        return RandomForestClassifier(numTrees=100, maxDepth=15, seed=seed, **common).fit(train)
+        return RandomForestClassifier(numTrees=100, maxDepth=30, seed=seed, **common).fit(train)
     return LogisticRegression(regParam=1.0 / train.count(), standardization=False, maxIter=300, **common).fit(train)
 
 

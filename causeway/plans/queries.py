@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import asof, checks, evaluation, features, forest, schedule
+from ..operators.numbering import numbered
 from ..sources import ledger
 from ..storage import stored
 
@@ -233,7 +234,7 @@ def entity_bounds(spark, d):
 
 @query(f"{_EDGES} SELECT row_number() OVER (ORDER BY txId2) - 1 AS edge_id, txId1, txId2 FROM tx_edges")
 def edge_ids(spark, d):
-    return forest.numbered(_graph(spark, d)[1], "txId2", "edge_id").select("edge_id", "txId1", "txId2")
+    return numbered(_graph(spark, d)[1], ["txId2"], "edge_id").select("edge_id", "txId1", "txId2")
 
 
 @query(f"{_ECC} SELECT node AS tx_id, ecc::BIGINT AS ecc FROM ecc", True)
@@ -296,7 +297,7 @@ def _per_step(spark, d):
     return evaluation.per_step(_labeled(spark, d).where("time_step >= 41"), 0.5, 10)
 
 
-@query(f"{_STEPS} SELECT time_step, tp, fp, tn, fn, n, hits, k_effective, {_round_sql(['f1', 'precision_at_k', 'recall_at_k'])} FROM steps")
+@query(f"{_STEPS} SELECT time_step, tp, fp, tn, fn, n, tp + fn AS n_positive, fp + tn AS n_negative, CASE WHEN n > 0 THEN round((tp + fn) / n, 6) END AS positive_rate, CASE WHEN n > 0 THEN 0.5::DOUBLE END AS threshold, CASE WHEN n > 0 THEN 10 END AS k, hits, k_effective, {_round_sql(['f1', 'precision_at_k', 'recall_at_k'])} FROM steps")
 def confusion_per_step(spark, d):
     return _rounded(_per_step(spark, d).drop("precision", "recall").withColumn("k_effective", F.col("k_effective").cast("bigint")))
 
@@ -418,7 +419,7 @@ def coverage_diff(spark, d):
 @query(f"{_EDGES}, numbered AS (SELECT row_number() OVER (ORDER BY txId2) - 1 AS edge_id, txId2 FROM tx_edges) SELECT n.tx_id AS event_id, m.edge_id, n.chain AS source_chain, n.recv % 3 AS target_chain FROM tx_nodes n LEFT JOIN numbered m ON m.txId2 = n.tx_id WHERE n.chain <> n.recv % 3")
 def bridge_records(spark, d):
     nodes, edges = _graph(spark, d)
-    ids = forest.numbered(edges, "txId2", "edge_id").select("edge_id", F.col("txId2").alias("tx_id"))
+    ids = numbered(edges, ["txId2"], "edge_id").select("edge_id", F.col("txId2").alias("tx_id"))
     return nodes.where("chain <> recv % 3").join(ids, "tx_id", "left").select(F.col("tx_id").alias("event_id"), "edge_id", F.col("chain").alias("source_chain"), (F.col("recv") % 3).alias("target_chain"))
 
 
@@ -463,12 +464,4 @@ def sgc_scores(spark, d):
     return _model_scores(spark, d, "sgc")
 
 
-@query()
-def edge_shuffle(spark, d):
-    from ..operators import shuffle
-
-    nodes, edges = _graph(spark, d)
-    return shuffle.shuffled(evaluation.partition_edges(edges, nodes), {"train": 0, "validation": 1, "test": 3})[0]
-
-
 from . import contract_queries, ledger_queries  # noqa: E402, F401  register their queries

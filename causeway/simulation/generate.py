@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import asof, schedule
-from ..operators.forest import Forest, numbered
+from ..operators.forest import Forest
+from ..operators.numbering import numbered
 from ..storage import stored
 from .config import Config, DriftError
 from .registry import ACTIONS, AMOUNTS, CHAINS, PROFILES, native_entity_id
@@ -73,7 +74,7 @@ def assigned(config: Config, slots: DataFrame) -> DataFrame:
             ok = _draw(config, DRIFT, F.lit(number), F.col("slot")) < F.col("keep_probability")
         # a draw made unique by the slot orders the eligible; spans of it are numbered apart
         key = (_draw(config, SCHEDULE, F.lit(number), F.col("slot")) * (1 << 30)).cast("bigint") * (1 << 32) + F.col("slot")
-        ranked = stored(numbered(left.where(ok).select("slot", "step", key.alias("key")), "key", "rank", span=1 << 52).where(F.col("rank") < quota).select("slot", "step", F.lit(p).alias("profile_id")))
+        ranked = stored(numbered(left.where(ok).select("slot", "step", key.alias("key")), ["key"], "rank").where(F.col("rank") < quota).select("slot", "step", F.lit(p).alias("profile_id")))
         if ranked.count() < quota:
             raise DriftError(f"not enough eligible steps for profile: {p}")
         done = ranked if done is None else done.unionByName(ranked)
@@ -171,7 +172,7 @@ def generate(spark: SparkSession, config: Config, volume: DataFrame) -> Ledger:
     done = stored(with_sources(drawn, people))
     bridge = F.when(F.col("action_id") == "bridge_link", F.concat("actor_chain", F.lit("->"), "chain_id"))
     roles = F.array_sort(F.array_distinct(F.array_compact(F.array("actor", "target", "counterparty", "source_entity"))))
-    edges = numbered(done.where("source_tx is not null").select(F.col("source_tx").alias("txId1"), F.col("event_id").alias("txId2"), "event_id", "chain_id", "action_id", "amount_minor", F.col("step").alias("timestamp"), bridge.alias("bridge_id")), "txId2", "edge_id")
+    edges = numbered(done.where("source_tx is not null").select(F.col("source_tx").alias("txId1"), F.col("event_id").alias("txId2"), "event_id", "chain_id", "action_id", "amount_minor", F.col("step").alias("timestamp"), bridge.alias("bridge_id")), ["txId2"], "edge_id")
     kinds = F.create_map(*[F.lit(x) for a in ACTIONS.values() for x in (a.action_id, a.edge_kind)])
     edges = stored(edges.select("edge_id", "txId1", "txId2", "event_id", "chain_id", kinds[F.col("action_id")].alias("kind"), F.col("action_id").alias("role"), "amount_minor", "timestamp", "bridge_id"))
     trees = Forest(done.select(F.col("event_id").alias("tx_id")), edges)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from causeway.operators import asof, checks, evaluation, features, forest, schedule, shuffle
+from causeway.operators import asof, checks, evaluation, features, forest, schedule
 
 
 @pytest.fixture(scope="module")
@@ -67,11 +67,6 @@ def test_asof_over_spans(spark, span):
     assert got == {(k, t): max((w for j, w in writes if j == k and k is not None and w < t), default=None) for k, t in probes}
 
 
-def test_numbering_over_spans(spark):
-    ids = spark.createDataFrame([(x,) for x in (5, 3, 900, 17, 2_000)], "x bigint")
-    assert rows(forest.numbered(ids, "x", "n", span=10), "x", "n") == [(3, 0), (5, 1), (17, 2), (900, 3), (2_000, 4)]
-
-
 def test_slots(spark):
     flat = spark.range(1, 50).select(F.col("id").alias("step"), F.lit(100).alias("weight"))
     counts = dict(rows(schedule.slots(flat, 1000).groupBy("step").count(), "step", "count"))
@@ -101,6 +96,23 @@ def test_split_and_filter(spark):
         spark.createDataFrame([(50,)], "s int").select(evaluation.part(F.col("s"))).collect()
 
 
+def test_metric_fields_and_refusals(spark):
+    rows_ = spark.createDataFrame([(1, 1, 0.9), (2, 0, 0.7), (3, 1, 0.2), (4, None, 0.8), (5, 0, 0.1)], "tx_id int, y int, score double")
+    r = evaluation.confusion(rows_, 0.5, [], 2).first().asDict()
+    assert (r["n"], r["n_positive"], r["n_negative"], r["positive_rate"], r["threshold"], r["k"], r["k_effective"], r["hits"]) == (4, 2, 2, 0.5, 0.5, 2, 2, 1)
+    for threshold in (-0.1, 1.1, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            evaluation.confusion(rows_, threshold, [])
+    for k in (0, -1, True, 2.0):
+        with pytest.raises(ValueError):
+            evaluation.confusion(rows_, 0.5, [], k)
+    for bad in (float("nan"), float("inf"), None):
+        with pytest.raises(Exception, match="scores must be finite"):
+            evaluation.confusion(rows_.union(spark.createDataFrame([(6, 1, bad)], rows_.schema)), 0.5, []).collect()
+    empty = evaluation.confusion(rows_.limit(0), 0.5, []).first()
+    assert (empty["n"], empty["n_positive"], empty["positive_rate"], empty["f1"]) == (0, 0, None, None)
+
+
 def test_metrics(spark):
     three = spark.createDataFrame([(1, 1, 0.9, 1), (0, 2, 0.2, 1), (1, 3, 0.8, 1)], "y int, tx_id bigint, score double, time_step int")
     r = evaluation.confusion(three, 0.5, [], 2).first()
@@ -135,15 +147,6 @@ def test_effects(spark):
         assert got == pytest.approx(1 - math.sin(x) * total, abs=1e-9)
 
 
-def test_shuffle_preserves_degrees():
-    r = random.Random(2)
-    edges = list({(r.randrange(40), 40 + r.randrange(40)) for _ in range(120)})
-    now, attempts, swaps = shuffle.swapped(edges, 5)
-    assert swaps > 0 and attempts >= swaps and len(set(now)) == len(edges) and now != edges
-    assert sorted(a for a, _ in now) == sorted(a for a, _ in edges) and sorted(b for _, b in now) == sorted(b for _, b in edges)
-    assert shuffle.swapped([(1, 2)], 5)[0] == [(1, 2)]
-
-
 def test_checks(spark, hand):
     nodes, edges = hand
     assert checks.orphans(edges.union(spark.createDataFrame([(0, 99)], edges.schema)), nodes).count() == 1

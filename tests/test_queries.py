@@ -22,19 +22,13 @@ def duck():
 
 
 #: Models, sequential methods and generated tables.
-NO_SQL = {"rf_scores", "sgc_scores", "edge_shuffle", "network_scores"}
+NO_SQL = {"rf_scores", "sgc_scores", "network_scores"}
 
 
 def test_all_have_sql():
     assert set(QUERIES) == set(SQL) | NO_SQL
 
 
-def test_shuffle_keeps_degrees(spark):
-    before, after = QUERIES["partition_edges"](spark, SF).collect(), QUERIES["edge_shuffle"](spark, SF).collect()
-    for k in ("txId1", "txId2"):
-        assert sorted((r["part"], r[k]) for r in before) == sorted((r["part"], r[k]) for r in after)
-
-
 @pytest.mark.parametrize("name", ["rf_scores", "sgc_scores", "network_scores"])
 def test_scores(spark, name):
     out = QUERIES[name](spark, SF)
