@@ -84,3 +84,16 @@ def edge_attributes(edges: DataFrame, nodes: DataFrame, scale: int = 1200) -> Da
     """(txId1, txId2, amount, timestamp) of each edge: the target's amount, and when both ends exist."""
     u, v = nodes.select(F.col("tx_id").alias("txId1"), F.col("time_step").alias("s1")), nodes.select(F.col("tx_id").alias("txId2"), F.col("time_step").alias("s2"), "amount_minor")
     return edges.join(u, "txId1").join(v, "txId2").select("txId1", "txId2", F.round(F.col("amount_minor") / 100, 2).alias("amount"), (scale * (F.greatest("s1", "s2") - 1)).cast("bigint").alias("timestamp"))
+
+
+def attributed_edges(nodes: DataFrame, scale: int = 1200) -> DataFrame:
+    """causal_edges with amount, timestamp, age and cross: the target's amount, when both ends exist, steps between them and whether chains differ.
+
+    What is known of the target comes along with its lookup, so that only the source's step and chain are joined.
+    """
+    probes = nodes.select("tx_id", F.col("actor").alias("entity"), F.col("time_step").alias("s2"), F.col("chain").alias("c2"), "amount_minor")
+    found = last_before(probes, nodes.select(F.col("recv").alias("entity"), "tx_id"), "entity", "tx_id").where("last is not null")
+    source = nodes.select(F.col("tx_id").alias("last"), F.col("time_step").alias("s1"), F.col("chain").alias("c1"))
+    return found.join(source, "last").select(
+        F.col("last").alias("txId1"), F.col("tx_id").alias("txId2"), F.round(F.col("amount_minor") / 100, 2).alias("amount"), (scale * (F.greatest("s1", "s2") - 1)).cast("bigint").alias("timestamp"),
+        (F.col("s2") - F.col("s1")).alias("age"), (F.col("c1") != F.col("c2")).cast("int").alias("cross"))

@@ -27,9 +27,9 @@ def enriched(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def semantic(nodes: DataFrame, edges: DataFrame, chains: bool = True) -> DataFrame:
     """tx_id and the 24 base columns of every node, with `chains` also the five chain columns.
 
-    One aggregation by direction; both combine before their shuffle.
+    One aggregation by direction; both combine before their shuffle. Edges that bring age and cross along are not joined again.
     """
-    e = enriched(edges, nodes)
+    e = edges if {"age", "cross"} <= set(edges.columns) else enriched(edges, nodes)
     sides = {}
     for side, end in (("in", "txId2"), ("out", "txId1")):
         sides[side] = e.groupBy(F.col(end).alias("tx_id")).agg(

@@ -64,8 +64,8 @@ def _graph(spark, d):
 
 
 def _attributed(spark, d):
-    nodes, edges = _graph(spark, d)
-    return nodes, asof.edge_attributes(edges, nodes)
+    nodes = _nodes(spark, d)
+    return nodes, asof.attributed_edges(nodes)
 
 
 def _forest(spark, d):
@@ -105,7 +105,7 @@ def fallback_source(spark, d):
 
 @query(f"{_ATTRS} SELECT txId1, txId2, amount, CAST(timestamp AS BIGINT) AS timestamp FROM attrs")
 def edge_attributes(spark, d):
-    return _attributed(spark, d)[1]
+    return _attributed(spark, d)[1].select("txId1", "txId2", "amount", "timestamp")
 
 
 _SIDES = ", ".join(
