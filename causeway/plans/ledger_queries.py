@@ -12,6 +12,7 @@ from ..simulation import bundle, generate, registry
 from ..simulation.config import PHASES, QUOTAS, Config
 from ..simulation.registry import ACTIONS, AMOUNTS, CHAINS, PROFILES
 from ..sources import ledger as source
+from ..storage import still_there
 from . import queries as base
 from .queries import query
 
@@ -20,9 +21,9 @@ _made: dict[tuple[str, str], generate.Ledger] = {}
 
 
 def made(spark: SparkSession, d: str) -> generate.Ledger:
-    """The ledger over the volume of the events in d; its tables are stored once for a session."""
+    """The ledger over the volume of the events in d; its tables are stored once for a session, and again if they were deleted."""
     key = spark.sparkContext.applicationId, d
-    if key not in _made:
+    if key not in _made or not all(still_there(x) for x in vars(_made[key]).values() if isinstance(x, DataFrame)):
         volume = source.tx_nodes(source.table(spark, d, "events")).groupBy(F.col("time_step").alias("step")).agg(F.count(F.lit(1)).alias("weight"))
         every = spark.range(1, 50).select(F.col("id").cast("int").alias("step")).join(volume, "step", "left").fillna(0)
         _made[key] = generate.generate(spark, Config(seed=SEED, n_txs=TXS), every)

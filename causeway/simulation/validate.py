@@ -8,14 +8,16 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import asof, checks
 from ..operators.forest import Forest
+from ..sources import json_ranges
 from ..storage import stored
 from . import bundle, registry
-from .bundle import FILES, read_json, read_table, sha256
+from .bundle import FILES, read_table, sha256
 from .config import Config, check_phases, parse
 from .generate import Ledger, instances
 from .registry import ACTIONS, CHAINS, PROFILES
@@ -48,7 +50,8 @@ class Rules:
         """Stored rows must be the derived ones, column by column; columns in `near` up to rounding."""
         if not near:  # columns that must be equal as they stand: only ranges whose digests differ are joined
             every = [key, *columns]
-            derived = derived.select(*[F.col(c).cast(stored.schema[c].dataType) for c in every])  # hashes of equal numbers of other types differ
+            kinds = dict(stored.dtypes)
+            derived = derived.select(*[F.col(c) if kind == kinds[c] else F.col(c).cast(kinds[c]) for c, kind in derived.select(*every).dtypes])  # hashes of equal numbers of other types differ
             stored, derived = checks.differing(stored.select(*every), derived, every, [key])
         s, d = stored.withColumn("__s", F.lit(True)).alias("s"), derived.withColumn("__d", F.lit(True)).alias("d")
         both = s.join(d, F.col(f"s.{key}") == F.col(f"d.{key}"), "full").withColumn("__row", F.coalesce(f"s.{key}", f"d.{key}"))
@@ -78,8 +81,6 @@ def need(ok: bool, message: str) -> None:
 
 def validate_tables(spark: SparkSession, root: str | Path) -> dict[str, DataFrame]:
     """The base contract: ids, steps, finite features, classes, edges and their attributes."""
-    from pyspark.errors import PySparkException
-
     t = {name: read_table(spark, root, name).cache() for name in FILES}
     rules = Rules()
     f, c, e, a = (t[n] for n in ("features", "classes", "edgelist", "edge_attributes"))
@@ -136,11 +137,23 @@ def _at(manifest: dict, path: str):
     return manifest
 
 
-def _table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
-    names = [x.strip().split()[0] for x in re.split(r", (?=\w+ )", schema)]
-    for r in rows:
-        need(isinstance(r, dict) and set(r) == set(names), f"manifest record fields do not match: {sorted(set(r) ^ set(names)) if isinstance(r, dict) else r}")
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+def fields(schema: str) -> list[str]:
+    """The names of a schema's fields."""
+    return [x.strip().split()[0] for x in re.split(r", (?=\w+ )", schema)]
+
+
+def sections(spark: SparkSession, path: str | Path, size: int = json_ranges.RANGE) -> tuple[dict, dict[str, DataFrame]]:
+    """(manifest without its records, tables of the records by name). Tasks read and check the records, each a range of the file."""
+    document = json_ranges.Document(spark, path, size)
+    m, places = document.read({at for at, _ in _SECTIONS.values()})
+    for at, _ in _SECTIONS.values():
+        _at(m, at)
+        need(at in places, f"manifest section is no list: {at}")
+    found = stored(document.records(places, {at: set(fields(schema)) for at, schema in _SECTIONS.values()}))
+    fault = found.where("fault is not null").agg(F.min(F.struct("place", "fault")).alias("f")).first()["f"]
+    need(fault is None, f"manifest {fault['fault'] if fault else ''}")
+    parsed = lambda at, schema: found.where(F.col("section") == at).select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    return m, {name: parsed(at, schema) for name, (at, schema) in _SECTIONS.items()}
 
 
 def manifest_rules(m: dict) -> Config:
@@ -306,13 +319,13 @@ def table_rules(spark: SparkSession, config: Config, t: dict[str, DataFrame], re
 def validate_behavior(spark: SparkSession, root: str | Path) -> None:
     """The whole bundle: hashes, tables, features and the behavior block against each other."""
     root = Path(root)
-    m = read_json(root / "manifest.json")
+    m, t = sections(spark, root / "manifest.json")
     need(isinstance(m.get("sha256"), dict) and set(m["sha256"]) == set(FILES), "manifest must hash the four CSV files")
     for name, file in FILES.items():
         need(m["sha256"][name] == sha256(root / file), f"CSV hash mismatch: {name}")
     files = validate_tables(spark, root)
     config = manifest_rules(m)
-    t = {name: _table(spark, _at(m, path), schema).cache() for name, (path, schema) in _SECTIONS.items()}
+    t = {name: x.cache() for name, x in t.items()}
     t["nodes"] = files["features"].select(F.col("txId").alias("tx_id"), "time_step")
     t["edges"] = files["edgelist"].select(F.col("__row").alias("edge_id"), "txId1", "txId2")
     rules = table_rules(spark, config, t, m["behavior"]["drift_schedule"]["realized"])
@@ -321,7 +334,10 @@ def validate_behavior(spark: SparkSession, root: str | Path) -> None:
     again = bundle.attributes(Ledger(config, None, None, t["nodes"], t["edges"].join(t["events"].select(F.col("event_id").alias("txId2"), "amount_minor"), "txId2"), None, None))
     own = files["edge_attributes"].withColumnRenamed("__row", "edge_id")
     rules.same(53, "edge attributes", own, again, "edge_id", ["txId1", "txId2", "amount", "timestamp"], near=("amount",))
-    rules.raise_first()
+    try:
+        rules.raise_first()
+    except PySparkException as x:
+        raise Invalid(f"manifest record can't be read: {str(x).splitlines()[0]}") from x
     validate_features(spark, files, t["truth"].select(F.col("txId").alias("tx_id"), bundle.chain_number(F.col("chain_id")).alias("chain")))
     for df in (*files.values(), *t.values()):
         df.unpersist()

@@ -28,10 +28,11 @@ CHUNK = 1 << 20
 
 @dataclass
 class Body:
-    """Rows as chunks of text (place, data), stored, and their bytes in all."""
+    """Rows as chunks of text (place, data), stored, and their bytes in all; listed: the members of a JSON list, each behind a comma."""
 
     chunks: DataFrame
     size: int
+    listed: bool = False
 
 
 def _body(rows: DataFrame, order: list[str], text: Callable[[pa.RecordBatch], str], chunk: int = CHUNK) -> Body:
@@ -76,7 +77,8 @@ def json_rows(rows: DataFrame, order: list[str], chunk: int = CHUNK) -> Body:
     """The rows as the members of a JSON list, a line each, nulls included, without the bracket at its end; columns of the order that begin with an underscore are left out."""
     fields = [c for c in rows.columns if not c.startswith("_")]
     lines = rows.select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
-    return _body(lines, [f"_{i}" for i in range(len(order))], lambda batch: "".join([",\n" + r for r in batch.column(0).to_pylist()]), chunk)
+    body = _body(lines, [f"_{i}" for i in range(len(order))], lambda batch: "".join([",\n" + r for r in batch.column(0).to_pylist()]), chunk)
+    return Body(body.chunks, body.size, True)
 
 
 def write_pieces(path: str | Path, pieces: list[str | Body]) -> None:
@@ -100,12 +102,14 @@ def write_pieces(path: str | Path, pieces: list[str | Body]) -> None:
 
 
 def _write(path: str, body: Body, base: int) -> None:
+    listed = body.listed
+
     def run(batches):
         done = 0
         with open(path, "r+b", buffering=0) as f:
             for batch in batches:
                 for place, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if place == 0 and data[:2] == b",\n":
+                    if place == 0 and listed:
                         data = b"[" + data[1:]
                     if os.pwrite(f.fileno(), data, base + place) != len(data):
                         raise OSError(f"short write at {base + place}")

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,9 +45,21 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def stored_told(df: DataFrame, **told: Column) -> tuple[DataFrame, dict]:
-    """stored(df), and aggregates of its rows by name that are worked out while they are written."""
-    seen = Observation()
-    return stored(df.observe(seen, *[c.alias(n) for n, c in told.items()])), seen.get
+    """stored(df), and aggregates of its rows by name.
+
+    They are read from the table: an observation of the write would leave its manager in the session, with which the
+    functions of pyspark.ml models can't be sent to tasks any more.
+    """
+    out = stored(df)
+    return out, out.agg(*[c.alias(n) for n, c in told.items()]).first().asDict()
+
+
+def still_there(df: DataFrame) -> bool:
+    """Whether the folders of all files that df reads exist."""
+    java = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    settings = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    folders = [java.Path(f).getParent() for f in df.inputFiles()]
+    return all(f.getFileSystem(settings).exists(f) for f in folders)
 
 
 def shared_folder(spark: SparkSession) -> Path:

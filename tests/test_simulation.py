@@ -89,12 +89,13 @@ TAMPERS = {
 }
 
 
-def test_every_kind_of_tampering_is_found(spark, root):
+def test_every_kind_of_tampering_is_found(spark, root, tmp_path):
     m = json.loads((root / "manifest.json").read_text())
     for change in TAMPERS.values():
         change(m)
     files = {n: bundle.read_table(spark, root, n) for n in ("features", "edgelist")}
-    t = {name: validate._table(spark, validate._at(m, path), schema) for name, (path, schema) in validate._SECTIONS.items()}
+    (tmp_path / "m.json").write_text(json.dumps(m))
+    t = validate.sections(spark, tmp_path / "m.json", 1 << 16)[1]
     t |= {"nodes": files["features"].select(F.col("txId").alias("tx_id"), "time_step"), "edges": files["edgelist"].select(F.col("__row").alias("edge_id"), "txId1", "txId2")}
     faults = validate.table_rules(spark, config.parse(m["config"]), t, m["behavior"]["drift_schedule"]["realized"]).faults()
     found = {r["message"] for r in faults.select("message").distinct().collect()}
