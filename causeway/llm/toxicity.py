@@ -240,7 +240,7 @@ def learn(rows: DataFrame) -> tuple[Lexicon | None, np.ndarray | float]:
     t, c, share = F.col("toxic"), F.col("clean"), 2 / (n + m)
     odds = F.log((t + share * n) / n) - F.log((c + share * m) / m)  # as log_odds()
     counted = _counted(rows, lambda x, _: {f for w in set(WORD.findall(x.lower())) for f in features[w]})
-    found = counted.where((t >= max(3, n // 500)) & (odds >= LEAST_LOG_ODDS - 0.3)).collect()  # terms of a bounded number of documents
+    found = counted.where((t >= LEAST_SEEN) & (odds >= LEAST_LOG_ODDS - 0.3)).collect()  # terms of a bounded number of documents
     weight = {r["feature"]: log_odds(r["toxic"], r["clean"], n, m) for r in found}
     kept = []
     for r in found:
