@@ -56,9 +56,9 @@ def attribute_file_scan(spark, d):
 
 
 def _raw_folder(spark, d):
-    """The event graph as a raw directory: 165 columns of which a few vary."""
+    """The event graph as a raw directory, 165 columns of which follow from the ids."""
     folder, (nodes, edges) = shared_folder(spark), base._graph(spark, d)
-    rows = nodes.select(F.col("tx_id").alias("txId"), "time_step", *[(F.col("score") * k).cast("double").alias(f"feat_{k}") for k in range(2, 5)], *[F.lit(0.5).alias(f"feat_{k}") for k in range(5, bundle.FEATURES + 2)])
+    rows = nodes.select(F.col("tx_id").alias("txId"), "time_step", *[(F.col("tx_id") * k % 1000 / 8).alias(f"feat_{k}") for k in range(2, bundle.FEATURES + 2)])
     _lines(folder, raw.RAW["features"], rows, "txId", header=False)
     _lines(folder, raw.RAW["classes"], nodes.select(F.col("tx_id").alias("txId"), "class"), "txId")
     _lines(folder, raw.RAW["edgelist"], edges.select("txId1", "txId2"), "txId2")
@@ -77,6 +77,13 @@ def raw_scan_pruned(spark, d):
     return raw.read(spark, _raw_folder(spark, d), check_values=False)["features"].select(F.col("txId").alias("tx_id"), "time_step")
 
 
+@query(f"{base._NODES} SELECT tx_id, time_step, list_sum([(tx_id * k) % 1000 / 8 FOR k IN range(2, {bundle.FEATURES + 2})]) AS total, (tx_id * {bundle.FEATURES + 1}) % 1000 / 8 AS last FROM tx_nodes")
+def raw_values(spark, d):
+    """The 165 values of every row of a raw directory, summed, and the last one."""
+    rows = raw.read(spark, _raw_folder(spark, d), with_values=True)["features"]
+    return rows.select(F.col("txId").alias("tx_id"), "time_step", F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total"), F.element_at("features", -1).alias("last"))
+
+
 _TEXTS = "CASE event_id % 9 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN '-4' WHEN 2 THEN '1.0' WHEN 3 THEN 'x' || event_id WHEN 4 THEN '9223372036854775808' WHEN 5 THEN '9223372036854775807' WHEN 6 THEN '' WHEN 7 THEN '007' ELSE NULL END"
 
 
@@ -96,9 +103,10 @@ def finite_values(spark, d):
 
 @query(f"""{base._EDGES}, f AS (SELECT tx_id AS row, CASE WHEN tx_id % 500 = 7 THEN tx_id - 1 ELSE tx_id END AS txId, CASE WHEN tx_id % 300 = 5 THEN 50 ELSE time_step END AS time_step FROM tx_nodes),
 c AS (SELECT tx_id AS row, tx_id AS txId, CASE WHEN tx_id % 400 = 9 THEN '3' ELSE class END AS class FROM tx_nodes),
-e AS (SELECT txId1, CASE WHEN txId2 % 250 = 3 THEN txId1 WHEN txId2 % 250 = 4 THEN -1 ELSE txId2 END AS txId2 FROM tx_edges UNION ALL SELECT txId1, txId2 FROM tx_edges WHERE txId2 % 350 = 1 AND txId2 % 250 NOT IN (3, 4))
+e AS (SELECT txId1, CASE WHEN txId2 % 250 = 3 THEN txId1 WHEN txId2 % 250 = 4 THEN -1 WHEN txId2 % 250 = 5 THEN txId2 + 1000000000 ELSE txId2 END AS txId2 FROM tx_edges UNION ALL SELECT txId1, txId2 FROM tx_edges WHERE txId2 % 350 = 1 AND txId2 % 250 NOT IN (3, 4, 5))
 SELECT 'RAW_ID_DUPLICATE' AS code, (SELECT count(*) FROM (SELECT txId FROM f GROUP BY 1 HAVING count(*) > 1)) AS n UNION ALL SELECT 'RAW_ID_ORDER', (SELECT count(*) FROM f JOIN c USING (row) WHERE f.txId <> c.txId)
 UNION ALL SELECT 'RAW_ORPHAN_EDGE', (SELECT count(*) FROM (SELECT DISTINCT txId1, txId2 FROM e WHERE txId1 NOT IN (SELECT txId FROM f) OR txId2 NOT IN (SELECT txId FROM f))) UNION ALL SELECT 'RAW_CLASS_VALUE', (SELECT count(*) FROM c WHERE class = '3')
+UNION ALL SELECT 'RAW_ID_SEQUENCE', (SELECT count(*) FROM f WHERE txId <> row) UNION ALL SELECT 'RAW_EDGE_RANGE', (SELECT count(*) FROM e WHERE greatest(txId1, txId2) >= (SELECT count(*) FROM f))
 UNION ALL SELECT 'RAW_TIME_STEP', (SELECT count(*) FROM f WHERE time_step = 50) UNION ALL SELECT 'RAW_SELF_LOOP', (SELECT count(*) FROM e WHERE txId1 = txId2) UNION ALL SELECT 'RAW_DUPLICATE_EDGE', (SELECT count(*) FROM (SELECT 1 FROM e GROUP BY txId1, txId2 HAVING count(*) > 1))""")
 def raw_faults(spark, d):
     """The rows at fault by code, of tables that break every rule of a raw directory."""
@@ -107,10 +115,10 @@ def raw_faults(spark, d):
     f = nodes.select(i.alias("row"), F.when(i % 500 == 7, i - 1).otherwise(i).alias("txId"), F.when(i % 300 == 5, 50).otherwise(F.col("time_step")).alias("time_step"))
     c = nodes.select(i.alias("row"), i.alias("txId"), F.when(i % 400 == 9, "3").otherwise(F.col("class")).alias("class"))
     v = F.col("txId2")
-    moved = edges.select("txId1", F.when(v % 250 == 3, F.col("txId1")).when(v % 250 == 4, -1).otherwise(v).alias("txId2"))
-    again = edges.where((v % 350 == 1) & ~(v % 250).isin(3, 4)).select("txId1", "txId2")
+    moved = edges.select("txId1", F.when(v % 250 == 3, F.col("txId1")).when(v % 250 == 4, -1).when(v % 250 == 5, v + 1_000_000_000).otherwise(v).alias("txId2"))
+    again = edges.where((v % 350 == 1) & ~(v % 250).isin(3, 4, 5)).select("txId1", "txId2")
     out = None
-    for code, rows in raw.contract_faults({"features": f, "classes": c, "edgelist": moved.union(again)}):
+    for code, rows in raw.contract_faults({"features": f, "classes": c, "edgelist": moved.union(again)}, True):
         one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(code).alias("code"), "n")
         out = one if out is None else out.union(one)
     return out.groupBy("code").agg(F.sum("n").alias("n"))

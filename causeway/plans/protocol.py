@@ -93,10 +93,10 @@ def seed_plan(seeds: list[int], tier: str) -> dict[str, Any]:
     return {"values": list(seeds), "n_seeds": len(seeds), "minimum": SEEDS_NEEDED, "acceptance_eligible": tier == "real"}
 
 
-def load_graph(spark: SparkSession, root: str | Path, check_values: bool = True) -> tuple[DataFrame, DataFrame, dict[str, str]]:
-    """Nodes (tx_id, time_step, class), edges and fingerprints of a directory; contract faults raise stable codes."""
+def load_graph(spark: SparkSession, root: str | Path, check_values: bool = True, contiguous: bool = False) -> tuple[DataFrame, DataFrame, dict[str, str]]:
+    """Nodes (tx_id, time_step, class), edges and fingerprints of a directory; contract faults raise stable codes. contiguous: of a generated one."""
     tables = raw_source.read(spark, root, check_values)
-    raw_source.need_contract(tables)
+    raw_source.need_contract(tables, contiguous)
     nodes = tables["features"].select(F.col("txId").alias("tx_id"), "time_step").join(tables["classes"].select(F.col("txId").alias("tx_id"), "class"), "tx_id")
     return stored(nodes), tables["edgelist"].select("txId1", "txId2"), {f: bundle.sha256(Path(root) / f) for f in raw_source.RAW.values()}
 
@@ -225,7 +225,7 @@ def run(
     oracle_test = judged(oracle.scores(own, target_edges), "test", oracle.threshold, k)
     per_seed = []
     for root, seed in zip(synthetic, seeds):
-        s_nodes, s_edges, _ = load_graph(spark, root)
+        s_nodes, s_edges, _ = load_graph(spark, root, contiguous=True)
         source, source_edges = views(s_nodes, s_edges)
         fitted = stored(evaluation.scaler(source.where("part = 'train'"), FEATURES))
         s, t = (stored(evaluation.scaled(v, fitted, FEATURES)) for v in (source, target))

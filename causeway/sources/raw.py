@@ -57,10 +57,11 @@ def _need(rows: DataFrame, faults: list[tuple[str, Column]]) -> None:
             raise ValueError(code)
 
 
-def read(spark: SparkSession, root: str | Path, check_values: bool = True) -> dict[str, DataFrame]:
+def read(spark: SparkSession, root: str | Path, check_values: bool = True, with_values: bool = False) -> dict[str, DataFrame]:
     """features (row, txId, time_step), classes (row, txId, class) and edgelist (row, txId1, txId2), typed and stored.
 
-    check_values: whether the 165 further columns of every row must be finite numbers.
+    check_values: whether the 165 further columns of every row must be finite numbers. with_values: features also has these,
+    as `features`, an array of doubles.
     """
     root = Path(root)
     if not all((root / f).is_file() for f in RAW.values()):
@@ -77,7 +78,8 @@ def read(spark: SparkSession, root: str | Path, check_values: bool = True) -> di
     ident, step = integer(F.col("c0")), integer(F.col("c1"))
     values = F.exists(F.array(*names[2:]), lambda x: ~finite(x) | x.isNull()) if check_values else F.lit(False)
     _stable(code, lambda: _need(f, [(code, wide), ("RAW_NONFINITE_FEATURE", F.coalesce(values, F.lit(True))), ("RAW_ID_TYPE", ident.isNull()), ("RAW_TIME_STEP", step.isNull())]))
-    out = {"features": _stable(code, lambda: stored(with_rows(f, "row").select("row", ident.alias("txId"), step.cast("int").alias("time_step"))))}
+    kept = [F.transform(F.array(*names[2:]), lambda x: x.try_cast("double")).alias("features")] if with_values else []
+    out = {"features": _stable(code, lambda: stored(with_rows(f, "row").select("row", ident.alias("txId"), step.cast("int").alias("time_step"), *kept)))}
     for name, type_code in (("classes", "RAW_ID_TYPE"), ("edgelist", "RAW_EDGE_TYPE")):
         a, b = HEADERS[name]
         code = SCHEMA_CODES[name]
@@ -93,20 +95,26 @@ def read(spark: SparkSession, root: str | Path, check_values: bool = True) -> di
     return out
 
 
-def contract_faults(tables: dict[str, DataFrame]) -> list[tuple[str, DataFrame]]:
-    """(code, rows at fault) of a raw directory, in the order in which they are raised."""
+def contract_faults(tables: dict[str, DataFrame], contiguous: bool = False) -> list[tuple[str, DataFrame]]:
+    """(code, rows at fault) of a raw directory, in the order in which they are raised.
+
+    contiguous: ids must be the numbers of their rows, as in every generated directory, and ends of edges must be among them.
+    """
     f, c, e = tables["features"], tables["classes"], tables["edgelist"]
     ends = e.select("txId1", "txId2")
+    beyond = F.greatest("txId1", "txId2") >= f.count() if contiguous else F.lit(False)
     return [
         ("RAW_ID_DUPLICATE", checks.duplicates(f, ["txId"])), ("RAW_ID_DUPLICATE", checks.duplicates(c, ["txId"])),
-        ("RAW_ID_ORDER", f.alias("f").join(c.alias("c"), "row", "full").where("not (f.txId <=> c.txId)")), ("RAW_ORPHAN_EDGE", checks.orphans(ends, f.select(F.col("txId").alias("tx_id")))),
+        *([("RAW_ID_SEQUENCE", f.where("not (txId <=> row)"))] if contiguous else []),
+        ("RAW_ID_ORDER", f.alias("f").join(c.alias("c"), "row", "full").where("not (f.txId <=> c.txId)")),
+        *([("RAW_EDGE_RANGE", ends.where(beyond))] if contiguous else []), ("RAW_ORPHAN_EDGE", checks.orphans(ends, f.select(F.col("txId").alias("tx_id")))),
         ("RAW_CLASS_VALUE", c.where("class is null or class not in ('1', '2', 'unknown')")), ("RAW_TIME_STEP", f.where("time_step not between 1 and 49")),
         ("RAW_SELF_LOOP", e.where("txId1 = txId2")), ("RAW_DUPLICATE_EDGE", checks.duplicates(ends, ["txId1", "txId2"])),
     ]
 
 
-def need_contract(tables: dict[str, DataFrame]) -> None:
+def need_contract(tables: dict[str, DataFrame], contiguous: bool = False) -> None:
     """Raises the code of the first fault."""
-    for code, rows in contract_faults(tables):
+    for code, rows in contract_faults(tables, contiguous):
         if not rows.isEmpty():
             raise ValueError(code)

@@ -96,3 +96,35 @@ def test_missing_files(spark, tmp_path):
 def test_values_may_be_left_unread(spark, tmp_path):
     written(tmp_path, 40, replaced("features", 3, 9, "inf"))
     assert protocol.load_graph(spark, tmp_path, check_values=False)[0].count() == 40 and bundle.FEATURES == 165
+
+
+def test_contiguous_directories(spark, tmp_path):
+    """Generated directories number their transactions by row, and edges stay within them; values come back as they are."""
+
+    def numbered(ends=(1, 2), swap=False):
+        def change(lines):
+            lines["features"] = [",".join([str(k), "1", *(str(k + j / 4) for j in range(165))]) for k in range(40)]
+            lines["classes"] = ["txId,class", *(f"{k},1" for k in range(40))]
+            lines["edgelist"] = ["txId1,txId2", f"{ends[0]},{ends[1]}"]
+            if swap:
+                for name, k in (("features", 5), ("classes", 6)):
+                    lines[name][k], lines[name][k + 1] = lines[name][k + 1], lines[name][k]
+
+        return change
+
+    written(tmp_path / "good", 40, numbered())
+    assert protocol.load_graph(spark, tmp_path / "good", contiguous=True)[0].count() == 40
+    values = {r["txId"]: r["features"] for r in raw.read(spark, tmp_path / "good", with_values=True)["features"].collect()}
+    assert values == {k: [k + j / 4 for j in range(165)] for k in range(40)}
+    written(tmp_path / "swapped", 40, numbered(swap=True))
+    assert protocol.load_graph(spark, tmp_path / "swapped")[0].count() == 40
+    with pytest.raises(ValueError, match="RAW_ID_SEQUENCE"):
+        protocol.load_graph(spark, tmp_path / "swapped", contiguous=True)
+    written(tmp_path / "far", 40, numbered((1, 40)))
+    with pytest.raises(ValueError, match="RAW_EDGE_RANGE"):
+        protocol.load_graph(spark, tmp_path / "far", contiguous=True)
+    with pytest.raises(ValueError, match="RAW_ORPHAN_EDGE"):
+        protocol.load_graph(spark, tmp_path / "far")
+    written(tmp_path / "others", 40)
+    with pytest.raises(ValueError, match="RAW_ID_SEQUENCE"):
+        protocol.load_graph(spark, tmp_path / "others", contiguous=True)
