@@ -22,7 +22,8 @@ def dealt(rows: DataFrame, seeds: dict[str, int], sizes: dict[str, int], turn: i
     two on average, are paired in order of the digest, and an odd one sits the round out. rows: (part, edge, u, v).
     """
     of_part = lambda values, kind: F.coalesce(*[F.when(F.col("part") == p, F.lit(x).cast(kind)) for p, x in values.items()])
-    draw = F.md5(F.concat_ws(":", of_part(seeds, "string"), F.lit(str(turn)), F.col("edge").cast("string")))
+    # seeds may be greater than a bigint
+    draw = F.md5(F.concat_ws(":", of_part({p: str(x) for p, x in seeds.items()}, "string"), F.lit(str(turn)), F.col("edge").cast("string")))
     bucket = F.conv(F.substring("draw", 1, 12), 16, 10).cast("bigint") % of_part({p: max(n // 2, 1) for p, n in sizes.items()}, "bigint")
     met = rows.withColumn("draw", draw).withColumn("bucket", bucket).groupBy("part", "bucket").agg(F.array_sort(F.collect_list(F.struct("draw", "edge", "u", "v"))).alias("x"))  # a few edges
     two = met.where(F.size("x") > 1).select("part", "x", F.explode(F.sequence(F.lit(0), F.size("x").cast("int") - 2, F.lit(2))).alias("i"))

@@ -133,7 +133,7 @@ def test_shuffle(spark):
         "sparse": list({(r.randrange(40), 40 + r.randrange(40)) for _ in range(120)}), "double": [(1, 2), (1, 2), (3, 4), (5, 6), (7, 8), (1, 9), (9, 1)],
         "star": [(0, x) for x in range(1, 12)], "one": [(1, 2)], "full": [(a, b) for a in range(4) for b in range(4) if a != b], "two": [(1, 2), (3, 4)],
     }
-    seeds = {p: k for k, p in enumerate(parts)}
+    seeds = {p: k for k, p in enumerate(parts)} | {"star": (1 << 64) - 1}
     edges = spark.createDataFrame([(p, a, b) for p, es in parts.items() for a, b in es] + [("other", 1, 2)], "part string, txId1 bigint, txId2 bigint")
     moved, told = shuffle.shuffled(edges.repartition(5), seeds)
     out, said = [tuple(x) for x in moved.collect()], {x["part"]: x for x in told.collect()}
