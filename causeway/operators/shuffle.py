@@ -46,15 +46,15 @@ def acceptable(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return sound.join(free.select("part", "pair"), ["part", "pair"])
 
 
-def _first(pairs: DataFrame, left: dict[str, int]) -> DataFrame:
-    """Of each part the pairs of least draw, as many as are left; parts with fewer stay whole and are not ranked."""
+def _first(pairs: DataFrame, left: dict[str, int]) -> tuple[DataFrame, dict[str, int]]:
+    """Of each part the pairs of least draw, as many as are left, and how many these are; parts with fewer stay whole and are not ranked. pairs: stored."""
     counts = {r["part"]: r["n"] for r in pairs.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per part
     over = [p for p, n in counts.items() if n > left[p]]
-    if not over:
-        return pairs
-    most = F.coalesce(*[F.when(F.col("part") == p, F.lit(left[p])) for p in over])
-    ranked = numbered(pairs.where(F.col("part").isin(over)), ["draw", "pair"], "rank", ["part"]).where(F.col("rank") < most).drop("rank")
-    return pairs.where(~F.col("part").isin(over)).unionByName(ranked)
+    if over:
+        most = F.coalesce(*[F.when(F.col("part") == p, F.lit(left[p])) for p in over])
+        ranked = numbered(pairs.where(F.col("part").isin(over)), ["draw", "pair"], "rank", ["part"]).where(F.col("rank") < most).drop("rank")
+        pairs = stored(pairs.where(~F.col("part").isin(over)).unionByName(ranked))
+    return pairs, {p: min(n, left[p]) for p, n in counts.items()}
 
 
 def shuffled(edges: DataFrame, seeds: dict[str, int]) -> tuple[DataFrame, DataFrame]:
@@ -74,13 +74,10 @@ def shuffled(edges: DataFrame, seeds: dict[str, int]) -> tuple[DataFrame, DataFr
     tries, swaps, turn = dict.fromkeys(sizes, 0), dict.fromkeys(sizes, 0), 0
     while going := [p for p, n in sizes.items() if n > 1 and swaps[p] < n and tries[p] < n * PER_EDGE]:
         now = rows.where(F.col("part").isin(going))
-        pairs = stored(dealt(now, seeds, sizes, turn))
-        pairs = stored(_first(pairs, {p: sizes[p] * PER_EDGE - tries[p] for p in going}))
-        taken = stored(acceptable(pairs, now))
-        taken = stored(_first(taken, {p: sizes[p] - swaps[p] for p in going}))
-        for name, table in ((tries, pairs), (swaps, taken)):
-            for r in table.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():  # a row per part
-                name[r["part"]] += r["n"]
+        pairs, more = _first(stored(dealt(now, seeds, sizes, turn)), {p: sizes[p] * PER_EDGE - tries[p] for p in going})
+        tries = {p: n + more.get(p, 0) for p, n in tries.items()}
+        taken, more = _first(stored(acceptable(pairs, now)), {p: sizes[p] - swaps[p] for p in going})
+        swaps = {p: n + more.get(p, 0) for p, n in swaps.items()}
         moves = taken.select("part", F.explode(F.array(F.struct(F.col("pair").alias("edge"), F.col("v2").alias("new")), F.struct(F.col("other").alias("edge"), F.col("v1").alias("new")))).alias("m")).select("part", "m.*")
         rows = stored(rows.join(moves, ["part", "edge"], "left").select("part", "edge", "u", F.coalesce("new", "v").alias("v"), "was"))
         turn += 1
