@@ -130,9 +130,9 @@ def parse(raw: Any) -> Config:
         _need(isinstance(value, (str, Path)), f"{name} must be a path")
         setattr(out, name, str(value))
     for name, mode in (("graph", "behavior"), ("features", "semantic")):
-        _need(fields(raw.get(name, {}), name, {"mode"}).get("mode", mode) == mode, f"this engine supports {name}.mode={mode} only")
+        _need(fields(raw.get(name, {}), name, {"mode"}).get("mode", mode) == mode, f"{name}.mode may be {mode} only")
     behavior = fields(raw.get("behavior", {}), "behavior", {"contract_version", "profile_quotas", "chains", "drift"})
-    _need(behavior.get("contract_version", "behavior.p0.v1") == "behavior.p0.v1", "unsupported behavior contract version")
+    _need(behavior.get("contract_version", "behavior.p0.v1") == "behavior.p0.v1", "behavior.contract_version must be behavior.p0.v1")
     if behavior.get("profile_quotas") is not None:
         quotas = fields(behavior["profile_quotas"], "behavior.profile_quotas", set(PROFILES))
         rows = {p: fields(q, f"behavior.profile_quotas.{p}", {"entity_count", "tx_quota"}, True) for p, q in quotas.items()}

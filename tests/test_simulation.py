@@ -142,6 +142,22 @@ def test_registry():
         registry.lookup("chain", "nowhere")
 
 
+def test_registry_faults(monkeypatch):
+    """Every rule over the registries, each broken once."""
+    from dataclasses import replace
+
+    assert registry.registry_faults() == []
+    mixer = registry.PROFILES["mixer"]
+    monkeypatch.setitem(registry.PROFILES, "mixer", replace(mixer, chain_weights=(("bitcoin", 0.0), ("mars", 1.0)), counterparty_profile_ids=("nobody",), action_ids=(*mixer.action_ids, "fly", "round_trip"), amount_policy="x"))
+    found = registry.registry_faults()
+    assert {rule for rule, _ in found} == {
+        "actions that are not registered", "profiles that are not registered", "chains that are not registered", "amount policies that are not registered", "actions that do not list their profile",
+        "counterparties of an action that its profile does not meet", "weights of chains that are not above zero"}
+    assert ("actions that do not list their profile", ("mixer", "round_trip")) in found and ("weights of chains that are not above zero", ("mixer", "bitcoin")) in found
+    with pytest.raises(ValueError, match="fly"):
+        registry.check_registry()
+
+
 def test_json_and_report(tmp_path):
     (tmp_path / "m.json").write_text('{"a": NaN}')
     with pytest.raises(ValueError, match="constant"):
