@@ -9,49 +9,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored, stored_told
+from ..storage import shuffled, stored, stored_told
 from .graph import spaced
 from .intervals import overlapping
 from .numbering import numbered
 
 
+#: Rows up to which those still on their way may be broadcast.
+FEW = 100_000
+
+
 class Forest:
     """Trees given by nodes (tx_id) and edges (txId1 parent, txId2 child)."""
 
     def __init__(self, nodes: DataFrame, edges: DataFrame):
         """Pointer jumping: `jumps[k]` leads from a node to its ancestor 2**k above, or its root."""
         up = edges.select(F.col("txId2").alias("node"), F.col("txId1").alias("up"))
-        going = stored(nodes.select(F.col("tx_id").alias("node")).join(up, "node", "left").select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNotNull().cast("bigint").alias("depth")))
-        self.edges, self.jumps, there = edges, [], going.limit(0)
+        going = stored(shuffled(nodes.select(F.col("tx_id").alias("node"))).join(up, "node", "left").select("node", F.coalesce("up", "node").alias("up"), F.col("up").isNotNull().cast("bigint").alias("depth")))
+        self.edges, self.jumps, there, few = edges, [], going.limit(0), False
         while True:
             now = going.unionByName(there)
             self.jumps.append(now.select("node", "up"))
-            step = going.alias("a").join(now.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.up") != F.col("b.up")).alias("moved"))
+            step = (going if few else shuffled(going)).alias("a").join(now.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.up") != F.col("b.up")).alias("moved"))
             step, told = stored_told(step, n=F.count_if("moved"))
             # nodes that point to a root already are there, and take no part in further rounds
             there, going = there.unionByName(step.where("not moved").drop("moved")), step.where("moved").drop("moved")
             if not told["n"]:
                 break
+            few = told["n"] <= FEW
         self.nodes = there.select("node", F.col("up").alias("root"), "depth")
 
     def instances(self) -> DataFrame:
         """(node, root, depth, instance_id): trees numbered by their roots."""
         roots = self.nodes.where("node = root").select("root")
-        return self.nodes.join(numbered(roots, ["root"], "instance_id"), "root").select("node", "root", "depth", "instance_id")
+        return shuffled(self.nodes).join(numbered(roots, ["root"], "instance_id"), "root").select("node", "root", "depth", "instance_id")
 
     def distances(self, targets: DataFrame) -> DataFrame:
         """(node, root, d): distance of every node to its tree's target; targets: (root, target)."""
-        path = targets.select(F.col("target").alias("node"))
-        for jump in self.jumps:  # the path from the target to the root
-            path = path.union(path.join(jump, "node").select(F.col("up").alias("node"))).distinct()
-        path = stored(path)
+        path = stored(targets.select(F.col("target").alias("node")))
+        for jump in self.jumps:  # the path from the target to the root; stored, as each round has the one before twice
+            path = stored(path.union(shuffled(path).join(jump, "node").select(F.col("up").alias("node"))).distinct())
         marked = path.withColumn("m", F.lit(True))
-        meet = stored(self.jumps[0].join(marked, "node", "left").select("node", F.when(F.col("m"), F.col("node")).otherwise(F.col("up")).alias("up")))
+        meet = stored(shuffled(self.jumps[0]).join(marked, "node", "left").select("node", F.when(F.col("m"), F.col("node")).otherwise(F.col("up")).alias("up")))
         for _ in self.jumps[1:] or [0]:
-            meet = stored(meet.alias("a").join(meet.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up"))
+            meet = stored(shuffled(meet).alias("a").join(meet.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up"))
         depth = self.nodes.select("node", "depth")
-        at = targets.join(depth.withColumnRenamed("node", "target").withColumnRenamed("depth", "dt"), "target").select("root", "dt")
-        rows = self.nodes.join(meet, "node").join(depth.select(F.col("node").alias("up"), F.col("depth").alias("dm")), "up").join(at, "root")
+        at = shuffled(targets).join(depth.withColumnRenamed("node", "target").withColumnRenamed("depth", "dt"), "target").select("root", "dt")
+        rows = shuffled(shuffled(self.nodes).join(meet, "node")).join(depth.select(F.col("node").alias("up"), F.col("depth").alias("dm")), "up").join(shuffled(at), "root")
         return rows.select("node", "root", (F.col("depth") + F.col("dt") - 2 * F.col("dm")).alias("d"))
 
     def eccentricities(self) -> DataFrame:
@@ -59,7 +63,7 @@ class Forest:
         far = lambda rows, by: rows.groupBy("root").agg(F.min_by("node", F.struct((-F.col(by)).alias("d"), "node")).alias("target"))
         u = stored(self.distances(stored(far(self.nodes, "depth"))))
         v = self.distances(stored(far(u, "d")))
-        return u.alias("u").join(v.alias("v"), "node").select("node", "u.root", F.greatest("u.d", "v.d").alias("ecc"))
+        return shuffled(u).alias("u").join(v.alias("v"), "node").select("node", "u.root", F.greatest("u.d", "v.d").alias("ecc"))
 
     def anchors(self, central: bool = True) -> DataFrame:
         """(root, anchor, max_distance): the node of least eccentricity, else id; or the first node."""
@@ -69,7 +73,7 @@ class Forest:
 
     def shells(self, anchors: DataFrame, hops: int) -> DataFrame:
         """(root, hop, nodes): nodes at exactly each distance 1..hops of the anchor, no farther than its max_distance."""
-        d = self.distances(anchors.select("root", F.col("anchor").alias("target"))).join(anchors.select("root", "max_distance"), "root")
+        d = self.distances(anchors.select("root", F.col("anchor").alias("target"))).join(shuffled(anchors.select("root", "max_distance")), "root")
         near = d.where((F.col("d") >= 1) & (F.col("d") <= F.least(F.lit(hops), F.col("max_distance"))))
         return near.groupBy("root", F.col("d").alias("hop")).agg(F.array_sort(F.collect_list("node")).alias("nodes"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import asof, checks, evaluation, features, forest, schedule
 from ..operators.numbering import numbered
 from ..sources import ledger
-from ..storage import stored
+from ..storage import shuffled, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -209,7 +209,7 @@ _ROLL = f"{_INST}, members AS (SELECT i.instance_id, n.* FROM inst i JOIN tx_nod
 
 def _members(spark, d):
     nodes, _, trees = _forest(spark, d)
-    return trees.instances().select(F.col("node").alias("tx_id"), "instance_id").join(nodes, "tx_id")
+    return trees.instances().select(F.col("node").alias("tx_id"), "instance_id").join(shuffled(nodes), "tx_id")
 
 
 @query(f"""{_ROLL} SELECT instance_id, count(*) AS n_nodes, count(*) - 1 AS n_edges, min(time_step) AS step_min, max(time_step) AS step_max, min_by(class, tx_id) AS pattern, array_to_string(list_sort(list(DISTINCT class)), ',') AS classes,
@@ -245,7 +245,7 @@ def anchor_eccentricity(spark, d):
 @query(f"{_ECC} SELECT instance_id, anchor, max_distance::BIGINT AS max_distance FROM anchors", True)
 def central_anchor(spark, d):
     trees = _forest(spark, d)[2]
-    return trees.anchors().join(trees.instances().where("node = root").select("root", "instance_id"), "root").select("instance_id", "anchor", "max_distance")
+    return shuffled(trees.anchors()).join(trees.instances().where("node = root").select("root", "instance_id"), "root").select("instance_id", "anchor", "max_distance")
 
 
 @query(f"{_EDGES}, ends AS (SELECT txId1 AS n, txId2 AS o FROM tx_edges UNION SELECT txId2, txId1 FROM tx_edges) SELECT n AS tx_id FROM ends GROUP BY n HAVING count(*) >= 2")
@@ -257,7 +257,7 @@ def articulation_points(spark, d):
 def khop_shells(spark, d):
     trees = _forest(spark, d)[2]
     ids = trees.instances().where("node = root").select("root", "instance_id")
-    return trees.shells(stored(trees.anchors()), 2).join(ids, "root").select("instance_id", "hop", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"))
+    return shuffled(trees.shells(stored(trees.anchors()), 2)).join(ids, "root").select("instance_id", "hop", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"))
 
 
 @query(f"{_ECC} SELECT instance_id, anchor FROM anchors ORDER BY instance_id LIMIT greatest(5 * (SELECT count(*) FROM tx_nodes) // 1000, 1)", True)

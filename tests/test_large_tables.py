@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from causeway import storage
 from causeway.operators import checks, forest, intervals
 from causeway.operators.numbering import numbered
 
@@ -68,3 +70,23 @@ def test_equal_tables_leave_nothing_to_compare(spark):
     swapped = spark.createDataFrame([(1, None, "x")], "id int, v string, x string"), spark.createDataFrame([(1, "x", None)], "id int, v string, x string")
     assert checks.unequal(*swapped, cols).count() == 2  # a null is not a null elsewhere
     assert checks.unequal(a.limit(0), a, cols).count() == 1000 and checks.unequal(a.limit(0), a.limit(0), cols).count() == 0
+
+
+def test_joins_of_forests_are_not_broadcast(spark, monkeypatch):
+    """Tables with a row per node compress so well that Spark takes them for small ones; no join may broadcast them, and no round may hold the ones before twice."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return storage.stored(df)
+
+    monkeypatch.setattr(forest, "stored", noted)
+    monkeypatch.setattr(forest, "stored_told", lambda df, **told: (out := noted(df), out.agg(*[c.alias(n) for n, c in told.items()]).first().asDict()))
+    monkeypatch.setattr(forest, "FEW", 0)
+    nodes = spark.range(200).select(F.col("id").alias("tx_id"))
+    trees = forest.Forest(nodes, nodes.where("tx_id % 100 > 0").select((F.col("tx_id") - 1).alias("txId1"), F.col("tx_id").alias("txId2")))  # two chains
+    anchors = storage.stored(trees.anchors())
+    assert sorted(map(tuple, anchors.collect())) == [(0, 49, 50), (100, 149, 50)]
+    assert sorted(map(tuple, noted(trees.shells(anchors, 1)).collect())) == [(0, 1, [48, 50]), (100, 1, [148, 150])]
+    assert sum(p.count("MergeJoin") for p in plans) > 20 and not any("BroadcastHashJoin" in p for p in plans)
+    assert max(p.count("MergeJoin") for p in plans) < 10
