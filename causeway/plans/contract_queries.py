@@ -58,8 +58,9 @@ def attribute_file_scan(spark, d):
 def _raw_folder(spark, d):
     """The event graph as a raw directory, 165 columns of which follow from the ids."""
     folder, (nodes, edges) = shared_folder(spark), base._graph(spark, d)
-    rows = nodes.select(F.col("tx_id").alias("txId"), "time_step", *[(F.col("tx_id") * k % 1000 / 8).alias(f"feat_{k}") for k in range(2, bundle.FEATURES + 2)])
-    _lines(folder, raw.RAW["features"], rows, "txId", header=False)
+    edges = stored(edges)  # else found twice, as the sort samples them first
+    columns = [F.col("tx_id"), F.col("time_step"), *[(F.col("tx_id") * k % 1000 / 8).alias(f"feat_{k}") for k in range(2, bundle.FEATURES + 2)]]
+    single_file.write_pieces(folder / raw.RAW["features"], [single_file.number_rows(nodes.select("tx_id", "time_step"), ["tx_id"], columns)])
     _lines(folder, raw.RAW["classes"], nodes.select(F.col("tx_id").alias("txId"), "class"), "txId")
     _lines(folder, raw.RAW["edgelist"], edges.select("txId1", "txId2"), "txId2")
     return folder

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks
 from ..storage import stored
-from .rows import with_rows
+from .rows import in_order, placed, starts
 
 # File names, columns and codes of the contract.
 RAW = {"features": "elliptic_txs_features.csv", "classes": "elliptic_txs_classes.csv", "edgelist": "elliptic_txs_edgelist.csv"}
@@ -49,12 +49,19 @@ def _text(spark: SparkSession, root: Path, name: str, columns: list[str]) -> Dat
     return spark.read.option("columnPruning", False).schema(schema).csv(f"{root}/{RAW[name]}", **options)
 
 
-def _need(rows: DataFrame, faults: list[tuple[str, Column]]) -> None:
-    """Raises the first code some row of which is at fault; one pass over the rows."""
-    found = rows.agg(*(F.bool_or(c).alias(f"f{k}") for k, (_, c) in enumerate(faults))).first()
-    for k, (code, _) in enumerate(faults):
-        if found[f"f{k}"]:
+def _checked(rows: DataFrame, columns: list[Column], faults: list[tuple[str, Column]]) -> DataFrame:
+    """`row` and the columns of every row of a file, stored; raises the first code some row of which is at fault.
+
+    The file is parsed once: the faults of a row are stored beside its columns, and looked for in the table.
+    """
+    marks = [f"__f{k}" for k in range(len(faults))]
+    table = stored(placed(rows.select(*columns, *(c.alias(m) for m, (_, c) in zip(marks, faults)))))
+    found = table.agg(*(F.bool_or(m).alias(m) for m in marks)).first()
+    for m, (code, _) in zip(marks, faults):
+        if found[m]:
             raise ValueError(code)
+    numbered = in_order(table.drop(*marks), stored(starts(table)), "row")
+    return numbered.select("row", *[c for c in numbered.columns if c != "row"])
 
 
 def read(spark: SparkSession, root: str | Path, check_values: bool = True, with_values: bool = False) -> dict[str, DataFrame]:
@@ -76,10 +83,14 @@ def read(spark: SparkSession, root: str | Path, check_values: bool = True, with_
     f = _text(spark, root, "features", names)
     wide = F.col("__bad").isNotNull() & (F.length(F.regexp_replace("__bad", "[^,]", "")) >= WIDTH)
     ident, step = integer(F.col("c0")), integer(F.col("c1"))
-    values = F.exists(F.array(*names[2:]), lambda x: ~finite(x) | x.isNull()) if check_values else F.lit(False)
-    _stable(code, lambda: _need(f, [(code, wide), ("RAW_NONFINITE_FEATURE", F.coalesce(values, F.lit(True))), ("RAW_ID_TYPE", ident.isNull()), ("RAW_TIME_STEP", step.isNull())]))
-    kept = [F.transform(F.array(*names[2:]), lambda x: x.try_cast("double")).alias("features")] if with_values else []
-    out = {"features": _stable(code, lambda: stored(with_rows(f, "row").select("row", ident.alias("txId"), step.cast("int").alias("time_step"), *kept)))}
+    values = [F.array(*(F.col(c).try_cast("double") for c in names[2:])).alias("features")] if check_values or with_values else []
+    f = f.select(ident.alias("txId"), step.alias("step"), wide.alias("wide"), *values)
+    # an array without the infinite value gives null, not false, if some element is null
+    sound = ~F.array_contains("features", float("inf")) & ~F.isnan(F.array_max("features")) & (F.array_min("features") > float("-inf"))
+    values = ~F.coalesce(sound, F.lit(False)) if check_values else F.lit(False)
+    faults = [(code, F.col("wide")), ("RAW_NONFINITE_FEATURE", values), ("RAW_ID_TYPE", F.col("txId").isNull()), ("RAW_TIME_STEP", F.col("step").isNull()), (code, F.col("step") >= 1 << 31)]
+    kept = [F.col("features")] if with_values else []
+    out = {"features": _stable(code, lambda: _checked(f, [F.col("txId"), F.col("step").try_cast("int").alias("time_step"), *kept], faults))}
     for name, type_code in (("classes", "RAW_ID_TYPE"), ("edgelist", "RAW_EDGE_TYPE")):
         a, b = HEADERS[name]
         code = SCHEMA_CODES[name]
@@ -90,8 +101,7 @@ def read(spark: SparkSession, root: str | Path, check_values: bool = True, with_
         second = integer(F.col(b)) if name == "edgelist" else F.col(b)
         faults = [(code, F.col("__bad").isNotNull() & F.col("__bad").contains(",")), (type_code, integer(F.col(a)).isNull())]
         faults += [(type_code, second.isNull())] if name == "edgelist" else []
-        _stable(code, lambda rows=rows, faults=faults: _need(rows, faults))
-        out[name] = _stable(code, lambda rows=rows, a=a, b=b, second=second: stored(with_rows(rows, "row").select("row", integer(F.col(a)).alias(a), second.alias(b))))
+        out[name] = _stable(code, lambda rows=rows, a=a, b=b, second=second, faults=faults: _checked(rows, [integer(F.col(a)).alias(a), second.alias(b)], faults))
     return out
 
 

@@ -6,6 +6,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from causeway.sources import json_ranges, single_file
 
@@ -77,3 +78,12 @@ def test_faulty_documents(spark, tmp_path):
         (tmp_path / f"{k}.json").write_text(said)
         with pytest.raises(ValueError):
             json_ranges.Document(spark, tmp_path / f"{k}.json", 16).read({"b.rows"})
+
+
+def test_numbers_are_made_behind_the_sort(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(single_file, "PART_VALUES", 100)
+    rows = spark.range(200).select("id", F.when(F.col("id") % 9 > 0, F.col("id") / 8).alias("x")).repartition(3)
+    single_file.write_pieces(tmp_path / "n.csv", [single_file.number_rows(rows, ["id"], [F.col("id"), F.col("x"), F.col("id") * 3])])
+    assert (tmp_path / "n.csv").read_text() == "".join(f"{i},{i / 8 if i % 9 else ''},{i * 3}\n" for i in range(200))
+    with pytest.raises(ValueError, match="not numbers: s"):
+        single_file.number_rows(rows, ["id"], [F.lit("a,b").alias("s")])

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from causeway import storage
 from causeway.plans import protocol
 from causeway.simulation import bundle
 from causeway.sources import raw
@@ -128,3 +129,16 @@ def test_contiguous_directories(spark, tmp_path):
     written(tmp_path / "others", 40)
     with pytest.raises(ValueError, match="RAW_ID_SEQUENCE"):
         protocol.load_graph(spark, tmp_path / "others", contiguous=True)
+
+
+def test_every_file_is_parsed_once(spark, tmp_path, monkeypatch):
+    """What is at fault in a row is told as it is parsed; numbers of rows follow from the stored table."""
+    written(tmp_path / "good", 40)
+    plans = []
+    monkeypatch.setattr(raw, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or storage.stored(df))
+    rows = raw.read(spark, tmp_path / "good", with_values=True)["features"].collect()
+    assert sorted(r["row"] for r in rows) == list(range(40)) and all(r["features"] == [0.5] * 165 for r in rows)
+    assert [p.count("FileScan csv") for p in plans if "FileScan csv" in p] == [1, 1, 1]
+    written(tmp_path / "late", 40, replaced("features", 3, 1, "3000000000"))
+    with pytest.raises(ValueError, match="^RAW_FEATURE_SCHEMA$"):
+        raw.read(spark, tmp_path / "late")
