@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shuffled
+
 #: Partition, first step, last step.
 PARTS = [("train", 1, 30), ("validation", 31, 40), ("test", 41, 49)]
 
@@ -27,7 +29,7 @@ def with_parts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with the partition of both ends; edges of unknown ends are dropped."""
     ends = nodes.select("tx_id", part(F.col("time_step")).alias("p"))
     u, v = ends.select(F.col("tx_id").alias("txId1"), F.col("p").alias("p1")), ends.select(F.col("tx_id").alias("txId2"), F.col("p").alias("p2"))
-    return edges.join(u, "txId1").join(v, "txId2")
+    return shuffled(shuffled(edges).join(u, "txId1")).join(v, "txId2")
 
 
 def partition_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

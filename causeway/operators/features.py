@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shuffled
+
 BASE = [
     "in_degree", "out_degree", "value_out", "value_in", "net_flow", "log_ratio_in_out", "max_in_amount", "mean_in_amount", "max_out_amount", "mean_out_amount", "min_in_amount", "in_age_min", "in_age_mean", "in_age_max", "out_age_mean",
     "value_per_in", "value_per_out", "in_amount_std", "out_amount_std", "edge_hours_mean_in", "edge_hours_mean_out", "has_incoming", "has_outgoing", "time_step_norm",
@@ -61,7 +63,7 @@ def structural(nodes: DataFrame, edges: DataFrame, node_id: str = "tx_id", step:
     pairs = edges.groupBy("txId1", "txId2").agg(F.count(F.lit(1)).alias("n"))
     ins = pairs.groupBy(F.col("txId2").alias(node_id)).agg(F.sum("n").alias("in_degree"), F.count(F.lit(1)).alias("in_unique_neighbors"))
     outs = pairs.groupBy(F.col("txId1").alias(node_id)).agg(F.sum("n").alias("out_degree"), F.count(F.lit(1)).alias("out_unique_neighbors"))
-    rows = nodes.select(node_id, step).join(ins, node_id, "left").join(outs, node_id, "left")
+    rows = shuffled(shuffled(nodes.select(node_id, step)).join(ins, node_id, "left")).join(outs, node_id, "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     return rows.select(
         node_id, z("in_degree").alias("in_degree"), z("out_degree").alias("out_degree"), z("in_unique_neighbors").alias("in_unique_neighbors"), z("out_unique_neighbors").alias("out_unique_neighbors"),
@@ -72,7 +74,7 @@ def propagated(nodes: DataFrame, edges: DataFrame, columns: list[str], hops: int
     """node_id and the columns with their means over outgoing neighbours, once per hop (suffix _1, _2, ...); 0 without any."""
     out = now = nodes.select(node_id, *columns)
     for hop in range(1, hops + 1):
-        means = edges.join(now.withColumnRenamed(node_id, "txId2"), "txId2").groupBy(F.col("txId1").alias(node_id)).agg(*(F.avg(c).alias(c) for c in columns))
-        now = nodes.select(node_id).join(means, node_id, "left").select(node_id, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
-        out = out.join(now.select(node_id, *(F.col(c).alias(f"{c}_{hop}") for c in columns)), node_id)
+        means = shuffled(edges).join(now.withColumnRenamed(node_id, "txId2"), "txId2").groupBy(F.col("txId1").alias(node_id)).agg(*(F.avg(c).alias(c) for c in columns))
+        now = shuffled(nodes.select(node_id)).join(means, node_id, "left").select(node_id, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns))
+        out = shuffled(out).join(now.select(node_id, *(F.col(c).alias(f"{c}_{hop}") for c in columns)), node_id)
     return out

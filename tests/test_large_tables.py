@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway import storage
-from causeway.operators import checks, forest, intervals
+from causeway.operators import checks, evaluation, features, forest, intervals
 from causeway.operators.numbering import numbered
 
 
@@ -90,3 +90,14 @@ def test_joins_of_forests_are_not_broadcast(spark, monkeypatch):
     assert sorted(map(tuple, noted(trees.shells(anchors, 1)).collect())) == [(0, 1, [48, 50]), (100, 1, [148, 150])]
     assert sum(p.count("MergeJoin") for p in plans) > 20 and not any("BroadcastHashJoin" in p for p in plans)
     assert max(p.count("MergeJoin") for p in plans) < 10
+
+
+def test_joins_of_features_are_not_broadcast(spark):
+    """Nor do the joins of the views and of the propagated columns, with a row per node or edge on both sides."""
+    nodes = storage.stored(spark.range(60).select(F.col("id").alias("tx_id"), (F.col("id") % 49 + 1).cast("int").alias("time_step"), (F.col("id") / 2).alias("x")))
+    edges = storage.stored(nodes.where("tx_id > 0").select((F.col("tx_id") - 1).alias("txId1"), F.col("tx_id").alias("txId2")))
+    out = features.propagated(nodes, edges, ["x"])
+    assert {r["tx_id"]: (r["x_1"], r["x_2"]) for r in out.collect()} == {i: ((i + 1) / 2 if i < 59 else 0, (i + 2) / 2 if i < 58 else 0) for i in range(60)}
+    for df in (out, features.structural(nodes, edges), evaluation.partition_edges(edges, nodes)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MergeJoin") >= 2 and "BroadcastHashJoin" not in plan
