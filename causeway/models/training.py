@@ -60,10 +60,10 @@ def packed(rows: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
 def _arrays(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
     kinds = {"ids": np.int64, "x": np.float64, "y": np.float64, "fit": bool, "judge": bool, "sources": np.int64, "targets": np.int64}
     for batch in batches:
-        for row in batch.to_pylist():
-            out = {k: np.frombuffer(row[k], t) for k, t in kinds.items()}
+        for i, pack in enumerate(batch.column("pack").to_pylist()):
+            out = {k: np.frombuffer(batch.column(k)[i].as_buffer(), t) for k, t in kinds.items()}  # where they are, not copied
             out["x"] = out["x"].reshape(-1, width)
-            yield row["pack"], out
+            yield pack, out
 
 
 @dataclass

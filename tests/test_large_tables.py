@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +102,15 @@ def test_joins_of_features_are_not_broadcast(spark):
     for df in (out, features.structural(nodes, edges), evaluation.partition_edges(edges, nodes)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MergeJoin") >= 2 and "BroadcastHashJoin" not in plan
+
+
+def test_long_rows_come_to_python_a_few_at_a_time(spark):
+    """However many packs a task reads, it does not hold them together."""
+    rows = storage.stored(spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 2_000_000).cast("binary").alias("data")))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    sizes = [r["n"] for r in rows.coalesce(1).mapInArrow(run, "n bigint").collect()]
+    assert sum(sizes) == 40 and max(sizes) <= 8
