@@ -29,7 +29,7 @@ class Forest:
         self.edges, self.jumps, there, few = edges, [], going.limit(0), False
         while True:
             now = going.unionByName(there)
-            self.jumps.append(now.select("node", "up"))
+            self.jumps.append(now.select("node", "up", F.col("depth").alias("steps")))
             step = (going if few else shuffled(going)).alias("a").join(now.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.up") != F.col("b.up")).alias("moved"))
             step, told = stored_told(step, n=F.count_if("moved"))
             # nodes that point to a root already are there, and take no part in further rounds
@@ -44,26 +44,42 @@ class Forest:
         roots = self.nodes.where("node = root").select("root")
         return shuffled(self.nodes).join(numbered(roots, ["root"], "instance_id"), "root").select("node", "root", "depth", "instance_id")
 
+    def meets(self, targets: DataFrame) -> DataFrame:
+        """(node, root, depth, dm): dm is the depth at which a node's way to the root meets the way of its tree's target; targets: (target, depth)."""
+        way = targets.select(F.col("target").alias("node"), F.col("depth").alias("dm"))
+        for k, jump in enumerate(self.jumps):  # the way from the target to the root doubles by round; plans stay short
+            both = F.array(F.struct("node", "dm"), F.struct(F.col("up").alias("node"), (F.col("dm") - F.col("steps")).alias("dm")))
+            way = shuffled(way).join(jump, "node").select(F.inline(both)).groupBy("node").agg(F.min("dm").alias("dm"))
+            if k % 4 == 3 or k == len(self.jumps) - 1:
+                way = stored(way)
+        met, told = stored_told(shuffled(self.jumps[0]).join(way, "node", "left").select("node", "up", "dm"), n=F.count_if(F.col("dm").isNull()))
+        there, going = met.where("dm is not null"), met.where("dm is null")
+        for _ in self.jumps:
+            if not told["n"]:
+                break
+            step, told = stored_told(shuffled(going).alias("a").join(going.unionByName(there).alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up", "b.dm"), n=F.count_if(F.col("dm").isNull()))
+            # nodes that met the way take no part in further rounds
+            there, going = there.unionByName(step.where("dm is not null")), step.where("dm is null")
+        return shuffled(self.nodes).join(there.select("node", "dm"), "node")
+
     def distances(self, targets: DataFrame) -> DataFrame:
         """(node, root, d): distance of every node to its tree's target; targets: (root, target)."""
-        path = stored(targets.select(F.col("target").alias("node")))
-        for jump in self.jumps:  # the path from the target to the root; stored, as each round has the one before twice
-            path = stored(path.union(shuffled(path).join(jump, "node").select(F.col("up").alias("node"))).distinct())
-        marked = path.withColumn("m", F.lit(True))
-        meet = stored(shuffled(self.jumps[0]).join(marked, "node", "left").select("node", F.when(F.col("m"), F.col("node")).otherwise(F.col("up")).alias("up")))
-        for _ in self.jumps[1:] or [0]:
-            meet = stored(shuffled(meet).alias("a").join(meet.alias("b"), F.col("a.up") == F.col("b.node")).select("a.node", "b.up"))
-        depth = self.nodes.select("node", "depth")
-        at = shuffled(targets).join(depth.withColumnRenamed("node", "target").withColumnRenamed("depth", "dt"), "target").select("root", "dt")
-        rows = shuffled(shuffled(self.nodes).join(meet, "node")).join(depth.select(F.col("node").alias("up"), F.col("depth").alias("dm")), "up").join(shuffled(at), "root")
+        at = stored(shuffled(targets.select("target")).join(self.nodes.withColumnRenamed("node", "target"), "target").select("root", "target", "depth"))
+        rows = shuffled(self.meets(at)).join(at.select("root", F.col("depth").alias("dt")), "root")
         return rows.select("node", "root", (F.col("depth") + F.col("dt") - 2 * F.col("dm")).alias("d"))
 
     def eccentricities(self) -> DataFrame:
-        """(node, root, ecc): a farthest node is always an end of the tree's longest path."""
-        far = lambda rows, by: rows.groupBy("root").agg(F.min_by("node", F.struct((-F.col(by)).alias("d"), "node")).alias("target"))
-        u = stored(self.distances(stored(far(self.nodes, "depth"))))
-        v = self.distances(stored(far(u, "d")))
-        return shuffled(u).alias("u").join(v.alias("v"), "node").select("node", "u.root", F.greatest("u.d", "v.d").alias("ecc"))
+        """(node, root, ecc): a farthest node is always an end of the tree's longest path.
+
+        One end is a deepest node u, the other a node v farthest from u. A node whose way up meets the way of u elsewhere
+        than v's does has the higher of these two places in common with v; one that meets it where v does is no farther
+        from v than from u, as u is as deep as v or deeper. So distances to v follow from where all ways meet that of u.
+        """
+        ends = stored(self.nodes.groupBy("root").agg(F.min_by("node", F.struct((-F.col("depth")).alias("d"), "node")).alias("target"), F.max("depth").alias("depth")))
+        far = F.col("depth") + F.col("du") - 2 * F.col("dm")
+        rows = stored(shuffled(self.meets(ends)).join(ends.select("root", F.col("depth").alias("du")), "root").select("node", "root", "depth", "dm", far.alias("d")))
+        v = rows.groupBy("root").agg(F.max(F.struct("d", "depth", "dm")).alias("v"))
+        return shuffled(rows).join(v, "root").select("node", "root", F.greatest("d", F.col("depth") + F.col("v.depth") - 2 * F.least("dm", "v.dm")).alias("ecc"))
 
     def anchors(self, central: bool = True) -> DataFrame:
         """(root, anchor, max_distance): the node of least eccentricity, else id; or the first node."""
@@ -73,10 +89,24 @@ class Forest:
 
     def shells(self, anchors: DataFrame, hops: int) -> DataFrame:
         """(root, hop, nodes): nodes at exactly each distance 1..hops of the anchor, no farther than its max_distance."""
-        d = self.distances(anchors.select("root", F.col("anchor").alias("target"))).join(shuffled(anchors.select("root", "max_distance")), "root")
-        near = d.where((F.col("d") >= 1) & (F.col("d") <= F.least(F.lit(hops), F.col("max_distance"))))
+        if hops <= len(self.jumps):  # so few steps take fewer rounds than distances
+            near = self._walked(anchors, hops)
+        else:
+            d = self.distances(anchors.select("root", F.col("anchor").alias("target"))).join(shuffled(anchors.select("root", "max_distance")), "root")
+            near = d.where((F.col("d") >= 1) & (F.col("d") <= F.least(F.lit(hops), F.col("max_distance"))))
         return near.groupBy("root", F.col("d").alias("hop")).agg(F.array_sort(F.collect_list("node")).alias("nodes"))
 
+    def _walked(self, anchors: DataFrame, hops: int) -> DataFrame:
+        """(root, node, d): the steps 1..hops away from the anchors; in a tree, a way that does not turn back meets no node twice."""
+        ends = self.edges.select(F.col("txId1").alias("node"), F.col("txId2").alias("other")).union(self.edges.select("txId2", "txId1"))
+        layer, out = anchors.select("root", F.col("anchor").alias("node"), F.lit(None).cast("bigint").alias("past"), "max_distance"), None
+        for hop in range(1, hops + 1):
+            layer = shuffled(layer.where(F.col("max_distance") >= hop)).join(ends, "node").where(~F.col("other").eqNullSafe(F.col("past")))
+            layer = stored(layer.select("root", F.col("other").alias("node"), F.col("node").alias("past"), "max_distance"))
+            rows = layer.select("root", "node", F.lit(hop).cast("bigint").alias("d"))
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
     def articulation_points(self) -> DataFrame:
         """(node): in a tree, every node with two neighbours or more."""
         ends = self.edges.select(F.col("txId1").alias("node"), F.col("txId2").alias("other")).union(self.edges.select("txId2", "txId1")).distinct()

@@ -153,3 +153,49 @@ def test_checks(spark, hand):
     assert rows(checks.duplicates(edges, ["txId1", "txId2"]), "txId1", "txId2", "n") == [(1, 5, 2)]
     assert checks.contiguity(nodes, "tx_id").first()["ok"] and not checks.contiguity(nodes.where("tx_id <> 2"), "tx_id").first()["ok"]
     assert checks.causality_violations(spark.createDataFrame([(5, 0), (0, 5)], edges.schema), nodes).count() == 1
+
+
+@pytest.mark.parametrize("reach", [3, 60])
+def test_distances_and_shells_of_random_forests(spark, reach):
+    """Long and bushy trees, against layers counted one by one; few steps are walked, many are found by distances."""
+    r, n = random.Random(reach), 80
+    parent = {i: r.randrange(max(i - reach, 0), i) for i in range(1, n) if r.random() < 0.97}
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "tx_id bigint")
+    trees = forest.Forest(nodes, spark.createDataFrame([(p, c) for c, p in parent.items()], "txId1 bigint, txId2 bigint"))
+    near, root = {i: set() for i in range(n)}, {}
+    for i in range(n):
+        root[i] = root[parent[i]] if i in parent else i
+        if i in parent:
+            near[i].add(parent[i])
+            near[parent[i]].add(i)
+
+    def layers(i):
+        seen, now, out = {i}, {i}, []
+        while now:
+            out.append(sorted(now))
+            now = {y for x in now for y in near[x]} - seen
+            seen |= now
+        return out
+
+    assert rows(trees.eccentricities(), "node", "root", "ecc") == [(i, root[i], len(layers(i)) - 1) for i in range(n)]
+    targets = {t: r.choice([i for i in range(n) if root[i] == t]) for t in sorted(set(root.values())) if t % 2 == 0}  # of some trees
+    want = sorted((x, t, d) for t, i in targets.items() for d, layer in enumerate(layers(i)) for x in layer)
+    assert rows(trees.distances(spark.createDataFrame(list(targets.items()), "root bigint, target bigint")), "node", "root", "d") == want
+    anchors = spark.createDataFrame([(t, i, 1 + t % 5) for t, i in targets.items()], "root bigint, anchor bigint, max_distance bigint")
+    for hops in (2, 1 << 20):
+        want = sorted((t, d, layer) for t, i in targets.items() for d, layer in enumerate(layers(i)) if 1 <= d <= min(hops, 1 + t % 5))
+        assert rows(trees.shells(anchors, hops), "root", "hop", "nodes") == want
+
+
+def test_anchors_and_shells_take_few_rounds(spark, monkeypatch):
+    """Every table that is stored costs jobs, however small it is: one search for where ways meet is enough for anchors, and a step for a shell."""
+    seen = []
+    whole, told = forest.stored, forest.stored_told
+    monkeypatch.setattr(forest, "stored", lambda df: (seen.append(1), whole(df))[1])
+    monkeypatch.setattr(forest, "stored_told", lambda df, **x: (seen.append(1), told(df, **x))[1])
+    nodes = spark.range(200).select(F.col("id").alias("tx_id"))
+    trees = forest.Forest(nodes, nodes.where("tx_id % 100 > 0").select((F.col("tx_id") - 1).alias("txId1"), F.col("tx_id").alias("txId2")))
+    seen.clear()
+    anchors = whole(trees.anchors())
+    assert rows(trees.shells(anchors, 1), "root", "hop", "nodes") == [(0, 1, [48, 50]), (100, 1, [148, 150])]
+    assert len(seen) < 8
