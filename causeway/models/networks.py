@@ -54,6 +54,23 @@ def matmul(a: Value, b: Value) -> Value:
     return Value(a.data @ b.data, (a, b), lambda g: (a.take(g @ b.data.T), b.take(a.data.T @ g)))
 
 
+def affine(a: Value, w: Value, offset: Value, parts: list[tuple[Value, np.ndarray, slice]]) -> Value:
+    """a @ w + offset, with the rows of each part added at the rows and columns told, no row of a part at the same one."""
+    data = a.data @ w.data
+    data += offset.data
+    for part, at, columns in parts:
+        data[at, columns] += part.data
+
+    def back(g: np.ndarray) -> None:
+        a.take(g @ w.data.T)
+        w.take(a.data.T @ g)
+        offset.take(g)
+        for part, at, columns in parts:
+            part.take(g[at, columns])
+
+    return Value(data, (a, w, offset, *(part for part, _, _ in parts)), back)
+
+
 def add(a: Value, b: Value) -> Value:
     return Value(a.data + b.data, (a, b), lambda g: (a.take(g), b.take(g)))
 
@@ -62,9 +79,15 @@ def times(a: Value, b: Value) -> Value:
     return Value(a.data * b.data, (a, b), lambda g: (a.take(g * b.data), b.take(g * a.data)))
 
 
+def scaled(a: Value, by: np.ndarray) -> Value:
+    """a times numbers without a gradient."""
+    return Value(a.data * by, (a,), lambda g: a.take(g * by))
+
+
 def ramp(a: Value, slope: float = 0.0) -> Value:
-    up = np.where(a.data > 0, 1.0, slope)
-    return Value(a.data * up, (a,), lambda g: a.take(g * up))
+    if not slope:
+        return Value(np.maximum(a.data, 0), (a,), lambda g: a.take(g * (a.data > 0)))
+    return scaled(a, np.where(a.data > 0, 1.0, slope))
 
 
 def beside(*parts: Value) -> Value:
@@ -80,14 +103,42 @@ def summed(a: Value, axis: int) -> Value:
     return Value(a.data.sum(axis=axis), (a,), lambda g: a.take(np.broadcast_to(np.expand_dims(g, axis), a.data.shape)))
 
 
+def _runs(to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of `to`, the distinct values in it, and where each begins in that order."""
+    order = np.argsort(to, kind="stable")
+    at = to[order]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+    return order, at[first], first
+
+
 def _scattered(x: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros((n, *x.shape[1:]))
-    np.add.at(out, to, x)
+    if len(to):
+        order, at, first = _runs(to)
+        out[at] = np.add.reduceat(x[order], first, axis=0)
     return out
 
 
-def gathered(a: Value, at: np.ndarray) -> Value:
-    return Value(a.data[at], (a,), lambda g: a.take(_scattered(g, at, len(a.data))))
+def means(a: Value, start: np.ndarray, end: np.ndarray) -> tuple[Value, np.ndarray]:
+    """The mean over the starts of all edges with the same end, and the ends, each once: no row for what no edge reaches."""
+    order, at, first = _runs(end)
+    counts = np.diff(first, append=len(end))
+    start, shares = start[order], (1.0 / counts)[:, None]
+    data = np.add.reduceat(a.data[start], first, axis=0) * shares if len(at) else np.zeros((0, a.data.shape[1]))
+    return Value(data, (a,), lambda g: a.take(_scattered(np.repeat(g * shares, counts, axis=0), start, len(a.data)))), at
+
+
+def gathered(a: Value, at: np.ndarray, once: bool = False) -> Value:
+    """Rows of a. once: none of them twice."""
+
+    def back(g: np.ndarray) -> None:
+        if not once:
+            return a.take(_scattered(g, at, len(a.data)))
+        out = np.zeros_like(a.data)
+        out[at] = g
+        a.take(out)
+
+    return Value(a.data[at], (a,), back)
 
 
 def scattered(a: Value, to: np.ndarray, n: int) -> Value:
@@ -137,9 +188,27 @@ def parameters(kind: str, width: int, hidden: int, layers: int, seed: int) -> di
     return out
 
 
-def logits(kind: str, p: dict[str, Value], x: np.ndarray, sources: np.ndarray, targets: np.ndarray, dropout: float = 0.0, draw: np.random.Generator | None = None) -> Value:
-    """One logit for each row of x; edges lead from sources to targets. With `draw`, parts are dropped as in training."""
-    n, now = len(x), Value(x)
+def _kept(sides: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, layers: int) -> list[np.ndarray]:
+    """The rows that the input and each layer must hold for the wanted rows of the last one."""
+    out = [wanted]
+    for _ in range(layers):
+        more = out[0].copy()
+        for start, end in sides:
+            more[start[out[0][end]]] = True
+        out.insert(0, more)
+    return out
+
+
+def logits(kind: str, p: dict[str, Value], x: np.ndarray, sources: np.ndarray, targets: np.ndarray, dropout: float = 0.0, draw: np.random.Generator | None = None, wanted: np.ndarray | None = None) -> Value:
+    """One logit for each row of x, or each wanted one; edges lead from sources to targets. With `draw`, parts are dropped as in training.
+
+    A layer holds only the rows on which the wanted ones depend, so others cost nothing and the logits are the same.
+    """
+    first = {"sage": "out.near.w", "gat": "map.w", "gin": "first.w"}[kind]
+    layers = next(k for k in range(len(p)) if f"{k}.{first}" not in p)
+    sides = [(sources, targets), (targets, sources)] if kind == "sage" else [(sources, targets)]
+    kept = _kept(sides, np.ones(len(x), bool) if wanted is None else wanted, layers)
+    now = Value(x[kept[0]])
 
     def linear(a: Value, name: str) -> Value:
         out = matmul(a, p[f"{name}.w"])
@@ -148,33 +217,34 @@ def logits(kind: str, p: dict[str, Value], x: np.ndarray, sources: np.ndarray, t
     def dropped(a: Value) -> Value:
         if draw is None or not dropout:
             return a
-        return times(a, Value((draw.random(a.data.shape) >= dropout) / (1 - dropout)))
+        return scaled(a, (draw.random(a.data.shape, np.float32) >= dropout) * (1 / (1 - dropout)))
 
-    def means(a: Value, start: np.ndarray, end: np.ndarray) -> Value:
-        counts = np.maximum(np.bincount(end, minlength=n), 1)[:, None]
-        return times(scattered(gathered(a, start), end, n), Value(1.0 / counts))
-
-    loops = np.arange(n)
-    own = sources != targets  # a node attends to itself once
-    starts, ends = np.concatenate([sources[own], loops]), np.concatenate([targets[own], loops])
-    k = 0
-    while f"{k}.out.near.w" in p or f"{k}.map.w" in p or f"{k}.first.w" in p:
+    for k in range(layers):
+        place, new = np.cumsum(kept[k]) - 1, np.cumsum(kept[k + 1]) - 1
+        own, n = place[kept[k + 1]], int(kept[k + 1].sum())  # where the rows to make stand in the layer before
+        mine = now if n == len(now.data) else gathered(now, own, True)
+        reaching = [(place[a[ok]], new[b[ok]]) for a, b in sides for ok in [kept[k + 1][b]]]
         if kind == "sage":
-            sides = [("out", sources, targets), ("in", targets, sources)]
-            now = beside(*[ramp(add(linear(means(now, a, b), f"{k}.{side}.near"), linear(now, f"{k}.{side}.self"))) for side, a, b in sides])
+            parts, width = [], p[f"{k}.out.near.w"].data.shape[1]
+            for i, (side, (start, end)) in enumerate(zip(("out", "in"), reaching)):
+                mean, at = means(now, start, end)
+                parts.append((matmul(mean, p[f"{k}.{side}.near.w"]), at, slice(i * width, (i + 1) * width)))
+            both = [beside(*[p[f"{k}.{side}.{name}"] for side in ("out", "in")]) for name in ("self.w", "near.b")]
+            now = ramp(affine(mine, *both, parts))
         elif kind == "gat":
-            mapped = linear(now, f"{k}.map")
-            heads = shaped(mapped, n, HEADS, -1)
+            start, end = reaching[0]
+            other = start != own[end]  # a node attends to itself once
+            starts, ends = np.concatenate([start[other], own]), np.concatenate([end[other], np.arange(n)])
+            heads = shaped(linear(now, f"{k}.map"), len(now.data), *p[f"{k}.from"].data.shape[1:])
             score = lambda end: summed(times(heads, p[f"{k}.{end}"]), 2)  # noqa: B023, E731
-            share = dropped(softmax_by(ramp(add(gathered(score("from"), starts), gathered(score("to"), ends)), SLOPE), ends, n))
+            share = dropped(softmax_by(ramp(add(gathered(score("from"), starts), gathered(score("to"), own[ends])), SLOPE), ends, n))
             seen = scattered(times(gathered(heads, starts), shaped(share, len(starts), HEADS, 1)), ends, n)
-            now = ramp(add(shaped(seen, n, -1), p[f"{k}.offset"]))
+            now = ramp(add(shaped(seen, n, p[f"{k}.offset"].data.shape[1]), p[f"{k}.offset"]))
         else:
-            near = scattered(gathered(now, sources), targets, n)
-            own_part = times(now, add(Value(np.ones((1, 1))), p[f"{k}.eps"]))
+            near = scattered(gathered(now, reaching[0][0]), reaching[0][1], n)
+            own_part = times(mine, add(Value(np.ones((1, 1))), p[f"{k}.eps"]))
             now = ramp(linear(ramp(linear(add(own_part, near), f"{k}.first")), f"{k}.second"))
         now = dropped(now)
-        k += 1
     return linear(now, "head")
 
 
@@ -185,8 +255,8 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def loss_and_slopes(kind: str, weights: dict[str, np.ndarray], x: np.ndarray, sources: np.ndarray, targets: np.ndarray, y: np.ndarray, fit: np.ndarray, dropout: float, draw: np.random.Generator | None) -> tuple[float, dict[str, np.ndarray]]:
     """The sum over the rows to fit of the cross-entropy of their logits, and its slopes."""
     p = {k: Value(v) for k, v in weights.items()}
-    z = logits(kind, p, x, sources, targets, dropout, draw)
-    s = z.data[:, 0]
-    loss = np.where(fit, np.logaddexp(0, s) - s * y, 0.0).sum()
-    flow_back(z, np.where(fit, sigmoid(s) - y, 0.0)[:, None])
+    z = logits(kind, p, x, sources, targets, dropout, draw, fit)
+    s, y = z.data[:, 0], y[fit]
+    loss = (np.logaddexp(0, s) - s * y).sum()
+    flow_back(z, (sigmoid(s) - y)[:, None])
     return float(loss), {k: v.grad if v.grad is not None else np.zeros_like(v.data) for k, v in p.items()}

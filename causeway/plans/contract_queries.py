@@ -492,9 +492,9 @@ def gin_forward(spark, d):
 
 @query()
 def network_scores(spark, d):
-    """A sage network trained on train and stopped by validation, over all parts; few steps, as the protocol is run elsewhere."""
+    """A sage network trained on train and stopped by validation, over all parts, with the sizes and rates of the protocol."""
     nodes, edges = base._graph(spark, d)
     rows, parted = protocol.views(nodes.select("tx_id", "time_step", "class"), stored(edges))
     both = evaluation.stacked(rows.where("part = 'train'"), rows.where("part = 'validation'"))
-    model = training.fit(both, parted.where("part <> 'test'").select("txId1", "txId2"), protocol.FEATURES, "sage", 0, training.Settings(hidden=8, epochs=5))
+    model = training.fit(both, parted.where("part <> 'test'").select("txId1", "txId2"), protocol.FEATURES, "sage", 0)
     return model.scores(rows.select("tx_id", *protocol.FEATURES), parted.select("txId1", "txId2"))
